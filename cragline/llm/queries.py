@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cragline.llm import mixing
+from cragline.llm import chat, mixing, warc
 from cragline.session import table
 
 
@@ -15,9 +15,13 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc_reassembly": lambda spark, sf_dir: warc.op3(spark, table(spark, sf_dir, "pages")),
+    "op5_chat_round_trip": lambda spark, sf_dir: chat.op5(table(spark, sf_dir, "conversations")),
     "op9_source_mixing": _documents(mixing.op9),
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc_reassembly": warc.ORACLE,
+    "op5_chat_round_trip": chat.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
 }
