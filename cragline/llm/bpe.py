@@ -2,15 +2,15 @@
 
 The vocabulary is a fixed file of ranks; its path is a parameter. Each task opens an in-memory DuckDB with two tables:
 ``merges`` (left, right, rank), every way to cut a token in two tokens, and ``vocab`` (id, bytes). Texts are cut into
-pieces between which no token can lie; pieces, and the words that the split pattern finds in them, are encoded once a
-task as long as CACHED_PIECES hold. New words go to DuckDB in one recursive query: their token-position rows join
-``merges``, and each word's leftmost pair of least rank is contracted, until no pair can be. Decoding joins ids to ``vocab`` and
-concatenates the bytes by an ordered aggregation; a text's bytes are those of its pieces' ids.
+pieces between which no token can lie, pieces into words by the split pattern. The distinct words of a slice of texts go to
+DuckDB in one recursive query: their token-position rows join ``merges``, and each word's leftmost pair of least rank is
+contracted, until no pair can be. Decoding joins the ids to ``vocab`` and concatenates their bytes by an ordered
+aggregation; a text's bytes are those of its words' ids, in order.
 
-Scale: no shuffle; tasks see a batch of texts at a time. The vocabulary (50,256 entries) and its merges are broadcast; their size
-is that of the file. Words of a batch go to DuckDB WORD_BYTES at a time. A word of n bytes makes about n * n / 2
-recursive rows, so words over LONG_WORD bytes (no space, digit or punctuation change in so many bytes) are contracted by the same
-rule over a heap instead, which the tests hold equal to the query.
+Scale: no shuffle, and nothing is kept between slices of SLICE_CHARS characters. The vocabulary (50,256 entries) and its
+merges are broadcast; their size is that of the file. A word of n bytes makes up to n * n / 2 recursive rows, so words
+over LONG_WORD bytes (no space, digit or punctuation change in so many) are contracted by the same rule over a heap instead,
+which the tests hold equal to the query.
 
 Defined results: null text is empty, has no tokens and decodes to nothing; repeated rows give repeated rows; an empty
 table gives an empty result; extra columns are ignored.
@@ -22,39 +22,46 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CACHED_PIECES = 150_000
-WORD_BYTES = 200_000
+WORD_BYTES = 1_000_000
+#: Longest word for the recursive query; positions take POS_BITS bits.
 LONG_WORD = 400
+POS_BITS = 9
 
 #: A space that lies between two pieces only seemingly: white space before it, and none but white space after it.
 _UNCUT = re.compile(r"\s \s|\s \Z")
 
-CONTRACT = """
-WITH RECURSIVE step(word, pos, id, n) AS (
-    SELECT word, pos, id, 0 FROM start
+#: Rows (cell, id): cell is word << POS_BITS | position. A word's best pair is rank, position and the position that goes,
+#: packed in that order, so the least number is the leftmost pair of least rank. A word without a pair is done.
+CONTRACT = f"""
+WITH RECURSIVE step(cell, id, done) AS (
+    SELECT cell, id, false FROM start
   UNION ALL (
     WITH pairs AS (
-      SELECT word, pos, id, n, lead(id) OVER w AS next_id, lead(pos) OVER w AS next_pos
-      FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)
+      SELECT cell, id, lead(id) OVER w AS next_id, lead(cell) OVER w AS next_at FROM step WHERE NOT done WINDOW w AS (ORDER BY cell)
     ), best AS (
-      SELECT p.word, min(struct_pack(rank := m.rank, pos := p.pos, gone := p.next_pos)) AS pair
-      FROM pairs p JOIN merges m ON m.left_id = p.id AND m.right_id = p.next_id GROUP BY p.word
+      SELECT cell >> {POS_BITS} AS word, min((m.rank << {2 * POS_BITS}) | ((cell & {2**POS_BITS - 1}) << {POS_BITS}) | (next_at & {2**POS_BITS - 1})) AS pair
+      FROM pairs p JOIN merges m ON m.pair = (p.id << 32) | p.next_id WHERE next_at >> {POS_BITS} = cell >> {POS_BITS} GROUP BY 1
     )
-    SELECT s.word, s.pos, CASE WHEN s.pos = b.pair.pos THEN b.pair.rank ELSE s.id END, s.n + 1
-    FROM step s JOIN best b ON b.word = s.word WHERE s.pos <> b.pair.gone
+    SELECT s.cell, CASE WHEN s.cell & {2**POS_BITS - 1} = (b.pair >> {POS_BITS}) & {2**POS_BITS - 1} THEN b.pair >> {2 * POS_BITS} ELSE s.id END, b.pair IS NULL
+    FROM step s LEFT JOIN best b ON b.word = s.cell >> {POS_BITS}
+    WHERE NOT s.done AND (b.pair IS NULL OR s.cell & {2**POS_BITS - 1} <> b.pair & {2**POS_BITS - 1})
   )
-), last AS (SELECT word, max(n) AS n FROM step GROUP BY word)
-SELECT s.word, list(s.id ORDER BY s.pos) AS ids FROM step s JOIN last l ON l.word = s.word AND l.n = s.n GROUP BY s.word ORDER BY s.word
+)
+SELECT cell >> {POS_BITS} AS seq, cell & {2**POS_BITS - 1} AS pos, id FROM step WHERE done
 """
 
+#: Of rows (seq, pos, id): how many, the ids as text, and the bytes as Latin-1 text.
 DECODE = """
-SELECT t.seq, string_agg(v.latin, '' ORDER BY t.pos) AS latin FROM tokens t JOIN vocab v ON v.id = t.id GROUP BY t.seq ORDER BY t.seq
+SELECT t.seq, count(*) AS n, string_agg(t.id::VARCHAR, ' ' ORDER BY t.pos) AS ids, string_agg(v.latin, '' ORDER BY t.pos) AS latin
+FROM {tokens} t JOIN vocab v ON v.id = t.id GROUP BY t.seq ORDER BY t.seq
 """
 
 
@@ -63,31 +70,43 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+Vocabulary = tuple[dict[bytes, int], np.ndarray, np.ndarray]
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """Ranks, and of every way to cut a token in two: the packed pair, and the token's rank."""
+    ranks = read_ranks(path)
+    cuts = [(ranks[t[:i]] << 32 | ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+    pairs, made = (np.array(column, np.int64) for column in zip(*cuts, strict=True))
+    return ranks, pairs, made
+
+
 class Tables:
     """A task's DuckDB, with the merge and vocabulary tables."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, known: Vocabulary) -> None:
         import duckdb
 
-        self.ranks = ranks
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
-        cuts = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self._table("merges", dict(zip(("left_id", "right_id", "rank"), (pa.array(c, pa.int32()) for c in zip(*cuts, strict=True)), strict=True)))
-        self._table("vocab", {"id": pa.array(ranks.values(), pa.int32()), "latin": pa.array([t.decode("latin-1") for t in ranks])})
+        self.ranks, pairs, made = known
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self._table("merges", {"pair": pairs, "rank": made})
+        latin = pa.array([t.decode("latin-1") for t in self.ranks])
+        self._table("vocab", {"id": pa.array(self.ranks.values(), pa.int64()), "latin": latin})
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, by the recursive query."""
-        out: list[list[int]] = [[]] * len(words)
+    def encode(self, words: list[bytes]) -> list[tuple[int, str, bytes]]:
+        """(number of ids, ids as text, bytes they decode to) of each word, by the recursive query."""
+        out: list[tuple[int, str, bytes]] = [(0, "", b"")] * len(words)
         held: list[int] = []
         size = 0
         for i, word in enumerate(words):
             if len(word) > LONG_WORD:
-                out[i] = contract(word, self.ranks)
+                out[i] = self.decode([contract(word, self.ranks)])[0]
             elif word:
                 held.append(i)
                 size += len(word)
@@ -98,21 +117,28 @@ class Tables:
             self._recurse(words, held, out)
         return out
 
-    def _recurse(self, words: list[bytes], held: list[int], out: list[list[int]]) -> None:
-        single = [self.ranks[bytes([b])] for b in range(256)]
-        rows = [(i, pos, single[b]) for i in held for pos, b in enumerate(words[i])]
-        self._table("start", dict(zip(("word", "pos", "id"), (pa.array(c, pa.int32()) for c in zip(*rows, strict=True)), strict=True)))
-        for i, ids in self.db.execute(CONTRACT).fetchall():
-            out[i] = ids
-
-    def decode(self, sequences: list[list[int]]) -> list[bytes]:
-        """Bytes of each id sequence, by ordered aggregation."""
-        out = [b""] * len(sequences)
-        rows = [(i, pos, id_) for i, ids in enumerate(sequences) for pos, id_ in enumerate(ids)]
-        if rows:
-            self._table("tokens", dict(zip(("seq", "pos", "id"), (pa.array(c, pa.int32()) for c in zip(*rows, strict=True)), strict=True)))
-            for i, latin in self.db.execute(DECODE).fetchall():
-                out[i] = latin.encode("latin-1")
+    def _recurse(self, words: list[bytes], held: list[int], out: list[tuple[int, str, bytes]]) -> None:
+        size = np.fromiter((len(words[i]) for i in held), np.int64, len(held))
+        raw = np.frombuffer(b"".join([words[i] for i in held]), np.uint8)
+        pos = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
+        self._table("start", {"cell": np.repeat(np.arange(len(held)), size) << POS_BITS | pos, "id": self.single[raw]})
+        self._fill(DECODE.format(tokens=f"({CONTRACT})"), held, out)
+
+    def _fill(self, query: str, held: list[int], out: list[tuple[int, str, bytes]]) -> None:
+        found = self.db.sql(query).to_arrow_table()
+        for seq, n, ids, latin in zip(*(found.column(i).to_numpy().tolist() for i in range(4)), strict=True):
+            out[held[seq]] = (n, ids, latin.encode("latin-1"))
+
+    def decode(self, sequences: list[list[int]]) -> list[tuple[int, str, bytes]]:
+        """(number of ids, ids as text, decoded bytes) of id sequences."""
+        out: list[tuple[int, str, bytes]] = [(0, "", b"")] * len(sequences)
+        if any(sequences):
+            size = [len(ids) for ids in sequences]
+            self._table("tokens", {
+                "seq": np.repeat(np.arange(len(size)), size), "pos": np.concatenate([np.arange(n) for n in size]),
+                "id": np.fromiter(chain.from_iterable(sequences), np.int64),
+            })
+            self._fill(DECODE.format(tokens="tokens"), list(range(len(size))), out)
         return out
 
 
@@ -155,35 +181,29 @@ def pieces(text: str) -> list[str]:
 
 
 class Coder:
-    """Encodes texts piece by piece, with what a task has seen so far."""
+    """Encodes the texts of a slice; each distinct word of it goes through DuckDB once."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, known: Vocabulary, pattern: str) -> None:
         import regex
 
-        self.tables, self.split = Tables(ranks), regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, str, bytes]] = {}
-
-    def learn(self, fresh: Iterable[str]) -> None:
-        """Encodes and decodes pieces not seen before; known: number of ids, the ids as text, the bytes they decode to."""
-        split = {piece: self.split(piece) for piece in fresh}
-        words = sorted({word for parts in split.values() for word in parts})
-        ids = dict(zip(words, self.tables.encode([w.encode() for w in words]), strict=True))
-        found = {piece: [i for word in parts for i in ids[word]] for piece, parts in split.items()}
-        for (piece, own), raw in zip(found.items(), self.tables.decode(list(found.values())), strict=True):
-            self.known[piece] = (len(own), " ".join(map(str, own)), raw)
+        self.tables, self.split = Tables(known), regex.compile(pattern).findall
 
     def rows(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, ids joined by a space, decoded bytes) of each text."""
         cut = [pieces(text) if text else [] for text in texts]
-        fresh = {piece for own in cut for piece in own if piece not in self.known}
-        if len(self.known) + len(fresh) > CACHED_PIECES:
-            self.known.clear()
-            fresh = {piece for own in cut for piece in own}
-        self.learn(fresh)
-        get = self.known.__getitem__
+        split = {piece: self.split(piece) for piece in set(chain.from_iterable(cut))}
+        words = list(set(chain.from_iterable(split.values())))
+        known = dict(zip(words, self.tables.encode([w.encode() for w in words]), strict=True))
+        whole = {}
+        for piece, parts in split.items():
+            if len(parts) == 1:
+                whole[piece] = known[parts[0]]
+            else:
+                n, ids, raw = zip(*[known[word] for word in parts], strict=True)
+                whole[piece] = (sum(n), " ".join(ids), b"".join(raw))
         for own in cut:
-            seen = [get(piece) for piece in own]
-            yield sum(s[0] for s in seen), " ".join([s[1] for s in seen]), b"".join([s[2] for s in seen])
+            n, ids, raw = zip(*[whole[piece] for piece in own], strict=True) if own else ((), (), ())
+            yield sum(n), " ".join(ids), b"".join(raw)
 
 
 def _slices(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list, list[str]]]:
@@ -200,13 +220,13 @@ def _slices(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list, list[str]
         yield ids, texts
 
 
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 4_000_000
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), with keep also (ids, decoded), for every row of docs."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = spark.sparkContext.broadcast(vocabulary(ranks_path))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +252,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
 def decode(encoded: DataFrame, ranks_path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, decoded) of any rows of id arrays; a null array decodes to nothing."""
-    shared = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary(ranks_path))
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +261,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "id", ids_col: str
             tables = tables or Tables(shared.value)
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                raw = tables.decode([ids or [] for ids in part.column(1).to_pylist()])
+                raw = [found[2] for found in tables.decode([ids or [] for ids in part.column(1).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "decoded"])
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, decoded binary")

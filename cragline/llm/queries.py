@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cragline.llm import chat, mixing, warc
+from cragline.llm import bpe, chat, language, mixing, warc
 from cragline.session import table
 
 
@@ -17,6 +17,8 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc_reassembly": lambda spark, sf_dir: warc.op3(spark, table(spark, sf_dir, "pages")),
     "op5_chat_round_trip": lambda spark, sf_dir: chat.op5(table(spark, sf_dir, "conversations")),
+    "op6_language_id": _documents(language.op6),
+    "op8_byte_bpe": _documents(bpe.op8),
     "op9_source_mixing": _documents(mixing.op9),
 }
 

@@ -269,7 +269,7 @@ WITH base AS (
   SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM digested
 ), messages AS (
   SELECT *, 72 + 5 + payload_bytes
-            + list_sum(list_transform(range(0, payload_bytes, 8192), lambda at: 4 + length(format('{:x}', least(8192, payload_bytes - at)))))::BIGINT AS framed
+            + list_sum(list_transform(range(0, payload_bytes, 8192), lambda p: 4 + length(format('{:x}', least(8192, payload_bytes - p)))))::BIGINT AS framed
   FROM firsts
 )
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
