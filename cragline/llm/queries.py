@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cragline.llm import bpe, chat, language, mixing, warc
+from cragline.llm import bpe, chat, language, mixing, quality, secrets, warc
 from cragline.session import table
 
 
@@ -15,7 +15,9 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": _documents(secrets.op1),
     "op3_warc_reassembly": lambda spark, sf_dir: warc.op3(spark, table(spark, sf_dir, "pages")),
+    "op4_quality_rules": lambda spark, sf_dir: quality.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_chat_round_trip": lambda spark, sf_dir: chat.op5(table(spark, sf_dir, "conversations")),
     "op6_language_id": _documents(language.op6),
     "op8_byte_bpe": _documents(bpe.op8),
@@ -23,7 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_secret_scan": secrets.ORACLE,
     "op3_warc_reassembly": warc.ORACLE,
+    "op4_quality_rules": quality.ORACLE,
     "op5_chat_round_trip": chat.ORACLE,
     "op9_source_mixing": mixing.ORACLE,
 }
