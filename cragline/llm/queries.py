@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cragline.llm import bpe, chat, language, mixing, neardup, quality, secrets, warc
+from cragline.llm import bpe, chat, fingerprint, language, mixing, neardup, quality, secrets, warc
 from cragline.session import table
 
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": lambda spark, sf_dir: quality.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_chat_round_trip": lambda spark, sf_dir: chat.op5(table(spark, sf_dir, "conversations")),
     "op6_language_id": _documents(language.op6),
+    "op7_fingerprints": _documents(fingerprint.op7),
     "op8_byte_bpe": _documents(bpe.op8),
     "op9_source_mixing": _documents(mixing.op9),
 }
