@@ -44,9 +44,9 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("tile", "r", "c", F.when(void, F.lit(float("nan"))).otherwise(F.col("mean") / 5000.0 - 760).alias("z"))
 
 
-DEM = f"""dem AS (SELECT l_suppkey AS tile, (l_orderkey % {SIDE})::INT AS r, (l_partkey % {SIDE})::INT AS c,
-  CASE WHEN ((l_orderkey % {SIDE}) * 31 + (l_partkey % {SIDE}) * 17) % 97 = 0 THEN 'NaN'::DOUBLE
-    ELSE floor(sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(*)) / 5000.0::DOUBLE - 760 END AS z FROM lineitem GROUP BY 1, 2, 3)"""
+DEM = f"""means AS (SELECT l_suppkey AS tile, (l_orderkey % {SIDE})::INT AS r, (l_partkey % {SIDE})::INT AS c,
+  floor(sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(*)) / 5000.0::DOUBLE - 760 AS z FROM lineitem GROUP BY 1, 2, 3),
+dem AS (SELECT tile, r, c, CASE WHEN (r * 31 + c * 17) % 97 = 0 THEN 'NaN'::DOUBLE ELSE z END AS z FROM means)"""
 
 
 def filled_dem(spark: SparkSession, sf_dir: str) -> DataFrame:
