@@ -60,12 +60,20 @@ def parse_clearance(lines: DataFrame) -> DataFrame:
     cells = kept.select("id", "line", F.posexplode(fields).alias("col", "field")).select(
         "id", F.floor(F.col("line") / 3).cast("int").alias("ty"), F.floor(F.col("col") / 3).cast("int").alias("tx"), (F.col("line") % 3 * 3 + F.col("col") % 3).cast("int").alias("k"), F.trim("field").alias("field")
     )
+    edges = ((1, "top"), (3, "left"), (5, "right"), (7, "bottom"))
+    fields = [F.max(F.when(F.col("k") == k, F.col("field"))).alias(e) for k, e in ((4, "label"), *edges)]
+    tiles = cells.groupBy("id", "tx", "ty").agg(*fields)
     name = F.format_string("%02d_%02d", F.col("ty"), F.col("tx"))
-    bad = (F.col("k") == 4) & (F.col("field") != "") & (F.col("field") != name)
-    value = F.regexp_replace("field", ",", ".").try_cast("double")
-    edge = F.create_map(F.lit(1), F.lit("top"), F.lit(3), F.lit("left"), F.lit(5), F.lit("right"), F.lit(7), F.lit("bottom"))
-    checked = F.when(bad, F.raise_error(F.concat(F.lit("another tile's name stands at "), name))).when(F.col("k") != 4, F.when(value >= 0, value).otherwise(F.raise_error(F.concat(F.lit("missing, negative or no number at "), name))))
-    return cells.where("k % 2 = 1 OR k = 4").withColumn("mm", checked.cast("double")).where("k <> 4").select("id", "tx", "ty", F.element_at(edge, F.col("k")).alias("edge"), "mm")
+    right_name = F.coalesce((F.col("label") == "") | (F.col("label") == name), F.lit(True))
+
+    def checked(edge: str) -> Column:
+        value = F.regexp_replace(edge, ",", ".").try_cast("double")
+        return F.when(~right_name, F.raise_error(F.concat(F.lit("another tile's name stands at "), name)).cast("double")).when(value >= 0, value).otherwise(
+            F.raise_error(F.concat(F.lit(f"missing, negative or no number for {edge} of "), name)).cast("double")
+        )
+
+    each = F.explode(F.array(*[F.struct(F.lit(e).alias("edge"), checked(e).alias("mm")) for _, e in edges])).alias("x")
+    return tiles.select("id", "tx", "ty", each).select("id", "tx", "ty", "x.edge", "x.mm")
 
 
 def inside_runs(samples: DataFrame) -> DataFrame:
