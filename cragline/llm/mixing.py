@@ -77,7 +77,7 @@ def mix_sources(
         ),
         "mix-sized",
     )
-    mean = sized.groupBy("source").agg((F.sum(F.col("g") * F.col("size")) / F.sum("size")).alias("mean_g"), F.count(F.lit(1)).alias("rows"))
+    mean = sized.groupBy("source").agg(F.try_divide(F.sum(F.col("g") * F.col("size")), F.sum("size")).alias("mean_g"), F.count(F.lit(1)).alias("rows"))
     targets = written(_join(source_targets(sized, weights, share, max_copies), mean, "source"), "mix-sources")
     small = targets.count() <= BROADCAST_SOURCES
 
