@@ -28,8 +28,8 @@ def redact_secrets(docs: DataFrame) -> DataFrame:
     ledger = scratch_path(docs.sparkSession, "ledger")
     versions = docs.select(F.col("doc_id").alias("path"), "text")
     secrets.scan_versions(versions, ledger)
-    known = secrets.read_ledger(docs.sparkSession, ledger).where(F.size("found") > 0).select("blob", F.col("found").alias("_found"))
-    joined = docs.withColumn("blob", secrets.blob_id(F.coalesce("text", F.lit("")))).join(known, "blob", "left")
+    known = secrets.read_ledger(docs.sparkSession, ledger).where(F.size("found") > 0).select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
+    joined = docs.withColumn("_blob", secrets.blob_id(F.coalesce("text", F.lit("")))).join(known, "_blob", "left")
     clean = F.when(F.col("_found").isNotNull(), secrets.redact(F.col("text"), F.col("_found"))).otherwise(F.col("text"))
     out = joined.withColumn("text", clean)
     sized = F.when(F.col("_found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
