@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cragline.llm import bpe, chat, fingerprint, language, mixing, neardup, quality, secrets, warc
+from cragline.llm import bpe, chat, fingerprint, language, mixing, neardup, perplexity, quality, secrets, warc
 from cragline.session import table
 
 
@@ -17,6 +17,7 @@ def _documents(operator: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": _documents(secrets.op1),
     "op10_near_duplicates": _documents(neardup.op10),
+    "op2_quality_classifier": lambda spark, sf_dir: perplexity.op2(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op3_warc_reassembly": lambda spark, sf_dir: warc.op3(spark, table(spark, sf_dir, "pages")),
     "op4_quality_rules": lambda spark, sf_dir: quality.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op5_chat_round_trip": lambda spark, sf_dir: chat.op5(table(spark, sf_dir, "conversations")),
