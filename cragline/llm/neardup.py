@@ -9,7 +9,7 @@ Documents with equal sets are one class, so copies are never paired. Within a ba
 pivot, the class with the smallest share of shingles that no other candidate has; what stays in different components
 after that is paired once more, exhaustively: no cap on buckets or partners. Pairs are first held to an exact bound from their
 sizes and from the shingles that no other candidate has (a common part of at most m, so a similarity of at most
-m / (a + b - m)), and those within it are verified on whole sets. A link of similarity 0.85 fails to meet in any
+m / (a + b - m)), in the exhaustive pairing also from histograms of the sets, and those within it are verified on whole sets. A link of similarity 0.85 fails to meet in any
 of the 20 bands with a probability of 4e-7.
 
 Scale: texts are read once for sketches and shuffled once for the sets of candidates. Components come from rounds of
@@ -37,6 +37,8 @@ from cragline.session import written
 
 COORDINATES = 80
 BAND_ROWS = 4
+#: Cells of a set's histogram, by which the exhaustive pairing bounds common parts.
+HISTOGRAM = 256
 #: A link: 100 * intersection >= THRESHOLD * union.
 THRESHOLD = 85
 
@@ -126,21 +128,23 @@ def _sketched(docs: DataFrame) -> DataFrame:
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """(node, shingles) of rows (node, high, low, text); a row whose text has another set is left out."""
+    """(node, shingles, histogram) of rows (node, high, low, text); a row whose text has another set is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for whole in batches:
                 for start in range(0, whole.num_rows, 256):
-                    nodes, sets = [], []
+                    nodes, sets, counts = [], [], []
                     for row in whole.slice(start, 256).to_pylist():
                         own = shingle_set(row["text"])
                         if set_id(own) == (row["high"], row["low"]):
                             nodes.append(row["node"])
                             sets.append(own.view(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                            counts.append(np.bincount((own % np.uint64(HISTOGRAM)).astype(np.int64), minlength=HISTOGRAM))
+                    columns = [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "histogram"])
 
-    return rows.select("node", "high", "low", "text").mapInArrow(run, "node long, shingles array<long>")
+    return rows.select("node", "high", "low", "text").mapInArrow(run, "node long, shingles array<long>, histogram array<int>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -168,6 +172,12 @@ def _may_link(a: str, b: str) -> Column:
     return (100 + THRESHOLD) * most >= THRESHOLD * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _common_bound(a: str, b: str) -> Column:
+    """At least the size of the common part: what two histograms share, cell by cell."""
+    shared = F.zip_with(f"{a}.histogram", f"{b}.histogram", lambda x, y: F.least(x, y))
+    return F.aggregate(shared, F.lit(0), lambda acc, x: acc + x)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of rows (a, b): label is one node of the component. Nodes without links have no row."""
     hooks = []
@@ -225,7 +235,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = components(links)
     placed = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     spread = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    placed = written(placed.join(spread, "key"), "placed")
+    placed = placed.join(spread, "key")
+    keys = placed.groupBy("node").agg(F.collect_list("key").alias("keys"))  # a key a band at most
+    placed = written(placed.join(keys, "node").join(sets.select("node", "histogram").dropDuplicates(["node"]), "node"), "placed")
     # the largest component of a bucket needs no row on the left: its members are all linked already
     main = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "label")).alias("main"))
     left = placed.join(main.select("key", F.col("main.label").alias("main")), "key").where("label <> main").drop("main")
@@ -233,7 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.where(F.floor((100 + THRESHOLD) * (F.col("n") - F.col("u")) / THRESHOLD - F.col("n")) >= 1)
     left = left.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("class", F.explode(F.sequence("low", "high")))
     right = placed.withColumn("class", _size_class(F.col("n")))
-    rest = left.alias("l").join(right.alias("r"), ["key", "class"]).where((F.col("l.label") != F.col("r.label")) & _may_link("l", "r"))
+    # a pair is made once, in the least bucket that both are in
+    once = F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")
+    similar = (100 + THRESHOLD) * _common_bound("l", "r") >= THRESHOLD * (F.col("l.n") + F.col("r.n"))
+    both = (F.col("l.key") == F.col("r.key")) & (F.col("l.class") == F.col("r.class")) & (F.col("l.label") != F.col("r.label"))
+    rest = left.alias("l").join(right.alias("r"), both & _may_link("l", "r") & once & similar)
     rest = rest.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
     tried = starred.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
