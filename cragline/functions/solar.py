@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,15 +24,47 @@ def days_in_year(year: Column) -> Column:
     return F.when(leap, 366.0).otherwise(365.0)
 
 
-def position(day_of_year: Column, year_days: Column, hour: Column, latitude: Column, longitude: Column) -> dict[str, Column]:
-    """east, north, up (a unit vector), azimuth (degrees from north, 0..360) and altitude (degrees)."""
-    gamma = 2 * F.pi() / year_days * (day_of_year - 1 + (hour - 12) / 24)
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: a lambda's variable is not expanded into the plan."""
+    return F.transform(F.array(value), body)[0]
+
+
+def bound_position(day: str, second: Column, latitude: float, longitude: float) -> Column:
+    """Struct (azimuth, altitude) as of at_second, in an expression that stays small inside folds."""
+    date = F.lit(day).cast("date")
+    hour, lat = second / 3600, math.radians(latitude)
+
+    def with_gamma(gamma: Column) -> Column:
+        equation, declination = _series(gamma)
+        angle = F.radians(F.pmod((hour * 60 + equation + 4 * longitude) / 4, F.lit(360.0)) - 180)
+        return _bound(F.struct(declination.alias("d"), angle.alias("a")), with_angles)
+
+    def with_angles(x: Column) -> Column:
+        up = math.sin(lat) * F.sin(x["d"]) + math.cos(lat) * F.cos(x["d"]) * F.cos(x["a"])
+        north = math.cos(lat) * F.sin(x["d"]) - math.sin(lat) * F.cos(x["d"]) * F.cos(x["a"])
+        azimuth = F.pmod(F.degrees(F.atan2(-F.cos(x["d"]) * F.sin(x["a"]), north)), F.lit(360.0))
+        altitude = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up))))
+        return F.struct(azimuth.alias("azimuth"), altitude.alias("altitude"))
+
+    gamma = 2 * F.pi() / days_in_year(F.year(date)) * (F.dayofyear(date) - 1 + (hour - 12) / 24)
+    return _bound(gamma, with_gamma)
+
+
+def _series(gamma: Column) -> tuple[Column, Column]:
+    """Equation of time (minutes) and declination (radians)."""
     e0, e1, e2, e3, e4 = EQUATION
     equation = 229.18 * (e0 + e1 * F.cos(gamma) + e2 * F.sin(gamma) + e3 * F.cos(2 * gamma) + e4 * F.sin(2 * gamma))
     d0, d1, d2, d3, d4, d5, d6 = DECLINATION
     declination = (
         d0 + d1 * F.cos(gamma) + d2 * F.sin(gamma) + d3 * F.cos(2 * gamma) + d4 * F.sin(2 * gamma) + d5 * F.cos(3 * gamma) + d6 * F.sin(3 * gamma)
     )
+    return equation, declination
+
+
+def position(day_of_year: Column, year_days: Column, hour: Column, latitude: Column, longitude: Column) -> dict[str, Column]:
+    """east, north, up (a unit vector), azimuth (degrees from north, 0..360) and altitude (degrees)."""
+    gamma = 2 * F.pi() / year_days * (day_of_year - 1 + (hour - 12) / 24)
+    equation, declination = _series(gamma)
     angle = F.radians(F.pmod((hour * 60 + equation + 4 * longitude) / 4, F.lit(360.0)) - 180)
     lat = F.radians(latitude)
     east = -F.cos(declination) * F.sin(angle)

@@ -86,8 +86,12 @@ def horizon_at(elevations: Column, azimuth: Column, angles: int) -> Column:
 
 def lit_at(elevations: Column, angles: int, day: str, second: Column, latitude: float, longitude: float) -> Column:
     """Sun above 0 and, as FLOAT, above the horizon."""
-    sun = solar.at_second(day, second, F.lit(latitude), F.lit(longitude))
-    return (sun["altitude"] > 0) & (sun["altitude"].cast("float") > horizon_at(elevations, sun["azimuth"], angles))
+    sun = solar.bound_position(day, second, latitude, longitude)
+    return F.transform(F.array(sun), lambda x: above_horizon(elevations, angles, x["azimuth"], x["altitude"]))[0]
+
+
+def above_horizon(elevations: Column, angles: int, azimuth: Column, altitude: Column) -> Column:
+    return (altitude > 0) & (altitude.cast("float") > horizon_at(elevations, azimuth, angles))
 
 
 def compile_day(skylines: DataFrame, angles: int, day: str, latitude: float, longitude: float, step: int = 600, halvings: int = 10, bounded: bool = True) -> DataFrame:
@@ -96,34 +100,29 @@ def compile_day(skylines: DataFrame, angles: int, day: str, latitude: float, lon
     States are sampled every step seconds and each change is bisected so many times. bounded: of each hour, only cells whose
     horizon lies between the lowest and highest sun are sampled; the others keep one state, so the result is the same.
     """
-    last = 86_400 - step
-    samples = F.sequence(F.lit(0), F.lit(last), F.lit(step))
+    spark = skylines.sparkSession
+    at = solar.at_second(day, F.col("s"), F.lit(latitude), F.lit(longitude))
+    sun = spark.range(0, 86_400, step, 1).select(F.col("id").cast("int").alias("s"))
+    sun = sun.select("s", at["azimuth"].alias("az"), at["altitude"].alias("alt"))  # a row a sample, found once for all cells
+    pair = Window.orderBy("s")
+    steps = sun.withColumns({"az0": F.lag("az").over(pair), "alt0": F.lag("alt").over(pair)}).where("alt0 IS NOT NULL")
     if not bounded:
-        grid = skylines.select("cell", "elevations", F.explode(samples).alias("s"))
-        states = grid.withColumn("lit", lit_at(F.col("elevations"), angles, day, F.col("s"), latitude, longitude))
-        before = by_cell("s")
-        changed = states.select("cell", "elevations", "s", "lit", F.lag("lit").over(before).alias("was")).where("was <> lit")
+        grid = skylines.crossJoin(F.broadcast(steps))
     else:
-        spark = skylines.sparkSession
-        sun = spark.range(0, 86_400, step, 1).select(F.col("id").alias("s"))
-        at = solar.at_second(day, F.col("s"), F.lit(latitude), F.lit(longitude))
-        sun = sun.select("s", at["azimuth"].alias("az"), at["altitude"].alias("alt"))
-        pair = Window.orderBy("s")  # 144 rows a day
-        steps = sun.withColumns({"az0": F.lag("az").over(pair), "alt0": F.lag("alt").over(pair)}).where("alt0 IS NOT NULL")
         steps = steps.withColumns({"az_lo": F.least("az", "az0"), "az_hi": F.greatest("az", "az0"), "lo": F.least("alt", "alt0"), "hi": F.greatest("alt", "alt0")})
         hours = steps.groupBy(F.floor(F.col("s") / 3600).alias("hour")).agg(
-            F.min("az_lo").alias("az_lo"), F.max("az_hi").alias("az_hi"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list("s").alias("seconds")
+            F.min("az_lo").alias("az_lo"), F.max("az_hi").alias("az_hi"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("s", "az", "alt", "az0", "alt0")).alias("steps")
         )
-        hours = hours.where("hi > 0")
         first, final = F.floor(F.col("az_lo") * angles / 360).cast("int"), (F.floor(F.col("az_hi") * angles / 360) + 1).cast("int")
         knots = F.transform(F.sequence(first, final), lambda i: F.get("elevations", i % angles))
         margin = 1e-4  # wider than any rounding of FLOAT interpolation
-        met = skylines.crossJoin(F.broadcast(hours)).where(
+        met = skylines.crossJoin(F.broadcast(hours.where("hi > 0"))).where(
             ((F.array_max(knots) + margin >= F.col("lo")) & (F.array_min(knots) - margin < F.col("hi"))) | (F.col("lo") <= 0)
         )
-        grid = met.select("cell", "elevations", F.explode("seconds").alias("s"))
-        both = {k: lit_at(F.col("elevations"), angles, day, F.col("s") - d, latitude, longitude) for k, d in (("lit", 0), ("was", step))}
-        changed = grid.withColumns(both).where("was <> lit")
+        grid = met.select("cell", "elevations", F.explode("steps").alias("x")).select("cell", "elevations", "x.*")
+    lit, was = (above_horizon(F.col("elevations"), angles, F.col(f"az{i}"), F.col(f"alt{i}")) for i in ("", "0"))
+    changed = grid.withColumns({"lit": lit, "was": was}).where("was <> lit").select("cell", "elevations", "s", "was")
+
     def halve(span: Column, _: Column) -> Column:
         mid = (span["lo"] + span["hi"]) / 2
         same = lit_at(F.col("elevations"), angles, day, mid, latitude, longitude) == F.col("was")
