@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_BYTES = 1_000_000
+WORD_BYTES = 300_000
 #: Longest word for the recursive query; positions take POS_BITS bits.
 LONG_WORD = 400
 POS_BITS = 9
@@ -220,7 +220,7 @@ def _slices(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list, list[str]
         yield ids, texts
 
 
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 8_000_000
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
