@@ -1,15 +1,17 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text, held to quantiles by language.
 
-Tokens are characters, in CLASSES classes: the most frequent characters of all texts, one class for all others, and a
-boundary before a text. (Words would not do here: most of a web corpus' distinct words are met once.) Trigrams of trusted
-documents (label 1) are counted by language. Discounts come from counts of counts; lower orders use continuation counts; all
-of it is joins and sums over count tables that Spark shards by language and context. A document's perplexity is that of
-its whole text under its language's model, and it is kept up to the QUANTILE of the trusted documents' perplexities in its language.
-
-Scale: trigram counts are added up within tasks before they are shuffled. With classes fixed, a model has at most
-CLASSES ** 3 cells (3.5 MB as FLOAT), so the models of MAX_LANGUAGES languages, at most 113 MB, are broadcast and documents are
-scored without a shuffle; joining document trigrams with sharded counts instead would shuffle a row for each distinct
-trigram of each document, several times the input. Texts are shuffled once, to find the trusted ones by id.
+Tokens are characters, all of them, and two boundaries before a text. (Words would not do here: most of a web corpus' distinct
+words are met once.) Trigrams of trusted documents (label 1) are counted by language. Discounts come from counts of counts;
+lower orders use continuation counts; the lowest order leaves its rest evenly to the language's alphabet, of its trusted
+characters or CLASSES if these are fewer. A document's perplexity is that of its whole text under its language's model, and it
+is kept up to the QUANTILE of the trusted documents' perplexities in its language.
+
+Scale: texts are dealt once into buckets of about BUCKET_BYTES by id, with the labels. Each bucket gives its distinct trigrams with
+their trusted counts; the model is joins and sums over these sharded tables, and grows with the input; the cost of a trigram
+goes back to the buckets that have it, where documents are scored. No process holds a model; a task holds one bucket with
+the trigrams that occur in it. Windows run by context, so they have at most a row for each character. The texts' and the trigrams' exchanges are
+each written once and read by several branches of one plan, so columns are not pruned below them: hence ``v``, which
+packs bucket and count.
 
 Defined results: null or empty text has no characters, no perplexity, and is not kept; documents whose language (null is one)
 has no trusted text, or comes after the MAX_LANGUAGES with most of it, have no perplexity and are kept; a document with several labels is trusted if
@@ -21,17 +23,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cragline.session import written
 
+#: The least size of an alphabet.
 CLASSES = 96
 MAX_LANGUAGES = 32
 QUANTILE = 0.995
-#: The classes of other characters and of the boundary.
+BUCKET_BYTES = 8 << 20
+#: The boundary, and the bits of a character in a packed trigram.
+EDGE, BITS = 0x110000, 21
+#: For alphabets cut to CLASSES, as the plain version in the tests numbers its characters: other characters and the boundary.
 OTHER, BOUNDARY = CLASSES - 2, CLASSES - 1
 
 
@@ -50,59 +56,76 @@ def trigrams(classes: np.ndarray) -> np.ndarray:
     return (classes[:-2] * CLASSES + classes[1:-1]) * CLASSES + classes[2:]
 
 
-def find_alphabet(docs: DataFrame) -> np.ndarray:
-    """Classes by code point from the most frequent characters of all texts, ties by code point."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        for batch in batches:
-            for text in batch.column(0):
-                for point, n in zip(*np.unique(code_points(text.as_py() or ""), return_counts=True), strict=True):
-                    total[int(point)] = total.get(int(point), 0) + int(n)
-        yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())], ["point", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
-    top = [r["point"] for r in counts.orderBy(F.desc("n"), "point").limit(OTHER).collect()]
-    alphabet = np.full(max(top, default=0) + 1, OTHER, np.uint8)
-    alphabet[top] = np.arange(len(top))
-    return alphabet
-
-
-def count_trigrams(trusted: DataFrame, alphabet: np.ndarray) -> DataFrame:
-    """(lang, x, y, z, c) of trusted rows (lang, text)."""
-    shared = trusted.sparkSession.sparkContext.broadcast(alphabet)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[str | None, np.ndarray] = {}
-        for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1), strict=True):
-                lang = lang.as_py()
-                if lang not in totals:
-                    totals[lang] = np.zeros(CLASSES**3, np.int64)
-                cells, n = np.unique(trigrams(classes_of(text.as_py(), shared.value)), return_counts=True)
-                totals[lang][cells] += n
-                if len(totals) > MAX_LANGUAGES:  # bounded memory: give away what there is
-                    yield from emit(totals)
-                    totals = {}
-        yield from emit(totals)
-
-    def emit(totals: dict[str | None, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for lang, counts in totals.items():
-            cells = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells), pa.string()), pa.array(cells, pa.int64()), pa.array(counts[cells])], ["lang", "cell", "n"])
-
-    counted = trusted.select("lang", "text").mapInArrow(run, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("c"))
-    x, y, z = F.floor(F.col("cell") / CLASSES**2), F.floor(F.col("cell") / CLASSES) % CLASSES, F.col("cell") % CLASSES
-    return counted.select("lang", x.cast("int").alias("x"), y.cast("int").alias("y"), z.cast("int").alias("z"), "c")
-
-
-def discounted(counts: DataFrame, context: list[str]) -> DataFrame:
-    """counts with alpha, the discounted share of a count in its context, and gamma, what the discounts leave to the lower order.
+def packed(text: str) -> np.ndarray:
+    """The trigrams of a text, BITS for each code point."""
+    points = np.concatenate([[EDGE, EDGE], code_points(text)]).astype(np.int64)
+    return points[:-2] << 2 * BITS | points[1:-1] << BITS | points[2:]
+
+
+def deal(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """(bucket, doc_id, lang, text, label): documents, and a row with label for each trusted id, in the bucket of its documents."""
+    spark = docs.sparkSession
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    buckets = -(-total // BUCKET_BYTES) + 1
+    kind = docs.schema["doc_id"].dataType
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(buckets)).cast("int")
+    ids = good.select(F.col("labelled").try_cast(kind).alias("doc_id"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("text"), F.lit(True).alias("label"))
+    rows = docs.select("doc_id", "lang", "text", F.lit(False).alias("label")).unionByName(ids)
+    dealt = rows.select(place.alias("bucket"), "doc_id", "lang", "text", "label")
+    return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
+
+
+def texts_of(table: pa.Table) -> Iterator[tuple[object, str | None, str, bool]]:
+    """(doc_id, lang, text, trusted) of a bucket's documents; null text is empty."""
+    ids, langs, texts, label = (table.column(c).to_pylist() for c in ("doc_id", "lang", "text", "label"))
+    good = {i for i, is_label in zip(ids, label, strict=True) if is_label}
+    for i, lang, text, is_label in zip(ids, langs, texts, label, strict=True):
+        if not is_label:
+            yield i, lang, text or "", i in good
+
+
+def key_of(lang: str | None) -> str:
+    """A language as a join key; null is one."""
+    return "" if lang is None else "=" + lang
+
+
+def count_trigrams(dealt: DataFrame) -> DataFrame:
+    """(lang key, tri, v) of each bucket: its distinct trigrams; v has the bucket above 32 bits of their count in trusted texts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        seen: dict[str, list[np.ndarray]] = {}
+        trusted: dict[str, list[np.ndarray]] = {}
+        for _, lang, text, good in texts_of(table):
+            if text:
+                found = packed(text)
+                seen.setdefault(key_of(lang), []).append(found)
+                if good:
+                    trusted.setdefault(key_of(lang), []).append(found)
+        keys, cells, values = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for key, found in seen.items():
+            distinct = np.unique(np.concatenate(found))
+            n = np.zeros(len(distinct), np.int64)
+            if key in trusted:
+                which, times = np.unique(np.concatenate(trusted[key]), return_counts=True)
+                n[np.searchsorted(distinct, which)] = times
+            keys += [key] * len(distinct)
+            cells.append(distinct)
+            values.append((bucket << 32) + n)
+        return pa.table({"key": pa.array(keys, pa.string()), "tri": np.concatenate(cells), "v": np.concatenate(values)})
+
+    found = dealt.groupBy("bucket").applyInArrow(run, "key string, tri long, v long")
+    return found.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "tri")
+
+
+def discounted(counts: DataFrame, context: Column | None) -> DataFrame:
+    """counts with alpha, the discounted share of a count in its context, and gamma, what the discounts leave to the lower order;
+    total is 0 in a context without counts.
 
     The three discounts of a language come from how many counts are 1, 2, 3 and 4; where one of these is missing, they are 0.5, 1 and 1.5.
     """
     n = [F.count_if(F.col("c") == i).cast("double") for i in (1, 2, 3, 4)]
-    seen = counts.groupBy(F.col("lang").alias("_lang")).agg(*[v.alias(f"n{i}") for i, v in enumerate(n, 1)])
+    seen = counts.groupBy(F.col("key").alias("_key")).agg(*[v.alias(f"n{i}") for i, v in enumerate(n, 1)])
     share = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     known = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
 
@@ -110,64 +133,60 @@ def discounted(counts: DataFrame, context: list[str]) -> DataFrame:
         value = i - (i + 1) * share * F.col(f"n{i + 1}") / F.col(f"n{i}")
         return F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(float(i)), value))).otherwise(default).alias(f"d{i}")
 
-    rates = F.broadcast(seen.select("_lang", *[discount(i, 0.5 * i) for i in (1, 2, 3)]))  # a row a language
-    joined = counts.join(rates, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
-    taken = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-    whole = Window.partitionBy("lang", *context)
-    total = F.sum("c").over(whole)
-    return joined.withColumn("_d", taken).withColumns({"alpha": (F.col("c") - F.col("_d")) / total, "gamma": F.sum("_d").over(whole) / total}).drop("_d", "d1", "d2", "d3")
-
-
-def train(trusted: DataFrame, alphabet: np.ndarray) -> dict[str | None, np.ndarray]:
-    """-ln P(z | x, y) of every trigram, by language."""
-    three = written(count_trigrams(trusted, alphabet), "trigrams")
-    two = three.groupBy("lang", "y", "z").agg(F.count(F.lit(1)).alias("c"))
-    one = two.groupBy("lang", "z").agg(F.count(F.lit(1)).alias("c"))
-    most = three.groupBy("lang").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("lang")).limit(MAX_LANGUAGES)
-    languages = [r["lang"] for r in most.collect()]
-    first = F.broadcast(most.select(F.col("lang").alias("_lang")))
-
-    def tables(counts: DataFrame, context: list[str]) -> pd.DataFrame:
-        """All languages' rows, CLASSES ** 3 a language at most."""
-        mine = counts.join(first, F.col("lang").eqNullSafe(F.col("_lang")), "left_semi")
-        return discounted(mine, context).drop("c").toPandas()
-
-    ones, twos, threes = tables(one, []), tables(two, ["y"]), tables(three, ["x", "y"])
-    models = {}
-    for lang in languages:
-        r1, r2, r3 = (t[t["lang"].isna() if lang is None else t["lang"] == lang] for t in (ones, twos, threes))
-        p1, p2, p3 = (np.zeros((CLASSES,) * n) for n in (1, 2, 3))
-        g2, g3 = np.ones(CLASSES), np.ones((CLASSES,) * 2)
-        p1[r1["z"]] = r1["alpha"]
-        p2[r2["y"], r2["z"]], g2[r2["y"]] = r2["alpha"], r2["gamma"]
-        p3[r3["x"], r3["y"], r3["z"]], g3[r3["x"], r3["y"]] = r3["alpha"], r3["gamma"]
-        p1 = p1 + r1["gamma"].max() / CLASSES
-        p2 = p2 + g2[:, None] * p1[None, :]
-        p3 = p3 + g3[:, :, None] * p2[None, :, :]
-        models[lang] = -np.log(p3).astype(np.float32).ravel()
-    return models
-
-
-def score(docs: DataFrame, models: dict[str | None, np.ndarray], alphabet: np.ndarray) -> DataFrame:
-    """(doc_id, lang, n_chars, perplexity) of rows (doc_id, lang, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((models, alphabet))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "lang", "n_chars", "perplexity"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, classes = shared.value
-        for batch in batches:
-            sizes, found = [], []
-            for lang, text in zip(batch.column(1), batch.column(2), strict=True):
-                text, model = text.as_py() or "", known.get(lang.as_py())
-                sizes.append(len(text))
-                value = None
-                if text and model is not None:
-                    value = float(np.exp(model[trigrams(classes_of(text, classes))].mean(dtype=np.float64)))
-                found.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.float64())], names)
-
-    return docs.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, n_chars long, perplexity double")
+    rates = F.broadcast(seen.select("_key", *[discount(i, 0.5 * i) for i in (1, 2, 3)]))  # a row a language
+    joined = counts.join(rates, F.col("key") == F.col("_key")).drop("_key")
+    taken = F.when(F.col("c") == 0, 0.0).when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+    whole = Window.partitionBy("key", *([] if context is None else [context]))
+    sums = joined.withColumn("_d", taken).withColumns({"total": F.sum("c").over(whole), "_left": F.sum("_d").over(whole)})
+    share_of = lambda value: F.when(F.col("total") > 0, value / F.col("total"))
+    alpha, gamma = share_of(F.col("c") - F.col("_d")), share_of(F.col("_left"))
+    return sums.withColumns({"alpha": alpha, "gamma": gamma}).drop("_d", "_left", "d1", "d2", "d3")
+
+
+def costs(found: DataFrame) -> DataFrame:
+    """(key, tri, cost): -ln P(z | x, y) of every trigram that occurs; languages without trusted text have no rows."""
+    low = lambda column, n: F.col(column).bitwiseAND(F.lit((1 << n * BITS) - 1))
+    above = lambda column: F.shiftright(column, BITS)
+    three = found.groupBy("key", "tri").agg(F.sum(F.col("v").bitwiseAND(F.lit((1 << 32) - 1))).alias("c"))
+    most = three.groupBy("key").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "key").limit(MAX_LANGUAGES)
+    three = three.join(F.broadcast(most.select("key")), "key", "left_semi")
+    two = three.groupBy("key", low("tri", 2).alias("pair")).agg(F.count_if(F.col("c") > 0).alias("c"))
+    one = two.groupBy("key", low("pair", 1).alias("z")).agg(F.count_if(F.col("c") > 0).alias("c"))
+    size = F.greatest(F.lit(CLASSES), F.count_if(F.col("c") > 0).over(Window.partitionBy("key")) + 2)
+    p1 = discounted(one, None).where("total > 0").select("key", "z", (F.col("alpha") + F.col("gamma") / size).alias("p1"))
+    mixed = lambda lower: F.coalesce(F.col("alpha") + F.col("gamma") * F.col(lower), F.col(lower))
+    p2 = discounted(two, above("pair")).withColumn("z", low("pair", 1)).join(p1, ["key", "z"]).select("key", "pair", mixed("p1").alias("p2"))
+    p3 = discounted(three, above("tri")).withColumn("pair", low("tri", 2)).join(p2, ["key", "pair"])
+    return p3.select("key", "tri", (-F.ln(mixed("p2"))).cast("float").alias("cost"))
+
+
+def score(dealt: DataFrame) -> DataFrame:
+    """(doc_id, lang, n_chars, perplexity, trusted) of a dealt table's documents."""
+    found = count_trigrams(dealt)
+    asked = found.select("key", "tri", F.shiftright("v", 32).cast("int").alias("bucket"))
+    answers = asked.join(costs(found), ["key", "tri"]).select("bucket", "key", "tri", "cost")
+    schema = f"doc_id {dealt.schema['doc_id'].dataType.simpleString()}, lang string, n_chars long, perplexity double, trusted boolean"
+    kind = dealt.schema["doc_id"].dataType
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        known = known.sort_by([("key", "ascending"), ("tri", "ascending")])
+        tri, cost = known.column("tri").to_numpy(), known.column("cost").to_numpy()
+        names = known.column("key").to_numpy()
+        ends = [0, *(np.flatnonzero(names[1:] != names[:-1]) + 1), len(names)]
+        models = {names[i]: (tri[i:j], cost[i:j]) for i, j in zip(ends, ends[1:], strict=False) if i < j}
+        ids, langs, sizes, values, trusted = [], [], [], [], []
+        for i, lang, text, good in texts_of(table):
+            value = None
+            if text and key_of(lang) in models:
+                cells, prices = models[key_of(lang)]
+                value = float(np.exp(prices[np.searchsorted(cells, packed(text))].mean(dtype=np.float64)))
+            for column, x in zip((ids, langs, sizes, values, trusted), (i, lang, len(text), value, good), strict=True):
+                column.append(x)
+        types = [to_arrow_type(kind), pa.string(), pa.int64(), pa.float64(), pa.bool_()]
+        columns = [pa.array(c, t) for c, t in zip((ids, langs, sizes, values, trusted), types, strict=True)]
+        return pa.Table.from_arrays(columns, ["doc_id", "lang", "n_chars", "perplexity", "trusted"])
+
+    return dealt.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,13 +194,10 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     good = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("labelled"))
     good = good.agg(F.min("quality").alias("quality")).where("quality = 1").select("labelled")
     base = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    # labels grow with the documents, so they are shuffled at every size
-    trusted = base.where(F.length("text") > 0).join(good.hint("merge"), F.col("doc_id") == F.col("labelled"), "left_semi").select("lang", "text")
-    alphabet = find_alphabet(base)
-    scored = written(score(base, train(trusted, alphabet), alphabet), "scored")
-    limits = scored.where("perplexity IS NOT NULL").join(good, F.col("doc_id") == F.col("labelled"), "left_semi")
-    limits = limits.groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10_000)).alias("threshold"))
-    joined = scored.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")  # MAX_LANGUAGES rows at most
+    scored = written(score(deal(base, good)), "scored")
+    limits = scored.where("perplexity IS NOT NULL AND trusted").groupBy(F.col("lang").alias("_lang"))
+    limits = limits.agg(F.percentile_approx("perplexity", F.lit(QUANTILE), F.lit(10_000)).alias("threshold"))
+    joined = scored.drop("trusted").join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")  # a row a language
     kept = (F.col("n_chars") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return joined.withColumn("kept", kept)
 

@@ -73,3 +73,17 @@ def test_trusted_documents_stay_up_to_the_quantile(spark, sf_dir):
     good = {r["doc_id"] for r in labels.where("quality = 1").collect()}
     kept = {r["doc_id"]: r["kept"] for r in px.op2(docs, labels).collect()}
     assert sum(kept[i] for i in good) >= px.QUANTILE * len(good) - 4
+
+
+def test_characters_are_not_cut_to_classes(spark):
+    """A script of more than 96 characters beside much Latin text: its own order is told from a shuffled one."""
+    random.seed(5)
+    latin = [(i, "the quick brown fox jumps over the lazy dog " * 20, "en", "a") for i in range(20)]
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    whole = "".join(signs)
+    mixed = "".join(signs[:150] + random.sample(signs[150:], 150))
+    rows = latin + [(100 + i, whole, "zh", "a") for i in range(10)] + [(200, mixed, "zh", "a")]
+    labels = spark.createDataFrame([(i, 1) for i in [*range(20), *range(100, 110)]], "doc_id long, quality int")
+    found = {r["doc_id"]: r for r in px.op2(documents(spark, rows), labels).collect()}
+    assert found[100]["kept"] is True and found[200]["kept"] is False
+    assert found[200]["perplexity"] > 3 * found[100]["perplexity"]
