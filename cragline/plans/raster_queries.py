@@ -14,20 +14,22 @@ S = fx.SIDE
 SUN, RISE, OFFSET = (0.6, 0.48, 0.64), 25.0, 0.375
 #: The fixture's heights lie far above 0; the sea queries look at z - SEA.
 SEA = 9000.0
+#: Inside the fixture's heights (about -740 to 1,340), so that voids, sea, floor, land and both kinds of level occur.
+COAST, COAST_VOID, COAST_FLOOR, COAST_STEEP = 300.0, -900.0, -200.0, 500.0
 
 
 def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + 0.0 for c in columns})
 
 
-def dem_clean_voids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = ra.clamp_negative(ra.clean_voids(fx.dem(spark, sf_dir).withColumn("z", F.col("z") - SEA), -8000.0))
+def dem_clean_voids(spark: SparkSession, sf_dir: str, sea: float = SEA, void: float = -8000.0) -> DataFrame:
+    cells = ra.clamp_negative(ra.clean_voids(fx.dem(spark, sf_dir).withColumn("z", F.col("z") - sea), void))
     return cells.select("tile", "r", "c", F.round(F.when(F.isnan("z"), None).otherwise(F.col("z")), 6).alias("z"))
 
 
-def dem_sea_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = fx.dem(spark, sf_dir).withColumn("z", F.col("z") - SEA)
-    done = ra.sea_level(cells, (F.col("r") * 7 + F.col("c") * 3) % 5 != 0, -2000.0, 4, rounds=14)
+def dem_sea_level(spark: SparkSession, sf_dir: str, sea: float = SEA, floor: float = -2000.0) -> DataFrame:
+    cells = fx.dem(spark, sf_dir).withColumn("z", F.col("z") - sea)
+    done = ra.sea_level(cells, (F.col("r") * 7 + F.col("c") * 3) % 5 != 0, floor, 4, rounds=14)
     return done.select("tile", "r", "c", F.round(F.when(F.isnan("z"), None).otherwise(F.col("z")), 6).alias("z"))
 
 
@@ -65,9 +67,9 @@ def dem_height_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(curved.select("tile", "r", "c", "mm"), "mm")
 
 
-def contour_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contour_levels(spark: SparkSession, sf_dir: str, threshold: float = 5000.0) -> DataFrame:
     ranges = fx.dem(spark, sf_dir).where(~F.isnan("z")).groupBy("tile").agg(F.min("z").alias("low"), F.max("z").alias("high"))
-    return ra.contour_levels(ranges, 5000.0, 100.0, 500.0)
+    return ra.contour_levels(ranges, threshold, 100.0, 500.0)
 
 
 def contour_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +128,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dem_max_pyramid": lambda s, d: _rounded(ra.max_pyramid(fx.dem(s, d), 4), "z"), "dem_normals": dem_normals, "dem_bilinear": dem_bilinear,
     "dem_height_curve": dem_height_curve, "contour_levels": contour_levels, "contour_crossings": contour_crossings, "horizon_cardinal": horizon_cardinal,
     "horizon_sheared": horizon_sheared, "shade_cells": shade_cells, "layer_composite": layer_composite,
+    "dem_clean_voids_coast": lambda s, d: dem_clean_voids(s, d, COAST, COAST_VOID), "dem_sea_level_coast": lambda s, d: dem_sea_level(s, d, COAST, COAST_FLOOR),
+    "contour_levels_coast": lambda s, d: contour_levels(s, d, COAST_STEEP),
 }
 
 ORACLES: dict[str, str] = {
@@ -182,4 +186,18 @@ WITH {fx.FILLED}, g AS (SELECT *, abs(coalesce(lead(z) OVER x, z) - coalesce(lag
 a AS (SELECT *, (255 * (1 - 0.8::DOUBLE) + (50 + r * 10) * 0.8::DOUBLE) * (r * 16 + c)::DOUBLE / 255 AS base,
   CASE WHEN abs(z) > 0.05 THEN greatest(0, least(1, 1.25::DOUBLE - abs((z + 1250) - 2500 * floor((z + 1250) / 2500) - 1250) / greatest(g, 0.1))) ELSE 0 END AS a1, greatest(0, least(1, 1 - abs(r - c) / 2.0::DOUBLE)) AS a2 FROM g)
 SELECT tile, r, c, round_even(greatest(0, least(255, (base * (1 - a1) + 120 * a1) * (1 - a2) + 30 * a2)), 0)::INT AS value FROM a""",
+    "dem_clean_voids_coast": f"WITH {fx.DEM} SELECT tile, r, c, round(CASE WHEN isnan(z) OR z - {COAST} <= {COAST_VOID} THEN NULL WHEN z < {COAST} THEN 0 ELSE z - {COAST} END, 6) AS z FROM dem",
+    "dem_sea_level_coast": f"""
+WITH RECURSIVE {fx.DEM}, below AS (SELECT tile, r, c FROM dem WHERE NOT isnan(z) AND z < {COAST} AND (r * 7 + c * 3) % 5 <> 0),
+reach(tile, r, c, r0, c0) AS (
+  SELECT tile, r, c, r, c FROM below
+  UNION SELECT b.tile, b.r, b.c, x.r0, x.c0 FROM reach x JOIN below b ON b.tile = x.tile AND abs(b.r - x.r) + abs(b.c - x.c) = 1
+), sizes AS (SELECT tile, r0 AS r, c0 AS c, count(*) AS size FROM reach GROUP BY 1, 2, 3)
+SELECT d.tile, d.r, d.c, round(CASE WHEN isnan(z) THEN NULL WHEN z >= {COAST} THEN z - {COAST} WHEN size >= 4 THEN greatest(z - {COAST}, {COAST_FLOOR}) ELSE 0 END, 6) AS z
+FROM dem d LEFT JOIN sizes s ON s.tile = d.tile AND s.r = d.r AND s.c = d.c""",
+    "contour_levels_coast": f"""
+WITH {fx.DEM}, g AS (SELECT tile, min(z) AS lo, max(z) AS hi FROM ({_VALID}) GROUP BY tile),
+fine AS (SELECT tile, unnest(list_transform(range(floor(lo / 100)::BIGINT, ceil(least(hi, {COAST_STEEP}) / 100)::BIGINT + 1), lambda i: i * 100.0::DOUBLE)) AS level FROM g WHERE lo <= {COAST_STEEP}),
+coarse AS (SELECT tile, unnest(list_transform(range(greatest(2, floor(lo / 500)::BIGINT), ceil(hi / 500)::BIGINT + 1), lambda i: i * 500.0::DOUBLE)) AS level FROM g WHERE hi > {COAST_STEEP})
+SELECT tile, level FROM fine WHERE level <= {COAST_STEEP} UNION SELECT tile, level FROM coarse WHERE level > {COAST_STEEP}""",
 }

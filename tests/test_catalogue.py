@@ -17,3 +17,12 @@ def test_equals_sql(spark, sf_dir, name):
 
 def test_every_sql_has_a_query():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
+
+
+def test_all_kinds_of_cells_and_levels_occur(spark, sf_dir):
+    clean = [r["z"] for r in catalogue.QUERIES["dem_clean_voids_coast"](spark, sf_dir).collect()]
+    assert None in clean and 0 in clean and any(z for z in clean)
+    sea = [r["z"] for r in catalogue.QUERIES["dem_sea_level_coast"](spark, sf_dir).collect()]
+    assert None in sea and 0 in sea and -200 in sea and any(z and -200 < z < 0 for z in sea) and any(z and z > 0 for z in sea)
+    levels = {r["level"] for r in catalogue.QUERIES["contour_levels_coast"](spark, sf_dir).collect()}
+    assert 1000 in levels and 400 in levels and not levels & {600, 700, 800, 900}
