@@ -11,6 +11,7 @@ from cragline.operators import graph as g
 from cragline.operators import near
 from cragline.plans import fixtures as fx
 from cragline.session import written
+from cragline.sources import files
 
 RADIUS = 12.0
 
@@ -89,29 +90,48 @@ def mesh_boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.boundary_edges(_triangles(spark, sf_dir).select("a", "b", "c"))
 
 
-def _solids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tile, x1..z3): triangles over three neighbouring cells."""
+def _solids(spark: SparkSession, sf_dir: str, turned: str) -> DataFrame:
+    """(path, r, c, x1..z3): triangles over three neighbouring cells, a path for each tile; those turned look down."""
     from cragline.operators import raster as ra
 
     cells = fx.filled_dem(spark, sf_dir)
     near3 = cells.withColumns({"zx": F.lead("z").over(ra.along_row()), "zy": F.lead("z").over(ra.along_column())}).where("zx IS NOT NULL AND zy IS NOT NULL")
-    return near3.select("tile", "r", "c", "z", "zx", "zy")
+    corner = lambda x, y, z: F.struct((F.col("c") + x).cast("double").alias("x"), (F.col("r") + y).cast("double").alias("y"), F.col(z).alias("z"))
+    right, below = corner(1, 0, "zx"), corner(0, 1, "zy")
+    ends = [corner(0, 0, "z"), F.when(F.expr(turned), below).otherwise(right), F.when(F.expr(turned), right).otherwise(below)]
+    placed = near3.select(F.col("tile").alias("path"), "r", "c", *[e.alias(f"p{i}") for i, e in enumerate(ends, 1)])
+    return placed.select("path", "r", "c", *[F.col(f"p{i}.{a}").alias(f"{a}{i}") for i in (1, 2, 3) for a in "xyz"])
 
 
-def mesh_upward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triangles whose side along columns counts as flipped where z is high: those that look up are kept."""
-    flip = F.when(F.col("z") > 9000, -1.0).otherwise(1.0)
-    return _solids(spark, sf_dir).withColumn("up", flip).where("up > 1e-12").select("tile", "r", "c", F.round(F.greatest("z", "zx", "zy"), 4).alias("top"))
+#: Which triangles are wound the other way.
+_HIGH, _TURNED = "z > 9000", "(r * 5 + c * 3) % 4 = 0"
+
+
+def mesh_upward(spark: SparkSession, sf_dir: str, turned: str = _HIGH) -> DataFrame:
+    """Triangles whose winding is turned by a rule: those that look up are kept."""
+    kept = files.upward(_solids(spark, sf_dir, turned))
+    return kept.select(F.col("path").alias("tile"), "r", "c", F.round(F.greatest("z1", "z2", "z3"), 4).alias("top"))
 
 
 def mesh_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    least, most = F.least("z", "zx", "zy"), F.greatest("z", "zx", "zy")
-    return _solids(spark, sf_dir).groupBy("tile").agg(F.round(F.min(least), 4).alias("low"), F.round(F.max(most), 4).alias("high"), F.count(F.lit(1)).alias("n"))
+    solids = _solids(spark, sf_dir, "false")
+    n = solids.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    return files.mesh_bounds(solids).join(n, "path").select(F.col("path").alias("tile"), F.round("min_z", 4).alias("low"), F.round("max_z", 4).alias("high"), "n")
+
+
+def mesh_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of the triangles that look up, where a rule on r and c turns some."""
+    ends = files.mesh_bounds(files.upward(_solids(spark, sf_dir, _TURNED)))
+    return ends.select(F.col("path").alias("tile"), *[F.round(f"{end}_{a}", 4).alias(f"{end}_{a}") for a in "xyz" for end in ("min", "max")])
 
 
 _PAIRS = f"{fx.POINTS}, pairs AS (SELECT a.id AS u, b.id AS v, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM points a JOIN points b ON abs(a.x - b.x) <= {RADIUS} AND abs(a.y - b.y) <= {RADIUS} WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= {RADIUS})"
 _SETS = f"{fx.POINTS}, p AS (SELECT a.id AS u, b.id AS v FROM points a JOIN points b ON a.id < b.id AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= {RADIUS}), a AS (SELECT u, v FROM p WHERE u % 3 <> 0 AND v % 3 <> 0), b AS (SELECT u, v FROM p WHERE u % 3 <> 1 AND v % 3 <> 1)"
 _PHASES = f"{fx.REACHES}, up AS (SELECT id, id AS root, len AS s, len FROM reaches WHERE down NOT IN (SELECT id FROM reaches) UNION ALL SELECT r.id, u.root, u.s + r.len, r.len FROM reaches r JOIN up u ON r.down = u.id), ph AS (SELECT id, 1 - s / max(s) OVER (PARTITION BY root) AS b, len / max(s) OVER (PARTITION BY root) AS l FROM up)"
+_LOOKING_UP = f"""{fx.FILLED}, n AS (SELECT *, lead(z) OVER (PARTITION BY tile, r ORDER BY c) AS zx, lead(z) OVER (PARTITION BY tile, c ORDER BY r) AS zy, (r * 5 + c * 3) % 4 = 0 AS turned FROM filled),
+v AS (SELECT tile, r, c, z AS z1, c::DOUBLE AS x1, r::DOUBLE AS y1, CASE WHEN turned THEN c ELSE c + 1 END::DOUBLE AS x2, CASE WHEN turned THEN r + 1 ELSE r END::DOUBLE AS y2, CASE WHEN turned THEN zy ELSE zx END AS z2,
+  CASE WHEN turned THEN c + 1 ELSE c END::DOUBLE AS x3, CASE WHEN turned THEN r ELSE r + 1 END::DOUBLE AS y3, CASE WHEN turned THEN zx ELSE zy END AS z3 FROM n WHERE zx IS NOT NULL AND zy IS NOT NULL),
+up AS (SELECT * FROM v WHERE (x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1) > 1e-12)"""
 _CORNER = lambda i, j: f"(tile * 1000 + (r + {i}) * 17 + c + {j})"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -131,6 +151,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mesh_boundary_edges": mesh_boundary_edges,
     "mesh_upward": mesh_upward,
     "mesh_bounds": mesh_bounds,
+    "mesh_upward_turned": lambda s, d: mesh_upward(s, d, _TURNED),
+    "mesh_box": mesh_box,
 }
 
 _COMPONENTS = f"WITH RECURSIVE {_PAIRS}, reach(id, other) AS (SELECT u, u FROM pairs WHERE u <> v UNION SELECT r.id, p.v FROM reach r JOIN pairs p ON p.u = r.other), comp AS (SELECT id, min(other) AS label FROM reach GROUP BY id)"
@@ -159,4 +181,7 @@ WITH {fx.DEM}, t AS (SELECT unnest([{_CORNER(0, 0)}, {_CORNER(0, 1)}, {_CORNER(1
 SELECT least(p, q) AS u, greatest(p, q) AS v FROM t GROUP BY 1, 2 HAVING count(*) = 1""",
     "mesh_upward": f"WITH {fx.FILLED}, n AS (SELECT *, lead(z) OVER (PARTITION BY tile, r ORDER BY c) AS zx, lead(z) OVER (PARTITION BY tile, c ORDER BY r) AS zy FROM filled) SELECT tile, r, c, round(greatest(z, zx, zy), 4) AS top FROM n WHERE zx IS NOT NULL AND zy IS NOT NULL AND z <= 9000",
     "mesh_bounds": f"WITH {fx.FILLED}, n AS (SELECT *, lead(z) OVER (PARTITION BY tile, r ORDER BY c) AS zx, lead(z) OVER (PARTITION BY tile, c ORDER BY r) AS zy FROM filled) SELECT tile, round(min(least(z, zx, zy)), 4) AS low, round(max(greatest(z, zx, zy)), 4) AS high, count(*) AS n FROM n WHERE zx IS NOT NULL AND zy IS NOT NULL GROUP BY tile",
+    "mesh_upward_turned": f"WITH {_LOOKING_UP} SELECT tile, r, c, round(greatest(z1, z2, z3), 4) AS top FROM up",
+    "mesh_box": f"""WITH {_LOOKING_UP} SELECT tile, min(least(x1, x2, x3)) AS min_x, max(greatest(x1, x2, x3)) AS max_x, min(least(y1, y2, y3)) AS min_y, max(greatest(y1, y2, y3)) AS max_y,
+  round(min(least(z1, z2, z3)), 4) AS min_z, round(max(greatest(z1, z2, z3)), 4) AS max_z FROM up GROUP BY tile""",
 }

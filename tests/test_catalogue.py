@@ -26,3 +26,9 @@ def test_all_kinds_of_cells_and_levels_occur(spark, sf_dir):
     assert None in sea and 0 in sea and -200 in sea and any(z and -200 < z < 0 for z in sea) and any(z and z > 0 for z in sea)
     levels = {r["level"] for r in catalogue.QUERIES["contour_levels_coast"](spark, sf_dir).collect()}
     assert 1000 in levels and 400 in levels and not levels & {600, 700, 800, 900}
+
+
+def test_turned_triangles_are_dropped(spark, sf_dir):
+    found = {(r["tile"], r["r"], r["c"]) for r in catalogue.QUERIES["mesh_upward_turned"](spark, sf_dir).collect()}
+    every = {(r["tile"], r["r"], r["c"]) for r in catalogue.QUERIES["mesh_upward"](spark, sf_dir).collect()}
+    assert found < every and all((r * 5 + c * 3) % 4 == 0 for _, r, c in every - found)
