@@ -14,7 +14,7 @@ each written once and read by several branches of one plan, so columns are not p
 packs bucket and count.
 
 Defined results: null or empty text has no characters, no perplexity, and is not kept; documents whose language (null is one)
-has no trusted text, or comes after the MAX_LANGUAGES with most of it, have no perplexity and are kept; a document with several labels is trusted if
+has no trusted text have no perplexity and are kept; a document with several labels is trusted if
 all are 1; repeated rows count each; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -32,7 +32,6 @@ from cragline.session import written
 
 #: The least size of an alphabet.
 CLASSES = 96
-MAX_LANGUAGES = 32
 QUANTILE = 0.995
 BUCKET_BYTES = 8 << 20
 #: The boundary, and the bits of a character in a packed trigram.
@@ -148,8 +147,6 @@ def costs(found: DataFrame) -> DataFrame:
     low = lambda column, n: F.col(column).bitwiseAND(F.lit((1 << n * BITS) - 1))
     above = lambda column: F.shiftright(column, BITS)
     three = found.groupBy("key", "tri").agg(F.sum(F.col("v").bitwiseAND(F.lit((1 << 32) - 1))).alias("c"))
-    most = three.groupBy("key").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "key").limit(MAX_LANGUAGES)
-    three = three.join(F.broadcast(most.select("key")), "key", "left_semi")
     two = three.groupBy("key", low("tri", 2).alias("pair")).agg(F.count_if(F.col("c") > 0).alias("c"))
     one = two.groupBy("key", low("pair", 1).alias("z")).agg(F.count_if(F.col("c") > 0).alias("c"))
     size = F.greatest(F.lit(CLASSES), F.count_if(F.col("c") > 0).over(Window.partitionBy("key")) + 2)

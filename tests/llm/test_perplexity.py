@@ -87,3 +87,12 @@ def test_characters_are_not_cut_to_classes(spark):
     found = {r["doc_id"]: r for r in px.op2(documents(spark, rows), labels).collect()}
     assert found[100]["kept"] is True and found[200]["kept"] is False
     assert found[200]["perplexity"] > 3 * found[100]["perplexity"]
+
+
+def test_every_language_with_trusted_text_is_judged(spark):
+    rows = [(2 * i, "many words of a plain text " * (50 - i), f"l{i:02}", "a") for i in range(40)]
+    rows += [(2 * i + 1, "#qx~ zzv!" * 9, f"l{i:02}", "a") for i in range(40)]
+    labels = spark.createDataFrame([(2 * i, 1) for i in range(40)], "doc_id long, quality int")
+    found = px.op2(documents(spark, rows), labels).collect()
+    assert len(found) == 80 and all(r["perplexity"] is not None for r in found)
+    assert all(r["kept"] is (r["doc_id"] % 2 == 0) for r in found)
