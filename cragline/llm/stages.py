@@ -50,4 +50,10 @@ def _key(id_col):
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    return bpe.op8(docs)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids); the digests are those of the returned ids and of what they decode to."""
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=True)
+    written_ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
+    return encoded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2(written_ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")

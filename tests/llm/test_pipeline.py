@@ -83,3 +83,15 @@ def test_stages_keep_columns_and_take_empty_tables(spark):
         docs = stage(spark, docs, "")
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "blob", "size"]
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
+
+
+def test_last_stage_returns_the_token_ids(spark):
+    _, library = tokenizer()
+    texts = ["plain words, and  more", "ünï 12345\n\n", "", None]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: r for r in corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode_ordinary(text or "")
+        assert found[i]["ids"] == ids and found[i]["n_tokens"] == len(ids)
+        assert found[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert found[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
