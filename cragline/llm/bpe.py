@@ -2,15 +2,18 @@
 
 The vocabulary is a fixed file of ranks; its path is a parameter. Each task opens an in-memory DuckDB with two tables:
 ``merges`` (left, right, rank), every way to cut a token in two tokens, and ``vocab`` (id, bytes). Texts are cut into
-pieces between which no token can lie, pieces into words by the split pattern. The distinct words of a slice of texts go to
-DuckDB in one recursive query: their token-position rows join ``merges``, and each word's leftmost pair of least rank is
-contracted, until no pair can be. Decoding joins the ids to ``vocab`` and concatenates their bytes by an ordered
-aggregation; a text's bytes are those of its words' ids, in order.
+pieces between which no token can lie, pieces into words by the split pattern. New words of a slice of texts go to
+DuckDB in recursive queries: their token-position rows join ``merges``, and each word's leftmost pair of least rank is
+contracted, until no pair can be. Decoding joins the ids of whole documents to ``vocab`` and concatenates their bytes by an
+ordered aggregation.
 
-Scale: no shuffle, and nothing is kept between slices of SLICE_CHARS characters. The vocabulary (50,256 entries) and its
-merges are broadcast; their size is that of the file. A word of n bytes makes up to n * n / 2 recursive rows, so words
-over LONG_WORD bytes (no space, digit or punctuation change in so many) are contracted by the same rule over a heap instead,
-which the tests hold equal to the query.
+The query's rows grow with the square of a word's length, so words over CHUNK_BYTES are contracted in chunks. Where two
+chunks meet, the two ids there must be what their joint bytes contract to; if not, the ids around are contracted
+together, further out each time. Ids all of whose neighbours pass that test are those of the whole word: the first merge
+across a border between two of them would also happen when these two are contracted alone.
+
+Scale: no shuffle. Words and pieces that a task has met are kept until there are CACHE_PIECES of them. The vocabulary (50,256
+entries) and its merges are broadcast; their size is that of the file.
 
 Defined results: null text is empty, has no tokens and decodes to nothing; repeated rows give repeated rows; an empty
 table gives an empty result; extra columns are ignored.
@@ -20,24 +23,31 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_BYTES = 1_000_000
-#: Longest word for the recursive query; positions take POS_BITS bits.
-LONG_WORD = 400
-POS_BITS = 9
+#: Bytes of words in one recursive query, and of a chunk; bits of a position in a word; a reach in tokens.
+BATCH_BYTES = 1_000_000
+CHUNK_BYTES = 64
+POS_BITS = 22
+SHIFTING = 16
+#: Characters of texts in a slice, pieces that a task keeps, and tokens that are decoded at once.
+SLICE_CHARS = 4_000_000
+CACHE_PIECES = 400_000
+DECODE_TOKENS = 2_000_000
 
 #: A space that lies between two pieces only seemingly: white space before it, and none but white space after it.
 _UNCUT = re.compile(r"\s \s|\s \Z")
 
+_POS = 2**POS_BITS - 1
+
 #: Rows (cell, id): cell is word << POS_BITS | position. A word's best pair is rank, position and the position that goes,
 #: packed in that order, so the least number is the leftmost pair of least rank. A word without a pair is done.
 CONTRACT = f"""
@@ -47,22 +57,19 @@ WITH RECURSIVE step(cell, id, done) AS (
     WITH pairs AS (
       SELECT cell, id, lead(id) OVER w AS next_id, lead(cell) OVER w AS next_at FROM step WHERE NOT done WINDOW w AS (ORDER BY cell)
     ), best AS (
-      SELECT cell >> {POS_BITS} AS word, min((m.rank << {2 * POS_BITS}) | ((cell & {2**POS_BITS - 1}) << {POS_BITS}) | (next_at & {2**POS_BITS - 1})) AS pair
+      SELECT cell >> {POS_BITS} AS word, min((m.rank << {2 * POS_BITS}) | ((cell & {_POS}) << {POS_BITS}) | (next_at & {_POS})) AS pair
       FROM pairs p JOIN merges m ON m.pair = (p.id << 32) | p.next_id WHERE next_at >> {POS_BITS} = cell >> {POS_BITS} GROUP BY 1
     )
-    SELECT s.cell, CASE WHEN s.cell & {2**POS_BITS - 1} = (b.pair >> {POS_BITS}) & {2**POS_BITS - 1} THEN b.pair >> {2 * POS_BITS} ELSE s.id END, b.pair IS NULL
+    SELECT s.cell, CASE WHEN s.cell & {_POS} = (b.pair >> {POS_BITS}) & {_POS} THEN b.pair >> {2 * POS_BITS} ELSE s.id END, b.pair IS NULL
     FROM step s LEFT JOIN best b ON b.word = s.cell >> {POS_BITS}
-    WHERE NOT s.done AND (b.pair IS NULL OR s.cell & {2**POS_BITS - 1} <> b.pair & {2**POS_BITS - 1})
+    WHERE NOT s.done AND (b.pair IS NULL OR s.cell & {_POS} <> b.pair & {_POS})
   )
 )
-SELECT cell >> {POS_BITS} AS seq, cell & {2**POS_BITS - 1} AS pos, id FROM step WHERE done
+SELECT cell >> {POS_BITS} AS word, id FROM step WHERE done ORDER BY cell
 """
 
-#: Of rows (seq, pos, id): how many, the ids as text, and the bytes as Latin-1 text.
-DECODE = """
-SELECT t.seq, count(*) AS n, string_agg(t.id::VARCHAR, ' ' ORDER BY t.pos) AS ids, string_agg(v.latin, '' ORDER BY t.pos) AS latin
-FROM {tokens} t JOIN vocab v ON v.id = t.id GROUP BY t.seq ORDER BY t.seq
-"""
+#: The bytes of each sequence of rows (seq, pos, id), as Latin-1 text.
+DECODE = "SELECT t.seq, string_agg(v.latin, '' ORDER BY t.pos) AS latin FROM tokens t JOIN vocab v ON v.id = t.id GROUP BY t.seq ORDER BY t.seq"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -81,146 +88,224 @@ def vocabulary(path: str) -> Vocabulary:
     return ranks, pairs, made
 
 
+class Lists:
+    """Lists of numbers, end to end: ``flat``, and the size and start of each."""
+
+    def __init__(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.flat, self.size = flat, size
+        self.start = np.cumsum(size) - size
+
+    def __add__(self, other: Lists) -> Lists:
+        return Lists(np.concatenate([self.flat, other.flat]), np.concatenate([self.size, other.size]))
+
+    def joined(self, which: np.ndarray, groups: np.ndarray) -> Lists:
+        """The lists numbered by which, end to end in groups of so many."""
+        size = self.size[which]
+        flat = self.flat[np.repeat(self.start[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(groups)])]
+        return Lists(flat, np.diff(ends))
+
+    def split(self) -> list[np.ndarray]:
+        return [self.flat[a : a + n] for a, n in zip(self.start.tolist(), self.size.tolist(), strict=True)]
+
+
+NONE = np.zeros(0, np.int64)
+
+
 class Tables:
     """A task's DuckDB, with the merge and vocabulary tables."""
 
     def __init__(self, known: Vocabulary) -> None:
         import duckdb
 
-        self.ranks, pairs, made = known
-        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        ranks, pairs, made = known
+        self.token = {rank: token for token, rank in ranks.items()}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.fits: dict[tuple[int, int], bool] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._table("merges", {"pair": pairs, "rank": made})
-        latin = pa.array([t.decode("latin-1") for t in self.ranks])
-        self._table("vocab", {"id": pa.array(self.ranks.values(), pa.int64()), "latin": latin})
+        self.decimal = pa.array(map(str, range(max(ranks.values()) + 1)), pa.large_string())
+        latin = pa.array([t.decode("latin-1") for t in ranks])
+        self._table("vocab", {"id": pa.array(ranks.values(), pa.int64()), "latin": latin})
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def encode(self, words: list[bytes]) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids as text, bytes they decode to) of each word, by the recursive query."""
-        out: list[tuple[int, str, bytes]] = [(0, "", b"")] * len(words)
-        held: list[int] = []
-        size = 0
-        for i, word in enumerate(words):
-            if len(word) > LONG_WORD:
-                out[i] = self.decode([contract(word, self.ranks)])[0]
-            elif word:
-                held.append(i)
-                size += len(word)
-                if size >= WORD_BYTES:
-                    self._recurse(words, held, out)
-                    held, size = [], 0
-        if held:
-            self._recurse(words, held, out)
-        return out
-
-    def _recurse(self, words: list[bytes], held: list[int], out: list[tuple[int, str, bytes]]) -> None:
-        size = np.fromiter((len(words[i]) for i in held), np.int64, len(held))
-        raw = np.frombuffer(b"".join([words[i] for i in held]), np.uint8)
-        pos = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)
-        self._table("start", {"cell": np.repeat(np.arange(len(held)), size) << POS_BITS | pos, "id": self.single[raw]})
-        self._fill(DECODE.format(tokens=f"({CONTRACT})"), held, out)
-
-    def _fill(self, query: str, held: list[int], out: list[tuple[int, str, bytes]]) -> None:
-        found = self.db.sql(query).to_arrow_table()
-        for seq, n, ids, latin in zip(*(found.column(i).to_numpy().tolist() for i in range(4)), strict=True):
-            out[held[seq]] = (n, ids, latin.encode("latin-1"))
-
-    def decode(self, sequences: list[list[int]]) -> list[tuple[int, str, bytes]]:
-        """(number of ids, ids as text, decoded bytes) of id sequences."""
-        out: list[tuple[int, str, bytes]] = [(0, "", b"")] * len(sequences)
-        if any(sequences):
-            size = [len(ids) for ids in sequences]
-            self._table("tokens", {
-                "seq": np.repeat(np.arange(len(size)), size), "pos": np.concatenate([np.arange(n) for n in size]),
-                "id": np.fromiter(chain.from_iterable(sequences), np.int64),
-            })
-            self._fill(DECODE.format(tokens="tokens"), list(range(len(size))), out)
+    def contract(self, words: list[bytes]) -> Lists:
+        """The ids of each word (not empty), by the recursive query."""
+        out, sizes, held, total = [NONE], [NONE], [], 0
+        for i, word in enumerate(words, 1):
+            held.append(word)
+            total += len(word)
+            if total >= BATCH_BYTES or i == len(words):
+                size = np.fromiter(map(len, held), np.int64, len(held))
+                pos = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+                raw = np.frombuffer(b"".join(held), np.uint8)
+                self._table("start", {"cell": np.repeat(np.arange(len(held)), size) << POS_BITS | pos, "id": self.single[raw]})
+                found = self.db.sql(CONTRACT).to_arrow_table()
+                out.append(found.column("id").to_numpy())
+                sizes.append(np.bincount(found.column("word").to_numpy(), minlength=len(held)))
+                held, total = [], 0
+        return Lists(np.concatenate(out), np.concatenate(sizes))
+
+    def encode(self, words: list[bytes]) -> Lists:
+        """The ids of each word (not empty): long ones in chunks, mended where chunks meet."""
+        cut = [[w[a : a + CHUNK_BYTES] for a in range(0, len(w), CHUNK_BYTES)] for w in words]
+        parts = dict.fromkeys(chain.from_iterable(cut))
+        which = {part: i for i, part in enumerate(parts)}
+        groups = np.fromiter(map(len, cut), np.int64, len(cut))
+        found = self.contract(list(parts))
+        whole = found.joined(np.fromiter((which[p] for p in chain.from_iterable(cut)), np.int64), groups)
+        long = np.flatnonzero(groups > 1).tolist()
+        if not long:
+            return whole
+        ids = whole.split()
+        seams = {i: np.cumsum([found.size[which[p]] for p in cut[i][:-1]]).tolist() for i in long}
+        mended = self._mended({i: ids[i].tolist() for i in long}, seams)
+        ids = [np.array(mended[i], np.int64) if i in mended else own for i, own in enumerate(ids)]
+        return Lists(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _mended(self, ids: dict[int, list[int]], seams: dict[int, list[int]]) -> dict[int, list[int]]:
+        """ids, right at the seams (places in ids) too. From SHIFTING tokens of reach on, a word's first wrong seam is mended alone,
+        for then its wrong seams have one cause: a run whose phase is another than where its chunks begin."""
+        reach, rounds = 2, 0
+        while seams:
+            self._try([(ids[i][s - 1], ids[i][s]) for i in seams for s in seams[i]])
+            spans: dict[int, list[list[int]]] = {}
+            wait: dict[int, list[int]] = {}
+            for i in seams:
+                own: list[list[int]] = []
+                for s in seams[i]:
+                    low, high = max(0, s - reach), min(len(ids[i]), s + reach)
+                    if self.fits[ids[i][s - 1], ids[i][s]]:
+                        continue
+                    if own and low <= own[-1][1]:
+                        own[-1][1] = high
+                    elif own and reach >= SHIFTING:
+                        wait.setdefault(i, []).append(s)
+                    else:
+                        own.append([low, high])
+                if own:
+                    spans[i] = own
+            again = iter(self.contract([b"".join(self.token[t] for t in ids[i][low:high]) for i in spans for low, high in spans[i]]).split())
+            seams = {}
+            for i, own in spans.items():
+                old, new, at, edges = ids[i], [], 0, []
+                for low, high in own:
+                    new += old[at:low]
+                    edges += [len(new)] * (low > 0)
+                    new += next(again).tolist()
+                    edges += [len(new)] * (high < len(old))
+                    at = high
+                ids[i] = new + old[at:]
+                if edges:
+                    seams[i] = edges + [s + len(ids[i]) - len(old) for s in wait.get(i, [])]
+            rounds += 1
+            reach += 2 if reach < SHIFTING else rounds % 16 == 0
+        return ids
+
+    def _try(self, pairs: list[tuple[int, int]]) -> None:
+        """Notes for each two ids whether their joint bytes contract to just these."""
+        new = [p for p in dict.fromkeys(pairs) if p not in self.fits]
+        found = self.contract([self.token[a] + self.token[b] for a, b in new]).split()
+        if len(self.fits) > CACHE_PIECES:
+            self.fits = {p: self.fits[p] for p in pairs if p in self.fits}
+        self.fits.update((p, own.tolist() == list(p)) for p, own in zip(new, found, strict=True))
+
+    def written(self, ids: Lists) -> pa.Array:
+        """Each sequence of ids as text, joined by a space."""
+        ends = pa.array(np.append(0, np.cumsum(ids.size)), pa.int32())
+        return pc.binary_join(pa.ListArray.from_arrays(ends, self.decimal.take(pa.array(ids.flat))), pa.scalar(" ", pa.large_string()))
+
+    def decode(self, ids: Lists) -> list[bytes]:
+        """The bytes of each sequence of ids, some DECODE_TOKENS ids at a time."""
+        out = [b""] * len(ids.size)
+        seq = np.repeat(np.arange(len(out)), ids.size)
+        for at in range(0, len(seq), DECODE_TOKENS):
+            end = min(at + DECODE_TOKENS, len(seq))
+            self._table("tokens", {"seq": seq[at:end], "pos": np.arange(at, end), "id": ids.flat[at:end]})
+            found = self.db.sql(DECODE).to_arrow_table()
+            for i, latin in zip(found.column("seq").to_pylist(), found.column("latin").to_pylist(), strict=True):
+                out[i] += latin.encode("latin-1")
         return out
 
 
-def contract(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same contraction of one long word: pairs wait in a heap by rank and position."""
-    n = len(word)
-    end, after, before = [i + 1 for i in range(n)], [*range(1, n), -1], [-1, *range(n - 1)]
-    heap: list[tuple[int, int, int, int]] = []
-
-    def offer(i: int) -> None:
-        if i >= 0 and (j := after[i]) >= 0 and (rank := ranks.get(word[i : end[j]])) is not None:
-            heapq.heappush(heap, (rank, i, end[i], end[j]))
-
-    for i in range(n):
-        offer(i)
-    while heap:
-        _, i, middle, stop = heapq.heappop(heap)
-        j = after[i]
-        if end[i] != middle or j < 0 or end[j] != stop:
-            continue  # one of the two has grown or gone since
-        end[i], after[i] = stop, after[j]
-        end[j] = -1
-        if after[i] >= 0:
-            before[after[i]] = i
-        offer(before[i])
-        offer(i)
-    ids, i = [], 0
-    while i >= 0:
-        ids.append(ranks[word[i : end[i]]])
-        i = after[i]
-    return ids
-
-
-def pieces(text: str) -> list[str]:
-    """The text cut before single spaces; no token holds a cut. Texts with runs of white space around spaces are one piece."""
-    if _UNCUT.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
-
-
 class Coder:
-    """Encodes the texts of a slice; each distinct word of it goes through DuckDB once."""
+    """Encodes texts slice by slice; pieces and words that were met before are looked up."""
 
     def __init__(self, known: Vocabulary, pattern: str) -> None:
         import regex
 
         self.tables, self.split = Tables(known), regex.compile(pattern).findall
-
-    def rows(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
-        """(number of ids, ids joined by a space, decoded bytes) of each text."""
-        cut = [pieces(text) if text else [] for text in texts]
-        split = {piece: self.split(piece) for piece in set(chain.from_iterable(cut))}
-        words = list(set(chain.from_iterable(split.values())))
-        known = dict(zip(words, self.tables.encode([w.encode() for w in words]), strict=True))
-        whole = {}
-        for piece, parts in split.items():
-            if len(parts) == 1:
-                whole[piece] = known[parts[0]]
-            else:
-                n, ids, raw = zip(*[known[word] for word in parts], strict=True)
-                whole[piece] = (sum(n), " ".join(ids), b"".join(raw))
-        for own in cut:
-            n, ids, raw = zip(*[whole[piece] for piece in own], strict=True) if own else ((), (), ())
-            yield sum(n), " ".join(ids), b"".join(raw)
-
-
-def _slices(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list, list[str]]]:
-    """Rows of a batch, about so many characters at a time."""
-    ids, texts, size = [], [], 0
-    for key, text in zip(batch.column(0), batch.column(1), strict=True):
-        ids.append(key.as_py())
+        self.place: dict[str, int] = {}
+        self.ids = Lists(NONE, NONE)
+
+    def _keep(self, keys: list[str], ids: Lists) -> None:
+        self.place.update(zip(keys, range(len(self.ids.size), len(self.ids.size) + len(keys)), strict=True))
+        self.ids += ids
+
+    def _keep_latest(self, used: np.ndarray) -> None:
+        """Forgets what isn't at one of these places."""
+        names = list(self.place)
+        self.place = {names[i]: k for k, i in enumerate(used.tolist())}
+        self.ids = self.ids.joined(used, np.ones(len(used), np.int64))
+
+    def _learn(self, keys: set[str]) -> None:
+        """Finds the ids of new pieces: those of their words, end to end."""
+        new = list(keys)
+        parts = [self.split(piece) for piece in new]
+        words = list(set(chain.from_iterable(parts)) - self.place.keys())
+        self._keep(words, self.tables.encode([w.encode() for w in words]))
+        several = [i for i, own in enumerate(parts) if len(own) > 1]
+        groups = np.fromiter((len(parts[i]) for i in several), np.int64, len(several))
+        places = np.fromiter((self.place[w] for i in several for w in parts[i]), np.int64)
+        self._keep([new[i] for i in several], self.ids.joined(places, groups))
+
+    def ids_of(self, texts: list[str]) -> Lists:
+        """The ids of each text. A text is cut before single spaces, where no token can lie across, unless white space runs around
+        them; such a text is one piece."""
+        whole = [i for i, text in enumerate(texts) if _UNCUT.search(text)]
+        given = list(texts)
+        for i in whole:
+            given[i] = ""
+        cut = pc.split_pattern(pa.array(given, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        code, begin = coded.indices.to_numpy().astype(np.int64), cut.offsets.to_numpy()[:-1]
+        names = [" " + v for v in coded.dictionary.to_pylist()]
+        n = len(names)
+        firsts = [names[k][1:] for k in code[begin].tolist()]  # the first of a text has no space before it
+        for i in whole:
+            firsts[i] = texts[i]
+        code[begin] = np.arange(n, n + len(firsts))
+        names += firsts
+        kept = np.ones(len(code), bool)
+        kept[begin] = [text != "" for text in firsts]
+        found = [self.place.get(name, -1) for name in names]
+        if len(self.place) > CACHE_PIECES:
+            self._keep_latest(np.unique([at for at in found if at >= 0]))
+            found = [self.place.get(name, -1) for name in names]
+        self._learn({name for name, at in zip(names, found, strict=True) if at < 0 and name})
+        place = np.array([self.place.get(name, -1) if at < 0 else at for name, at in zip(names, found, strict=True)])
+        counts = np.diff(np.append(begin, len(code))) - ~kept[begin]
+        return self.ids.joined(place[code[kept]], counts)
+
+    def rows(self, texts: list[str]) -> tuple[Lists, pa.Array, list[bytes]]:
+        """Of each text the ids, the ids joined by a space, and the bytes that the ids decode to."""
+        ids = self.ids_of(texts)
+        return ids, self.tables.written(ids), self.tables.decode(ids)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of a batch, about SLICE_CHARS characters at a time."""
+    texts, begin, size = [], 0, 0
+    for at, text in enumerate(batch.column(1), 1):
         texts.append(text.as_py() or "")
         size += len(texts[-1])
-        if size >= chars:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-    if ids:
-        yield ids, texts
-
-
-SLICE_CHARS = 4_000_000
+        if size >= SLICE_CHARS or at == batch.num_rows:
+            yield batch.column(0).slice(begin, at - begin), texts
+            texts, begin, size = [], at, 0
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
@@ -229,23 +314,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     shared = spark.sparkContext.broadcast(vocabulary(ranks_path))
     kind = docs.schema[id_col].dataType.simpleString()
 
+    def digests(values: list) -> pa.Array:
+        return pa.array([hashlib.sha256(v).hexdigest() for v in values], pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
             coder = coder or Coder(shared.value, pattern)
-            for keys, texts in _slices(batch, SLICE_CHARS):
-                out: dict[str, list] = {name: [] for name in names}
-                for key, (n, ids, raw) in zip(keys, coder.rows(texts), strict=True):
-                    values = (key, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest())
-                    if keep:
-                        values = (*values, [int(i) for i in ids.split()], raw)
-                    for name, value in zip(names, values, strict=True):
-                        out[name].append(value)
-                columns = [pa.array(out[name], batch.schema.field(0).type if i == 0 else kinds[i]) for i, name in enumerate(names)]
+            for keys, texts in _slices(batch):
+                ids, written, decoded = coder.rows(texts)
+                columns = [keys, pa.array(ids.size, pa.int64()), digests([w.as_buffer() for w in written]), digests(decoded)]
+                if keep:
+                    ends = np.concatenate([[0], np.cumsum(ids.size)]).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(ids.flat, pa.int32())), pa.array(decoded, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if keep else [])
-    kinds = [None, pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
     ddl = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if keep else "")
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
@@ -261,7 +345,8 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "id", ids_col: str
             tables = tables or Tables(shared.value)
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                raw = [found[2] for found in tables.decode([ids or [] for ids in part.column(1).to_pylist()])]
+                own = [np.array(ids or [], np.int64) for ids in part.column(1).to_pylist()]
+                raw = tables.decode(Lists(np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw, pa.binary())], ["id", "decoded"])
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, decoded binary")

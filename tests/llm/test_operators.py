@@ -261,12 +261,31 @@ def test_bpe_equals_library(spark, odd_rows):
     assert bpe.op8(empty(spark)).count() == 0
 
 
-def test_long_words_contract_alike():
-    public, _ = tokenizer()
-    known = bpe.vocabulary(public.path("byte_bpe_50k.tiktoken"))
+def test_long_words_equal_library():
+    """Words of many chunks: random, of few letters, runs whose phase shifts, and 1 MB of words of 399 bytes."""
+    public, library = tokenizer()
+    tables = bpe.Tables(bpe.vocabulary(public.path("byte_bpe_50k.tiktoken")))
     random.seed(8)
-    words = ["".join(random.choice("abc the") for _ in range(random.randint(1, 399))).encode() for _ in range(200)]
-    assert [ids for _, ids, _ in bpe.Tables(known).encode(words)] == [" ".join(map(str, bpe.contract(w, known[0]))) for w in words]
+    some = "".join(map(chr, range(97, 123))) + "ABC0123+/"
+    words = ["".join(random.choice(letters) for _ in range(n)) for letters in ("abc the", "ab", "aé日本x", some) for n in range(1, 500, 7)]
+    words += [start + unit * (n // len(unit)) for start in ("", "b", "Noo") for unit in ("a", "o", " ", "ab", "-", "abc") for n in (64, 129, 700)] + ["No" + "o" * 3000]
+    words += ["".join(random.choice(some) for _ in range(n)) for n in [399] * 2500 + [100_000]]
+    found = tables.encode([w.encode() for w in words]).split()
+    assert all(own.tolist() == library._core_bpe.encode_single_piece(w.encode()) for w, own in zip(words, found, strict=True))
+
+
+def test_small_caches_and_slices_change_nothing(monkeypatch):
+    public, library = tokenizer()
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    monkeypatch.setattr(bpe, "BATCH_BYTES", 40)
+    monkeypatch.setattr(bpe, "DECODE_TOKENS", 7)
+    coder = bpe.Coder(bpe.vocabulary(public.path("byte_bpe_50k.tiktoken")), public.PATTERN)
+    random.seed(5)
+    for _ in range(12):
+        texts = ["", " ", "  a", "x \n y"] + [" ".join(random.choice("ab") * random.randint(0, 3) + random.choice(["", "'s", ",", "\t", "é"]) for _ in range(20)) for _ in range(10)]
+        ids, written, decoded = coder.rows(texts)
+        assert [own.tolist() for own in ids.split()] == [library.encode_ordinary(t) for t in texts]
+        assert decoded == [t.encode() for t in texts] and written.to_pylist() == [" ".join(map(str, own)) for own in ids.split()]
 
 
 def test_mix_takes_what_the_targets_say(spark, odd_rows):
