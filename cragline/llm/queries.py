@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_secret_scan": secrets.ORACLE,
     "op10_near_duplicates": neardup.ORACLE,
+    "op2_quality_classifier": perplexity.ORACLE,
     "op3_warc_reassembly": warc.ORACLE,
     "op4_quality_rules": quality.ORACLE,
     "op5_chat_round_trip": chat.ORACLE,
