@@ -1,19 +1,25 @@
 """Quality rules with risk-controlled thresholds.
 
-Every text gets features from its words and lines, in SQL, within its row. Two base rules reject outright. The other rules
-reject where a feature is above a cutoff of its stratum (language); the labelled holdout picks the cutoffs. For each
-stratum and rule, cutoffs are tested from the most lenient on: with n good holdout documents of which k lie above the
-cutoff, the cutoff stands if P(Binomial(n, RISK / rules) <= k) is at most ERROR / (rules * strata), which is the exact
-binomial bound, corrected by Bonferroni over rules and strata and by fixed-sequence testing over the cutoffs of a rule. With
-probability 1 - ERROR, no stratum loses more than RISK of its good documents to all rules together. A stratum with too few
-labels rejects nothing.
+Every text gets features from its words and lines, in SQL, within its row. Two base rules reject outright. The other rules reject
+where a feature is high. Which high values matter is learnt apart from the holdout: the lift of a rule's upper tail is its share
+of the documents labelled bad over its share (and SMOOTH) of the background, which is the documents without a label and, by a hash of
+the id, one in BACKGROUND of those labelled good. A document's score is the greatest lift
+of the tails it lies in, over all rules; scores below LEAST_LIFT count as 0.
+
+The other documents labelled good are the holdout. In each stratum (language) one sequence of cutoffs on the score is tested from the
+most lenient on: with n good documents of which k score above the cutoff, it stands if P(Binomial(n, RISK) <= k) is at most ERROR
+over the number of strata. That is the exact binomial bound, corrected by Bonferroni over strata; within a stratum the sequence
+is fixed before the holdout is seen, so rules and cutoffs cost nothing more. With probability 1 - ERROR, no stratum loses more
+than RISK of its good documents to all rules together. Strata whose holdout could not pass even with k = 0 are tested together
+as one, whose bound is that of their mixture; should it not pass either, nothing is rejected there.
 
 Scale: texts are read once and not shuffled; features (about 60 bytes a row) go to the shared folder. Calibration joins
-them with the labels by id and counts BUCKETS buckets a rule and stratum, pre-aggregated. Cutoffs are one row a stratum.
+them with the labels by id and counts BUCKETS buckets a rule, and scores a stratum, pre-aggregated. The lifts are one row, of BUCKETS
+numbers a rule; cutoffs are one row a stratum.
 
 Defined results: null text has no words and fails; a null language is a stratum; a document with several labels is good if
 all are 1; labels of unknown documents and null labels count for nothing; repeated rows count each; an empty table gives an empty
-result; extra columns are ignored.
+result; extra columns are ignored. Without a bad or a background document there is no lift and no further rejection.
 """
 
 from __future__ import annotations
@@ -29,6 +35,8 @@ from cragline.session import written
 RISK = 0.02
 ERROR = 0.05
 BUCKETS = 256
+#: Lift is a share of bad documents over a share of the background plus SMOOTH; scores are lifts in hundredths.
+SMOOTH, LEAST_LIFT, BACKGROUND = 0.01, 200, 10
 #: Rule, feature (higher is worse) in terms of the counts, and the feature's value at the last bucket.
 RULES = (
     ("symbols", "n_symbols / greatest(n_words, 1)", 2.0),
@@ -160,36 +168,74 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(last) * total)
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """(stratum, rule name -> last bucket that is kept) from features and labels (id, quality)."""
-    good = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("labelled"))
-    good = good.agg(F.min("quality").alias("quality")).where("quality = 1")
-    holdout = measured.where(~base_failed()).join(good, F.col(id_col) == F.col("labelled"), "left_semi")
+def quality_of(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(labelled, role): bad, holdout or background of each labelled id; of several labels the least counts."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("labelled"))
+    part = F.conv(F.substring(F.md5(F.col("labelled").cast("string").cast("binary")), 1, 4), 16, 10).cast("int") % BACKGROUND
+    role = F.when(F.min("quality") != 1, "bad").when(part == 0, "background").otherwise("holdout")
+    return known.agg(role.alias("role"))
+
+
+def lifts(judged: DataFrame) -> DataFrame:
+    """One row with an array of BUCKETS scores for each rule, from documents with their role (null where not labelled)."""
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), bucket(rule).alias("bucket")) for i, rule in enumerate(RULES)])).alias("cell")
-    counts = holdout.select(F.col(stratum).alias("stratum"), cells).groupBy("stratum", "cell.rule", "cell.bucket").agg(F.count(F.lit(1)).alias("n"))
-    above = Window.partitionBy("stratum", "rule").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("stratum", "rule")
-    tested = counts.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0))).withColumn("total", F.sum("n").over(whole))
-    # strata with labels: each has every rule, so they are counted by their first rule's rows
-    strata = counts.agg(F.count_distinct(F.struct("stratum")).alias("strata"))
-    level = ERROR / (len(RULES) * F.greatest(F.col("strata"), F.lit(1)))
-    passed = tested.crossJoin(F.broadcast(strata)).where(binomial_cdf(F.col("above"), F.col("total"), RISK / len(RULES)) <= level)
-    kept = [F.min(F.when(F.col("rule") == i, F.col("bucket"))).alias(rule[0]) for i, rule in enumerate(RULES)]
-    return passed.groupBy("stratum").agg(*kept)
-
-
-def judge(measured: DataFrame, limits: DataFrame, stratum: str = "lang") -> DataFrame:
+    known = judged.select((F.col("role") == "bad").alias("is_bad"), (F.col("role") == "holdout").alias("held"), cells)
+    known = known.where(~F.coalesce("held", F.lit(False))).groupBy("cell.rule", "cell.bucket")
+    counts = known.agg(F.count_if("is_bad").alias("bad"), F.count_if(~F.coalesce("is_bad", F.lit(False))).alias("other"))
+    whole = Window.partitionBy("rule")  # BUCKETS rows at most
+    tail = whole.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    share = {c: F.sum(c).over(tail) / F.nullif(F.sum(c).over(whole), F.lit(0)) for c in ("bad", "other")}
+    scored = counts.select("rule", "bucket", F.floor(100 * (share["bad"] / (share["other"] + SMOOTH))).cast("int").alias("lift"))
+    every = scored.agg(F.collect_list(F.struct("rule", "bucket", "lift")).alias("all"))
+
+    def dense(rule: int) -> Column:
+        own = F.filter("all", lambda x: (x["rule"] == rule) & (x["lift"] >= LEAST_LIFT))
+        at = lambda b: F.coalesce(F.array_max(F.transform(F.filter(own, lambda x: x["bucket"] <= b), lambda x: x["lift"])), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), at)
+
+    return every.select(*[dense(i).alias(f"lift_{rule[0]}") for i, rule in enumerate(RULES)])
+
+
+def scored(rows: DataFrame, lift: DataFrame) -> DataFrame:
+    """rows with score, the greatest lift over the rules."""
+    every = F.greatest(*[F.get(F.col(f"lift_{rule[0]}"), bucket(rule)) for rule in RULES])
+    return rows.crossJoin(F.broadcast(lift)).withColumn("score", every).drop(*[f"lift_{rule[0]}" for rule in RULES])  # one row
+
+
+def certified(holdout: DataFrame) -> DataFrame:
+    """(stratum, cutoff) of the good documents' (stratum, score): the least cutoff that stands; strata without one are left out."""
+    sizes = holdout.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+    strata = sizes.agg(F.count(F.lit(1)).alias("strata"))
+    grouped = sizes.crossJoin(F.broadcast(strata)).withColumn("alone", F.pow(F.lit(1 - RISK), F.col("n")) <= ERROR / (F.col("strata") + 1))
+    groups = written(grouped.select("stratum", "alone", F.struct("alone", F.when(F.col("alone"), F.col("stratum")).alias("name")).alias("group")), "quality-strata")
+    level = groups.agg((ERROR / F.count_distinct("group")).alias("level"))
+    counts = holdout.groupBy("stratum", "score").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.join(groups.withColumnRenamed("stratum", "_stratum"), F.col("stratum").eqNullSafe(F.col("_stratum")))
+    counts = named.groupBy("group", "score").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("group")  # a row for each score, of which there are 100 * 100 at most
+    above = whole.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    tested = counts.withColumns({"above": F.coalesce(F.sum("n").over(above), F.lit(0)), "total": F.sum("n").over(whole)})
+    passed = tested.crossJoin(F.broadcast(level)).where(binomial_cdf(F.col("above"), F.col("total"), RISK) <= F.col("level"))
+    cutoffs = passed.groupBy("group").agg(F.min("score").alias("cutoff"))
+    return groups.join(cutoffs, "group").select("stratum", "cutoff")
+
+
+def judge(measured: DataFrame, labels: DataFrame, stratum: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """measured with base_failed and kept."""
-    limits = written(limits, "quality-limits")
+    quality = quality_of(labels)
+    judged = measured.where(~base_failed()).join(quality, F.col(id_col) == F.col("labelled"), "left")
+    lift = written(lifts(judged), "quality-lifts")
+    good = measured.where(~base_failed()).join(quality.where("role = 'holdout'"), F.col(id_col) == F.col("labelled"), "left_semi")
+    limits = written(certified(scored(good, lift).select(F.col(stratum).alias("stratum"), "score")), "quality-limits")
     limits = F.broadcast(limits) if limits.count() <= BROADCAST_STRATA else limits
-    joined = measured.join(limits, F.col(stratum).eqNullSafe(F.col("stratum")), "left")
-    fine = reduce(lambda acc, rule: acc & F.coalesce(bucket(rule) <= F.col(rule[0]), F.lit(True)), RULES, F.lit(True))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fine).drop("stratum", *[r[0] for r in RULES])
+    joined = scored(measured, lift).join(limits, F.col(stratum).eqNullSafe(F.col("stratum")), "left")
+    fine = F.coalesce(F.col("score") <= F.col("cutoff"), F.lit(True))
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & fine).drop("stratum", "cutoff")
 
 
 def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
     measured = written(features(docs), "quality-features")
-    return judge(measured, cutoffs(measured, labels)).select(
+    return judge(measured, labels).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
@@ -197,18 +243,18 @@ def op4(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _oracle() -> str:
     """DuckDB SQL of the same rules."""
     buckets = ", ".join(f"least(floor(({feature.replace(' / ', '::DOUBLE / ')}) * {BUCKETS} / {most}::DOUBLE), {BUCKETS - 1})::INT AS b{i}" for i, (_, feature, most) in enumerate(RULES))
-    cells = " UNION ALL ".join(f"SELECT stratum, {i} AS rule, b{i} AS bucket FROM holdout" for i in range(len(RULES)))
-    fine = " AND ".join(f"coalesce(b{i} <= (SELECT min(bucket) FROM passed p WHERE p.rule = {i} AND p.stratum IS NOT DISTINCT FROM m.lang), true)" for i in range(len(RULES)))
-    p = RISK / len(RULES)
+    cells = " UNION ALL ".join(f"SELECT role, {i} AS rule, b{i} AS bucket FROM judged WHERE role <> 'holdout'" for i in range(len(RULES)))
+    score = ", ".join(f"coalesce((SELECT max(lift) FROM lifts l WHERE l.rule = {i} AND l.bucket <= m.b{i}), 0)" for i in range(len(RULES)))
+    p = f"{RISK}::DOUBLE"
     return rf"""
 WITH texts AS (SELECT doc_id, lang, coalesce(text, '') AS text FROM documents),
 split AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
          list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM texts
 ), windows AS (
-  SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM split
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: struct_pack(i := i, x := w[i:i + 2]))) AS k FROM split
 ), repeated AS (
-  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM windows
+  SELECT doc_id, k.i AS i, count(*) OVER (PARTITION BY doc_id, k.x) AS n FROM windows
 ), covered AS (
   SELECT doc_id, count(DISTINCT j)::BIGINT AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM repeated WHERE n > 1) GROUP BY doc_id
 ), counted AS (
@@ -218,19 +264,29 @@ split AS (
   FROM split s LEFT JOIN covered c ON c.doc_id = s.doc_id
 ), measured AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {buckets} FROM counted
-), holdout AS (
-  SELECT lang AS stratum, m.* FROM measured m WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1)
-), cells AS ({cells}),
-counts AS (SELECT stratum, rule, bucket, count(*) AS n FROM cells GROUP BY ALL),
+), known AS (SELECT doc_id, CASE WHEN min(quality) <> 1 THEN 'bad' WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::INT % {BACKGROUND} = 0 THEN 'background' ELSE 'holdout' END AS role
+  FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+judged AS (SELECT m.*, coalesce(role, 'background') AS role FROM measured m LEFT JOIN known k ON k.doc_id = m.doc_id WHERE NOT base_failed),
+cells AS (SELECT rule, bucket, count(*) FILTER (WHERE role = 'bad') AS bad, count(*) FILTER (WHERE role = 'background') AS other FROM ({cells}) GROUP BY ALL),
+tails AS (
+  SELECT rule, bucket, sum(bad) OVER t / nullif(sum(bad) OVER w, 0)::DOUBLE AS bad, sum(other) OVER t / nullif(sum(other) OVER w, 0)::DOUBLE AS other FROM cells
+  WINDOW w AS (PARTITION BY rule), t AS (PARTITION BY rule ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), lifts AS (SELECT * FROM (SELECT rule, bucket, floor(100 * (bad / (other + {SMOOTH}::DOUBLE)))::INT AS lift FROM tails) WHERE lift >= {LEAST_LIFT}),
+marked AS (SELECT m.*, greatest({score}) AS score FROM measured m),
+holdout AS (SELECT lang AS stratum, score FROM marked m JOIN known k ON k.doc_id = m.doc_id WHERE NOT base_failed AND role = 'holdout'),
+strata AS (SELECT stratum, pow(1 - {p}, count(*)) <= {ERROR}::DOUBLE / ((SELECT count(*) FROM (SELECT DISTINCT stratum FROM holdout)) + 1) AS alone FROM holdout GROUP BY stratum),
+groups AS (SELECT stratum, struct_pack(a := alone, n := CASE WHEN alone THEN stratum END) AS g FROM strata),
+counts AS (SELECT g, score, count(*) AS n FROM holdout h JOIN groups s ON s.stratum IS NOT DISTINCT FROM h.stratum GROUP BY ALL),
 tested AS (
-  SELECT *, coalesce(sum(n) OVER (PARTITION BY stratum, rule ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k,
-         sum(n) OVER (PARTITION BY stratum, rule)::BIGINT AS total FROM counts
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY g ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS k,
+         sum(n) OVER (PARTITION BY g)::BIGINT AS total FROM counts
 ), passed AS (
-  SELECT * FROM tested WHERE CASE WHEN k >= total * {p}::DOUBLE THEN 1.0::DOUBLE ELSE list_sum(list_transform(range(0, k + 1), lambda i:
-    exp(lgamma(total + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(total - i + 1.0::DOUBLE) + i * ln({p}::DOUBLE) + (total - i) * ln(1 - {p}::DOUBLE)))) END
-    <= {ERROR}::DOUBLE / ({len(RULES)} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM counts)))
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {fine} AS kept FROM measured m
+  SELECT * FROM tested WHERE CASE WHEN k >= total * {p} THEN 1.0::DOUBLE ELSE list_sum(list_transform(range(0, k + 1), lambda i:
+    exp(lgamma(total + 1.0::DOUBLE) - lgamma(i + 1.0::DOUBLE) - lgamma(total - i + 1.0::DOUBLE) + i * ln({p}) + (total - i) * ln(1 - {p})))) END
+    <= {ERROR}::DOUBLE / (SELECT count(DISTINCT g) FROM groups)
+), limits AS (SELECT stratum, cutoff FROM groups JOIN (SELECT g, min(score) AS cutoff FROM passed GROUP BY g) USING (g))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(score <= cutoff, true) AS kept
+FROM marked m LEFT JOIN limits l ON l.stratum IS NOT DISTINCT FROM m.lang
 """
 
 
