@@ -10,7 +10,7 @@ Everything is SQL. A text's words become sorted hashes, runs of them the terms a
 least ln a of each sample is an aggregation by document in the same stage, so no term is shuffled.
 
 Scale: texts are shuffled once, by id. The next document of each (by descending id) comes from a sorted walk over
-ids alone, cut into slices at quantiles of the id, with the first id of each slice carried over; of a next document only the
+ids alone, dealt into slices by ranges of the id, with the first id of each slice carried over; of a next document only the
 part that an edit takes is sent. Nothing grows with a group but the sort of a slice.
 
 Defined results: null text is empty, and two empty documents have likeness 1; null ids come last; rows that repeat an id
@@ -83,17 +83,18 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def next_documents(keys: DataFrame) -> DataFrame:
-    """(key, next_key) of distinct rows (key, id): the document after each by descending id, around the end."""
+    """(key, next_key) of distinct rows (key, id): the document after each by descending id, around the end.
+
+    Rows are dealt by ranges of (id, key), whatever the type of the id, so equal ids lie in several slices where they are many.
+    """
     slices = max(1, min(MAX_SLICES, keys.count() // SLICE_IDS))
-    cuts = keys.agg(F.percentile_approx("id", [i / slices for i in range(1, slices)] or [0.5], 10_000).alias("cuts")).first()["cuts"] or []
-    bounds = F.array(*[F.lit(cut) for cut in sorted(set(cuts))])
-    at = F.when(F.col("id").isNull(), -1).otherwise(F.size(F.filter(bounds, lambda cut: F.col("id") >= cut)) if cuts else F.lit(0))
-    placed = keys.withColumn("slice", at)  # null ids are the last slice
-    down = Window.partitionBy("slice").orderBy(F.col("id").desc_nulls_last(), F.col("key").asc())
+    order = [F.col("id").desc_nulls_last(), F.col("key").asc()]
+    placed = written(keys.repartitionByRange(slices, *order).select("key", "id", F.spark_partition_id().alias("slice")), "walk-slices")
+    down = Window.partitionBy("slice").orderBy(*order)
     walked = placed.select("key", "slice", F.lead("key").over(down).alias("next"), F.row_number().over(down).alias("place"))
     walked = written(walked, "walk")
     firsts = walked.where("place = 1").select("slice", F.col("key").alias("first"))  # a row a slice
-    around = Window.orderBy(F.desc("slice"))
+    around = Window.orderBy("slice")
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     firsts = firsts.select("slice", F.coalesce(F.lead("first").over(around), F.first("first").over(whole)).alias("after"))
     joined = walked.join(F.broadcast(firsts), "slice")
