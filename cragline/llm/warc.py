@@ -32,9 +32,9 @@ from pyspark.sql import types as T
 
 from cragline.session import scratch_path
 
-SEGMENT_BYTES = 32 * 1024
-CHUNK_BYTES = 8 * 1024
-#: Records in a file at most: 1,000 segments of 32 KiB are 32 MB.
+SEGMENT_BYTES = 4 * 1024
+CHUNK_BYTES = 1024
+#: Records in a file at most: 1,000 segments of 4 KiB are 4 MB.
 MAX_RECORDS = 1000
 SEPARATOR = "\r\n\r\n"
 
@@ -79,8 +79,10 @@ def _chunked(payload: Column) -> Column:
     return F.concat(F.array_join(chunks, ""), F.lit("0\r\n\r\n"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes pages as gzip-compressed WARC files under path."""
+def write_archives(
+    pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2024-01-01T00:00:00Z"
+) -> None:
+    """Writes pages, fetched at date, as gzip-compressed WARC files under path."""
     base = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload")
     ).withColumn("digest", base32_sha1(F.col("payload")))
@@ -115,6 +117,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     fields = [
         ("WARC-Type", F.when(~is_first, "continuation").when(F.col("revisit"), "revisit").otherwise("response")),
         ("WARC-Record-ID", F.when(is_first, F.concat("urn", F.lit(">"))).otherwise(F.concat(F.col("urn"), F.lit(":"), number.cast("string"), F.lit(">")))),
+        ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         ("WARC-Page-ID", F.coalesce(F.col("id").cast("string"), F.lit("null"))),
         ("WARC-Payload-Digest", F.when(is_first, F.concat(F.lit("sha1:"), F.col("digest")))),
@@ -269,11 +272,11 @@ WITH base AS (
   SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM digested
 ), messages AS (
   SELECT *, 72 + 5 + payload_bytes
-            + list_sum(list_transform(range(0, payload_bytes, 8192), lambda p: 4 + length(format('{:x}', least(8192, payload_bytes - p)))))::BIGINT AS framed
+            + list_sum(list_transform(range(0, payload_bytes, 1024), lambda p: 4 + length(format('{:x}', least(1024, payload_bytes - p)))))::BIGINT AS framed
   FROM firsts
 )
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
-       CASE WHEN page_id <> first_id OR payload_bytes = 0 THEN 1 ELSE ceil(framed / 32768.0) END::BIGINT AS segments
+       CASE WHEN page_id <> first_id OR payload_bytes = 0 THEN 1 ELSE ceil(framed / 4096.0) END::BIGINT AS segments
 FROM messages
 """
