@@ -39,6 +39,7 @@ BASE_KINDS = 3
 RULE_VERSION = "2024-1"
 
 FOUND = "array<struct<start:int,kind:int,end:int>>"
+PART = 256
 
 
 def blob_id(text: Column) -> Column:
@@ -56,8 +57,14 @@ def _spans(text: Column, kind: int) -> Column:
                 end = start + F.length(matches[i])
                 return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))).alias("out"))
 
-            begin = F.struct(F.lit(0).alias("at"), F.array().cast(FOUND).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), begin, step, lambda acc: acc["out"])
+            def run(acc: Column, first: Column) -> Column:
+                """PART matches: an array that grows by one is copied each time, so long lists grow by parts."""
+                begin = F.struct(acc["at"].alias("at"), F.array().cast(FOUND).alias("out"))
+                own = F.sequence(first, F.least(first + PART, F.size(matches)) - 1)
+                return F.aggregate(own, begin, step, lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out")))
+
+            begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("out"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1, F.lit(PART)), begin, run, lambda acc: F.flatten(acc["out"]))
 
         return let(F.split(text, pattern, -1), with_gaps)
 
@@ -93,8 +100,7 @@ def scan_versions(versions: DataFrame, ledger: str, path_col: str = "path", text
     if (seen := read_ledger(spark, ledger)) is not None:
         blobs = blobs.join(seen.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
     scan_blobs(blobs).write.mode("append").parquet(ledger)
-    known = read_ledger(spark, ledger).where(F.col("rule_version") == RULE_VERSION).where(F.size("found") > 0)
-    return given.select("path", "blob").join(known.select("blob", "found"), "blob", "left").select(
+    return given.select("path", "blob").join(findings(spark, ledger), "blob", "left").select(
         "path", "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found")
     )
 
@@ -107,6 +113,12 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
     return spark.read.schema(f"blob binary, rule_version string, found {FOUND}").parquet(ledger)
 
 
+def findings(spark: SparkSession, ledger: str) -> DataFrame:
+    """(blob, found) of the blobs in which this version of the rules found anything, once each even if two scans noted a blob."""
+    known = read_ledger(spark, ledger).where((F.col("rule_version") == RULE_VERSION) & (F.size("found") > 0))
+    return known.select("blob", "found").dropDuplicates(["blob"])
+
+
 def _listed(found: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(rule[0]) for rule in RULES])
