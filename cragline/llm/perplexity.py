@@ -68,17 +68,24 @@ def packed(text: str) -> np.ndarray:
     return points[:-2] << 2 * BITS | points[1:-1] << BITS | points[2:]
 
 
+def parts(docs: DataFrame, good: DataFrame) -> DataFrame:
+    """(doc_id, label) of the trusted ids (labelled) that docs have: 2 if held out, else 1. Only ids and languages are joined."""
+    kind = docs.schema["doc_id"].dataType
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0
+    known = docs.select("doc_id", "lang").join(good.select(F.col("labelled").try_cast(kind).alias("doc_id")), "doc_id").withColumn("held", held)
+    trained = known.where("NOT held").groupBy(F.col("lang").alias("_lang")).agg(F.lit(True).alias("trained"))  # a row a language
+    joined = known.join(F.broadcast(trained), F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    return joined.groupBy("doc_id").agg(F.min(F.when(F.col("held") & F.col("trained"), 2).otherwise(1)).alias("label"))
+
+
 def deal(docs: DataFrame, good: DataFrame) -> DataFrame:
-    """(bucket, doc_id, lang, text, label): documents (label 0), and a row for each trusted id in the bucket of its documents, with
-    label 1 or, if it is held out, 2."""
+    """(bucket, doc_id, lang, text, label): documents (label 0), and the rows of parts() in the buckets of their documents."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
     buckets = -(-total // BUCKET_BYTES) + 1
-    kind = docs.schema["doc_id"].dataType
     place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(buckets)).cast("int")
-    held = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % HELD_OUT == 0, 2).otherwise(1).alias("label")
     none = F.lit(None).cast("string")
-    ids = good.select(F.col("labelled").try_cast(kind).alias("doc_id"), none.alias("lang"), none.alias("text")).select("*", held)
+    ids = parts(docs, good).select("doc_id", none.alias("lang"), none.alias("text"), "label")
     rows = docs.select("doc_id", "lang", "text", F.lit(0).alias("label")).unionByName(ids)
     dealt = rows.select(place.alias("bucket"), "doc_id", "lang", "text", "label")
     return dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
@@ -99,34 +106,31 @@ def key_of(lang: str | None) -> str:
 
 
 def count_trigrams(dealt: DataFrame) -> DataFrame:
-    """(lang key, tri, v, held) of each bucket: its distinct trigrams; v has the bucket above 32 bits of their count in trusted texts, and
-    held is their count in those held out."""
+    """(lang key, tri, v) of each bucket: its distinct trigrams; v has the bucket above 32 bits of their count in trusted texts."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         seen: dict[str, list[np.ndarray]] = {}
-        trusted: dict[tuple[str, int], list[np.ndarray]] = {}
+        trusted: dict[str, list[np.ndarray]] = {}
         for _, lang, text, label in texts_of(table):
             if text:
                 found = packed(text)
                 seen.setdefault(key_of(lang), []).append(found)
-                if label:
-                    trusted.setdefault((key_of(lang), label), []).append(found)
-        keys, cells, values, held = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                if label == 1:
+                    trusted.setdefault(key_of(lang), []).append(found)
+        keys, cells, values = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for key, found in seen.items():
             distinct = np.unique(np.concatenate(found))
-            n = np.zeros((3, len(distinct)), np.int64)
-            for label in (1, 2):
-                if (key, label) in trusted:
-                    which, times = np.unique(np.concatenate(trusted[key, label]), return_counts=True)
-                    n[label, np.searchsorted(distinct, which)] = times
+            n = np.zeros(len(distinct), np.int64)
+            if key in trusted:
+                which, times = np.unique(np.concatenate(trusted[key]), return_counts=True)
+                n[np.searchsorted(distinct, which)] = times
             keys += [key] * len(distinct)
             cells.append(distinct)
-            values.append((bucket << 32) + n[1])
-            held.append(n[2])
-        return pa.table({"key": pa.array(keys, pa.string()), "tri": np.concatenate(cells), "v": np.concatenate(values), "held": np.concatenate(held)})
+            values.append((bucket << 32) + n)
+        return pa.table({"key": pa.array(keys, pa.string()), "tri": np.concatenate(cells), "v": np.concatenate(values)})
 
-    found = dealt.groupBy("bucket").applyInArrow(run, "key string, tri long, v long, held long")
+    found = dealt.groupBy("bucket").applyInArrow(run, "key string, tri long, v long")
     return found.repartition(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "tri")
 
 
@@ -159,9 +163,7 @@ def costs(found: DataFrame) -> DataFrame:
     """(key, tri, cost): -ln P(z | x, y) of every trigram that occurs; languages without trusted text have no rows."""
     low = lambda column, n: F.col(column).bitwiseAND(F.lit((1 << n * BITS) - 1))
     above = lambda column: F.shiftright(column, BITS)
-    three = found.groupBy("key", "tri").agg(F.sum(F.col("v").bitwiseAND(F.lit((1 << 32) - 1))).alias("n"), F.sum("held").alias("held"))
-    trained = three.groupBy(F.col("key").alias("_key")).agg((F.max("n") > 0).alias("trained"))  # a row a language
-    three = three.join(F.broadcast(trained), F.col("key") == F.col("_key")).select("key", "tri", F.when(F.col("trained"), F.col("n")).otherwise(F.col("held")).alias("c"))
+    three = found.groupBy("key", "tri").agg(F.sum(F.col("v").bitwiseAND(F.lit((1 << 32) - 1))).alias("c"))
     two = three.groupBy("key", low("tri", 2).alias("pair")).agg(F.count_if(F.col("c") > 0).alias("c"))
     one = two.groupBy("key", low("pair", 1).alias("z")).agg(F.count_if(F.col("c") > 0).alias("c"))
     size = F.greatest(F.lit(CLASSES), F.count_if(F.col("c") > 0).over(Window.partitionBy("key")) + 2)
@@ -241,13 +243,12 @@ def _oracle() -> str:
     return f"""
 WITH good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
 texts AS (SELECT d.doc_id, d.lang AS named, coalesce('=' || d.lang, '') AS lang, coalesce(text, '') AS text,
-  CASE WHEN g.doc_id IS NULL THEN 0 WHEN crc % {HELD_OUT} = 0 THEN 2 ELSE 1 END AS label
+  CASE WHEN g.doc_id IS NULL THEN 0 WHEN crc % {HELD_OUT} = 0 AND max(g.doc_id IS NOT NULL AND crc % {HELD_OUT} <> 0) OVER (PARTITION BY lang) THEN 2 ELSE 1 END AS label
   FROM (SELECT *, CRC AS crc FROM documents) d LEFT JOIN good g ON g.doc_id = d.doc_id),
 chars AS (SELECT doc_id, lang, label, list_concat(['', ''], regexp_extract_all(text, '(?s).')) AS l FROM texts WHERE text <> ''),
 grams AS (SELECT doc_id, lang, label, unnest(list_transform(range(1, len(l) - 1), lambda i: struct_pack(x := l[i], y := l[i + 1], z := l[i + 2]))) AS g FROM chars),
 own AS MATERIALIZED (SELECT doc_id, lang, label, g.x AS x, g.y AS y, g.z AS z, count(*) AS n FROM grams GROUP BY ALL),
-trained AS (SELECT lang, max(label = 1) AS t FROM own GROUP BY lang),
-three AS MATERIALIZED (SELECT o.lang, x, y, z, coalesce(sum(n) FILTER (WHERE label = CASE WHEN t THEN 1 ELSE 2 END), 0)::BIGINT AS c FROM own o JOIN trained USING (lang) GROUP BY ALL),
+three AS MATERIALIZED (SELECT lang, x, y, z, coalesce(sum(n) FILTER (WHERE label = 1), 0)::BIGINT AS c FROM own GROUP BY ALL),
 two AS MATERIALIZED (SELECT lang, y, z, count(*) FILTER (WHERE c > 0) AS c FROM three GROUP BY ALL),
 one AS MATERIALIZED (SELECT lang, z, count(*) FILTER (WHERE c > 0) AS c FROM two GROUP BY ALL),
 sizes AS (SELECT lang, greatest({CLASSES}, count(*) FILTER (WHERE c > 0) + 2) AS size FROM one GROUP BY lang),
