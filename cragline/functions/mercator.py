@@ -20,6 +20,12 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
 
 
+def from_tile(zoom: Column, tx: Column, ty: Column, u: Column, v: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a place (u, v), each 0..1, in a tile; v runs to the south."""
+    size = 2 * HALF_WORLD / F.pow(F.lit(2.0), zoom)
+    return from_mercator((tx + u) * size - HALF_WORLD, HALF_WORLD - (ty + v) * size)
+
+
 def metres_per_pixel(zoom: Column) -> Column:
     return 2 * HALF_WORLD / TILE / F.pow(F.lit(2.0), zoom)
 

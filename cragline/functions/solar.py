@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
 import math
-from collections.abc import Callable
+from types import SimpleNamespace
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,58 +27,49 @@ def days_in_year(year: Column) -> Column:
     return F.when(leap, 366.0).otherwise(365.0)
 
 
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once: a lambda's variable is not expanded into the plan."""
-    return F.transform(F.array(value), body)[0]
+#: The functions that the series needs, for columns and for arrays.
+COLUMNS = SimpleNamespace(
+    cos=F.cos, sin=F.sin, radians=F.radians, degrees=F.degrees, atan2=F.atan2, asin=F.asin, mod=lambda x, y: F.pmod(x, F.lit(y)),
+    held=lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x)),
+)
+ARRAYS = SimpleNamespace(
+    cos=np.cos, sin=np.sin, radians=np.radians, degrees=np.degrees, atan2=np.arctan2, asin=np.arcsin, mod=np.mod, held=lambda x: np.clip(x, -1.0, 1.0)
+)
 
 
-def bound_position(day: str, second: Column, latitude: float, longitude: float) -> Column:
-    """Struct (azimuth, altitude) as of at_second, in an expression that stays small inside folds."""
-    date = F.lit(day).cast("date")
-    hour, lat = second / 3600, math.radians(latitude)
-
-    def with_gamma(gamma: Column) -> Column:
-        equation, declination = _series(gamma)
-        angle = F.radians(F.pmod((hour * 60 + equation + 4 * longitude) / 4, F.lit(360.0)) - 180)
-        return _bound(F.struct(declination.alias("d"), angle.alias("a")), with_angles)
-
-    def with_angles(x: Column) -> Column:
-        up = math.sin(lat) * F.sin(x["d"]) + math.cos(lat) * F.cos(x["d"]) * F.cos(x["a"])
-        north = math.cos(lat) * F.sin(x["d"]) - math.sin(lat) * F.cos(x["d"]) * F.cos(x["a"])
-        azimuth = F.pmod(F.degrees(F.atan2(-F.cos(x["d"]) * F.sin(x["a"]), north)), F.lit(360.0))
-        altitude = F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up))))
-        return F.struct(azimuth.alias("azimuth"), altitude.alias("altitude"))
-
-    gamma = 2 * F.pi() / days_in_year(F.year(date)) * (F.dayofyear(date) - 1 + (hour - 12) / 24)
-    return _bound(gamma, with_gamma)
-
-
-def _series(gamma: Column) -> tuple[Column, Column]:
+def _series(gamma: Column, m: SimpleNamespace = COLUMNS) -> tuple[Column, Column]:
     """Equation of time (minutes) and declination (radians)."""
     e0, e1, e2, e3, e4 = EQUATION
-    equation = 229.18 * (e0 + e1 * F.cos(gamma) + e2 * F.sin(gamma) + e3 * F.cos(2 * gamma) + e4 * F.sin(2 * gamma))
+    equation = 229.18 * (e0 + e1 * m.cos(gamma) + e2 * m.sin(gamma) + e3 * m.cos(2 * gamma) + e4 * m.sin(2 * gamma))
     d0, d1, d2, d3, d4, d5, d6 = DECLINATION
     declination = (
-        d0 + d1 * F.cos(gamma) + d2 * F.sin(gamma) + d3 * F.cos(2 * gamma) + d4 * F.sin(2 * gamma) + d5 * F.cos(3 * gamma) + d6 * F.sin(3 * gamma)
+        d0 + d1 * m.cos(gamma) + d2 * m.sin(gamma) + d3 * m.cos(2 * gamma) + d4 * m.sin(2 * gamma) + d5 * m.cos(3 * gamma) + d6 * m.sin(3 * gamma)
     )
     return equation, declination
 
 
-def position(day_of_year: Column, year_days: Column, hour: Column, latitude: Column, longitude: Column) -> dict[str, Column]:
-    """east, north, up (a unit vector), azimuth (degrees from north, 0..360) and altitude (degrees)."""
-    gamma = 2 * F.pi() / year_days * (day_of_year - 1 + (hour - 12) / 24)
-    equation, declination = _series(gamma)
-    angle = F.radians(F.pmod((hour * 60 + equation + 4 * longitude) / 4, F.lit(360.0)) - 180)
-    lat = F.radians(latitude)
-    east = -F.cos(declination) * F.sin(angle)
-    north = F.cos(lat) * F.sin(declination) - F.sin(lat) * F.cos(declination) * F.cos(angle)
-    up = F.sin(lat) * F.sin(declination) + F.cos(lat) * F.cos(declination) * F.cos(angle)
+def position(day_of_year, year_days, hour, latitude, longitude, m: SimpleNamespace = COLUMNS) -> dict:
+    """east, north, up (a unit vector), azimuth (degrees from north, 0..360) and altitude (degrees), of columns or arrays."""
+    gamma = 2 * math.pi / year_days * (day_of_year - 1 + (hour - 12) / 24)
+    equation, declination = _series(gamma, m)
+    angle = m.radians(m.mod((hour * 60 + equation + 4 * longitude) / 4, 360.0) - 180)
+    lat = m.radians(latitude)
+    east = -m.cos(declination) * m.sin(angle)
+    north = m.cos(lat) * m.sin(declination) - m.sin(lat) * m.cos(declination) * m.cos(angle)
+    up = m.sin(lat) * m.sin(declination) + m.cos(lat) * m.cos(declination) * m.cos(angle)
     return {
-        "east": east, "north": north, "up": up, "azimuth": F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0)),
-        "altitude": F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up)))),
+        "east": east, "north": north, "up": up, "azimuth": m.mod(m.degrees(m.atan2(east, north)), 360.0), "altitude": m.degrees(m.asin(m.held(up))),
     }
 
 
+def of_day(day: str, second: np.ndarray, latitude: float, longitude: float) -> tuple[np.ndarray, np.ndarray]:
+    """(azimuth, altitude) at seconds (0 to 86400) of a UTC date."""
+    date = dt.date.fromisoformat(day)
+    year_days = 366.0 if calendar.isleap(date.year) else 365.0
+    at = position(date.timetuple().tm_yday, year_days, second / 3600, latitude, longitude, ARRAYS)
+    return at["azimuth"], at["altitude"]
+
+
 def at_timestamp(ts: Column, latitude: Column, longitude: Column) -> dict[str, Column]:
     """position() at a timestamp without zone (UTC)."""
     hour = F.pmod(micros(ts), F.lit(MICROS_A_DAY)) / 3.6e9

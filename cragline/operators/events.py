@@ -6,17 +6,22 @@ time cancel in pairs. Everything is partitioned by cell, so it scales with cells
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cragline.functions import solar
 from cragline.operators.scan import running_total
 
+
 def by_cell(*order: str) -> WindowSpec:
     return Window.partitionBy("cell").orderBy(*order)
 
 
-
 def transitions(states: DataFrame, order: list[str]) -> DataFrame:
     """Rows of (cell, ..., lit) where lit differs from the cell's previous row."""
     before = F.lag("lit").over(by_cell(*order))
@@ -84,53 +89,67 @@ def horizon_at(elevations: Column, azimuth: Column, angles: int) -> Column:
     return (F.get(elevations, (i % angles).cast("int")) * left + F.get(elevations, ((i + 1) % angles).cast("int")) * right).cast("float")
 
 
-def lit_at(elevations: Column, angles: int, day: str, second: Column, latitude: float, longitude: float) -> Column:
-    """Sun above 0 and, as FLOAT, above the horizon."""
-    sun = solar.bound_position(day, second, latitude, longitude)
-    return F.transform(F.array(sun), lambda x: above_horizon(elevations, angles, x["azimuth"], x["altitude"]))[0]
+def lit_at(elevations: Column, angles: int, day: str, second: float, latitude: float, longitude: float) -> Column:
+    """Whether a cell is lit at a second of a UTC date: the sun is above 0 and, as FLOAT, above the horizon."""
+    azimuth, altitude = (float(x) for x in solar.of_day(day, np.float64(second), latitude, longitude))
+    return F.lit(altitude > 0) & (F.lit(altitude).cast("float") > horizon_at(elevations, F.lit(azimuth), angles))
 
 
-def above_horizon(elevations: Column, angles: int, azimuth: Column, altitude: Column) -> Column:
-    return (altitude > 0) & (altitude.cast("float") > horizon_at(elevations, azimuth, angles))
+def _lit(horizons: np.ndarray, azimuth: np.ndarray, altitude: np.ndarray) -> np.ndarray:
+    """lit_at for rows of horizons (FLOAT), each with its own sun."""
+    angles = horizons.shape[1]
+    q = azimuth * angles / 360
+    i = np.floor(q).astype(np.int64)
+    f, row = (q - i).astype(np.float32), np.arange(len(horizons))
+    left = (1 - (q - i)).astype(np.float32)
+    return (altitude > 0) & (altitude.astype(np.float32) > horizons[row, i % angles] * left + horizons[row, (i + 1) % angles] * f)
 
 
-def compile_day(skylines: DataFrame, angles: int, day: str, latitude: float, longitude: float, step: int = 600, halvings: int = 10, bounded: bool = True) -> DataFrame:
+def compile_day(
+    skylines: DataFrame, angles: int, day: str, latitude: float, longitude: float, step: int = 600, precision: float = 0.05, bounded: bool = True
+) -> DataFrame:
     """(cell, t_ms) of a day's transitions, from skylines (cell, elevations).
 
-    States are sampled every step seconds and each change is bisected so many times. bounded: of each hour, only cells whose
-    horizon lies between the lowest and highest sun are sampled; the others keep one state, so the result is the same.
+    States are sampled every step seconds, both ends of the day included, and each change is bisected until it is known to precision
+    seconds. bounded: of each hour, only cells whose horizon lies between the lowest and highest sun are sampled; the others keep one
+    state, so the result is the same. Cells are independent: no shuffle, and a task sees a batch of them at a time.
     """
-    spark = skylines.sparkSession
-    at = solar.at_second(day, F.col("s"), F.lit(latitude), F.lit(longitude))
-    sun = spark.range(0, 86_400, step, 1).select(F.col("id").cast("int").alias("s"))
-    sun = sun.select("s", at["azimuth"].alias("az"), at["altitude"].alias("alt"))  # a row a sample, found once for all cells
-    pair = Window.orderBy("s")
-    steps = sun.withColumns({"az0": F.lag("az").over(pair), "alt0": F.lag("alt").over(pair)}).where("alt0 IS NOT NULL")
-    if not bounded:
-        grid = skylines.crossJoin(F.broadcast(steps))
-    else:
-        steps = steps.withColumns({"az_lo": F.least("az", "az0"), "az_hi": F.greatest("az", "az0"), "lo": F.least("alt", "alt0"), "hi": F.greatest("alt", "alt0")})
-        hours = steps.groupBy(F.floor(F.col("s") / 3600).alias("hour")).agg(
-            F.min("az_lo").alias("az_lo"), F.max("az_hi").alias("az_hi"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_list(F.struct("s", "az", "alt", "az0", "alt0")).alias("steps")
-        )
-        first, final = F.floor(F.col("az_lo") * angles / 360).cast("int"), (F.floor(F.col("az_hi") * angles / 360) + 1).cast("int")
-        knots = F.transform(F.sequence(first, final), lambda i: F.get("elevations", i % angles))
-        margin = 1e-4  # wider than any rounding of FLOAT interpolation
-        met = skylines.crossJoin(F.broadcast(hours.where("hi > 0"))).where(
-            ((F.array_max(knots) + margin >= F.col("lo")) & (F.array_min(knots) - margin < F.col("hi"))) | (F.col("lo") <= 0)
-        )
-        grid = met.select("cell", "elevations", F.explode("steps").alias("x")).select("cell", "elevations", "x.*")
-    lit, was = (above_horizon(F.col("elevations"), angles, F.col(f"az{i}"), F.col(f"alt{i}")) for i in ("", "0"))
-    changed = grid.withColumns({"lit": lit, "was": was}).where("was <> lit").select("cell", "elevations", "s", "was")
-
-    def halve(span: Column, _: Column) -> Column:
-        mid = (span["lo"] + span["hi"]) / 2
-        same = lit_at(F.col("elevations"), angles, day, mid, latitude, longitude) == F.col("was")
-        return F.struct(F.when(same, mid).otherwise(span["lo"]).alias("lo"), F.when(same, span["hi"]).otherwise(mid).alias("hi"))
-
-    begin = F.struct((F.col("s") - step).cast("double").alias("lo"), F.col("s").cast("double").alias("hi"))
-    times = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), begin, halve, lambda span: F.rint((span["lo"] + span["hi"]) / 2 * 1000).cast("long"))
-    return changed.select("cell", times.alias("t_ms"))
+    seconds = np.arange(0, 86_400 + step, step, dtype=np.float64)
+    seconds = np.append(seconds[seconds < 86_400], 86_400.0)
+    halvings = max(0, math.ceil(math.log2(step / precision)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        azimuth, altitude = solar.of_day(day, seconds, latitude, longitude)
+        for batch in batches:
+            cell = batch.column(0)
+            horizons = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, angles)
+            rows, at = [], []
+            for block in np.array_split(np.arange(1, len(seconds)), 24):
+                ends = np.append(block[0] - 1, block)
+                if altitude[ends].max() <= 0:
+                    continue
+                met = np.arange(len(horizons))
+                if bounded and altitude[ends].min() > 0:
+                    knots = np.arange(math.floor(azimuth[ends].min() * angles / 360), math.floor(azimuth[ends].max() * angles / 360) + 2) % angles
+                    low, high = horizons[:, knots].min(axis=1), horizons[:, knots].max(axis=1)
+                    margin = 1e-4  # wider than any rounding of FLOAT interpolation
+                    met = np.flatnonzero((high + margin >= altitude[ends].min()) & (low - margin < altitude[ends].max()))
+                lit = np.stack([_lit(horizons[met], azimuth[k : k + 1], altitude[k : k + 1]) for k in ends], axis=1)
+                changed, k = np.nonzero(lit[:, 1:] != lit[:, :-1])
+                rows.append(met[changed])
+                at.append(block[k])
+            row, k = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, at))
+            low, high = seconds[k - 1], seconds[k]
+            was = _lit(horizons[row], azimuth[k - 1], altitude[k - 1])
+            for _ in range(halvings):
+                middle = (low + high) / 2
+                same = _lit(horizons[row], *solar.of_day(day, middle, latitude, longitude)) == was
+                low, high = np.where(same, middle, low), np.where(same, high, middle)
+            times = np.rint((low + high) / 2 * 1000).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([cell.take(pa.array(row)), pa.array(times)], ["cell", "t_ms"])
+
+    kind = skylines.schema["cell"].dataType.simpleString()
+    return skylines.select("cell", F.col("elevations").cast("array<float>")).mapInArrow(run, f"cell {kind}, t_ms long")
 
 
 def zigzag_deltas(codes: DataFrame) -> DataFrame:
@@ -144,3 +163,36 @@ def unzigzag(deltas: DataFrame) -> DataFrame:
     delta = F.shiftrightunsigned("zz", 1).bitwiseXOR(-F.col("zz").bitwiseAND(F.lit(1).cast("long")))
     upto = by_cell("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return deltas.select("cell", "k", F.sum(delta).over(upto).alias("code"))
+
+
+def xor_deltas(codes: DataFrame) -> DataFrame:
+    """(cell, k, x): each code XOR the one before it along k."""
+    return codes.select("cell", "k", F.col("code").bitwiseXOR(F.coalesce(F.lag("code").over(by_cell("k")), F.lit(0))).alias("x"))
+
+
+def unxor(deltas: DataFrame) -> DataFrame:
+    """(cell, k, code) back from xor_deltas."""
+    upto = by_cell("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return deltas.select("cell", "k", F.bit_xor("x").over(upto).alias("code"))
+
+
+def _begins(day: Column, zone: Column) -> Column:
+    """The UTC instant (without zone) at which a local day of an IANA zone begins; where midnight doesn't exist, the first instant after."""
+    return F.to_utc_timestamp(day.cast("timestamp"), zone)
+
+
+def utc_dates(day: str, zone: str) -> Column:
+    """Array of the UTC dates that a local day touches."""
+    last = _begins(F.date_add(day, 1), F.col(zone)) - F.expr("INTERVAL 1 MICROSECOND")
+    return F.sequence(F.to_date(_begins(F.col(day), F.col(zone))), F.to_date(last))
+
+
+def minutes_of_day(day: str, zone: str) -> Column:
+    """Length of a local day: 1440, or another on days that change the offset."""
+    return F.timestamp_diff("MINUTE", _begins(F.col(day), F.col(zone)), _begins(F.date_add(day, 1), F.col(zone)))
+
+
+def bake_instants(day: Column, step_minutes: int) -> Column:
+    """Array of instants from 05:00 to 21:00 of a day, both included where the step meets them."""
+    start = day.cast("timestamp_ntz")
+    return F.transform(F.sequence(F.lit(300), F.lit(1260), F.lit(step_minutes)), lambda m: F.timestamp_add("MINUTE", m, start))

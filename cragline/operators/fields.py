@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 
@@ -31,47 +32,92 @@ def distance_field(cells: DataFrame, marked: Column) -> DataFrame:
     return found.groupBy("tile", "r", "c").agg(F.sqrt(F.min(d2)).alias("d"))
 
 
-def skyline(cells: DataFrame, spacing: float, bias: float) -> DataFrame:
-    """(tile, r, c, elevation): degrees to which the row's terrain towards +c rises above a cell; 0 where it doesn't."""
-    ahead = cells.select("tile", "r", F.col("c").alias("c2"), F.col("z").alias("z2"))
-    seen = cells.join(ahead, ["tile", "r"]).where("c2 > c")
-    rise = F.max(F.atan2(F.col("z2") - F.col("z") - bias, (F.col("c2") - F.col("c")) * spacing)).alias("rise")
-    found = cells.select("tile", "r", "c").join(seen.groupBy("tile", "r", "c").agg(rise), ["tile", "r", "c"], "left")
-    return found.select("tile", "r", "c", F.greatest(F.lit(0.0), F.degrees(F.coalesce("rise", F.lit(0.0)))).alias("elevation"))
-
-
-def ray_blocked(z: np.ndarray, x: int, y: int, dx: float, dy: float, rise: float, bias: float) -> bool:
-    """Whether the bilinear surface stands above a ray from a cell; each patch's greatest excess along the ray is exact."""
-    h, w = z.shape
-    start, t = z[y, x] + bias, 0.0
-    while True:
-        px, py = x + dx * t, y + dy * t
-        cx, cy = math.floor(px + dx * 1e-9), math.floor(py + dy * 1e-9)
-        cx, cy = (min(cx, w - 2) if dx == 0 else cx), (min(cy, h - 2) if dy == 0 else cy)
-        if not (0 <= cx < w - 1 and 0 <= cy < h - 1):
-            return False
-        leave = min((cx + (dx >= 0) - x) / dx if dx else math.inf, (cy + (dy >= 0) - y) / dy if dy else math.inf)
-        span, u, v = max(0.0, leave - t), px - cx, py - cy
-        a, b = z[cy, cx + 1] - z[cy, cx], z[cy + 1, cx] - z[cy, cx]
-        c = z[cy + 1, cx + 1] - z[cy, cx + 1] - b
-        k0 = z[cy, cx] + a * u + b * v + c * u * v - start - rise * t
-        k1, k2 = a * dx + b * dy + c * (u * dy + v * dx) - rise, c * dx * dy
-        stops = [0.0, span] + ([-k1 / (2 * k2)] if k2 < 0 and 0 < -k1 / (2 * k2) < span else [])
-        if max(k0 + k1 * s + k2 * s * s for s in stops) > 1e-3:
-            return True
-        t = leave
+def _grid(tile: pd.DataFrame, side: int) -> tuple[pd.DataFrame, np.ndarray]:
+    tile = tile.sort_values(["r", "c"], ignore_index=True)
+    return tile, tile["z"].to_numpy(np.float64).reshape(side, side)
+
+
+def sampled(z: np.ndarray, dx: float, dy: float) -> np.ndarray:
+    """The bilinear surface at (c + dx, r + dy) for every cell (r, c), NaN off the raster. The offset is one for all cells, so its four
+    weights are too, and each corner is a shifted view of the raster."""
+    height, width = z.shape
+    x, y = math.floor(dx), math.floor(dy)
+    out = np.zeros_like(z)
+    for i, wy in ((y, 1 - (dy - y)), (y + 1, dy - y)):
+        for j, wx in ((x, 1 - (dx - x)), (x + 1, dx - x)):
+            if wx * wy == 0:
+                continue
+            moved = np.full_like(z, np.nan)
+            if abs(i) < height and abs(j) < width:
+                moved[max(0, -i) : height - max(0, i), max(0, -j) : width - max(0, j)] = z[max(0, i) : height + min(0, i), max(0, j) : width + min(0, j)]
+            out += wy * wx * moved
+    return out
+
+
+def skylines(cells: DataFrame, side: int, spacing: float, bias: float, azimuths: tuple[float, ...]) -> DataFrame:
+    """(tile, r, c, azimuth, elevation): degrees to which the terrain rises above a cell (and bias) towards an azimuth, seen at steps of
+    one cell; 0 where it doesn't. Azimuths run from the north (-r) over the east (+c).
+
+    A tile of side cells is a task's. Steps go outwards for all cells at once, and end when nothing as high as the tile's top could
+    stand out any more.
+    """
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        tile, z = _grid(tile, side)
+        found = []
+        for azimuth in azimuths:
+            # a whole number of cells is meant where the sine of an angle misses it by a rounding
+            dx, dy = (round(f(math.radians(azimuth)), 12) for f in (math.sin, lambda a: -math.cos(a)))
+            best, room = np.zeros_like(z), z.max() - z - bias
+            for k in range(1, math.ceil(side * 1.5)):
+                if not (room > best * k * spacing).any():
+                    break
+                best = np.fmax(best, (sampled(z, dx * k, dy * k) - z - bias) / (k * spacing))
+            found.append(tile[["tile", "r", "c"]].assign(azimuth=azimuth, elevation=np.degrees(np.arctan(best)).ravel()))
+        return pd.concat(found)
+
+    kind = cells.schema["tile"].dataType.simpleString()
+    return cells.select("tile", "r", "c", "z").groupBy("tile").applyInPandas(run, f"tile {kind}, r int, c int, azimuth double, elevation double")
+
+
+def skyline(cells: DataFrame, side: int, spacing: float, bias: float) -> DataFrame:
+    """(tile, r, c, elevation) of skylines towards +c."""
+    return skylines(cells, side, spacing, bias, (90.0,)).drop("azimuth")
+
+
+def blocked(z: np.ndarray, dx: float, dy: float, rise: float, bias: float, least: float = 1e-3) -> np.ndarray:
+    """Of each cell, whether the bilinear surface stands more than least above its ray, which begins bias above the cell and goes (dx, dy)
+    and up by rise with each unit. A ray without direction meets nothing; one whose direction isn't finite raises an error.
+
+    The excess is a quadratic between two places where rays cross a row or a column, and these places are the same for all cells. Three
+    values of a quadratic give its greatest.
+    """
+    if not all(map(math.isfinite, (dx, dy, rise))):
+        raise ValueError("a ray's direction is not finite")
+    out = np.zeros(z.shape, bool)
+    crossings = sorted({k / abs(d) for d in (dx, dy) if d for k in range(max(z.shape))})
+    excess = lambda t: sampled(z, dx * t, dy * t) - (z + bias) - rise * t
+    begin = excess(0.0)
+    for low, high in zip(crossings, crossings[1:], strict=False):
+        middle, end = excess((low + high) / 2), excess(high)
+        bend, slope = 2 * (begin - 2 * middle + end), 4 * middle - 3 * begin - end
+        top = np.fmax(begin, end)
+        with np.errstate(all="ignore"):
+            peak = -slope / (2 * bend)
+            top = np.where((bend < 0) & (peak > 0) & (peak < 1), begin + slope * peak / 2, top)
+        out |= ~np.isnan(middle) & (top > least)
+        begin = end
+    return out
 
 
 def rays(cells: DataFrame, side: int, direction: tuple[float, float], rise: float, bias: float) -> DataFrame:
-    """(tile, r, c, blocked): ray_blocked for every cell of dense tiles, a tile at a time."""
+    """(tile, r, c, blocked) for every cell of dense tiles, a tile at a time."""
 
     def run(tile: pd.DataFrame) -> pd.DataFrame:
-        tile = tile.sort_values(["r", "c"])
-        z = tile["z"].to_numpy().reshape(side, side)
-        hit = [ray_blocked(z, c, r, *direction, rise, bias) for r in range(side) for c in range(side)]
-        return tile[["tile", "r", "c"]].assign(blocked=hit)
+        tile, z = _grid(tile, side)
+        return tile[["tile", "r", "c"]].assign(blocked=blocked(z, *direction, rise, bias).ravel())
 
-    return cells.select("tile", "r", "c", "z").groupBy("tile").applyInPandas(run, "tile long, r int, c int, blocked boolean")
+    kind = cells.schema["tile"].dataType.simpleString()
+    return cells.select("tile", "r", "c", "z").groupBy("tile").applyInPandas(run, f"tile {kind}, r int, c int, blocked boolean")
 
 
 def seams(cells: DataFrame, side: int, interval: float, radius: float) -> DataFrame:
@@ -81,10 +127,9 @@ def seams(cells: DataFrame, side: int, interval: float, radius: float) -> DataFr
     """
     points = ra.contour_crossings(cells, interval).select("tile", "r", "c").distinct()
     order = Window.partitionBy("tile").orderBy("r", "c")
-    named = points.withColumn("k", F.row_number().over(order))
-    gap = side + 4 * radius  # tiles apart on the plane, so that no step leads from one to another
-    placed = named.select((F.col("tile") * 10_000 + F.col("k")).alias("id"), F.col("c").alias("x"), (F.col("r") + F.col("tile") * gap).alias("y"))
-    steps = near.near_pairs(placed, radius).select(F.floor(F.col("u") / 10_000).alias("tile"), (F.col("u") % 10_000).alias("u"), (F.col("v") % 10_000).alias("v"), F.col("d").alias("w"))
+    named = points.withColumn("k", F.row_number().over(order).cast("long"))
+    placed = named.select("tile", F.col("k").alias("id"), F.col("c").alias("x"), F.col("r").alias("y"))
+    steps = near.near_pairs(placed, radius, "tile").withColumnRenamed("d", "w")
     ends = named.select("tile", F.col("k").alias("u"), F.lit(-1).cast("long").alias("v"), F.col("r").alias("w")).where((F.col("w") <= 1) | (F.col("w") >= side - 2))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -113,39 +158,78 @@ def seams(cells: DataFrame, side: int, interval: float, radius: float) -> DataFr
 
 
 def reversal_splits(points: DataFrame, axis: str, limit: float) -> DataFrame:
-    """(line, piece, at) of points (line, idx, axis): a line is cut where it has gone against its direction by limit; at is the
-    axis value of the cut, interpolated. A fold over the line's values in order."""
-    lines = points.groupBy("line").agg(F.array_sort(F.collect_list(F.struct("idx", F.col(axis).cast("double").alias("a")))).alias("p"))
-    start = F.struct(F.col("p")[0]["a"].alias("a"), F.lit(0.0).alias("sign"), F.lit(0.0).alias("back"), F.array().cast("array<double>").alias("cuts"))
-
-    def step(s: Column, p: Column) -> Column:
-        d = p["a"] - s["a"]
-        sign = F.when(F.abs(d) <= 1e-12, F.lit(0.0)).otherwise(F.signum(d))
-        against = (sign != 0) & (s["sign"] != 0) & (sign != s["sign"])
-        crosses = against & (s["back"] + F.abs(d) >= limit - 1e-9)
-        cut = s["a"] + sign * F.greatest(F.lit(0.0), F.least(F.abs(d), limit - s["back"]))
-        return F.struct(
-            p["a"].alias("a"), F.when(sign == 0, s["sign"]).when(against & ~crosses, s["sign"]).otherwise(sign).alias("sign"),
-            F.when(sign == 0, s["back"]).when(against & ~crosses, s["back"] + F.abs(d)).otherwise(0.0).alias("back"),
-            F.when(crosses, F.array_append(s["cuts"], cut)).otherwise(s["cuts"]).alias("cuts"),
-        )
-
-    cuts = F.aggregate(F.slice("p", 2, F.size("p")), start, step, lambda s: s["cuts"])
-    return lines.select("line", F.posexplode(cuts).alias("piece", "at"))
+    """(line, piece, at) of points (line, idx, axis): a line has a direction along the axis, that of its first move. Moves against it add
+    up until one along it ends the count; where they come to limit, the line is cut, at the axis value of that place, and goes on in
+    the new direction.
+
+    Windows first reduce a line to its turning points (between them moves add up without a decision), numbered per line; the fold
+    then runs over these.
+    """
+    order = Window.partitionBy("line").orderBy("idx")
+    value = F.col(axis).cast("double")
+    moves = points.select("line", "idx", value.alias("a"), (value - F.lag(value).over(order)).alias("move")).where("move IS NULL OR abs(move) > 1e-12")
+    turn = F.signum(F.lead("move").over(order))
+    ends = moves.where("move IS NOT NULL").withColumn("turns", F.coalesce(turn != F.signum("move"), F.lit(True)))
+    starts = moves.where("move IS NULL").select("line", "idx", "a")
+    corners = ends.where("turns").select("line", "idx", "a").unionByName(starts)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a = rows.sort_values("idx")["a"].to_numpy()
+        way, back, cuts = 0.0, 0.0, []
+        for begin, move in zip(a, np.diff(a), strict=False):
+            if way * move >= 0:  # along, or the first
+                way, back = math.copysign(1.0, move), 0.0
+            elif back + abs(move) < limit - 1e-9:
+                back += abs(move)
+            else:
+                cuts.append(begin - way * min(max(limit - back, 0.0), abs(move)))
+                way, back = -way, 0.0
+        return pd.DataFrame({"line": rows["line"].iloc[:1].repeat(len(cuts)), "piece": range(len(cuts)), "at": cuts})
+
+    kind = points.schema["line"].dataType.simpleString()
+    return corners.groupBy("line").applyInPandas(run, f"line {kind}, piece int, at double")
 
 
 def longest_shadows(spans: DataFrame) -> DataFrame:
     """(line, place, id, lo, hi) of spans (line, id, lo, hi): the longest is taken, the others lose what lies in it, and so on; of
-    equal lengths the least id, then the least lo."""
+    equal lengths the least id, then the least lo.
+
+    Of spans alike in both ends only the one with the least id can show. Spans are grouped by where they overlap, so that a line
+    is split wherever nothing covers it; within a group they wait in a heap.
+    """
+    alone = spans.groupBy("line", "lo", "hi").agg(F.min("id").alias("id"))
+    order = Window.partitionBy("line").orderBy("lo", "hi")
+    reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    clusters = alone.withColumn("gap", F.coalesce(F.col("lo") >= reach, F.lit(True)).cast("long"))
+    clusters = clusters.withColumn("cluster", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left = list(zip(rows["id"], rows["lo"], rows["hi"], strict=True))
+        heap = [(lo - hi, i, lo, hi) for i, lo, hi in zip(rows["id"], rows["lo"], rows["hi"], strict=True)]
+        heapq.heapify(heap)
+        begins: list[float] = []  # of the spans taken, which don't overlap, in order; and their ends
+        ends: list[float] = []
         out = []
-        while left:
-            best = min(left, key=lambda s: (s[1] - s[2], s[0], s[1]))
-            left.remove(best)
-            out.append((rows["line"].iloc[0], len(out) + 1, *best))
-            left = [(i, a, b) for i, lo, hi in left for a, b in ((lo, min(hi, best[1])), (max(lo, best[2]), hi)) if b > a]
-        return pd.DataFrame(out, columns=["line", "place", "id", "lo", "hi"])
-
-    return spans.groupBy("line").applyInPandas(run, "line long, place long, id long, lo double, hi double")
+        while heap:
+            _, i, lo, hi = heapq.heappop(heap)
+            left = []  # what no taken span covers
+            at, k = lo, bisect.bisect_right(ends, lo)
+            while k < len(begins) and begins[k] < hi:
+                if begins[k] > at:
+                    left.append((at, begins[k]))
+                at, k = max(at, ends[k]), k + 1
+            if at < hi:
+                left.append((at, hi))
+            if left == [(lo, hi)]:
+                k = bisect.bisect(begins, lo)
+                begins.insert(k, lo)
+                ends.insert(k, hi)
+                out.append((rows["line"].iloc[0], i, lo, hi))
+            else:
+                for a, b in left:
+                    heapq.heappush(heap, (a - b, i, a, b))
+        return pd.DataFrame(out, columns=["line", "id", "lo", "hi"])
+
+    kind = ", ".join(f"{c} {spans.schema[c].dataType.simpleString()}" for c in ("line", "id")) + ", lo double, hi double"
+    taken = clusters.groupBy("line", "cluster").applyInPandas(run, kind)
+    place = F.row_number().over(Window.partitionBy("line").orderBy(F.col("lo") - F.col("hi"), "id", "lo")).cast("long")
+    return taken.select("line", place.alias("place"), "id", "lo", "hi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +16,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label): label is the least id of the component. Nodes hook to their least neighbour and edges are contracted, in
-    rounds that shrink the graph; a node that many edges share is aggregated within map tasks first."""
+    """(id, label): label is the least id of the component.
+
+    In each round a node hooks to its neighbour of least priority if that is below its own, and edges are contracted. Priorities
+    are hashes that change from round to round, so nodes fall by a constant factor even on a path with sorted ids. A node that
+    many edges share is aggregated within map tasks first.
+    """
     links = edges.select("u", "v").where("u <> v")
     hooks = []
     while True:
-        hook = both_ways(links).groupBy(F.col("u").alias("id")).agg(F.min("v").alias("to"))
-        hook = written(hook.select("id", F.least("id", "to").alias("to")), "hook")
+        priority = lambda c: F.xxhash64(F.lit(len(hooks)), c)
+        hook = both_ways(links).groupBy(F.col("u").alias("id")).agg(F.min_by("v", priority("v")).alias("v"))
+        hook = written(hook.select("id", F.when(priority("v") < priority("id"), F.col("v")).otherwise(F.col("id")).alias("to")), "hook")
         hooks.append(hook)
         moved = links.join(hook.select(F.col("id").alias("u"), F.col("to").alias("a")), "u").join(hook.select(F.col("id").alias("v"), F.col("to").alias("b")), "v")
         links = written(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
@@ -36,17 +43,18 @@ def components(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None) -> DataFrame:
     """(id, d, via): shortest distance from the nearest of sources (id), up to a cutoff, and the node before (least of equals).
 
-    Rounds relax the edges of the nodes that improved in the round before, until none does.
+    Rounds relax the edges of the nodes that improved in the round before, until none does. A round writes these nodes alone.
     """
     ways = written(both_ways(edges.select("u", "v", "w")), "ways")
-    best = written(sources.select("id", F.lit(0.0).alias("d")).distinct(), "best")
-    front = best
-    while not front.isEmpty():
-        tried = front.join(ways, front["id"] == ways["u"]).select(F.col("v").alias("id"), (F.col("d") + F.col("w")).alias("d"))
+    fronts = [written(sources.select("id", F.lit(0.0).alias("d")).distinct(), "front")]
+    while not fronts[-1].isEmpty():
+        tried = fronts[-1].join(ways, F.col("id") == F.col("u")).select(F.col("v").alias("id"), (F.col("d") + F.col("w")).alias("d"))
         tried = tried.where(F.col("d") <= cutoff) if cutoff is not None else tried
-        merged = best.select("id", "d", F.lit(0).alias("new")).unionByName(tried.select("id", "d", F.lit(1).alias("new")))
-        merged = written(merged.groupBy("id").agg(F.min("d").alias("d"), F.min(F.when(F.col("new") == 0, F.col("d"))).alias("old")), "best")
-        best, front = merged.select("id", "d"), merged.where("old IS NULL OR d < old").select("id", "d")
+        tried = tried.groupBy("id").agg(F.min("d").alias("d"))
+        known = reduce(DataFrame.unionByName, fronts).withColumnRenamed("d", "had")
+        better = tried.join(known, "id", "left").groupBy("id").agg(F.first("d").alias("d"), F.min("had").alias("had"))
+        fronts.append(written(better.where("had IS NULL OR d < had").select("id", "d"), "front"))
+    best = written(reduce(DataFrame.unionByName, fronts).groupBy("id").agg(F.min("d").alias("d")), "best")
     came = ways.select(F.col("v").alias("id"), F.col("u").alias("via"), "w").join(best.select(F.col("id").alias("via"), F.col("d").alias("dv")), "via")
     came = came.join(best, "id").where(F.abs(F.col("dv") + F.col("w") - F.col("d")) <= 1e-9 * (1 + F.col("d"))).where("d > 0")
     return best.join(came.groupBy("id").agg(F.min("via").alias("via")), "id", "left")
@@ -91,23 +99,23 @@ def network_phases(reaches: DataFrame) -> DataFrame:
     Distances to the root come from doubling pointers, so rounds are the logarithm of the longest way.
     """
     known = reaches.select(F.col("id").alias("down"), F.lit(True).alias("known"))
+    length = F.greatest("len", F.lit(1e-5))
     at = reaches.join(known, "down", "left").select(
-        "id", F.when(F.col("known"), F.col("down")).alias("to"), F.greatest("len", F.lit(1e-5)).alias("sum"), F.greatest("len", F.lit(1e-5)).alias("len")
+        "id", F.when(F.col("known"), F.col("down")).alias("to"), F.when(F.col("known").isNull(), F.col("id")).alias("root"), length.alias("sum"), length.alias("len")
     )
     at = written(at, "phases")
-    for _ in range(64):
-        if at.where("to IS NOT NULL").isEmpty():
+    for _ in range(at.count().bit_length() + 1):
+        if at.where("root IS NULL").isEmpty():
             break
-        further = at.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("sum").alias("sum2"))
-        at = written(at.join(further, "to", "left").select("id", F.col("to2").alias("to"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), "len"), "phases")
+        further = at.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("root").alias("root2"), F.col("sum").alias("sum2"))
+        doubled = F.col("sum") + F.coalesce("sum2", F.lit(0.0))
+        at = written(at.join(further, "to", "left").select("id", F.col("to2").alias("to"), F.coalesce("root", "root2").alias("root"), doubled.alias("sum"), "len"), "phases")
     else:
-        raise ValueError("the network has a cycle")
-    roots = components(reaches.join(known, "down", "left_semi").select(F.col("id").alias("u"), F.col("down").alias("v")))
-    named = at.join(roots, "id", "left").withColumn("net", F.coalesce("label", "id"))
-    whole = Window.partitionBy("net")
-    span = F.max("sum").over(whole)
-    begin = 1 - F.col("sum") / span
-    return named.select("id", "net", begin.alias("begin"), (begin + F.col("len") / span).alias("end"))
+        if not at.where("root IS NULL").isEmpty():
+            raise ValueError("the network has a cycle")
+    spans = at.groupBy("root").agg(F.max("sum").alias("span"))
+    begin = 1 - F.col("sum") / F.col("span")
+    return at.join(spans, "root").select("id", "root", begin.alias("begin"), (begin + F.col("len") / F.col("span")).alias("end"))
 
 
 def width_weights(q: DataFrame, column: str) -> DataFrame:

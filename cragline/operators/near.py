@@ -9,21 +9,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def near_pairs(points: DataFrame, radius: float) -> DataFrame:
-    """(u, v, d) of each unordered pair within the radius once, u < v."""
-    return _reach(points, points, radius).where("u < v")
+def near_pairs(points: DataFrame, radius: float, *by: str) -> DataFrame:
+    """(u, v, d) of each unordered pair within the radius once, u < v. by: columns in which both must be equal; they are kept."""
+    return _reach(points, points, radius, *by).where("u < v")
 
 
-def _reach(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
+def _reach(a: DataFrame, b: DataFrame, radius: float, *by: str) -> DataFrame:
     def cell(axis: str):
         return F.floor(F.col(axis) / radius).cast("long")
 
     around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    left = a.select(F.col("id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"), cell("x").alias("cx"), cell("y").alias("cy"))
-    left = left.withColumn("_i", around).withColumn("_j", around).select("u", "ux", "uy", (F.col("cx") + F.col("_i")).alias("cx"), (F.col("cy") + F.col("_j")).alias("cy"))
-    right = b.select(F.col("id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"), cell("x").alias("cx"), cell("y").alias("cy"))
+    left = a.select(*by, F.col("id").alias("u"), F.col("x").alias("ux"), F.col("y").alias("uy"), cell("x").alias("cx"), cell("y").alias("cy"))
+    left = left.withColumn("_i", around).withColumn("_j", around).select(*by, "u", "ux", "uy", (F.col("cx") + F.col("_i")).alias("cx"), (F.col("cy") + F.col("_j")).alias("cy"))
+    right = b.select(*by, F.col("id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"), cell("x").alias("cx"), cell("y").alias("cy"))
     d = F.sqrt(F.pow(F.col("ux") - F.col("vx"), 2) + F.pow(F.col("uy") - F.col("vy"), 2))
-    return left.join(right, ["cx", "cy"]).select("u", "v", d.alias("d")).where(F.col("d") <= radius)
+    return left.join(right, [*by, "cx", "cy"]).select(*by, "u", "v", d.alias("d")).where(F.col("d") <= radius)
 
 
 def nearest(points: DataFrame, radius: float, k: int) -> DataFrame:

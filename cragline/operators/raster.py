@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -31,27 +33,43 @@ def clamp_negative(cells: DataFrame) -> DataFrame:
     return cells.withColumn("z", F.when(~F.isnan("z") & (F.col("z") < 0), 0.0).otherwise(F.col("z")))
 
 
-def sea_level(cells: DataFrame, land: Column, floor: float, min_patch: int, rounds: int) -> DataFrame:
-    """Cells below 0: on land, patches (4-connected) of min_patch cells or more are held to floor; all others become 0.
-
-    Patches grow by rounds of taking the least label along runs of a row, then of a column; a patch in a tile of side n is
-    settled after at most n * n / 2 rounds, and in practice after few. rounds bounds them; labels are checked and an error raised
-    where they haven't settled.
+def patch_sizes(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Of distinct cells, how many lie in each one's 4-connected patch."""
+    wide = int(c.max()) + 2
+    at = r.astype(np.int64) * wide + c
+    order = np.argsort(at)
+    at = at[order]
+    ends = []
+    for step in (1, wide):  # pairs of neighbours, as places in at
+        place = np.searchsorted(at, at + step)
+        found = np.flatnonzero((place < len(at)) & (at[np.minimum(place, len(at) - 1)] == at + step))
+        ends.append((found, place[found]))
+    u, v = (np.concatenate(x) for x in zip(*ends, strict=True))
+    label = np.arange(len(at))
+    while len(u):
+        low, high = np.minimum(label[u], label[v]), np.maximum(label[u], label[v])
+        np.minimum.at(label, high, low)  # roots hook to the least root they meet
+        while (label != label[label]).any():
+            label = label[label]
+        apart = label[u] != label[v]
+        u, v = u[apart], v[apart]
+    sizes = np.empty(len(at), np.int64)
+    sizes[order] = np.bincount(label, minlength=len(at))[label]
+    return sizes
+
+
+def sea_level(cells: DataFrame, land: Column, floor: float, min_patch: int) -> DataFrame:
+    """Cells below 0: on land, patches (4-connected, within a tile) of min_patch cells or more are held to floor; all others become 0.
+
+    Only cells below 0 are dealt by tile, to be labelled; a tile of them is a task's.
     """
     below = cells.where(~F.isnan("z") & (F.col("z") < 0) & land).select("tile", "r", "c")
-    side = 1 << 20
-    labels = below.withColumn("label", F.col("r").cast("long") * side + F.col("c"))
-    runs_r = F.col("c") - F.row_number().over(along_row())
-    runs_c = F.col("r") - F.row_number().over(along_column())
-    labels = labels.withColumn("run_r", runs_r).withColumn("run_c", runs_c)
-    for _ in range(rounds):
-        labels = labels.withColumn("label", F.min("label").over(Window.partitionBy("tile", "r", "run_r")))
-        labels = labels.withColumn("label", F.min("label").over(Window.partitionBy("tile", "c", "run_c")))
-    settled = F.min("label").over(Window.partitionBy("tile", "r", "run_r")) == F.col("label")
-    patch = F.count(F.lit(1)).over(Window.partitionBy("tile", "label"))
-    labels = labels.withColumn("ok", settled).withColumn("size", patch)
-    size = F.when(F.col("ok"), F.col("size")).otherwise(F.raise_error(F.lit("patches have not settled; give more rounds")))
-    joined = cells.join(labels.select("tile", "r", "c", size.alias("size")), ["tile", "r", "c"], "left")
+
+    def run(tile: pd.DataFrame) -> pd.DataFrame:
+        return tile.assign(size=patch_sizes(tile["r"].to_numpy(), tile["c"].to_numpy()))
+
+    sized = below.groupBy("tile").applyInPandas(run, f"tile {cells.schema['tile'].dataType.simpleString()}, r int, c int, size long")
+    joined = cells.join(sized, ["tile", "r", "c"], "left")
     kept = F.when(F.col("size") >= min_patch, F.greatest(F.col("z"), F.lit(floor))).otherwise(0.0)
     return joined.withColumn("z", F.when(~F.isnan("z") & (F.col("z") < 0), kept).otherwise(F.col("z"))).drop("size")
 
@@ -135,17 +153,17 @@ def height_curve(cells: DataFrame, low: Column, high: Column, bottom: float, hei
 
 
 def contour_levels(ranges: DataFrame, threshold: float, fine: float, coarse: float) -> DataFrame:
-    """(tile, level) of ranges (tile, low, high): fine steps up to the threshold, coarse above, each once."""
-    eps, low, high = 1e-9, F.col("low"), F.col("high")
-    first = F.floor(low / fine).cast("long")
-    fine_n = F.floor((F.least(high, F.lit(threshold)) - first * fine) / fine + 1 - eps).cast("long")
-    fine_levels = F.when(low <= threshold + eps, F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(fine_n, F.lit(0))), lambda i: (first + i) * fine), lambda z: z <= threshold + eps))
-    start = F.greatest(F.ceil((F.lit(threshold) + eps) / coarse), F.floor(low / coarse)).cast("long")
-    coarse_n = F.floor((high - start * coarse) / coarse + 1 - eps).cast("long")
-    above = F.when((high > threshold + eps) & (coarse_n >= 0), F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(coarse_n, F.lit(0))), lambda i: (start + i) * coarse), lambda z: z > threshold + eps))
-    none = F.array().cast("array<double>")
-    levels = F.array_distinct(F.concat(F.coalesce(fine_levels, none), F.coalesce(above, none)))
-    return ranges.select("tile", F.explode(levels).alias("level"))
+    """(tile, level) of ranges (tile, low, high): multiples of fine up to the threshold and of coarse above it, from the last at or below low
+    to the first at or above high. Multiples are counted in whole numbers, so each level comes once."""
+    def multiples(step: float, first: Column, last: Column) -> Column:
+        some = F.transform(F.sequence(first.cast("long"), last.cast("long")), lambda k: k * F.lit(step))
+        return F.when(first <= last, some).otherwise(F.array().cast("array<double>"))
+
+    low, high = F.col("low"), F.col("high")
+    most = lambda step: math.floor(threshold / step + 1e-9)
+    below = multiples(fine, F.floor(low / fine), F.least(F.ceil(high / fine), F.lit(most(fine))))
+    above = multiples(coarse, F.greatest(F.floor(low / coarse), F.lit(most(coarse) + 1)), F.when(high > threshold, F.ceil(high / coarse)).otherwise(F.lit(most(coarse))))
+    return ranges.select("tile", F.explode(F.concat(below, above)).alias("level"))
 
 
 def contour_crossings(cells: DataFrame, interval: float) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cragline.functions import solar
 from cragline.operators import events as ev
 from cragline.plans import fixtures as fx
+from cragline.session import table
 
 AT_MS = 43_200_000
 _TIME = {"day_of_year": "dayofyear(ts)", "year_days": "(CASE WHEN (year(ts) % 4 = 0 AND year(ts) % 100 <> 0) OR year(ts) % 400 = 0 THEN 366.0 ELSE 365.0 END::DOUBLE)", "hour": "((epoch_us(ts) % 86400000000) / 3.6e9::DOUBLE)"}
@@ -45,8 +46,6 @@ def solar_events_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def solar_day_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each brand, the strongest light of the day on any of its surfaces, held to 0.1..1."""
-    from cragline.session import table
-
     k = F.col("p_partkey")
     normal = {"nx": (k % 7 - 3) / 6.0, "ny": (k % 5 - 2) / 6.0}
     parts = table(spark, sf_dir, "part").select("p_brand", *[v.alias(n) for n, v in normal.items()])
@@ -103,6 +102,57 @@ def day_compile_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.compile_day(fx.skylines(spark, sf_dir), fx.ANGLES, fx.DAY, fx.LATITUDE, fx.LONGITUDE)
 
 
+NOON = 43_200
+
+
+def day_lit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cell's state at noon, directly from the sun and its horizon."""
+    lit = ev.lit_at(F.col("elevations"), fx.ANGLES, fx.DAY, NOON, fx.LATITUDE, fx.LONGITUDE)
+    return fx.skylines(spark, sf_dir).select("cell", lit.alias("lit"))
+
+
+def day_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state from the day's compiled transitions: the state at the day's start, flipped by each one until noon."""
+    skylines = fx.skylines(spark, sf_dir)
+    initial = skylines.select("cell", ev.lit_at(F.col("elevations"), fx.ANGLES, fx.DAY, 0, fx.LATITUDE, fx.LONGITUDE).alias("initial"))
+    return ev.state_at(initial, ev.compile_day(skylines, fx.ANGLES, fx.DAY, fx.LATITUDE, fx.LONGITUDE), F.lit(NOON * 1000))
+
+
+def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(t_ms, place, cell): transitions in order of time, with their place in it (equal times by cell)."""
+    toggles = fx.toggles(spark, sf_dir).groupBy("t_ms", "cell").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("t_ms", "cell")
+    within = F.row_number().over(Window.partitionBy("t_ms").orderBy("cell"))
+    ends = ev.timeline(toggles).select("t_ms", (F.col("end") - F.col("n_events")).alias("before"))
+    return toggles.withColumn("k", within).join(ends, "t_ms").select("t_ms", (F.col("before") + F.col("k")).alias("place"), "cell")
+
+
+ZONES = ("Europe/Zurich", "America/New_York", "Asia/Tokyo", "Asia/Kolkata", "Australia/Lord_Howe")
+
+
+def zone_utc_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each day with orders and each zone, the UTC dates that the local day touches, and its length in minutes."""
+    days = table(spark, sf_dir, "orders").select(F.to_date(F.col("o_orderdate").cast("timestamp_ntz")).alias("day")).distinct()
+    zoned = days.withColumn("zone", F.explode(F.array(*[F.lit(z) for z in ZONES])))
+    return zoned.select(F.col("day").cast("string").alias("local_day"), "zone", F.explode(ev.utc_dates("day", "zone")).alias("utc_day"), ev.minutes_of_day("day", "zone").alias("minutes")).select(
+        "local_day", "zone", F.col("utc_day").cast("string").alias("utc_day"), "minutes"
+    )
+
+
+def day_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 05:00 to 21:00 of each day with events, an instant every 90 minutes."""
+    days = fx.events(spark, sf_dir).select(F.to_date("ts").alias("day")).distinct()
+    return days.select(F.explode(ev.bake_instants(F.col("day"), 90)).alias("at")).select(F.col("at").cast("string").alias("at"))
+
+
+def skyline_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of skylines, each XOR the one before."""
+    return ev.xor_deltas(_codes(spark, sf_dir))
+
+
+def skyline_xor_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ev.unxor(ev.xor_deltas(_codes(spark, sf_dir)))
+
+
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.skylines(spark, sf_dir).select("cell", F.posexplode("elevations").alias("k", "e")).select("cell", "k", F.rint(F.col("e") * 1000).cast("long").alias("code"))
 
@@ -117,8 +167,6 @@ def skyline_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each day of orders without events, the nearest day that has some (the earlier one of two)."""
-    from cragline.session import table
-
     ready = fx.events(spark, sf_dir).select(F.to_date("ts").alias("ready")).distinct()  # a row a day: small
     asked = table(spark, sf_dir, "orders").select(F.to_date(F.col("o_orderdate").cast("timestamp_ntz")).alias("day")).distinct()
     missing = asked.join(ready, asked["day"] == ready["ready"], "left_anti")
@@ -138,14 +186,14 @@ def _horizon_sql(azimuth: str) -> str:
 _LIT = lambda second: f"({_day_sql('altitude', second)} > 0 AND {_day_sql('altitude', second)}::FLOAT > {_horizon_sql(_day_sql('azimuth', second))})"
 _COMPILE = f"""
 WITH RECURSIVE cells AS (SELECT c_custkey AS cell FROM customer),
-states AS (SELECT cell, s, {_LIT('s')} AS lit FROM cells CROSS JOIN range(0, 86400, 600) t(s)),
+states AS (SELECT cell, s, {_LIT('s')} AS lit FROM cells CROSS JOIN range(0, 86401, 600) t(s)),
 changed AS (SELECT * FROM (SELECT cell, s, lit, lag(lit) OVER (PARTITION BY cell ORDER BY s) AS was FROM states) WHERE was <> lit),
 bis(cell, was, lo, hi, depth) AS (
   SELECT cell, was, (s - 600)::DOUBLE, s::DOUBLE, 0 FROM changed
   UNION ALL SELECT cell, was, CASE WHEN same THEN mid ELSE lo END, CASE WHEN same THEN hi ELSE mid END, depth + 1
-  FROM (SELECT *, (lo + hi) / 2 AS mid, {_LIT('(lo + hi) / 2')} = was AS same FROM bis WHERE depth < 10)
+  FROM (SELECT *, (lo + hi) / 2 AS mid, {_LIT('(lo + hi) / 2')} = was AS same FROM bis WHERE depth < 14)
 )
-SELECT cell, round_even((lo + hi) / 2 * 1000, 0)::BIGINT AS t_ms FROM bis WHERE depth = 10
+SELECT cell, round_even((lo + hi) / 2 * 1000, 0)::BIGINT AS t_ms FROM bis WHERE depth = 14
 """
 _CODES = f"codes AS (SELECT c_custkey AS cell, k::INT AS k, ((c_custkey * 31 + k * 17) % 70 * 500)::BIGINT AS code FROM customer CROSS JOIN range({fx.ANGLES}) t(k))"
 
@@ -166,7 +214,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "day_compile_bounded": day_compile_bounded,
     "skyline_delta_zigzag": skyline_delta_zigzag,
     "skyline_decode": skyline_decode,
-    "missing_days": missing_days,
+    "missing_days": missing_days, "day_lit": day_lit, "day_replay": day_replay, "event_order": event_order, "zone_utc_days": zone_utc_days,
+    "day_instants": day_instants, "skyline_xor": skyline_xor, "skyline_xor_decode": skyline_xor_decode,
 }
 
 _PARITY = f"""WITH {fx.TOGGLES} SELECT cell, (cell % 3 = 0) <> (count(*) FILTER (WHERE t_ms <= {AT_MS}) % 2 = 1) AS lit FROM toggles GROUP BY cell"""
@@ -208,6 +257,16 @@ SELECT event_id, round(h::DOUBLE, 3) AS horizon, alt::FLOAT > h AS above FROM h"
     "day_compile_bounded": _COMPILE,
     "skyline_delta_zigzag": f"WITH {_CODES}, d AS (SELECT cell, k, code - coalesce(lag(code) OVER (PARTITION BY cell ORDER BY k), 0) AS d FROM codes) SELECT cell, k, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS zz FROM d",
     "skyline_decode": f"WITH {_CODES} SELECT cell, k, code FROM codes",
+    "day_lit": f"SELECT c_custkey AS cell, {_LIT(NOON)} AS lit FROM (SELECT c_custkey, c_custkey AS cell FROM customer)",
+    "day_replay": f"SELECT c_custkey AS cell, {_LIT(NOON)} AS lit FROM (SELECT c_custkey, c_custkey AS cell FROM customer)",
+    "event_order": f"WITH {fx.TOGGLES}, odd AS (SELECT t_ms, cell FROM toggles GROUP BY ALL HAVING count(*) % 2 = 1) SELECT t_ms, row_number() OVER (ORDER BY t_ms, cell) AS place, cell FROM odd",
+    "zone_utc_days": f"""
+WITH days AS (SELECT DISTINCT o_orderdate::DATE AS day, zone FROM orders CROSS JOIN (SELECT unnest({list(ZONES)!r}) AS zone)),
+ends AS (SELECT *, timezone('UTC', timezone(zone, day::TIMESTAMP)) AS lo, timezone('UTC', timezone(zone, (day + 1)::TIMESTAMP)) AS hi FROM days)
+SELECT day::VARCHAR AS local_day, zone, unnest(generate_series(lo::DATE::TIMESTAMP, hi - INTERVAL 1 MICROSECOND, INTERVAL 1 DAY))::DATE::VARCHAR AS utc_day, date_diff('minute', lo, hi) AS minutes FROM ends""",
+    "day_instants": "SELECT strftime(d + to_minutes(300 + 90 * k), '%Y-%m-%d %H:%M:%S') AS at FROM (SELECT DISTINCT ts::DATE::TIMESTAMP AS d FROM events) CROSS JOIN range(11) t(k)",
+    "skyline_xor": f"WITH {_CODES} SELECT cell, k, xor(code, coalesce(lag(code) OVER (PARTITION BY cell ORDER BY k), 0)) AS x FROM codes",
+    "skyline_xor_decode": f"WITH {_CODES} SELECT cell, k, code FROM codes",
     "missing_days": """
 WITH ready AS (SELECT DISTINCT ts::DATE AS ready FROM events), asked AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders)
 SELECT day::VARCHAR AS day, arg_min(ready, struct_pack(o := abs(day - ready), r := ready))::VARCHAR AS nearest FROM asked CROSS JOIN ready

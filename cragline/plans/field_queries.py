@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from cragline.operators import fields as fi
 from cragline.plans import fixtures as fx
 
 S = fx.SIDE
+AZIMUTHS = (180.0, 60.0, 235.0)
 MARKED = "(r * 5 + c * 11 + tile) % 23 = 0"
 
 
@@ -19,7 +21,17 @@ def distance_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skyline_bake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fi.skyline(fx.filled_dem(spark, sf_dir), 500.0, 1.0).withColumn("elevation", F.round("elevation", 6))
+    return fi.skyline(fx.filled_dem(spark, sf_dir), S, 500.0, 1.0).withColumn("elevation", F.round("elevation", 6))
+
+
+def skyline_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skylines towards three azimuths, one along the grid and two oblique."""
+    return fi.skylines(fx.filled_dem(spark, sf_dir), S, 500.0, 1.0, AZIMUTHS).withColumn("elevation", F.round("elevation", 6))
+
+
+def ray_oblique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays that go two columns for each row, upwards on the map."""
+    return fi.rays(fx.filled_dem(spark, sf_dir), S, (1.0, -0.5), 25.0, 0.5)
 
 
 def ray_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +55,36 @@ def greedy_shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "distance_field": distance_field, "skyline_bake": skyline_bake, "ray_reference": ray_reference, "corridor_seams": corridor_seams,
-    "split_hysteresis": split_hysteresis, "greedy_shadow": greedy_shadow,
+    "split_hysteresis": split_hysteresis, "greedy_shadow": greedy_shadow, "skyline_directions": skyline_directions, "ray_oblique": ray_oblique,
 }
 
+def _sample_sql(of: str, x: str, y: str) -> tuple[str, str]:
+    """DuckDB FROM items: the four corners of the surface at (x, y) of rows of; and z there, NULL off the raster."""
+    corners = "".join(
+        f"\n  LEFT JOIN filled k{i}{j} ON k{i}{j}.tile = {of}.tile AND k{i}{j}.r = floor({y})::INT + {i} AND k{i}{j}.c = floor({x})::INT + {j}" for i in (0, 1) for j in (0, 1)
+    )
+    fx_, fy = f"({x} - floor({x}))", f"({y} - floor({y}))"
+    weigh = " + ".join(f"CASE WHEN {w} = 0 THEN 0 ELSE {w} * k{i}{j}.z END" for i, wy in ((0, f"(1 - {fy})"), (1, fy)) for j, wx in ((0, f"(1 - {fx_})"), (1, fx_)) for w in (f"({wy} * {wx})",))
+    return f"{corners} WHERE true", weigh
+
+
+_DIRECTIONS = ", ".join(f"({a}::DOUBLE, {round(math.sin(math.radians(a)), 12)!r}::DOUBLE, {round(-math.cos(math.radians(a)), 12)!r}::DOUBLE)" for a in AZIMUTHS)
+_AHEAD = _sample_sql("s", "(s.c + s.dx * s.k)", "(s.r + s.dy * s.k)")
+_ALONG = _sample_sql("s", "(s.c + s.k / 2.0::DOUBLE)", "(s.r - s.k / 4.0::DOUBLE)")
+
 ORACLES: dict[str, str] = {
+    "skyline_directions": f"""
+WITH {fx.FILLED}, s AS (SELECT tile, r, c, z, a, dx, dy, k FROM filled CROSS JOIN (VALUES {_DIRECTIONS}) v(a, dx, dy) CROSS JOIN range(1, 24) t(k)),
+seen AS (SELECT s.tile, s.r, s.c, a, s.z, k, {_AHEAD[1]} AS z2 FROM s {_AHEAD[0]})
+SELECT tile, r, c, a AS azimuth, round(greatest(0, degrees(atan(coalesce(max((z2 - z - 1) / (k * 500.0::DOUBLE)), 0)))), 6) AS elevation FROM seen GROUP BY ALL""",
+    # half steps; the middle and the end of each unit step with its begin give the quadratic
+    "ray_oblique": f"""
+WITH {fx.FILLED}, s AS (SELECT tile, r, c, z, k FROM filled CROSS JOIN range(0, {2 * S}) t(k)),
+e AS (SELECT s.tile, s.r, s.c, k, {_ALONG[1]} - s.z - 0.5 - 12.5 * k AS f FROM s {_ALONG[0]}),
+q AS (SELECT tile, r, c, k, f AS f0, lead(f, 1) OVER w AS f1, lead(f, 2) OVER w AS f2 FROM e WINDOW w AS (PARTITION BY tile, r, c ORDER BY k)),
+t AS (SELECT *, 2 * (f0 - 2 * f1 + f2) AS a, 4 * f1 - 3 * f0 - f2 AS b FROM q WHERE k % 2 = 0 AND f2 IS NOT NULL),
+hit AS (SELECT tile, r, c, bool_or(CASE WHEN a < 0 AND -b / (2 * a) > 0 AND -b / (2 * a) < 1 THEN f0 - b * b / (4 * a) ELSE greatest(f0, f2) END > 1e-3) AS h FROM t GROUP BY ALL)
+SELECT f.tile, f.r, f.c, coalesce(h, false) AS blocked FROM filled f LEFT JOIN hit h ON h.tile = f.tile AND h.r = f.r AND h.c = f.c""",
     "distance_field": f"""WITH {fx.FILLED}, m AS (SELECT tile, r AS r2, c AS c2 FROM filled WHERE {MARKED})
 SELECT f.tile, r, c, round(sqrt(min(pow(r - r2, 2) + pow(c - c2, 2))), 6) AS d FROM filled f LEFT JOIN m ON m.tile = f.tile GROUP BY f.tile, r, c""",
     "skyline_bake": f"""WITH {fx.FILLED} SELECT a.tile, a.r, a.c, round(greatest(0, degrees(coalesce(max(atan2(b.z - a.z - 1, (b.c - a.c) * 500.0::DOUBLE)), 0))), 6) AS elevation

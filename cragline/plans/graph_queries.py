@@ -161,6 +161,20 @@ ORACLES: dict[str, str] = {
     "near_knn": f"WITH {_PAIRS} SELECT u, v, round(d, 6) AS d, row_number() OVER (PARTITION BY u ORDER BY d, v)::INT AS place FROM pairs WHERE u <> v AND d > 0 QUALIFY place <= 3",
     "near_closest": f"WITH {_PAIRS} SELECT u // 3 % 5 AS a, v // 3 % 5 AS b, round(min(d), 6) AS d FROM pairs WHERE u // 3 % 5 < v // 3 % 5 GROUP BY 1, 2",
     "graph_components": f"{_COMPONENTS} SELECT id, label FROM comp",
+    # rounds of leaving out edges with an end of degree below two
+    "graph_two_core": f"""
+WITH RECURSIVE {_PAIRS}, core(n, u, v) AS (
+  SELECT 0, u, v FROM pairs WHERE u < v
+  UNION ALL (WITH now AS (SELECT * FROM core WHERE n < 100), ends AS (SELECT x FROM (SELECT u AS x FROM now UNION ALL SELECT v FROM now) GROUP BY x HAVING count(*) >= 2)
+    SELECT n + 1, u, v FROM now WHERE u IN (SELECT x FROM ends) AND v IN (SELECT x FROM ends))
+) SELECT u, v FROM core WHERE n = 100""",
+    # an edge belongs to the forest unless lesser edges join its ends
+    "graph_mst_bridges": f"""{_COMPONENTS},
+ranked AS (SELECT u, v, d, row_number() OVER (ORDER BY d, u, v) AS k FROM pairs WHERE u < v),
+ways AS (SELECT u, v, k FROM ranked UNION ALL SELECT v, u, k FROM ranked),
+walk(k, x) AS (SELECT k, u FROM ranked UNION SELECT w.k, y.v FROM walk w JOIN ways y ON y.u = w.x AND y.k < w.k),
+tree AS (SELECT r.* FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.k = r.k AND w.x = r.v))
+SELECT label AS component, count(*) AS n, round(sum(d), 4) AS total FROM tree t JOIN comp c ON c.id = t.u GROUP BY 1""",
     "graph_shortest_path": f"""
 WITH RECURSIVE {_PAIRS}, walk(id, d, n) AS (
   SELECT id, 0::DOUBLE, 0 FROM points WHERE id % 100 = 0

@@ -21,7 +21,8 @@ def dem_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raster_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    points = table(spark, sf_dir, "orders").select(k.alias("id"), (F.col("o_custkey") % 10).alias("tile"), (k * 37 % 1700 / 100.0 - 0.5).alias("y"), (k * 91 % 1700 / 100.0 - 0.5).alias("x"))
+    tiles = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("tiles"))  # one row
+    points = table(spark, sf_dir, "orders").crossJoin(F.broadcast(tiles)).select(k.alias("id"), (F.col("o_custkey") % F.col("tiles")).alias("tile"), (k * 37 % 1700 / 100.0 - 0.5).alias("y"), (k * 91 % 1700 / 100.0 - 0.5).alias("x"))
     return mp.nearest_sample(points, fx.filled_dem(spark, sf_dir), S).withColumn("z", F.round("z", 6))
 
 
@@ -67,8 +68,8 @@ def draw_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def local_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = fx.tracks(spark, sf_dir).where("lon < 10").groupBy("track").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.avg("lat").alias("lat"))
-    return boxes.select("track", m.utm_epsg(F.col("w"), F.col("e"), F.col("lat")).cast("long").alias("epsg"))
+    boxes = fx.tracks(spark, sf_dir).groupBy("track", F.floor(F.col("idx") / 3).alias("part")).agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.avg("lat").alias("lat"))
+    return boxes.select("track", "part", m.utm_epsg(F.col("w"), F.col("e"), F.col("lat")).cast("long").alias("epsg"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -85,7 +86,7 @@ _CORNERS = "[(0.5, 0.25), (14.5, 3.25), (2.5, 12.75), (9.5, 0.75), (12.25, 15.5)
 
 ORACLES: dict[str, str] = {
     "dem_resample": f"WITH {fx.DEM} SELECT tile, (r * 6 // {S})::INT AS r, (c * 6 // {S})::INT AS c, round(avg(z), 6) AS z FROM dem WHERE NOT isnan(z) GROUP BY 1, 2, 3",
-    "raster_lookup": f"""WITH {fx.FILLED}, p AS (SELECT o_orderkey AS id, o_custkey % 10 AS tile, greatest(0, least({S - 1}, round_even(o_orderkey * 37 % 1700 / 100.0::DOUBLE - 0.5, 0)))::INT AS r, greatest(0, least({S - 1}, round_even(o_orderkey * 91 % 1700 / 100.0::DOUBLE - 0.5, 0)))::INT AS c FROM orders)
+    "raster_lookup": f"""WITH {fx.FILLED}, p AS (SELECT o_orderkey AS id, o_custkey % (SELECT count(*) FROM supplier) AS tile, greatest(0, least({S - 1}, round_even(o_orderkey * 37 % 1700 / 100.0::DOUBLE - 0.5, 0)))::INT AS r, greatest(0, least({S - 1}, round_even(o_orderkey * 91 % 1700 / 100.0::DOUBLE - 0.5, 0)))::INT AS c FROM orders)
 SELECT id, round(coalesce(z, 0), 6) AS z FROM p LEFT JOIN filled f ON f.tile = p.tile AND f.r = p.r AND f.c = p.c""",
     "land_mask": f"""
 WITH {fx.FILLED}, p(i, x, y) AS (VALUES (0, 0.5::DOUBLE, 0.25::DOUBLE), (1, 14.5::DOUBLE, 3.25::DOUBLE), (2, 2.5::DOUBLE, 12.75::DOUBLE), (3, 9.5::DOUBLE, 0.75::DOUBLE), (4, 12.25::DOUBLE, 15.5::DOUBLE)),
@@ -115,5 +116,5 @@ SELECT tile, r, c, round(min(z) OVER (PARTITION BY tile, c ORDER BY r ROWS BETWE
     "draw_order": f"""WITH {fx.TRACKS}, res AS (SELECT *, 2 * pi() * {_M} / 256 / 512 AS res FROM tracks)
 SELECT floor((({_M} * radians(lon)) + pi() * {_M}) / res / 256)::BIGINT AS tx, floor((pi() * {_M} - {_M} * ln(tan(pi() / 4 + radians(lat) / 2))) / res / 256)::BIGINT AS ty,
   arg_max(track, struct_pack(e := ele, t := track, i := idx)) AS value FROM res GROUP BY 1, 2""",
-    "local_crs": f"WITH {fx.TRACKS}, b AS (SELECT track, min(lon) AS w, max(lon) AS e FROM tracks WHERE lon < 10 GROUP BY track) SELECT track, CASE WHEN e - w <= 6 THEN 32600 + least(floor(((w + e) / 2 + 180) / 6) + 1, 60) END::BIGINT AS epsg FROM b",
+    "local_crs": f"WITH {fx.TRACKS}, b AS (SELECT track, idx // 3 AS part, min(lon) AS w, max(lon) AS e FROM tracks GROUP BY ALL) SELECT track, part::BIGINT AS part, CASE WHEN e - w <= 6 THEN 32600 + least(floor(((w + e) / 2 + 180) / 6) + 1, 60) END::BIGINT AS epsg FROM b",
 }

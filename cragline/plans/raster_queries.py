@@ -29,7 +29,7 @@ def dem_clean_voids(spark: SparkSession, sf_dir: str, sea: float = SEA, void: fl
 
 def dem_sea_level(spark: SparkSession, sf_dir: str, sea: float = SEA, floor: float = -2000.0) -> DataFrame:
     cells = fx.dem(spark, sf_dir).withColumn("z", F.col("z") - sea)
-    done = ra.sea_level(cells, (F.col("r") * 7 + F.col("c") * 3) % 5 != 0, floor, 4, rounds=14)
+    done = ra.sea_level(cells, (F.col("r") * 7 + F.col("c") * 3) % 5 != 0, floor, 4)
     return done.select("tile", "r", "c", F.round(F.when(F.isnan("z"), None).otherwise(F.col("z")), 6).alias("z"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -31,10 +32,12 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, **conf: s
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and the master is local, a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_BASE:
         _LOCAL_BASE[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")

@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from cragline.functions import parse, solar
 from cragline.operators import events as ev
+from cragline.operators import graph
 from cragline.operators import graph as g
 from cragline.operators import near, scan, tiling
 from cragline.operators import raster as ra
@@ -49,10 +51,29 @@ def test_sea_level_keeps_large_land_patches(spark):
     assert math.isnan(found[7][0])
 
 
-def test_sea_level_says_when_patches_have_not_settled(spark):
+def test_sea_level_follows_a_snake(spark):
     snake = [[-1.0 if r % 2 == 0 or c == (15 if r % 4 == 1 else 0) else 1.0 for c in range(16)] for r in range(16)]
-    with pytest.raises(Exception, match="settled"):
-        ra.sea_level(grid(spark, snake), F.lit(True), -5.0, 4, rounds=1).collect()
+    found = table(ra.sea_level(grid(spark, snake), F.lit(True), -5.0, 16 * 8 + 7))
+    assert sum(v == -1.0 for v in found.values()) == 16 * 8 + 8
+    assert all(v >= 0 for v in table(ra.sea_level(grid(spark, snake), F.lit(True), -5.0, 16 * 8 + 9)).values())
+
+
+def test_patch_sizes_equal_flood_fill():
+    rng = np.random.default_rng(4)
+    for share in (0.3, 0.6, 0.9):
+        r, c = np.nonzero(rng.random((23, 31)) < share)
+        cells = set(zip(r.tolist(), c.tolist(), strict=True))
+        sizes = {}
+        while left := cells - sizes.keys():
+            patch, todo = set(), [min(left)]
+            while todo:
+                y, x = todo.pop()
+                if (y, x) in cells and (y, x) not in patch:
+                    patch.add((y, x))
+                    todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+            sizes |= dict.fromkeys(patch, len(patch))
+        order = rng.permutation(len(r))
+        assert ra.patch_sizes(r[order], c[order]).tolist() == [sizes[r[k], c[k]] for k in order]
 
 
 def test_network_phases_meet_at_confluences(spark):
@@ -97,7 +118,56 @@ def test_zigzag_round_trip(spark):
     assert sorted(map(tuple, ev.unzigzag(ev.zigzag_deltas(df)).collect())) == sorted(codes)
 
 
-@pytest.mark.parametrize(("text", "metres"), [("4,810 m", 4810), ("4810,5 m", 4810.5), ("100 ft", 30.48), ("unknown", None), ("", None), ("-12.5", -12.5)])
+def test_day_equals_plain_bisection(spark):
+    """Transitions of raw horizons against the same rule in plain Python, to the precision; the day's last step counts too."""
+    random.seed(24)
+    cells = [(i, [random.uniform(1, 25) for _ in range(24)]) for i in range(6)]
+    skylines = spark.createDataFrame(cells, "cell long, elevations array<float>")
+
+    def lit(elevations, second):
+        azimuth, altitude = solar.of_day("2026-10-25", np.float64(second), 45.95, 10.65)
+        q = azimuth * 24 / 360
+        e = [np.float32(elevations[(int(q) + k) % 24]) for k in (0, 1)]
+        return altitude > 0 and np.float32(altitude) > e[0] * np.float32(1 - q % 1) + e[1] * np.float32(q % 1)
+
+    wanted = []
+    for cell, elevations in cells:
+        for s in range(0, 86_400, 600):
+            low, high, was = s, s + 600, lit(elevations, s)
+            if lit(elevations, high) != was:
+                while high - low > 0.01:
+                    low, high = ((low + high) / 2, high) if lit(elevations, (low + high) / 2) == was else (low, (low + high) / 2)
+                wanted.append((cell, low * 1000))
+    found = sorted(map(tuple, ev.compile_day(skylines, 24, "2026-10-25", 45.95, 10.65).collect()))
+    assert [c for c, _ in found] == [c for c, _ in sorted(wanted)] and wanted
+    assert all(abs(t - w) <= 50 for (_, t), (_, w) in zip(found, sorted(wanted), strict=True))
+    polar = spark.createDataFrame([(1, [0.5] * 24)], "cell long, elevations array<float>")
+    assert ev.compile_day(polar, 24, "2026-10-25", 45.95, 180.0, step=7000).count() == 2  # noon at 0 h: light until evening, and from morning on
+
+
+@pytest.mark.parametrize(("day", "zone", "dates", "minutes"), [
+    ("2026-10-27", "Europe/Zurich", ["2026-10-26", "2026-10-27"], 1440), ("2026-03-29", "Europe/Zurich", ["2026-03-28", "2026-03-29"], 1380),
+    ("2026-10-27", "Asia/Tokyo", ["2026-10-26", "2026-10-27"], 1440), ("2026-10-27", "UTC", ["2026-10-27"], 1440),
+])
+def test_local_days(spark, day, zone, dates, minutes):
+    row = spark.createDataFrame([(day, zone)], "d string, zone string").withColumn("day", F.to_date("d")).select(ev.utc_dates("day", "zone").alias("dates"), ev.minutes_of_day("day", "zone").alias("m")).first()
+    assert [str(d) for d in row["dates"]] == dates and row["m"] == minutes
+
+
+def test_components_of_a_sorted_path(spark):
+    """10,000 nodes in a row: rounds grow with the logarithm."""
+    path = spark.range(9_999).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    before, rounds = graph.written, []
+    graph.written = lambda df, name: rounds.append(name) or before(df, name)
+    try:
+        found = graph.components(path.unionByName(spark.createDataFrame([(20_000, 20_001)], "u long, v long")))
+        assert sorted(map(tuple, found.groupBy("label").count().collect())) == [(0, 10_000), (20_000, 2)]
+    finally:
+        graph.written = before
+    assert rounds.count("hook") <= 20
+
+
+@pytest.mark.parametrize(("text", "metres"), [("1,234,567 ft", 1234567 * 0.3048), ("12,5", 12.5), ("nan", None), ("1e3", None), ("3 miles", None), ("4810 Metres", 4810), ("4,810 m",  4810), ("4810,5 m", 4810.5), ("100 ft", 30.48), ("unknown", None), ("", None), ("-12.5", -12.5)])
 def test_elevation_text(spark, text, metres):
     found = spark.createDataFrame([(text,)], "t string").select(parse.elevation(F.col("t")).alias("m")).first()["m"]
     assert found == (metres if metres is None else pytest.approx(metres))

@@ -91,7 +91,13 @@ def test_distance_field_of_an_unmarked_tile_is_null(spark):
     ([[0.0, 4.0], [0.0, 0.0]], (0, 1), (0.8, -0.6), 3.1, False),
 ])
 def test_rays(z, at, direction, bias, blocked):
-    assert fi.ray_blocked(np.array(z), *at, *direction, 0.0, bias) is blocked
+    assert bool(fi.blocked(np.array(z), *direction, 0.0, bias)[at[1], at[0]]) is blocked
+
+
+def test_rays_without_direction_meet_nothing():
+    assert not fi.blocked(np.array([[0.0, 9.0], [9.0, 9.0]]), 0.0, 0.0, -1.0, 0.0).any()
+    with pytest.raises(ValueError, match="finite"):
+        fi.blocked(np.zeros((2, 2)), float("nan"), 0.0, 0.0, 0.0)
 
 
 def test_rays_equal_dense_sampling():
@@ -110,7 +116,7 @@ def test_rays_equal_dense_sampling():
             s = z[cy, cx] * (1 - u) * (1 - v) + z[cy, cx + 1] * u * (1 - v) + z[cy + 1, cx] * (1 - u) * v + z[cy + 1, cx + 1] * u * v
             best = max(best, s - z[y, x] - 1.0 - 0.4 * t)
         if abs(best) > 0.05:
-            assert fi.ray_blocked(z, x, y, dx, dy, 0.4, 1.0) == (best > 0)
+            assert fi.blocked(z, dx, dy, 0.4, 1.0)[y, x] == (best > 0)
 
 
 def test_splits_and_shadows_equal_plain_folds(spark):
@@ -131,3 +137,24 @@ def test_splits_and_shadows_equal_plain_folds(spark):
     assert found == pytest.approx(wanted)
     spans = spark.createDataFrame([(1, 1, 0.0, 5.0), (1, 2, 4.0, 12.0), (1, 3, 11.0, 13.0), (1, 4, 5.0, 6.0)], "line long, id long, lo double, hi double")
     assert [tuple(r)[2:] for r in fi.longest_shadows(spans).orderBy("place").collect()] == [(2, 4.0, 12.0), (1, 0.0, 4.0), (3, 12.0, 13.0)]
+
+
+def test_many_shadows_equal_plain_rounds(spark):
+    random.seed(7)
+    spans = [(line, i % 90, float(lo), float(lo + random.randint(1, 12))) for line in (1, 2) for i in range(120) for lo in [random.randint(0, 150)]]
+    wanted = []
+    for line in (1, 2):
+        left, place = [s[1:] for s in spans if s[0] == line], 0
+        while left:
+            i, a, b = min(left, key=lambda s: (s[1] - s[2], s[0], s[1]))
+            place += 1
+            wanted.append((line, place, i, a, b))
+            left = [(k, p, q) for k, lo, hi in left for p, q in ((lo, min(hi, a)), (max(lo, b), hi)) if q > p]
+    found = fi.longest_shadows(spark.createDataFrame(spans, "line long, id long, lo double, hi double"))
+    assert sorted(map(tuple, found.collect())) == wanted
+
+
+def test_flat_stretches_do_not_turn_a_line(spark):
+    values = [0, 1, 1, 3, 2, 2, 1.5, 1.5, 0, 0, 2]
+    df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(values)] + [(2, 0, 5.0)], "line long, idx int, v double")
+    assert [tuple(r) for r in fi.reversal_splits(df, "v", 2.0).orderBy("piece").collect()] == [(1, 0, 1.0), (1, 1, 2.0)]
