@@ -13,7 +13,7 @@ m / (a + b - m)), in the exhaustive pairing also from histograms of the sets, an
 of the 20 bands with a probability of 4e-7.
 
 Scale: texts are read once for sketches and shuffled once for the sets of candidates. Components come from rounds of
-hooking each node to its least neighbour and contracting the links, on tables written to the shared folder; no table of
+hooking nodes to neighbours of least priority and contracting the links, on tables written to the shared folder; no table of
 all documents reaches the driver or one task. Joins on hot keys are plain joins between exchanges, which adaptive
 execution splits; the exhaustive pairing joins on bucket and size class, so a large group meets only partners whose size
 the bound allows.
@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cragline.operators import graph
 from cragline.session import written
 
 COORDINATES = 80
@@ -104,9 +105,9 @@ def set_id(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, high, low, bands) of rows (doc_id, text)."""
+    """(doc_id, own, n, high, low, bands) of rows (doc_id, text, own)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n", "high", "low", "bands"]
+    names = ["doc_id", "own", "n", "high", "low", "bands"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -121,10 +122,10 @@ def _sketched(docs: DataFrame) -> DataFrame:
                         high.append(pair[0])
                         low.append(pair[1])
                         bands.append(band_keys(sketch(own)) if len(own) else [])
-                    columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                    columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, high long, low long, bands array<long>")
+    return docs.mapInArrow(run, f"doc_id {kind}, own binary, n long, high long, low long, bands array<long>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -179,24 +180,8 @@ def _common_bound(a: str, b: str) -> Column:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of rows (a, b): label is one node of the component. Nodes without links have no row."""
-    hooks = []
-    while True:
-        both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
-        hook = written(hook.select("node", F.least("node", "least").alias("to")), "hooks")
-        hooks.append(hook)
-        links = links.join(hook.select(F.col("node").alias("a"), F.col("to").alias("a2")), "a")
-        links = links.join(hook.select(F.col("node").alias("b"), F.col("to").alias("b2")), "b")
-        links = links.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct()
-        links = written(links, "links")
-        if links.isEmpty():
-            break
-    labels = hooks[0].withColumnRenamed("to", "label")
-    for hook in hooks[1:]:
-        labels = labels.join(hook.withColumnsRenamed({"node": "label", "to": "further"}), "label", "left")
-        labels = labels.select("node", F.coalesce("further", "label").alias("label"))
-    return written(labels, "labels")
+    """(node, label) of rows (a, b): label is the least node of the component. Nodes without links have no row."""
+    return written(graph.components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("id", "node"), "labels")
 
 
 #: Size classes of the exhaustive pairing grow by this factor.
@@ -207,9 +192,11 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own: Column | None = None) -> DataFrame:
+    """(doc_id, own, n, component, component_id) for every row of docs: component is one number for each component, null for a document
+    without words, and component_id its least id. own is any binary value of a row that is to be carried along."""
+    carried = F.lit(None).cast("binary") if own is None else own
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), carried.alias("own"))
     rows = written(_sketched(base), "sketches")
     classes = rows.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -218,7 +205,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     members = written(members.join(shared, "key"), "members")
     candidates = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "high", "low")
-    sets = written(_sets(candidates.join(base, F.col("rep").eqNullSafe(F.col("doc_id")))), "sets")
+    sets = written(_sets(candidates.join(base.drop("own"), F.col("rep").eqNullSafe(F.col("doc_id")))), "sets")
 
     owned = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"))
     owned = owned.where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
@@ -260,11 +247,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = labels.join(classes.select("node", "rep"), "node")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    named = written(labels.join(least, "label").select("node", "component_id"), "components")
-    place = classes.join(named, "node", "left").select("high", "low", F.coalesce("component_id", "rep").alias("component_id"))
-    full = rows.where("n > 0").select("doc_id", "n", "high", "low").join(written(place, "places"), ["high", "low"])
-    empty = rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = full.select("doc_id", "n", "component_id").unionByName(empty)
+    named = written(labels.join(least, "label").select("node", "label", "component_id"), "components")
+    place = classes.join(named, "node", "left")
+    place = place.select("high", "low", F.coalesce("label", "node").alias("component"), F.coalesce("component_id", "rep").alias("component_id"))
+    full = rows.where("n > 0").select("doc_id", "own", "n", "high", "low").join(written(place, "places"), ["high", "low"])
+    empty = rows.where("n = 0").select("doc_id", "own", "n", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return full.select(*empty.columns).unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs."""
+    out = groups(docs, id_col, text_col)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

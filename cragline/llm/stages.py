@@ -1,56 +1,103 @@
-"""Pipeline stages: each takes documents and returns documents (all columns of its input), but for the last, which encodes."""
+"""Pipeline stages: each takes documents and returns documents (all columns of its input), but for the last, which encodes.
+
+Columns that a stage adds on its way have names that its input doesn't use, so no column of the input is lost or mistaken.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragline.llm import bpe, language, mixing, neardup, secrets
-from cragline.llm.text import word_count
+from cragline.llm.text import text_or_empty, word_count
 from cragline.session import scratch_path
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to be new to docs, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    depth = 1
+    while any("_" * depth + n in taken for n in names):
+        depth += 1
+    return ["_" * depth + n for n in names]
+
+
 def keep_known_language(docs: DataFrame) -> DataFrame:
-    """Documents whose language identification doesn't reject; dictionaries are learnt from the documents' own languages."""
-    found = language.identify(docs, language.learn(docs), out="_language")
-    return found.where(~F.col("_language.rejected")).select(*docs.columns)
+    """Documents whose language identification doesn't reject; dictionaries are learnt from the documents' own languages.
+
+    Null text, text without letters and narrow margins go; a null id or language stays if its text is known; repeated rows are
+    judged alike and all stay; an empty table stays empty.
+    """
+    (found,) = fresh(docs, "language")
+    return language.identify(docs, language.learn(docs), out=found).where(~F.col(f"{found}.rejected")).select(*docs.columns)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; documents with a null id stay."""
-    kept = neardup.near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.where(F.col("doc_id").isNull()))
+    """One document of each group of near duplicates: of those with the smallest id the one whose text has the least hash.
+
+    Null ids come after all others, and are grouped like others; a repeated row stays once; documents without words are in no group
+    and all stay; an empty table stays empty.
+    """
+    own, place, digest, blank = fresh(docs, "own", "place", "digest", "blank")
+    hashed = F.unhex(F.sha2(text_or_empty(F.col("text")).cast("binary"), 256))
+    found = neardup.groups(docs, own=hashed).where("component IS NOT NULL")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")).alias("first"))
+    best = best.select(F.col("first.doc_id").alias(place), F.col("first.own").alias(digest))
+    marked = docs.withColumns({own: hashed, blank: word_count(F.col("text")) == 0})
+    kept = marked.where(~F.col(blank)).join(best, F.col("doc_id").eqNullSafe(F.col(place)) & (F.col(own) == F.col(digest)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).select(*docs.columns).unionByName(marked.where(blank).select(*docs.columns))
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """Documents with secrets replaced by a mark, and n_chars after that; all documents stay."""
+    """Documents with secrets replaced by a mark, and n_chars (if there is such a column) after that; all documents stay.
+
+    Null text stays null; repeated rows are redacted alike; an empty table stays empty.
+    """
+    blob, spans = fresh(docs, "blob", "spans")
     ledger = scratch_path(docs.sparkSession, "ledger")
-    versions = docs.select(F.col("doc_id").alias("path"), "text")
-    secrets.scan_versions(versions, ledger)
-    known = secrets.read_ledger(docs.sparkSession, ledger).where(F.size("found") > 0).select(F.col("blob").alias("_blob"), F.col("found").alias("_found"))
-    joined = docs.withColumn("_blob", secrets.blob_id(F.coalesce("text", F.lit("")))).join(known, "_blob", "left")
-    clean = F.when(F.col("_found").isNotNull(), secrets.redact(F.col("text"), F.col("_found"))).otherwise(F.col("text"))
-    out = joined.withColumn("text", clean)
-    sized = F.when(F.col("_found").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", sized).select(*docs.columns)
+    secrets.scan_versions(docs.select(F.col("doc_id").alias("path"), "text"), ledger)
+    known = secrets.findings(docs.sparkSession, ledger).select(F.col("blob").alias(blob), F.col("found").alias(spans))
+    joined = docs.withColumn(blob, secrets.blob_id(text_or_empty(F.col("text")))).join(known, blob, "left")
+    hit = F.col(spans).isNotNull()
+    out = joined.withColumn("text", F.when(hit, secrets.redact(F.col("text"), F.col(spans))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """Each document as often as the mix takes it. Rows alike in id and size are taken alike."""
-    mixed = mixing.mix_sources(docs).where("copies > 0")
-    mixed = mixed.groupBy(_key(F.col("id")).alias("_key"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies"))
-    keyed = docs.withColumns({"_key": _key(F.col("doc_id")), "_size": word_count(F.col("text"))})
-    taken = keyed.join(mixed, ["_key", "_size"])
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
-
-
-def _key(id_col):
-    return F.coalesce(id_col.cast("string"), F.lit("null"))
+    """Each document as often as the mix takes it.
+
+    Null text has no words and is left out; a null id or source is a value like others; rows alike in id, source and size share
+    what the mix takes of them, as evenly as it goes; an empty table stays empty.
+    """
+    key, origin, size, rows, copies, count, before, copy = fresh(docs, "key", "origin", "size", "rows", "copies", "count", "before", "copy")
+    taken = mixing.entries(docs).where("n > 0").select(
+        _text(F.col("id")).alias(key), _text(F.col("source")).alias(origin), F.col("size").alias(size), F.col("n").alias(rows),
+        (F.col("whole") * F.col("n") + F.col("extra")).alias(copies),
+    ).where(F.col(copies) > 0)
+    keyed = docs.select("*", _text(F.col("doc_id")).alias(key), _text(F.col("source")).alias(origin), word_count(F.col("text")).alias(size))
+    joined = keyed.join(taken, [key, origin, size])
+    single = joined.where(F.col(rows) == 1).select(*docs.columns, F.col(copies).alias(copy))
+    alike = joined.where(F.col(rows) > 1).groupBy(*docs.columns, key, origin, size, rows, copies).agg(F.count(F.lit(1)).alias(count))
+    order = Window.partitionBy(key, origin, size).orderBy(F.xxhash64(*docs.columns)).rowsBetween(Window.unboundedPreceding, -1)
+    alike = alike.withColumn(before, F.coalesce(F.sum(count).over(order), F.lit(0)))
+    more = F.greatest(F.lit(0), F.least(F.col(count), F.col(copies) % F.col(rows) - F.col(before)))
+    alike = alike.select(*docs.columns, (F.col(count) * F.floor(F.col(copies) / F.col(rows)) + more).alias(copy))
+    every = single.unionByName(alike).where(F.col(copy) > 0)
+    return every.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy).cast("long"))).alias(copy)).select(*docs.columns)
+
+
+def _text(value: Column) -> Column:
+    """A value as a join key; null is one."""
+    return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit(""))
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids); the digests are those of the returned ids and of what they decode to."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids); the digests are those of the returned ids and of what they decode to.
+
+    Null text has no ids; repeated rows give repeated rows; an empty table stays empty.
+    """
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -89,6 +90,21 @@ def test_ledger_scans_only_unseen_blobs(spark, tmp_path):
     assert secrets.read_ledger(spark, ledger).count() == 3
 
 
+def test_many_secrets_in_one_text(spark):
+    text = " ".join(f"token=abcdefgh{i}" for i in range(3000))
+    row = secrets.op1(documents(spark, [(1, text, "en", "a")])).first()
+    wanted = spans_of(text)
+    assert row["n_assign"] == 3000 and row["spans"] == ",".join(f"{secrets.RULES[k][0]}:{a}:{b}" for a, k, b in wanted)
+
+
+def test_a_blob_noted_twice_is_found_once(spark, tmp_path):
+    ledger = str(tmp_path / "ledger")
+    rows = spark.createDataFrame([("a", "token=abcdefgh1")], "path string, text string")
+    secrets.scan_versions(rows, ledger)
+    secrets.read_ledger(spark, ledger).write.mode("append").parquet(ledger)
+    assert secrets.scan_versions(rows, ledger).count() == 1
+
+
 def test_redaction_marks_overlaps_once(spark):
     df = spark.createDataFrame([("ab" + "f" * 32 + "cd", [(2, 2, 34), (10, 1, 36)]), ("none", [])], f"text string, found {secrets.FOUND}")
     assert [r[0] for r in df.select(secrets.redact(F.col("text"), F.col("found"))).collect()] == ["ab[SECRET]", "none"]
@@ -146,6 +162,29 @@ def test_thresholds_limit_false_rejection(spark):
     assert quality.op4(empty(spark), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
+def test_certified_cutoffs_hold_their_risk(spark):
+    """60 strata whose good documents score evenly over 0..9999: the true risk of a cutoff c is (9999 - c) / 10000. With an error of
+    5 % over all strata, hardly any may lie above RISK; and thin strata are tested together."""
+    random.seed(10)
+    rows = [(f"s{k}", random.randrange(10_000)) for k in range(60) for _ in range(random.choice([900, 1500]))]
+    rows += [(f"thin{k}", random.randrange(10_000)) for k in range(40) for _ in range(20)] + [(None, random.randrange(10_000)) for _ in range(15)]
+    found = {r["stratum"]: r["cutoff"] for r in quality.certified(spark.createDataFrame(rows, "stratum string, score int")).collect()}
+    assert len(found) == 101
+    risks = [(9999 - c) / 10_000 for c in found.values()]
+    assert sum(r > quality.RISK for r in risks) == 0 and max(risks) > quality.RISK / 4
+    assert len({found[f"thin{k}"] for k in range(40)} | {found[None]}) == 1
+    few = spark.createDataFrame([("a", 5)] * 30, "stratum string, score int")
+    assert quality.certified(few).count() == 0
+
+
+def test_rules_reject_beyond_the_base(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.op4(docs, labels).join(labels, "doc_id", "left").groupBy("quality").agg(
+        F.count_if("kept").alias("kept"), F.count_if(~F.col("base_failed")).alias("passed")).collect()
+    n = {r["quality"]: (r["kept"], r["passed"]) for r in judged}
+    assert n[0][0] < 0.5 * n[0][1] and n[1][0] >= (1 - quality.RISK) * n[1][1] and n[None][0] < n[None][1]
+
+
 def test_warc_round_trip_with_segments(spark, tmp_path):
     random.seed(3)
     big = "".join(random.choice("ab\r\né🎉<p>") for _ in range(90_000))
@@ -211,6 +250,79 @@ def test_language_accuracy_on_held_out(spark):
     assert language.op6(empty(spark)).count() == 0
 
 
+def test_language_equals_plain_version(spark):
+    """Dictionaries from a plain selection of the sample, and each text's two smallest sizes by a plain loop, in groups of one too."""
+    import struct
+
+    import xxhash
+    import zstandard
+
+    random.seed(6)
+    rows = [(i, " ".join(random.choice(f"{lang}a b{lang} {lang}{lang}x y".split()) for _ in range(random.randint(1, 60))), lang, "a") for i, lang in enumerate("pqrst" * 80)]
+    rows += [(7, "zz zz", "p", "a"), (900, None, "p", "a"), (901, "5 5", "q", "a"), (None, "pa pa", "p", "a"), (902, "pa bp qa", None, "a")]
+    docs = documents(spark, rows)
+    learnt = language.learn(docs)
+    own = collections.defaultdict(dict)
+    for i, text, lang, _ in rows:
+        if i is not None and text is not None and lang is not None:
+            own[lang][i] = min(text, own[lang].get(i, text))
+    key = lambda i: struct.unpack("q", struct.pack("Q", xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()))[0]
+    assert learnt == {lang: language._dictionary([own[lang][i] for i in sorted(own[lang], key=key)[: language.SAMPLE_DOCS]]) for lang in sorted(own)}
+    how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, min_match=4, window_log=18, hash_log=17, chain_log=17, search_log=4, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
+    coders = {n: zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for n, d in learnt.items()}
+    for group in (128, 2):
+        language.GROUP, before = group, language.GROUP
+        found = language.identify(docs, learnt, out="found").select("doc_id", "text", "found.*").collect()
+        language.GROUP = before
+        for r in found:
+            text = (r["text"] or "").lower()
+            if not any(c.isalpha() for c in text):
+                assert (r["pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+                continue
+            (first, name), (second, _), *_ = sorted((sum(len(c.compress(text[i : i + language.BLOCK_CHARS].encode())) for i in range(0, len(text), language.BLOCK_CHARS)), n) for n, c in coders.items())
+            margin = 1 - first / second
+            assert r["pred"] == name and r["score"] == pytest.approx(min(1.0, margin * language.SCORE_SPAN)) and r["rejected"] is (margin < language.NARROW)
+
+
+def plain_signature(text):
+    """The sampled (term, t) of each sample, from the formulas of the module's docstring."""
+    import struct
+
+    import xxhash
+
+    def signed(h):
+        return h - 2**64 if h >= 2**63 else h
+
+    terms = collections.Counter(signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in WORD.findall(text))
+    uniform = lambda h: ((h & 0xFFFFFFFF) + 0.5) * 2.0**-32
+    out = []
+    for sample in range(fingerprint.SAMPLES):
+        best = None
+        for term, weight in terms.items():
+            seed = xxhash.xxh64(struct.pack("<q", term), seed=42).intdigest()
+            h1, h2, h3 = (xxhash.xxh64(struct.pack("<i", 3 * sample + i), seed=seed).intdigest() for i in range(3))
+            r, c, b = -math.log(uniform(h1) * uniform(h1 >> 32)), -math.log(uniform(h2) * uniform(h2 >> 32)), uniform(h3)
+            t = math.floor(math.log(weight) / r + b)
+            best = min(filter(None, [best, (math.log(c) - r * (t - b + 1), term, t)]))
+        out.append(best and best[1:])
+    return out
+
+
+def test_fingerprints_equal_plain_sampling(spark, odd_rows):
+    """Likenesses are those of a plain consistent weighted sampling; ids may be text, and some of them null."""
+    rows = [r for r in odd_rows if r[1] is None or len(r[1]) < 5000]
+    order = sorted({(None if i is None else str(i), t or "") for i, t, *_ in rows}, key=lambda r: (r[0] is not None, r[0] or ""), reverse=True)
+    named = documents(spark, rows).withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = {(r["doc_id"], r["n_chars"]): r for r in fingerprint.op7(named).collect()}
+    share = lambda a, b: sum(x == y for x, y in zip(plain_signature(a), plain_signature(b), strict=True)) / fingerprint.SAMPLES
+    for k, (i, text) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        edited = text[: len(text) - len(text) // 3] + after[: len(text) // 3]
+        row = found[i, len(text)]
+        assert row["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert (row["near_edited"], row["near_next"]) == (share(text, edited), share(text, after))
+
+
 def test_fingerprints_follow_generalised_jaccard(spark, odd_rows):
     found = collections.defaultdict(list)
     for r in fingerprint.op7(documents(spark, odd_rows)).collect():
@@ -318,6 +430,17 @@ def test_mix_takes_what_the_targets_say(spark, odd_rows):
     assert mixing.op9(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["alike", "apart"])
+def test_equal_rows_are_mixed_one_by_one(spark, ids):
+    """40 rows of 100 words, all alike or with ids of their own, beside another source: within a document of the target."""
+    rows = [(1 if ids == "alike" else i, "w " * 100, "en", "a") for i in range(40)] + [(100 + i, "w " * 50, "en", "b") for i in range(66)]
+    found = mixing.op9(documents(spark, rows)).collect()
+    assert len(found) == len(rows)
+    for source, size in (("a", 100), ("b", 50)):
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= size / 2 and all(r["taken"] <= 2 * r["size"] for r in own)
+
+
 def test_inclusion_weights_are_kept(spark):
     rows = [(i, "a b c d", i % 2 + 1) for i in range(2000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, g int").withColumn("source", F.lit("s"))

@@ -54,7 +54,7 @@ def test_run_equals_plain_version(spark, tmp_path):
     assert 100 < len(left) < len(rows)
 
     component = reachable(left)
-    left = list(dict.fromkeys(row for row, (i, _, least) in zip(left, component, strict=True) if i is None or i == least))
+    left = list(dict.fromkeys(row for row, (i, _, least) in zip(left, component, strict=True) if i == least))  # null ids come last
     cleaned = []
     for i, text, lang, source in left:
         out, at = "", 0
@@ -77,6 +77,51 @@ def test_run_equals_plain_version(spark, tmp_path):
     assert "[SECRET]" in " ".join(t for _, t, *_ in cleaned)
 
 
+CLASHING = ("_language", "_blob", "_found", "_key", "_size", "_copies", "_copy", "__own", "_spans", "_origin", "size", "found", "component", "own", "entry")
+
+
+def clashing(spark, rows):
+    """Documents with a column of every name that a stage might use on its way, each with a value of its own."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, t, "en", s, None if t is None else len(t)) for i, t, s in rows], SCHEMA)
+    return docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING})
+
+
+def test_one_of_each_group_stays(spark):
+    """Null ids are grouped too, a repeated id may have two texts, and documents without words all stay."""
+    from cragline.llm import stages
+
+    words = [f"w{i}" for i in range(100)]
+    text = lambda start, k=0: " ".join(f"{start}{w}" for w in words[: 100 - k])
+    rows = [(5, text("a"), "s"), (3, text("a", 1), "s"), (None, text("a", 2), "s"), (None, text("n"), "s"), (None, text("n", 1), "s"), (None, text("n"), "s")]
+    rows += [(7, text("b"), "s"), (7, text("c"), "s"), (8, text("d"), "s"), (8, text("d", 1), "s"), (9, "", "s"), (9, "", "s"), (None, None, "s"), (10, text("e"), "s"), (10, text("e"), "s")]
+    docs = clashing(spark, rows)
+    out = stages.keep_one_of_each(docs)
+    assert out.columns == docs.columns
+    found = sorted(((r["doc_id"], (r["text"] or "")[:1]) for r in out.collect()), key=str)
+    assert found == sorted([(3, "a"), (None, "n"), (7, "b"), (7, "c"), (8, "d"), (9, ""), (9, ""), (None, ""), (10, "e")], key=str)
+    assert all(r[c] is None or r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in CLASHING)
+
+
+def test_stages_keep_clashing_columns(spark):
+    from cragline.llm import stages
+
+    rows = [(i, f"some words token=abcdefgh{i} of text {i}", "ab"[i % 2]) for i in range(20)] + [(30, None, None), (None, "lone text", None), (40, "same " * 30, "a"), (40, "same " * 30, "a")]
+    docs = clashing(spark, rows)
+    clean = stages.redact_secrets(docs)
+    assert clean.columns == docs.columns and clean.count() == len(rows)
+    assert all("token=" not in (r["text"] or "") and r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in clean.collect())
+    assert all(r[c] is None or r[c] == f"{c}{r['doc_id']}" for stage in (clean, stages.mix(docs)) for r in stage.collect() for c in CLASHING)
+    taken = collections.Counter()
+    for r in stages.mix(docs).collect():
+        taken[r["doc_id"], r["source"]] += len(r["text"].split())
+    own = collections.Counter()
+    for r in mixing.op9(docs).collect():
+        own[r["doc_id"], r["source"]] += r["taken"]
+    assert taken == +own
+
+
 def test_stages_keep_columns_and_take_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA + ", blob string, size int")
     for _, stage in corpus_pipeline.STAGES[:-1]:
