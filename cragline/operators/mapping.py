@@ -67,14 +67,16 @@ def clipped(points: DataFrame, low: float, high: float) -> DataFrame:
     return seg.select("line", "idx", t0.alias("t0"), t1.alias("t1")).where("t0 < t1")
 
 
-def resampled_line(points: DataFrame) -> DataFrame:
+def resampled_line(points: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
     """(line, row, value) at every whole row of points (line, row, value): values of equal rows are averaged, rows in between are
-    interpolated."""
+    interpolated. first, last: rows to reach at least, where the values of a line's own ends are held."""
     w = Window.partitionBy("line").orderBy("row")
     knots = points.groupBy("line", "row").agg(F.avg("value").alias("value"))
-    pairs = knots.select("line", "row", "value", F.lead("row").over(w).alias("row2"), F.lead("value").over(w).alias("value2"))
-    steps = pairs.withColumn("k", F.explode(F.sequence(F.col("row"), F.coalesce(F.col("row2") - 1, F.col("row")))))
-    f = F.when(F.col("row2").isNotNull(), (F.col("k") - F.col("row")) / (F.col("row2") - F.col("row"))).otherwise(0.0)
+    pairs = knots.select("line", "row", "value", F.lead("row").over(w).alias("row2"), F.lead("value").over(w).alias("value2"), F.lag("row").over(w).isNull().alias("begins"))
+    low = F.col("row") if first is None else F.when(F.col("begins"), F.least(F.col("row"), F.lit(first))).otherwise(F.col("row"))
+    high = F.col("row") if last is None else F.greatest(F.col("row"), F.lit(last))
+    steps = pairs.withColumn("k", F.explode(F.sequence(low, F.coalesce(F.col("row2") - 1, high))))
+    f = F.when(F.col("row2").isNotNull(), F.greatest(F.lit(0.0), (F.col("k") - F.col("row")) / (F.col("row2") - F.col("row")))).otherwise(0.0)
     return steps.select("line", F.col("k").alias("row"), (F.col("value") + F.coalesce(F.col("value2") - F.col("value"), F.lit(0.0)) * f).alias("value"))
 
 

@@ -92,6 +92,23 @@ FROM filled a LEFT JOIN filled b ON b.tile = a.tile AND b.r = a.r AND b.c > a.c
     # along a row the bilinear surface is a line between cells, so the greatest excess is at a cell
     "ray_reference": f"""WITH {fx.FILLED} SELECT a.tile, a.r, a.c, coalesce(bool_or(b.z - a.z - 0.5 - 25 * (b.c - a.c) > 1e-3), false) AS blocked
 FROM filled a LEFT JOIN filled b ON b.tile = a.tile AND b.r = a.r AND b.c > a.c GROUP BY a.tile, a.r, a.c""",
+    "split_hysteresis": f"""
+WITH {fx.TRACKS}, l AS (SELECT track AS line, list(lat ORDER BY idx) AS a FROM tracks GROUP BY track),
+m AS (SELECT line, list_filter(list_transform(range(2, len(a) + 1), lambda i: struct_pack(a := a[i - 1], way := sign(a[i] - a[i - 1])::DOUBLE, back := abs(a[i] - a[i - 1]), cuts := []::DOUBLE[])), lambda x: x.back > 1e-12) AS moves FROM l),
+f AS (SELECT line, list_reduce(list_prepend(struct_pack(a := 0::DOUBLE, way := 0::DOUBLE, back := 0::DOUBLE, cuts := []::DOUBLE[]), moves), lambda s, x:
+  CASE WHEN s.way * x.way >= 0 THEN struct_pack(a := x.a, way := x.way, back := 0::DOUBLE, cuts := s.cuts)
+       WHEN s.back + x.back < 1.5::DOUBLE - 1e-9 THEN struct_pack(a := x.a, way := s.way, back := s.back + x.back, cuts := s.cuts)
+       ELSE struct_pack(a := x.a, way := x.way, back := 0::DOUBLE, cuts := list_append(s.cuts, x.a + x.way * (1.5::DOUBLE - s.back))) END) AS s FROM m)
+SELECT line, (i - 1)::INT AS piece, round(s.cuts[i], 6) AS at FROM (SELECT line, s, unnest(range(1, len(s.cuts) + 1)) AS i FROM f)""",
+    # a round takes the best span of each line and cuts the others
+    "greedy_shadow": """
+WITH RECURSIVE s(line, id, lo, hi, n, taken) AS (
+  SELECT user_id, event_id, (event_id * 37 % 1000)::DOUBLE, (event_id * 37 % 1000 + event_id % 90 + 1)::DOUBLE, 0, false FROM events
+  UNION ALL (WITH live AS (SELECT * FROM s WHERE NOT taken), b AS (SELECT line, id, lo, hi FROM live QUALIFY row_number() OVER (PARTITION BY line ORDER BY hi - lo DESC, id, lo) = 1)
+    SELECT line, id, lo, hi, (SELECT max(n) FROM live) + 1, true FROM b
+    UNION ALL SELECT l.line, l.id, l.lo, least(l.hi, b.lo), l.n + 1, false FROM live l JOIN b ON b.line = l.line WHERE least(l.hi, b.lo) > l.lo
+    UNION ALL SELECT l.line, l.id, greatest(l.lo, b.hi), l.hi, l.n + 1, false FROM live l JOIN b ON b.line = l.line WHERE l.hi > greatest(l.lo, b.hi))
+) SELECT line, n::BIGINT AS place, id, lo, hi FROM s WHERE taken""",
     "corridor_seams": f"""
 WITH RECURSIVE {fx.FILLED}, p AS (SELECT tile, r, c, z, lead(z) OVER (PARTITION BY tile, r ORDER BY c) AS z2, 'h' AS kind FROM filled UNION ALL SELECT tile, r, c, z, lead(z) OVER (PARTITION BY tile, c ORDER BY r), 'v' FROM filled),
 k AS (SELECT *, unnest(range(floor(least(z, z2) / 2500)::BIGINT + 1, floor(greatest(z, z2) / 2500)::BIGINT + 1)) * 2500.0::DOUBLE AS level FROM p WHERE z2 <> z),

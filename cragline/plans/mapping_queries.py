@@ -52,6 +52,12 @@ def polyline_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mp.resampled_line(points).withColumn("value", F.round("value", 6))
 
 
+def polyline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on all rows from 300 to 345, ends held."""
+    points = fx.tracks(spark, sf_dir).select(F.col("track").alias("line"), F.rint(F.col("lat") * 7).cast("long").alias("row"), F.col("lon").alias("value"))
+    return mp.resampled_line(points, 300, 345).withColumn("value", F.round("value", 6))
+
+
 def relief_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mp.relief_caps(fx.filled_dem(spark, sf_dir), [1.0, 0.5, 0.125], 100.0).withColumn("z", F.round("z", 6))
 
@@ -74,7 +80,7 @@ def local_crs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dem_resample": dem_resample, "raster_lookup": raster_lookup, "land_mask": land_mask, "depth_raster": depth_raster, "line_clip": line_clip,
-    "polyline_resample": polyline_resample, "relief_caps": relief_caps, "graph_nodes": graph_nodes, "draw_order": draw_order, "local_crs": local_crs,
+    "polyline_resample": polyline_resample, "polyline_rows": polyline_rows, "relief_caps": relief_caps, "graph_nodes": graph_nodes, "draw_order": draw_order, "local_crs": local_crs,
 }
 
 _E = "CASE WHEN area = 0 THEN NULL ELSE ((x{j} - x{i}) * (r - y{i}) - (y{j} - y{i}) * (c - x{i})) / area END"
@@ -108,6 +114,12 @@ WITH {fx.TRACKS}, k AS (SELECT track AS line, round_even(lat * 7, 0)::BIGINT AS
 p AS (SELECT *, lead(k) OVER (PARTITION BY line ORDER BY k) AS k2, lead(v) OVER (PARTITION BY line ORDER BY k) AS v2 FROM k),
 e AS (SELECT *, unnest(range(k, coalesce(k2, k + 1))) AS "row" FROM p)
 SELECT line, "row", round(v + coalesce((v2 - v) * (("row" - k)::DOUBLE / (k2 - k)), 0), 6) AS value FROM e""",
+    "polyline_rows": f"""
+WITH {fx.TRACKS}, k AS (SELECT track AS line, round_even(lat * 7, 0)::BIGINT AS k, avg(lon) AS v FROM tracks GROUP BY 1, 2),
+g AS (SELECT line, unnest(range(least(300, min(k)), greatest(345, max(k)) + 1)) AS "row" FROM k GROUP BY line),
+a AS (SELECT g.line, "row", max(k.k) FILTER (WHERE k.k <= "row") AS k0, min(k.k) FILTER (WHERE k.k >= "row") AS k1 FROM g JOIN k ON k.line = g.line GROUP BY ALL)
+SELECT a.line, "row", round(CASE WHEN k0 IS NULL THEN y.v WHEN k1 IS NULL OR k1 = k0 THEN x.v ELSE x.v + (y.v - x.v) * (("row" - k0)::DOUBLE / (k1 - k0)) END, 6) AS value
+FROM a LEFT JOIN k x ON x.line = a.line AND x.k = k0 LEFT JOIN k y ON y.line = a.line AND y.k = k1""",
     "relief_caps": f"""
 WITH {fx.FILLED}, a AS (SELECT tile, r, c, z AS z0, {_SOFT} AS z FROM filled {_W('r', 'c')}), b AS (SELECT tile, r, c, greatest(100, least({_SOFT}, z0)) AS z FROM a {_W('c', 'r')}),
 m AS (SELECT tile, r, c, min(z) OVER (PARTITION BY tile, r ORDER BY c ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS z FROM b)
