@@ -45,6 +45,16 @@ def dem_half(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ra.half(fx.filled_dem(spark, sf_dir), S), "z")
 
 
+def dem_half_voids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on tiles with voids and absent cells."""
+    return _rounded(ra.half(fx.dem(spark, sf_dir), S, 3), "z")
+
+
+def dem_nozzle_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Halved twice, since a third time would make pixels wider than half a nozzle."""
+    return _rounded(ra.nozzle_pyramid(fx.filled_dem(spark, sf_dir), S, 0.8, 0.72, 0.4), "z")
+
+
 def dem_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(ra.normals(fx.filled_dem(spark, sf_dir), 500.0, 500.0), "nx", "ny", "nz").drop("z")
 
@@ -116,6 +126,27 @@ ay AS (SELECT tile, r, c, v, {_mirror_sql('r', pad)} AS b FROM bx),
 box AS (SELECT tile, r, c, avg(v) OVER (PARTITION BY tile, c ORDER BY b ROWS BETWEEN {pad} PRECEDING AND {pad} FOLLOWING) AS mean, b FROM ay QUALIFY b = r)"""
 
 
+def _mirrored(side: int, axis: str, pad: int) -> str:
+    return f"unnest(list_filter([{axis}, CASE WHEN {axis} BETWEEN 1 AND {pad} THEN -{axis} END, CASE WHEN {axis} < {side - 1} AND {axis} >= {side - 1 - pad} THEN {2 * (side - 1)} - {axis} END], lambda x: x IS NOT NULL))"
+
+
+def _smooth_sql(name: str, source: str, column: str, side: int, pad: int) -> str:
+    """A table name (tile, r, c, v): means of a column of source over squares."""
+    rows = f"ROWS BETWEEN {pad} PRECEDING AND {pad} FOLLOWING"
+    return f"""{name}_a AS (SELECT tile, r, c, {column} AS v, {_mirrored(side, 'c', pad)} AS a FROM {source}),
+{name}_b AS (SELECT tile, r, c, a, avg(v) OVER (PARTITION BY tile, r ORDER BY a {rows}) AS v FROM {name}_a QUALIFY a = c),
+{name}_c AS (SELECT tile, r, c, v, {_mirrored(side, 'r', pad)} AS b FROM {name}_b),
+{name} AS (SELECT tile, r, c, avg(v) OVER (PARTITION BY tile, c ORDER BY b {rows}) AS v, b FROM {name}_c QUALIFY b = r)"""
+
+
+def _half_sql(name: str, source: str, side: int, pad: int) -> str:
+    """A table name (tile, r, c, z): source (dense, valid) halved."""
+    return f"""{_smooth_sql(name + '_s', source, 'z', side, pad)},
+{name}_l AS (SELECT f.tile, f.r // 2 AS r, f.c // 2 AS c, avg(v - z) AS lap, min(z) AS lo, max(z) AS hi, quantile_cont(z, 0.5) AS med FROM {source} f JOIN {name}_s s ON s.tile = f.tile AND s.r = f.r AND s.c = f.c GROUP BY 1, 2, 3),
+{name}_t AS (SELECT tile, quantile_cont(abs(lap), 0.25) AS lim FROM {name}_l GROUP BY tile),
+{name} AS (SELECT l.tile, r::INT AS r, c::INT AS c, CASE WHEN lap > lim THEN lo WHEN lap < -lim THEN hi ELSE med END AS z FROM {name}_l l JOIN {name}_t t ON t.tile = l.tile)"""
+
+
 _VALID = "SELECT * FROM dem WHERE NOT isnan(z)"
 _CARDINAL = f"k AS (SELECT *, {S} - c AS k FROM filled), h AS (SELECT tile, r, c, z, max(z + {RISE} * k) OVER (PARTITION BY tile, r ORDER BY k) - {RISE} * k AS horizon FROM k)"
 _NORMALS = """n0 AS (SELECT *, -(coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / ((coalesce(lead(c) OVER x, c) - coalesce(lag(c) OVER x, c)) * 500.0::DOUBLE) AS sx,
@@ -125,6 +156,7 @@ n AS (SELECT *, sx / sqrt(sx * sx + sy * sy + 1) AS nx, sy / sqrt(sx * sx + sy *
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dem_clean_voids": dem_clean_voids, "dem_sea_level": dem_sea_level, "dem_blocks": dem_blocks, "dem_box_mean": dem_box_mean, "dem_half_pyramid": dem_half,
+    "dem_half_voids": dem_half_voids, "dem_nozzle_pyramid": dem_nozzle_pyramid,
     "dem_max_pyramid": lambda s, d: _rounded(ra.max_pyramid(fx.dem(s, d), 4), "z"), "dem_normals": dem_normals, "dem_bilinear": dem_bilinear,
     "dem_height_curve": dem_height_curve, "contour_levels": contour_levels, "contour_crossings": contour_crossings, "horizon_cardinal": horizon_cardinal,
     "horizon_sheared": horizon_sheared, "shade_cells": shade_cells, "layer_composite": layer_composite,
@@ -149,6 +181,15 @@ WITH {fx.FILLED}, {_box_sql(12)}, lap AS (SELECT f.tile, f.r // 2 AS r, f.c // 2
 lim AS (SELECT tile, quantile_cont(abs(lap), 0.25) AS lim FROM lap GROUP BY tile),
 b AS (SELECT tile, r // 2 AS r, c // 2 AS c, min(z) AS lo, max(z) AS hi, quantile_cont(z, 0.5) AS med FROM filled GROUP BY 1, 2, 3)
 SELECT b.tile, b.r::INT AS r, b.c::INT AS c, round(CASE WHEN lap > lim THEN lo WHEN lap < -lim THEN hi ELSE med END, 6) AS z FROM b JOIN lap l ON l.tile = b.tile AND l.r = b.r AND l.c = b.c JOIN lim ON lim.tile = b.tile""",
+    "dem_half_voids": f"""
+WITH {fx.DEM}, g AS (SELECT t.tile, r.r::INT AS r, c.c::INT AS c, CASE WHEN NOT isnan(d.z) THEN d.z END AS z FROM (SELECT DISTINCT tile FROM dem) t CROSS JOIN range({S}) r(r) CROSS JOIN range({S}) c(c) LEFT JOIN dem d ON d.tile = t.tile AND d.r = r.r AND d.c = c.c),
+{_smooth_sql('w', 'g', '(z IS NOT NULL)::INT::DOUBLE', S, 3)}, {_smooth_sql('m', 'g', 'coalesce(z, 0)', S, 3)}, k AS (SELECT tile, quantile_cont(z, 0.5) AS med FROM g GROUP BY tile),
+f AS (SELECT g.tile, g.r, g.c, g.z AS own, coalesce(g.z, CASE WHEN w.v > 1e-12 THEN m.v / w.v ELSE k.med END) AS z FROM g JOIN w ON w.tile = g.tile AND w.r = g.r AND w.c = g.c JOIN m ON m.tile = g.tile AND m.r = g.r AND m.c = g.c JOIN k ON k.tile = g.tile),
+{_smooth_sql('s', 'f', 'z', S, 3)},
+l AS (SELECT f.tile, f.r // 2 AS r, f.c // 2 AS c, avg(v - z) AS lap, min(own) AS lo, max(own) AS hi, quantile_cont(own, 0.5) AS med FROM f JOIN s ON s.tile = f.tile AND s.r = f.r AND s.c = f.c GROUP BY 1, 2, 3 HAVING count(own) > 0),
+t AS (SELECT tile, quantile_cont(abs(lap), 0.25) AS lim FROM l GROUP BY tile)
+SELECT l.tile, r::INT AS r, c::INT AS c, round(CASE WHEN lap > lim THEN lo WHEN lap < -lim THEN hi ELSE med END, 6) AS z FROM l JOIN t ON t.tile = l.tile""",
+    "dem_nozzle_pyramid": f"WITH {fx.FILLED}, {_half_sql('h1', 'filled', S, 12)}, {_half_sql('h2', 'h1', S // 2, 7)} SELECT tile, r, c, round(z, 6) AS z FROM h2",
     "dem_max_pyramid": f"WITH {fx.DEM} SELECT l::INT AS level, tile, (r >> l)::INT AS r, (c >> l)::INT AS c, round(max(z), 6) AS z FROM ({_VALID}) CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS l) GROUP BY 1, 2, 3, 4",
     "dem_normals": f"WITH {fx.FILLED}, {_NORMALS.replace('SRC', 'filled')} SELECT tile, r, c, round(nx, 6) + 0 AS nx, round(ny, 6) + 0 AS ny, round(nz, 6) AS nz FROM n",
     "dem_bilinear": f"""
