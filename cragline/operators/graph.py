@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cragline.session import written
+from cragline.session import discard, written
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): label is the least id of the component.
 
-    In each round a node hooks to its neighbour of least priority if that is below its own, and edges are contracted. Priorities
+    In each round a node hooks to its neighbour of least priority if that is below its own, and on to that one's; then edges are contracted. Priorities
     are hashes that change from round to round, so nodes fall by a constant factor even on a path with sorted ids. A node that
     many edges share is aggregated within map tasks first.
     """
@@ -27,10 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         priority = lambda c: F.xxhash64(F.lit(len(hooks)), c)
         hook = both_ways(links).groupBy(F.col("u").alias("id")).agg(F.min_by("v", priority("v")).alias("v"))
-        hook = written(hook.select("id", F.when(priority("v") < priority("id"), F.col("v")).otherwise(F.col("id")).alias("to")), "hook")
+        hook = hook.select("id", F.when(priority("v") < priority("id"), F.col("v")).otherwise(F.col("id")).alias("to"))
+        further = hook.select(F.col("id").alias("to"), F.col("to").alias("further"))
+        hook = written(hook.join(further, "to").select("id", F.col("further").alias("to")), "hook")
         hooks.append(hook)
         moved = links.join(hook.select(F.col("id").alias("u"), F.col("to").alias("a")), "u").join(hook.select(F.col("id").alias("v"), F.col("to").alias("b")), "v")
-        links = written(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
+        before, links = links, written(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
+        if len(hooks) > 1:
+            discard(before)
         if links.isEmpty():
             break
     labels = hooks[0].withColumnRenamed("to", "label")
@@ -66,8 +70,9 @@ def two_core(edges: DataFrame) -> DataFrame:
     n = left.count()
     while n:
         weak = both_ways(left).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n < 2").select(F.col("u").alias("weak"))
-        left = left.join(weak, left["u"] == weak["weak"], "left_anti").join(weak, left["v"] == weak["weak"], "left_anti")
-        left = written(left, "core")
+        kept = left.join(weak, left["u"] == weak["weak"], "left_anti").join(weak, left["v"] == weak["weak"], "left_anti")
+        old, left = left, written(kept, "core")
+        discard(old)
         n, before = left.count(), n
         if n == before:
             break
@@ -109,7 +114,8 @@ def network_phases(reaches: DataFrame) -> DataFrame:
             break
         further = at.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("root").alias("root2"), F.col("sum").alias("sum2"))
         doubled = F.col("sum") + F.coalesce("sum2", F.lit(0.0))
-        at = written(at.join(further, "to", "left").select("id", F.col("to2").alias("to"), F.coalesce("root", "root2").alias("root"), doubled.alias("sum"), "len"), "phases")
+        old, at = at, written(at.join(further, "to", "left").select("id", F.col("to2").alias("to"), F.coalesce("root", "root2").alias("root"), doubled.alias("sum"), "len"), "phases")
+        discard(old)
     else:
         if not at.where("root IS NULL").isEmpty():
             raise ValueError("the network has a cycle")
