@@ -34,14 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of words in one recursive query, and of a chunk; bits of a position in a word; a reach in tokens.
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 300_000
 CHUNK_BYTES = 64
 POS_BITS = 22
 SHIFTING = 16
 #: Characters of texts in a slice, pieces that a task keeps, and tokens that are decoded at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 CACHE_PIECES = 400_000
-DECODE_TOKENS = 2_000_000
+DECODE_TOKENS = 400_000
 
 #: A space that lies between two pieces only seemingly: white space before it, and none but white space after it.
 _UNCUT = re.compile(r"\s \s|\s \Z")
@@ -328,6 +328,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     ends = np.concatenate([[0], np.cumsum(ids.size)]).astype(np.int32)
                     columns += [pa.ListArray.from_arrays(ends, pa.array(ids.flat, pa.int32())), pa.array(decoded, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        if coder:
+            coder.tables.db.close()
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other work
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if keep else [])
     ddl = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if keep else "")
