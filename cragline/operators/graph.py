@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cragline.operators import near
 from cragline.session import discard, written
 
 
@@ -79,9 +80,14 @@ def two_core(edges: DataFrame) -> DataFrame:
     return left
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
-    """Edges (u, v, w) of a minimum spanning forest by Boruvka's rounds; ties by (w, u, v), so it is unique."""
-    left = written(edges.select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")), "mst")
+def spanning_forest(edges: DataFrame, joined: DataFrame | None = None) -> DataFrame:
+    """Edges (u, v, w) of a minimum spanning forest by Boruvka's rounds; ties by (w, u, v), so it is unique. joined (id, label): nodes of a
+    label count as one, so that only edges between labels are chosen."""
+    left = edges.select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b"))
+    for end in ("a", "b") if joined is not None else ():
+        named = joined.select(F.col("id").alias(end), F.col("label").alias("_to"))
+        left = left.join(named, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    left = written(left.where("a <> b"), "mst")
     chosen = None
     while not left.isEmpty():
         best = F.min(F.struct("w", "u", "v")).alias("e")
@@ -94,7 +100,24 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             moved = moved.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"_{end}")), end)
         left = written(moved.where("_a <> _b").select("u", "v", "w", F.col("_a").alias("a"), F.col("_b").alias("b")), "mst")
-    return (chosen if chosen is not None else edges.select("u", "v", "w")).distinct()
+    return (chosen if chosen is not None else left.select("u", "v", "w")).distinct()
+
+
+def bridges(points: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
+    """(u, v, w): the least edges between points (id, x, y) within the radius that join what edges (u, v) leave apart, as far as can be."""
+    pairs = near.near_pairs(points, radius).withColumnRenamed("d", "w")
+    return spanning_forest(pairs, written(components(edges), "labels"))
+
+
+def border_links(nodes: DataFrame, axis: str, low: float, high: float) -> DataFrame:
+    """(graph, id, border, length) of nodes (graph, id, axis): of each graph the node nearest to either border of the axis (the least id of
+    equals), and the straight way there; none where it lies on the border or beyond."""
+    ends = nodes.groupBy("graph").agg(F.min(F.struct(F.col(axis).alias("at"), "id")).alias("first"), F.min(F.struct((-F.col(axis)).alias("at"), "id")).alias("last"))
+    both = F.explode(F.array(
+        F.struct(F.col("first.id").alias("id"), F.lit(low).alias("border"), (F.col("first.at") - low).alias("length")),
+        F.struct(F.col("last.id").alias("id"), F.lit(high).alias("border"), (high + F.col("last.at")).alias("length")),
+    )).alias("x")
+    return ends.select("graph", both).select("graph", "x.*").where("length > 0")
 
 
 def network_phases(reaches: DataFrame) -> DataFrame:

@@ -33,6 +33,18 @@ def graph_mst(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.groupBy(F.col("label").alias("component")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("w"), 4).alias("total"))
 
 
+def graph_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What joins the components of short steps between two thirds of the points, in steps up to RADIUS."""
+    points = written(fx.points(spark, sf_dir), "points")
+    steps = near.near_pairs(points.where("id % 3 <> 0"), 6.0).select("u", "v")
+    return g.bridges(points, steps, RADIUS).select("u", "v", F.round("w", 6).alias("d"))
+
+
+def graph_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = fx.tracks(spark, sf_dir).select(F.col("track").alias("graph"), F.col("idx").alias("id"), "lat")
+    return g.border_links(nodes, "lat", 43.5, 48.25).withColumn("length", F.round("length", 6))
+
+
 def near_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = fx.points(spark, sf_dir)
     labels = points.select("id", (F.floor(F.col("id") / 3) % 5).alias("label"))
@@ -142,6 +154,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "graph_shortest_path": graph_shortest,
     "graph_two_core": lambda s, d: g.two_core(_edges(s, d)),
     "graph_mst_bridges": graph_mst,
+    "graph_bridges": graph_bridges, "graph_borders": graph_borders,
     "edge_symmetric_difference": edge_symmetric_difference,
     "edge_intersect": edge_intersect,
     "river_phases": river_phases,
@@ -168,6 +181,16 @@ WITH RECURSIVE {_PAIRS}, core(n, u, v) AS (
   UNION ALL (WITH now AS (SELECT * FROM core WHERE n < 100), ends AS (SELECT x FROM (SELECT u AS x FROM now UNION ALL SELECT v FROM now) GROUP BY x HAVING count(*) >= 2)
     SELECT n + 1, u, v FROM now WHERE u IN (SELECT x FROM ends) AND v IN (SELECT x FROM ends))
 ) SELECT u, v FROM core WHERE n = 100""",
+    # short steps come first, and the forest's other edges are the bridges
+    "graph_bridges": f"""
+WITH RECURSIVE {_PAIRS}, old AS (SELECT *, d <= 6 AND u % 3 <> 0 AND v % 3 <> 0 AS had FROM pairs WHERE u < v),
+ranked AS (SELECT u, v, d, had, row_number() OVER (ORDER BY NOT had, d, u, v) AS k FROM old),
+ways AS (SELECT u, v, k FROM ranked UNION ALL SELECT v, u, k FROM ranked),
+walk(k, x) AS (SELECT k, u FROM ranked UNION SELECT w.k, y.v FROM walk w JOIN ways y ON y.u = w.x AND y.k < w.k)
+SELECT r.u, r.v, round(r.d, 6) AS d FROM ranked r WHERE NOT had AND NOT EXISTS (SELECT 1 FROM walk w WHERE w.k = r.k AND w.x = r.v)""",
+    "graph_borders": f"""
+WITH {fx.TRACKS}, e AS (SELECT track AS graph, arg_min(idx, struct_pack(a := lat, i := idx)) AS lo, min(lat) AS a, arg_min(idx, struct_pack(a := -lat, i := idx)) AS hi, max(lat) AS b FROM tracks GROUP BY track)
+SELECT graph, lo AS id, 43.5::DOUBLE AS border, round(a - 43.5::DOUBLE, 6) AS length FROM e WHERE a > 43.5 UNION ALL SELECT graph, hi, 48.25::DOUBLE, round(48.25::DOUBLE - b, 6) FROM e WHERE b < 48.25""",
     # an edge belongs to the forest unless lesser edges join its ends
     "graph_mst_bridges": f"""{_COMPONENTS},
 ranked AS (SELECT u, v, d, row_number() OVER (ORDER BY d, u, v) AS k FROM pairs WHERE u < v),
