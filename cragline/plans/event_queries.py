@@ -11,6 +11,7 @@ from cragline.functions import solar
 from cragline.operators import events as ev
 from cragline.plans import fixtures as fx
 from cragline.session import table
+from cragline.streaming import controls
 
 AT_MS = 43_200_000
 _TIME = {"day_of_year": "dayofyear(ts)", "year_days": "(CASE WHEN (year(ts) % 4 = 0 AND year(ts) % 100 <> 0) OR year(ts) % 400 = 0 THEN 366.0 ELSE 365.0 END::DOUBLE)", "hour": "((epoch_us(ts) % 86400000000) / 3.6e9::DOUBLE)"}
@@ -126,6 +127,21 @@ def event_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toggles.withColumn("k", within).join(ends, "t_ms").select("t_ms", (F.col("before") + F.col("k")).alias("place"), "cell")
 
 
+def control_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as messages of controls: for each key the last value, and whether it was ever asked to persist."""
+    k = F.col("event_id")
+    patch = F.create_map(F.concat(F.lit("k"), (k % 3).cast("string")), F.col("value"), F.lit("last"), k.cast("double"))
+    messages = fx.events(spark, sf_dir).select(F.col("cell").alias("control"), k.alias("seq"), patch.alias("patch"), F.when(k % 7 != 0, k % 50 == 0).alias("persist"))
+    return controls.latest_patches(messages)
+
+
+def day_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The UTC days of each cell's events, each once, in the order in which they first come by value."""
+    first = fx.events(spark, sf_dir).groupBy("cell", F.to_date("ts").alias("day")).agg(F.min(F.struct("value", "event_id")).alias("first"))
+    days = F.transform(F.array_sort(F.collect_list(F.struct("first", "day"))), lambda x: x["day"].cast("string"))  # a row a day
+    return first.groupBy("cell").agg(F.array_join(days, ",").alias("days"))
+
+
 ZONES = ("Europe/Zurich", "America/New_York", "Asia/Tokyo", "Asia/Kolkata", "Australia/Lord_Howe")
 
 
@@ -214,7 +230,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "day_compile_bounded": day_compile_bounded,
     "skyline_delta_zigzag": skyline_delta_zigzag,
     "skyline_decode": skyline_decode,
-    "missing_days": missing_days, "day_lit": day_lit, "day_replay": day_replay, "event_order": event_order, "zone_utc_days": zone_utc_days,
+    "control_patches": control_patches, "day_order": day_order, "missing_days": missing_days, "day_lit": day_lit, "day_replay": day_replay, "event_order": event_order, "zone_utc_days": zone_utc_days,
     "day_instants": day_instants, "skyline_xor": skyline_xor, "skyline_xor_decode": skyline_xor_decode,
 }
 
@@ -257,6 +273,14 @@ SELECT event_id, round(h::DOUBLE, 3) AS horizon, alt::FLOAT > h AS above FROM h"
     "day_compile_bounded": _COMPILE,
     "skyline_delta_zigzag": f"WITH {_CODES}, d AS (SELECT cell, k, code - coalesce(lag(code) OVER (PARTITION BY cell ORDER BY k), 0) AS d FROM codes) SELECT cell, k, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS zz FROM d",
     "skyline_decode": f"WITH {_CODES} SELECT cell, k, code FROM codes",
+    "control_patches": """
+WITH m AS (SELECT user_id AS control, event_id AS seq, 'k' || event_id % 3 AS key, value, CASE WHEN event_id % 7 <> 0 THEN event_id % 50 = 0 END AS persist FROM events),
+e AS (SELECT control, seq, key, value FROM m UNION ALL SELECT control, seq, 'last', seq::DOUBLE FROM m),
+l AS (SELECT control, max(seq) AS seq, bool_or(coalesce(persist, false)) AS persist FROM m GROUP BY control)
+SELECT e.control, key, arg_max(value, e.seq) AS value, any_value(persist) AS persist, any_value(l.seq) AS seq FROM e JOIN l ON l.control = e.control GROUP BY e.control, key""",
+    "day_order": """
+WITH d AS (SELECT user_id AS cell, ts::DATE AS day, min(struct_pack(v := value, e := event_id)) AS f FROM events GROUP BY ALL)
+SELECT cell, string_agg(day::VARCHAR, ',' ORDER BY f, day) AS days FROM d GROUP BY cell""",
     "day_lit": f"SELECT c_custkey AS cell, {_LIT(NOON)} AS lit FROM (SELECT c_custkey, c_custkey AS cell FROM customer)",
     "day_replay": f"SELECT c_custkey AS cell, {_LIT(NOON)} AS lit FROM (SELECT c_custkey, c_custkey AS cell FROM customer)",
     "event_order": f"WITH {fx.TOGGLES}, odd AS (SELECT t_ms, cell FROM toggles GROUP BY ALL HAVING count(*) % 2 = 1) SELECT t_ms, row_number() OVER (ORDER BY t_ms, cell) AS place, cell FROM odd",
