@@ -124,7 +124,7 @@ def compile_day(
             cell = batch.column(0)
             horizons = np.asarray(batch.column(1).flatten(), np.float32).reshape(-1, angles)
             rows, at = [], []
-            for block in np.array_split(np.arange(1, len(seconds)), 24):
+            for block in filter(len, np.array_split(np.arange(1, len(seconds)), 24)):
                 ends = np.append(block[0] - 1, block)
                 if altitude[ends].max() <= 0:
                     continue

@@ -19,18 +19,20 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): label is the least id of the component.
 
-    In each round a node hooks to its neighbour of least priority if that is below its own, and on to that one's; then edges are contracted. Priorities
-    are hashes that change from round to round, so nodes fall by a constant factor even on a path with sorted ids. A node that
-    many edges share is aggregated within map tasks first.
+    In each round a node hooks to the node of least priority among itself, its neighbours and their neighbours, and edges are
+    contracted: a star falls together at once. Priorities are hashes that change from round to round, so nodes fall by a constant
+    factor even on a path with sorted ids. A node that many edges share is aggregated within map tasks first.
     """
     links = edges.select("u", "v").where("u <> v")
     hooks = []
     while True:
         priority = lambda c: F.xxhash64(F.lit(len(hooks)), c)
-        hook = both_ways(links).groupBy(F.col("u").alias("id")).agg(F.min_by("v", priority("v")).alias("v"))
-        hook = hook.select("id", F.when(priority("v") < priority("id"), F.col("v")).otherwise(F.col("id")).alias("to"))
-        further = hook.select(F.col("id").alias("to"), F.col("to").alias("further"))
-        hook = written(hook.join(further, "to").select("id", F.col("further").alias("to")), "hook")
+        ways = both_ways(links)
+        near_least = ways.groupBy("u").agg(F.min_by("v", priority("v")).alias("v")).select(
+            F.col("u").alias("v"), F.when(priority("v") < priority("u"), F.col("v")).otherwise(F.col("u")).alias("to")
+        )  # the least of a node and its neighbours
+        hook = ways.join(near_least, "v").groupBy(F.col("u").alias("id")).agg(F.min_by("to", priority("to")).alias("to"))
+        hook = written(hook, "hook")
         hooks.append(hook)
         moved = links.join(hook.select(F.col("id").alias("u"), F.col("to").alias("a")), "u").join(hook.select(F.col("id").alias("v"), F.col("to").alias("b")), "v")
         before, links = links, written(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
