@@ -157,37 +157,26 @@ def seams(cells: DataFrame, side: int, interval: float, radius: float) -> DataFr
     return steps.unionByName(ends.select("tile", F.col("u").cast("long"), "v", "w")).groupBy("tile").applyInPandas(run, "tile long, cost double, hops long")
 
 
-def reversal_splits(points: DataFrame, axis: str, limit: float) -> DataFrame:
-    """(line, piece, at) of points (line, idx, axis): a line has a direction along the axis, that of its first move. Moves against it add
-    up until one along it ends the count; where they come to limit, the line is cut, at the axis value of that place, and goes on in
-    the new direction.
+def reversal_splits(points: DataFrame, axis: str, limit: float, *by: str) -> DataFrame:
+    """(by, line, piece, at) of points (by, line, idx, axis): a line has a direction along the axis, at first that of its first move. Where it
+    goes back by limit without a move along its direction between, it is cut, at the axis value of that place, and goes on in the new
+    direction. Values are taken to nine decimals.
 
-    Windows first reduce a line to its turning points (between them moves add up without a decision), numbered per line; the fold
-    then runs over these.
+    Between two turning points all moves go one way, so a stretch as long as limit settles the direction, whatever it was: it cuts the
+    line if the one that was settled before differs. Windows alone tell.
     """
-    order = Window.partitionBy("line").orderBy("idx")
-    value = F.col(axis).cast("double")
-    moves = points.select("line", "idx", value.alias("a"), (value - F.lag(value).over(order)).alias("move")).where("move IS NULL OR abs(move) > 1e-12")
-    turn = F.signum(F.lead("move").over(order))
-    ends = moves.where("move IS NOT NULL").withColumn("turns", F.coalesce(turn != F.signum("move"), F.lit(True)))
-    starts = moves.where("move IS NULL").select("line", "idx", "a")
-    corners = ends.where("turns").select("line", "idx", "a").unionByName(starts)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        a = rows.sort_values("idx")["a"].to_numpy()
-        way, back, cuts = 0.0, 0.0, []
-        for begin, move in zip(a, np.diff(a), strict=False):
-            if way * move >= 0:  # along, or the first
-                way, back = math.copysign(1.0, move), 0.0
-            elif back + abs(move) < limit - 1e-9:
-                back += abs(move)
-            else:
-                cuts.append(begin - way * min(max(limit - back, 0.0), abs(move)))
-                way, back = -way, 0.0
-        return pd.DataFrame({"line": rows["line"].iloc[:1].repeat(len(cuts)), "piece": range(len(cuts)), "at": cuts})
-
-    kind = points.schema["line"].dataType.simpleString()
-    return corners.groupBy("line").applyInPandas(run, f"line {kind}, piece int, at double")
+    keys = [*by, "line"]
+    order = Window.partitionBy(*keys).orderBy("idx")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    value = F.round(F.col(axis).cast("double"), 9)
+    moves = points.select(*keys, "idx", value.alias("a")).withColumn("way", F.signum(F.col("a") - F.lag("a").over(order)))
+    # a point where the next way differs is a corner, and so are both ends
+    steps = moves.where("way IS NULL OR way <> 0").withColumn("onward", F.lead("way").over(order))
+    corners = steps.where("way IS NULL OR onward IS NULL OR way <> onward").withColumn("length", F.abs(F.round(F.col("a") - F.lag("a").over(order), 9)))
+    settled = F.last(F.when(F.col("length") >= limit, F.col("way")), True).over(before)
+    first = F.first("way", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = corners.withColumns({"held": F.coalesce(settled, first), "from": F.lag("a").over(order)}).where((F.col("length") >= limit) & (F.col("way") != F.col("held")))
+    return cut.select(*keys, (F.row_number().over(order) - 1).alias("piece"), (F.col("from") + F.col("way") * limit).alias("at"))
 
 
 def longest_shadows(spans: DataFrame) -> DataFrame:

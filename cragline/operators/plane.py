@@ -152,19 +152,24 @@ def map_xy(lon: Column, lat: Column, box: tuple[float, float, float, float], wid
     return {"x": F.when(inside, (lon - west) / (east - west) * width), "y": F.when(inside, (lat - south) / (north - south) * height)}
 
 
+def _frame(corners: list[tuple[float, float]]) -> np.ndarray:
+    """Three corners as columns, scaled so that their sum is the fourth: the projective frame of a quadrilateral."""
+    p = np.column_stack((np.array(corners, float), np.ones(4))).T
+    extent = np.ptp(p[:2], axis=1).max()
+    area = np.linalg.det(p[:, :3])
+    if abs(area) <= 1e-9 * extent**2:
+        raise ValueError("corners are nearly collinear, not convex")
+    weights = np.linalg.solve(p[:, :3], p[:, 3])
+    # the fourth corner lies across the side from the first to the third, away from the second
+    if not (weights[0] > 1e-9 and weights[2] > 1e-9 and weights[1] < -1e-9):
+        raise ValueError("corners are not convex")
+    return p[:, :3] * weights
+
+
 def homography(source: list[tuple[float, float]], target: list[tuple[float, float]]) -> np.ndarray:
     """The 3 x 3 matrix that takes four corners to four others; corners that aren't convex, or nearly collinear, raise an error."""
-    for corners in (source, target):
-        p = np.array(corners, float)
-        e = np.roll(p, -1, axis=0) - p
-        turns = e[:, 0] * np.roll(e[:, 1], -1) - e[:, 1] * np.roll(e[:, 0], -1)
-        if not ((turns > 0).all() or (turns < 0).all()):
-            raise ValueError("corners are not convex")
-    rows = [row for (x, y), (u, v) in zip(source, target, strict=True) for row in ([x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y])]
-    a = np.array(rows, float)
-    if np.linalg.cond(a) > 1e12:
-        raise ValueError("corners are nearly collinear")
-    return np.append(np.linalg.solve(a, np.array(target, float).ravel()), 1.0).reshape(3, 3)
+    h = _frame(target) @ np.linalg.inv(_frame(source))
+    return h / h[2, 2]
 
 
 def projected(x: Column, y: Column, matrix: np.ndarray) -> dict[str, Column]:
@@ -195,70 +200,6 @@ def first_hits(rays: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     return met.groupBy("ray").agg(F.min(F.struct("t", "tri")).alias("b")).select("ray", "b.tri", "b.t")
 
 
-def contour_segments(cells: DataFrame, interval: float) -> DataFrame:
-    """(tile, level, p, q, x1, y1, x2, y2): pieces of contour lines within the squares of four cells, by which corners are at the level or
-    above. Where opposite corners agree against the others, the two that differ from the centre's mean are cut off. p and q name the
-    crossings (kind, row and column of an edge)."""
-    row, column = ra.along_row(), ra.along_column()
-    z = cells.where(~F.isnan("z")).withColumns({"b": F.lead("z").over(row), "d": F.lead("z").over(column), "nc": F.lead("c").over(row), "nr": F.lead("r").over(column)})
-    z = z.withColumns({"e": F.lead("d").over(row)}).where("b IS NOT NULL AND d IS NOT NULL AND e IS NOT NULL AND nc = c + 1 AND nr = r + 1")
-    low, high = F.floor(F.least("z", "b", "d", "e") / interval) + 1, F.floor(F.greatest("z", "b", "d", "e") / interval)
-    k = F.explode(F.when(low <= high, F.sequence(low.cast("long"), high.cast("long"))))
-    z = z.select("tile", "r", "c", F.col("z").alias("a"), "b", "d", "e", k.alias("k")).withColumn("level", F.col("k") * F.lit(interval))
-    up = {n: F.col(n) >= F.col("level") for n in "abde"}
-    share = lambda p, q: (F.col("level") - F.col(p)) / (F.col(q) - F.col(p))
-    r, c = F.col("r"), F.col("c")
-
-    def crossing(kind: str, i: int, j: int, p: str, q: str) -> Column:
-        x, y = (c + share(p, q), r + F.lit(float(i))) if kind == "h" else (c + F.lit(float(j)), r + share(p, q))
-        return F.when(up[p] != up[q], F.struct(F.concat_ws(":", F.lit(kind), r + i, c + j).alias("p"), x.alias("x"), y.alias("y")))
-
-    top, bottom = crossing("h", 0, 0, "a", "b"), crossing("h", 1, 0, "d", "e")
-    left, right = crossing("v", 0, 0, "a", "d"), crossing("v", 0, 1, "b", "e")
-    saddle = (up["a"] == up["e"]) & (up["b"] == up["d"]) & (up["a"] != up["b"])
-    centre = (F.col("a") + F.col("b") + F.col("d") + F.col("e")) / 4 >= F.col("level")
-    pair = lambda p, q: F.struct(p.alias("s"), q.alias("t"))
-    two = F.array_compact(F.array(top, left, right, bottom))
-    pieces = F.when(saddle & (up["a"] == centre), F.array(pair(top, right), pair(left, bottom))).when(saddle, F.array(pair(top, left), pair(right, bottom)))
-    cut = z.select("tile", "level", F.explode(pieces.otherwise(F.array(pair(two[0], two[1])))).alias("g"))
-    return cut.select("tile", "level", F.col("g.s.p").alias("p"), F.col("g.t.p").alias("q"), F.col("g.s.x").alias("x1"), F.col("g.s.y").alias("y1"), F.col("g.t.x").alias("x2"), F.col("g.t.y").alias("y2"))
-
-
-def contour_lines(segments: DataFrame) -> DataFrame:
-    """(tile, level, line, idx, x, y, closed) of contour_segments: pieces chained from crossing to crossing. Open lines begin at the end with
-    the lesser name, closed ones at their least name, and repeat it at the end; lines are numbered by their first name. Chains are
-    followed within a tile and level, of which a task sees one at a time."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        ways: dict[str, list[str]] = {}
-        at: dict[str, tuple[float, float]] = {}
-        for p, q, x1, y1, x2, y2 in rows[["p", "q", "x1", "y1", "x2", "y2"]].itertuples(index=False):
-            ways.setdefault(p, []).append(q)
-            ways.setdefault(q, []).append(p)
-            at[p], at[q] = (x1, y1), (x2, y2)
-        out, line, seen = [], 0, set()
-        for start in sorted((p for p in ways if len(ways[p]) == 1)) + sorted(ways):
-            if start in seen:
-                continue
-            chain, before = [start], None
-            while (onward := [q for q in ways[chain[-1]] if q != before and q != chain[0]]) and onward[0] not in seen:
-                before = chain[-1]
-                seen.add(before)
-                chain.append(min(onward))
-            seen.update(chain)
-            closed = len(chain) > 2 and chain[0] in ways[chain[-1]]
-            chain += chain[:1] * closed
-            out += [(line, i, *at[p], closed) for i, p in enumerate(chain)]
-            line += 1
-        found = pd.DataFrame(out, columns=["line", "idx", "x", "y", "closed"])
-        found.insert(0, "tile", rows["tile"].iloc[0])
-        found.insert(1, "level", rows["level"].iloc[0])
-        return found
-
-    kind = segments.schema["tile"].dataType.simpleString()
-    return segments.groupBy("tile", "level").applyInPandas(run, f"tile {kind}, level double, line long, idx long, x double, y double, closed boolean")
-
-
 def smooth_step(t: Column) -> Column:
     """3 t^2 - 2 t^3 of t held to 0..1."""
     held = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))

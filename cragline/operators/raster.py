@@ -6,13 +6,14 @@ A void is NaN. Whole-tile statistics are aggregates by tile joined back on it.
 from __future__ import annotations
 
 import math
-import warnings
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from cragline.operators import tiles
+
 NAN = float("nan")
 
 
@@ -99,56 +100,9 @@ def box_mean(cells: DataFrame, side: int, pad: int, column: str = "z", out: str
     return down.withColumn(out, F.avg("_v").over(column_window)).where("_a = r").select("tile", "r", "c", out)
 
 
-def _smoothed(z: np.ndarray, pad: int) -> np.ndarray:
-    """Means over (2 * pad + 1) squares, reflected without the edge, by running sums along both axes."""
-    for axis in (0, 1):
-        width = [(pad + 1, pad) if a == axis else (0, 0) for a in (0, 1)]
-        sums = np.cumsum(np.pad(z, [(pad, pad) if a == axis else (0, 0) for a in (0, 1)], mode="reflect"), axis=axis)
-        sums = np.insert(sums, 0, 0.0, axis=axis)
-        n = z.shape[axis]
-        z = (np.take(sums, range(2 * pad + 1, n + 2 * pad + 1), axis) - np.take(sums, range(n), axis)) / (sum(width[axis]))
-    return z
-
-
-def half_tile(z: np.ndarray, pad: int) -> np.ndarray:
-    """Edge-aware halving of a raster with even sides; NaN where a block of four has no valid cell."""
-    valid = ~np.isnan(z)
-    if not valid.any():
-        return np.full((z.shape[0] // 2, z.shape[1] // 2), np.nan)
-    filled = z
-    if not valid.all():
-        weight = _smoothed(valid.astype(float), pad)
-        around = np.where(weight > 1e-12, _smoothed(np.where(valid, z, 0.0), pad) / np.maximum(weight, 1e-12), np.median(z[valid]))
-        filled = np.where(valid, z, around)
-
-    def by_block(x: np.ndarray) -> np.ndarray:
-        return x.reshape(len(x) // 2, 2, -1, 2).swapaxes(1, 2).reshape(len(x) // 2, -1, 4)
-
-    lap, any_valid = by_block(_smoothed(filled, pad) - filled).mean(axis=2), by_block(valid).any(axis=2)
-    limit = np.percentile(np.abs(lap[any_valid]), 25)
-    four = by_block(z)
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", RuntimeWarning)  # blocks without a valid cell are NaN
-        low, high, middle = np.nanmin(four, axis=2), np.nanmax(four, axis=2), np.nanmedian(four, axis=2)
-    return np.where(lap > limit, low, np.where(lap < -limit, high, middle))
-
-
 def half(cells: DataFrame, side: int, pad: int = 12) -> DataFrame:
-    """(tile, r, c, z): edge-aware downsampling of tiles of an even side. Where the surroundings lie higher than a block by more than the
-    tile's 25th percentile of such differences, its least value is kept, where lower its greatest, else the median. Voids and absent cells
-    count as the mean of the valid ones around them, or the tile's median; blocks without any valid cell are absent.
-
-    All of it happens within a tile, which is a task's.
-    """
-
-    def run(tile: pd.DataFrame) -> pd.DataFrame:
-        z = np.full((side, side), np.nan)
-        z[tile["r"], tile["c"]] = tile["z"]
-        found = half_tile(z, pad)
-        r, c = np.nonzero(~np.isnan(found))
-        return pd.DataFrame({"tile": tile["tile"].iloc[0], "r": r, "c": c, "z": found[r, c]})
-
-    return cells.select("tile", "r", "c", "z").groupBy("tile").applyInPandas(run, f"tile {cells.schema['tile'].dataType.simpleString()}, r int, c int, z double")
+    """(tile, r, c, z): tiles.half() where each tile of so many cells a side is a raster of its own."""
+    return tiles.half(cells.withColumnRenamed("tile", "raster"), side, pad, (side, side)).withColumnRenamed("raster", "tile")
 
 
 def halvings(side: int, width_mm: float, height_mm: float, nozzle_mm: float) -> int:

@@ -62,6 +62,20 @@ FILLED = f"""{DEM}, filled AS (SELECT t.tile, r.r::INT AS r, c.c::INT AS c, coal
   FROM (SELECT DISTINCT tile FROM dem) t CROSS JOIN range({SIDE}) r(r) CROSS JOIN range({SIDE}) c(c) LEFT JOIN dem d ON d.tile = t.tile AND d.r = r.r AND d.c = c.c)"""
 
 
+#: Tiles of a relief's side.
+MOSAIC = 8
+
+
+def relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(raster, r, c, z): 64 suppliers' tiles as one raster, in rows of 8; places without a supplier have no cells."""
+    k = F.col("tile").cast("long")
+    row, column = F.floor(k % MOSAIC**2 / MOSAIC) * SIDE + F.col("r"), k % MOSAIC * SIDE + F.col("c")
+    return filled_dem(spark, sf_dir).select(F.floor(k / MOSAIC**2).alias("raster"), row.cast("int").alias("r"), column.cast("int").alias("c"), "z")
+
+
+RELIEF = f"""{FILLED}, relief AS (SELECT tile // {MOSAIC**2} AS raster, (tile % {MOSAIC**2} // {MOSAIC} * {SIDE} + r)::INT AS r, (tile % {MOSAIC} * {SIDE} + c)::INT AS c, z FROM filled)"""
+
+
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(track, idx, lat, lon, ele, t_us): a track for each user, points by time."""
     order = Window.partitionBy("cell").orderBy("t_us", "event_id")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cragline.functions import mercator as m
+from cragline.operators import contours
 from cragline.operators import plane as pl
 from cragline.plans import fixtures as fx
 from cragline.session import table
@@ -72,9 +73,9 @@ def track_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each tile and level: how many contour lines there are, how many of them closed, and their length."""
-    lines = pl.contour_lines(pl.contour_segments(fx.filled_dem(spark, sf_dir), INTERVAL))
     from pyspark.sql import Window
 
+    lines = contours.contour_lines(fx.filled_dem(spark, sf_dir).withColumnRenamed("tile", "raster"), S, INTERVAL).withColumnRenamed("raster", "tile")
     w = Window.partitionBy("tile", "level", "line").orderBy("idx")
     step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
     per = lines.withColumn("step", step).groupBy("tile", "level", "line").agg(F.max("closed").alias("closed"), F.sum("step").alias("length"))

@@ -6,31 +6,33 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cragline.operators import contours
 from cragline.operators import plane as pl
 
 
-def grid(spark, z):
-    return spark.createDataFrame([(1, r, c, float(v)) for r, row in enumerate(z) for c, v in enumerate(row)], "tile long, r int, c int, z double")
+def grid(spark, z, name="raster"):
+    return spark.createDataFrame([(1, r, c, float(v)) for r, row in enumerate(z) for c, v in enumerate(row)], f"{name} long, r int, c int, z double")
 
 
 def test_a_peak_has_closed_contours_and_a_ramp_open_ones(spark):
     peak = grid(spark, [[4 - abs(r - 3) - abs(c - 3) for c in range(7)] for r in range(7)])
-    lines = pl.contour_lines(pl.contour_segments(peak, 1.5)).collect()
-    assert {(r["level"], r["line"], r["closed"]) for r in lines} >= {(3.0, 0, True), (1.5, 0, True)}
+    lines = contours.contour_lines(peak, 16, 1.5).collect()
+    assert {(r["level"], r["closed"]) for r in lines} >= {(3.0, True), (1.5, True)}
     ring = sorted((r["idx"], r["x"], r["y"]) for r in lines if r["level"] == 1.5)
     assert ring[0][1:] == ring[-1][1:] and len(ring) == 1 + len({p[1:] for p in ring})
-    ramp = pl.contour_lines(pl.contour_segments(grid(spark, [[c for c in range(5)]] * 4), 2.0)).where("level = 2").orderBy("idx").collect()
+    ramp = contours.contour_lines(grid(spark, [[c for c in range(5)]] * 4), 16, 2.0).where("level = 2").orderBy("idx").collect()
     assert [(r["x"], r["y"], r["closed"]) for r in ramp] == [(2.0, float(y), False) for y in range(4)]
 
 
-def test_a_saddle_is_cut_by_its_mean(spark):
-    for z, want in (([[2, 0], [0, 2]], {("h:0:0", "v:0:1"), ("v:0:0", "h:1:0")}), ([[1.2, 0], [0, 1.2]], {("h:0:0", "v:0:0"), ("v:0:1", "h:1:0")})):
-        found = pl.contour_segments(grid(spark, z), 1.0).where("level = 1").collect()
-        assert {(r["p"], r["q"]) for r in found} == want
+def test_a_saddle_is_cut_by_its_mean():
+    top, left, right, bottom = 0, 1, 3, contours.WIDE * 2
+    for z, want in (([[2, 0], [0, 2]], {(top, right), (left, bottom)}), ([[1.2, 0], [0, 1.2]], {(top, left), (right, bottom)})):
+        k, p, q, *_ = contours.pieces(np.array(z, float), 0, 0, 1.0)
+        assert {(a, b) for level, a, b in zip(k, p, q, strict=True) if level == 1} == want
 
 
 def test_solids_are_watertight_and_scraps_are_told(spark):
-    box = pl.grid_solids(grid(spark, [[2.0] * 4] * 3), 0.0)
+    box = pl.grid_solids(grid(spark, [[2.0] * 4] * 3, "tile"), 0.0)
     part = pl.mesh_parts(box).select("*", pl.holds_material(F.col("faces"), F.col("volume"), F.col("open")).alias("kept")).collect()
     assert [(r["open"], r["volume"], r["kept"]) for r in part] == [(0, pytest.approx(2 * 2 * 3), True)]
     opened = pl.mesh_parts(box.where("tri % 16 <> 0")).withColumn("kept", pl.holds_material(F.col("faces"), F.col("volume"), F.col("open"))).collect()

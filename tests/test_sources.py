@@ -119,22 +119,25 @@ def test_rays_equal_dense_sampling():
             assert fi.blocked(z, dx, dy, 0.4, 1.0)[y, x] == (best > 0)
 
 
-def test_splits_and_shadows_equal_plain_folds(spark):
+def test_splits_follow_long_stretches_alone(spark):
+    """Cuts don't change with points between, with small wiggles, or (but for the sign) with the axis turned; each lies limit beyond a turn."""
     random.seed(1)
-    values = [random.uniform(0, 5) for _ in range(60)]
-    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "line long, idx int, v double")
-    found = [r["at"] for r in fi.reversal_splits(df, "v", 2.0).orderBy("piece").collect()]
-    wanted, sign, back = [], 0, 0.0
-    for a, b in zip(values, values[1:], strict=False):
-        now = 1 if b > a else -1
-        if sign in (0, now):
-            sign, back = now, 0.0
-        elif back + abs(b - a) < 2.0 - 1e-9:
-            back += abs(b - a)
-        else:
-            wanted.append(a + now * (2.0 - back))
-            sign, back = now, 0.0
-    assert found == pytest.approx(wanted)
+    turns = [0.0]
+    for i in range(40):
+        turns.append(turns[-1] + (-1) ** i * random.choice([0.5, 1.25, 2.0, 3.75]))
+
+    def cuts(values):
+        df = spark.createDataFrame([(1, i, v) for i, v in enumerate(values)], "line long, idx int, v double")
+        return [r["at"] for r in fi.reversal_splits(df, "v", 2.0).orderBy("piece").collect()]
+
+    wanted = cuts(turns)
+    between = [v for a, b in zip(turns, turns[1:], strict=False) for v in (a, a, a + (b - a) / 4, a + (b - a) / 2)] + turns[-1:]
+    assert wanted and cuts(between) == wanted and cuts([-v for v in turns]) == [-v for v in wanted]
+    assert all(any(abs(abs(at - v) - 2.0) < 1e-9 for v in turns) for at in wanted)
+    assert cuts([0.0, 10.0, 8.5, 9.0, 7.5, 8.0, 6.5]) == [] and cuts([0.0, 10.0, 8.0]) == [8.0] and cuts([0.0, -1.0, 10.0, 9.0, 12.0, 1.0]) == [1.0, 10.0]
+
+
+def test_shadows_of_a_line(spark):
     spans = spark.createDataFrame([(1, 1, 0.0, 5.0), (1, 2, 4.0, 12.0), (1, 3, 11.0, 13.0), (1, 4, 5.0, 6.0)], "line long, id long, lo double, hi double")
     assert [tuple(r)[2:] for r in fi.longest_shadows(spans).orderBy("place").collect()] == [(2, 4.0, 12.0), (1, 0.0, 4.0), (3, 12.0, 13.0)]
 
