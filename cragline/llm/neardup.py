@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cragline.llm.text import text_or_empty
 from cragline.operators import graph
 from cragline.session import written
 
@@ -194,20 +195,27 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", own: Column | None = None) -> DataFrame:
-    """(doc_id, own, n, component, component_id) for every row of docs: component is one number for each component, null for a document
-    without words, and component_id its least id. own is any binary value of a row that is to be carried along."""
-    carried = F.lit(None).cast("binary") if own is None else own
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), carried.alias("own"))
+def text_digest(text: Column) -> Column:
+    """What a text is known by, whatever its row's id: null is as empty."""
+    return F.unhex(F.sha2(text_or_empty(text).cast("binary"), 256))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, own, n, component, component_id) for every row of docs: own is its text's digest, component one number for each
+    component, null for a document without words, and component_id its least id.
+
+    Classes come back to a text of theirs by its digest, not by an id, which many rows may share or lack; copies of a text fall together in
+    partial aggregates before they are shuffled."""
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_digest(F.col(text_col)).alias("own"))
     rows = written(_sketched(base), "sketches")
-    classes = rows.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = rows.where("n > 0").groupBy("high", "low").agg(F.min("doc_id").alias("rep"), F.min("own").alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     members = classes.select(F.explode("bands").alias("key"), "node")
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
     members = written(members.join(shared, "key"), "members")
-    candidates = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "rep", "high", "low")
-    sets = written(_sets(candidates.join(base.drop("own"), F.col("rep").eqNullSafe(F.col("doc_id")))), "sets")
+    candidates = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "own", "high", "low")
+    sets = written(_sets(base.groupBy("own").agg(F.first("text").alias("text")).join(candidates, "own")), "sets")
 
     owned = sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("other"))
     owned = owned.where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("u"))

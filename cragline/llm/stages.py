@@ -39,8 +39,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     and all stay; an empty table stays empty.
     """
     own, place, digest, blank = fresh(docs, "own", "place", "digest", "blank")
-    hashed = F.unhex(F.sha2(text_or_empty(F.col("text")).cast("binary"), 256))
-    found = neardup.groups(docs, own=hashed).where("component IS NOT NULL")
+    hashed = neardup.text_digest(F.col("text"))
+    found = neardup.groups(docs).where("component IS NOT NULL")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")).alias("first"))
     best = best.select(F.col("first.doc_id").alias(place), F.col("first.own").alias(digest))
     marked = docs.withColumns({own: hashed, blank: word_count(F.col("text")) == 0})

@@ -271,3 +271,22 @@ def test_every_close_pair_has_a_chain_within_its_budgets():
         x = 1 << a | 1 << b
         turned = [(x << 8 * i | x >> (64 - 8 * i)) & (1 << 64) - 1 for i in range(8)]
         assert any(t >> 40 == 0 and all((t >> (64 - 8 * n)).bit_count() <= n * 2 // 8 for n in range(1, 9)) for t in turned)
+
+
+# --- near duplicates whose ids say nothing
+
+
+def test_near_duplicates_with_null_and_shared_ids_in_number(spark):
+    """A third of the rows without an id and 5,000 texts of one id are grouped as if each had its own."""
+    from cragline.llm import neardup
+
+    rng = random.Random(12)
+    texts = []
+    for i in range(3750):
+        words = [f"w{rng.randrange(900)}" for _ in range(40)]
+        texts += [" ".join(words), " ".join([*words[:-1], "end"]) if i % 3 else " ".join(words)]
+    named = spark.createDataFrame([(None if i % 3 == 0 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sizes = lambda df: sorted(r["n"] for r in neardup.groups(df).groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect())
+    found = sizes(named)
+    assert found == sizes(plain) == [2] * 3750
