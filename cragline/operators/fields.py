@@ -158,9 +158,9 @@ def seams(cells: DataFrame, side: int, interval: float, radius: float) -> DataFr
 
 
 def reversal_splits(points: DataFrame, axis: str, limit: float, *by: str) -> DataFrame:
-    """(by, line, piece, at) of points (by, line, idx, axis): a line has a direction along the axis, at first that of its first move. Where it
+    """(by, line, piece, at, after, upto, way) of points (by, line, idx, axis): a line has a direction along the axis, at first that of its first move. Where it
     goes back by limit without a move along its direction between, it is cut, at the axis value of that place, and goes on in the new
-    direction. Values are taken to nine decimals.
+    direction (way). Values are taken to nine decimals; after and upto are the points between which the place lies.
 
     Between two turning points all moves go one way, so a stretch as long as limit settles the direction, whatever it was: it cuts the
     line if the one that was settled before differs. Windows alone tell.
@@ -175,8 +175,9 @@ def reversal_splits(points: DataFrame, axis: str, limit: float, *by: str) -> Dat
     corners = steps.where("way IS NULL OR onward IS NULL OR way <> onward").withColumn("length", F.abs(F.round(F.col("a") - F.lag("a").over(order), 9)))
     settled = F.last(F.when(F.col("length") >= limit, F.col("way")), True).over(before)
     first = F.first("way", True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    cut = corners.withColumns({"held": F.coalesce(settled, first), "from": F.lag("a").over(order)}).where((F.col("length") >= limit) & (F.col("way") != F.col("held")))
-    return cut.select(*keys, (F.row_number().over(order) - 1).alias("piece"), (F.col("from") + F.col("way") * limit).alias("at"))
+    begins = {"held": F.coalesce(settled, first), "from": F.lag("a").over(order), "after": F.lag("idx").over(order)}
+    cut = corners.withColumns(begins).where((F.col("length") >= limit) & (F.col("way") != F.col("held")))
+    return cut.select(*keys, (F.row_number().over(order) - 1).alias("piece"), F.round(F.col("from") + F.col("way") * limit, 9).alias("at"), "after", F.col("idx").alias("upto"), "way")
 
 
 def longest_shadows(spans: DataFrame) -> DataFrame:
