@@ -76,20 +76,25 @@ def line_cells(points: DataFrame, *by: str) -> DataFrame:
     return spread.select(*by, "line", "idx", at["x"].alias("px"), at["y"].alias("py"), t.alias("t")).withColumnsRenamed({"px": "x", "py": "y"})
 
 
-def track_raster(points: DataFrame, width: int, height: int) -> DataFrame:
-    """(y, x, phase, cover) of points (line, idx, x, y, phase): pixels of the tracks, the latest phase where several pass, and their
-    coverage after a blur of 1/8, 3/4, 1/8 along x and along y."""
-    w = Window.partitionBy("line").orderBy("idx")
-    phases = points.select("line", "idx", "phase", F.lead("phase").over(w).alias("phase2"))
-    passed = line_cells(points).where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)).join(phases, ["line", "idx"])
+def track_raster(points: DataFrame, width: int, height: int, stroke: int = 1) -> DataFrame:
+    """(raster, y, x, phase, cover) of points (raster, line, idx, x, y, phase): pixels on or beside the tracks, drawn stroke pixels wide. Where
+    several pass, the earliest phase counts. Coverage is blurred by 1/8, 3/4, 1/8 along x and y, and so is the phase, weighted by it; where
+    nearly nothing covers a pixel its phase is 0."""
+    w = Window.partitionBy("raster", "line").orderBy("idx")
+    phases = points.select("raster", "line", "idx", "phase", F.lead("phase").over(w).alias("phase2"))
+    passed = line_cells(points, "raster").join(phases, ["raster", "line", "idx"])
     phase = F.col("phase") + (F.col("phase2") - F.col("phase")) * F.col("t")
-    mask = passed.groupBy("y", "x").agg(F.max(phase).alias("phase"))
+    centre = passed.groupBy("raster", "y", "x").agg(F.min(phase).alias("phase"))
+    brush = range(-((stroke - 1) // 2), stroke // 2 + 1)
+    inked = centre.select("raster", "phase", F.explode(F.array(*[F.struct((F.col("y") + i).alias("y"), (F.col("x") + j).alias("x")) for i in brush for j in brush])).alias("p"))
+    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    soft = inked.select("raster", "p.y", "p.x", "phase").where(inside).groupBy("raster", "y", "x").agg(F.min("phase").alias("late"), F.lit(1.0).alias("cover"))
     taps = F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(v).alias("v")) for d, v in ((-1, 0.125), (0, 0.75), (1, 0.125))]))
-    across = mask.select("y", (F.col("x")).alias("x0"), taps.alias("k")).select("y", (F.col("x0") + F.col("k.d")).alias("x"), F.col("k.v").alias("v"))
-    across = across.groupBy("y", "x").agg(F.sum("v").alias("v"))
-    down = across.select("x", F.col("y").alias("y0"), "v", taps.alias("k")).select((F.col("y0") + F.col("k.d")).alias("y"), "x", (F.col("v") * F.col("k.v")).alias("v"))
-    blurred = down.groupBy("y", "x").agg(F.sum("v").alias("cover")).where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
-    return blurred.join(mask, ["y", "x"], "left").select("y", "x", "phase", "cover")
+    for a, b in (("x", "y"), ("y", "x")):
+        moved = soft.select("raster", b, F.col(a).alias("from"), "late", "cover", taps.alias("k"))
+        moved = moved.select("raster", b, (F.col("from") + F.col("k.d")).alias(a), (F.col("late") * F.col("k.v")).alias("late"), (F.col("cover") * F.col("k.v")).alias("cover"))
+        soft = moved.where(F.col(a).between(0, (width if a == "x" else height) - 1)).groupBy("raster", "y", "x").agg(F.sum("late").alias("late"), F.sum("cover").alias("cover"))
+    return soft.select("raster", "y", "x", F.when(F.col("cover") > 1e-6, F.col("late") / F.col("cover")).otherwise(0.0).alias("phase"), "cover")
 
 
 def welded(triangles: DataFrame) -> DataFrame:
@@ -120,9 +125,9 @@ def holds_material(faces: Column, volume: Column, open_edges: Column, many: int
     return (faces >= many) | ((faces >= 4) & (open_edges == 0) & (F.abs(volume) >= least))
 
 
-def grid_solids(cells: DataFrame, base: float) -> DataFrame:
+def grid_solids(cells: DataFrame, base: float, top_only: bool = False) -> DataFrame:
     """(mesh, tri, x1..z3) of dense tiles: the top between cell centres, a flat bottom at base and walls along the four sides, two triangles a
-    square, wound outwards; so each mesh is watertight and its volume is that under the surface."""
+    square, wound outwards; so each mesh is watertight and its volume is that under the surface. top_only leaves all but the top away."""
     row, column = ra.along_row(), ra.along_column()
     z = cells.withColumns({"right": F.lead("z").over(row), "down": F.lead("z").over(column), "first_c": F.lag("z").over(row).isNull(), "first_r": F.lag("z").over(column).isNull()})
     z = z.withColumn("both", F.lead("down").over(row))
@@ -137,7 +142,7 @@ def grid_solids(cells: DataFrame, base: float) -> DataFrame:
         (F.col("first_c") & ~last_r, (nw, bnw, bsw, sw)), (last_c & ~last_r, (sw, bsw, bnw, nw)),
     )
     faces = []
-    for k, (has, (p, q, s, t)) in enumerate(squares):
+    for k, (has, (p, q, s, t)) in enumerate(squares[:1] if top_only else squares):
         for i, (u, v, w) in enumerate(((p, q, s), (p, s, t))):
             faces.append(F.when(has, F.struct(F.lit(2 * k + i).alias("k"), u.alias("p1"), v.alias("p2"), w.alias("p3"))))
     spread = z.select(F.col("tile").alias("mesh"), "r", "c", F.explode(F.array_compact(F.array(*faces))).alias("f"))
@@ -179,16 +184,46 @@ def projected(x: Column, y: Column, matrix: np.ndarray) -> dict[str, Column]:
     return {"u": (m[0][0] * x + m[0][1] * y + m[0][2]) / F.nullif(w, F.lit(0.0)), "v": (m[1][0] * x + m[1][1] * y + m[1][2]) / F.nullif(w, F.lit(0.0))}
 
 
+def _squares_passed(rays: DataFrame, box: DataFrame, size: float) -> DataFrame:
+    """rays with each square (_x, _y) of size that they pass over a box (one row: low_x, high_x, ...): column by column, in each the rows
+    from where the ray enters it to where it leaves. Borders count to both sides."""
+    slack = 1e-9
+    over = rays.crossJoin(F.broadcast(box))
+    since, until = F.lit(0.0), F.lit(float("inf"))
+    for a in "xyz":
+        o, d = F.col(f"o{a}"), F.nullif(F.col(f"d{a}"), F.lit(0.0))
+        ends = [(F.col(f"{end}_{a}") - o) / d for end in ("low", "high")]
+        inside = o.between(F.col(f"low_{a}"), F.col(f"high_{a}"))
+        since = F.greatest(since, F.when(d.isNotNull(), F.least(*ends)).when(inside, float("-inf")).otherwise(float("inf")))
+        until = F.least(until, F.when(d.isNotNull(), F.greatest(*ends)).when(inside, float("inf")).otherwise(float("-inf")))
+    met = over.withColumns({"_t0": since, "_t1": until}).where("_t0 <= _t1 AND _t1 < double('infinity')")
+
+    def spread(df: DataFrame, a: str, out: str) -> DataFrame:
+        p, q = (F.col(f"o{a}") + F.col(f"d{a}") * F.col(t) for t in ("_t0", "_t1"))
+        return df.withColumn(out, F.explode(F.sequence(F.floor(F.least(p, q) / size - slack).cast("long"), F.floor(F.greatest(p, q) / size + slack).cast("long"))))
+
+    columns = spread(met, "x", "_x")
+    borders = [((F.col("_x") + k) * size - F.col("ox")) / F.nullif(F.col("dx"), F.lit(0.0)) for k in (-slack, 1 + slack)]
+    columns = columns.withColumns({"_t0": F.greatest(F.col("_t0"), F.least(*borders)), "_t1": F.least(F.col("_t1"), F.greatest(*borders))})
+    return spread(columns, "y", "_y").select(*rays.columns, "_x", "_y")
+
+
 def first_hits(rays: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
-    """(ray, tri, t) of rays (ray, ox, oy, oz, dx, dy, dz) that go downwards over a mesh (tri, x1..z3) and steeply enough to stay in one
-    square of size: each ray's nearest triangle by t, then by id. Rays meet the triangles whose box reaches their square or the next."""
-    square = lambda a: F.floor(F.col(a) / size).cast("long")
-    near = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    sent = rays.withColumns({"_x": square("ox"), "_y": square("oy")})
-    sent = sent.withColumn("_i", near).withColumn("_j", near).withColumns({"_x": F.col("_x") + F.col("_i"), "_y": F.col("_y") + F.col("_j")})
+    """(ray, tri, t) of rays (ray, ox, oy, oz, dx, dy, dz) in any direction over a mesh (tri, x1..z3): each ray's nearest triangle by t, then
+    by id. Rays go from square to square of size, as far as the mesh reaches, and meet the triangles whose box reaches one of them. A ray
+    without direction meets nothing; one that isn't finite raises an error."""
+    c = F.col
+    finite = [F.abs(c(f"{k}{a}")) < float("inf") for k in "od" for a in "xyz"]
+    sound = finite[0]
+    for f in finite[1:]:
+        sound = sound & f
+    rays = rays.where(F.when(F.coalesce(sound, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit("a ray is not finite")).cast("boolean")))
+    # a box without height would let rays along it slip by a rounding
+    low = lambda a: (F.min(F.least(f"{a}1", f"{a}2", f"{a}3")) - 1e-6).alias(f"low_{a}")
+    high = lambda a: (F.max(F.greatest(f"{a}1", f"{a}2", f"{a}3")) + 1e-6).alias(f"high_{a}")
+    sent = _squares_passed(rays.where("dx <> 0 OR dy <> 0 OR dz <> 0"), triangles.agg(*[f(a) for a in "xyz" for f in (low, high)]), size)
     span = lambda a: F.explode(F.sequence(F.floor(F.least(f"{a}1", f"{a}2", f"{a}3") / size).cast("long"), F.floor(F.greatest(f"{a}1", f"{a}2", f"{a}3") / size).cast("long")))
     boxed = triangles.withColumn("_x", span("x")).withColumn("_y", span("y"))
-    c = F.col
     e1, e2, s = ([c(f"{a}2") - c(f"{a}1") for a in "xyz"], [c(f"{a}3") - c(f"{a}1") for a in "xyz"], [c(f"o{a}") - c(f"{a}1") for a in "xyz"])
     d = [c(f"d{a}") for a in "xyz"]
     cross = lambda p, q: [p[1] * q[2] - p[2] * q[1], p[2] * q[0] - p[0] * q[2], p[0] * q[1] - p[1] * q[0]]

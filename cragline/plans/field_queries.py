@@ -13,6 +13,8 @@ from cragline.plans import fixtures as fx
 
 S = fx.SIDE
 AZIMUTHS = (180.0, 60.0, 235.0)
+#: Of the seams: several levels of it lie among the heights.
+INTERVAL = 600.0
 MARKED = "(r * 5 + c * 11 + tile) % 23 = 0"
 
 
@@ -39,7 +41,7 @@ def ray_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corridor_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fi.seams(fx.filled_dem(spark, sf_dir), S, 2500.0, 2.5).select("tile", F.round("cost", 6).alias("cost"))
+    return fi.seams(fx.filled_dem(spark, sf_dir), S, INTERVAL, 2.5).select("tile", F.round("cost", 6).alias("cost"))
 
 
 def split_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,7 @@ WITH RECURSIVE s(line, id, lo, hi, n, taken) AS (
 ) SELECT line, n::BIGINT AS place, id, lo, hi FROM s WHERE taken""",
     "corridor_seams": f"""
 WITH RECURSIVE {fx.FILLED}, p AS (SELECT tile, r, c, z, lead(z) OVER (PARTITION BY tile, r ORDER BY c) AS z2, 'h' AS kind FROM filled UNION ALL SELECT tile, r, c, z, lead(z) OVER (PARTITION BY tile, c ORDER BY r), 'v' FROM filled),
-k AS (SELECT *, unnest(range(floor(least(z, z2) / 2500)::BIGINT + 1, floor(greatest(z, z2) / 2500)::BIGINT + 1)) * 2500.0::DOUBLE AS level FROM p WHERE z2 <> z),
+k AS (SELECT *, unnest(range(floor(least(z, z2) / {INTERVAL})::BIGINT + 1, floor(greatest(z, z2) / {INTERVAL})::BIGINT + 1)) * {INTERVAL}::DOUBLE AS level FROM p WHERE z2 <> z),
 pts AS (SELECT DISTINCT tile, CASE WHEN kind = 'v' THEN r + (level - z) / (z2 - z) ELSE r END AS y, CASE WHEN kind = 'h' THEN c + (level - z) / (z2 - z) ELSE c END AS x FROM k),
 ids AS (SELECT *, row_number() OVER (ORDER BY tile, y, x) AS id FROM pts),
 e AS (SELECT a.id AS u, b.id AS v, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS w FROM ids a JOIN ids b ON a.tile = b.tile AND a.id <> b.id AND abs(a.y - b.y) <= 2.5 AND sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 2.5),

@@ -67,8 +67,10 @@ def line_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def track_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pl.track_raster(_scaled(spark, sf_dir).where("line % 97 = 5"), 128, 64)
-    return found.select("y", "x", F.round("phase", 7).alias("phase"), F.round("cover", 6).alias("cover"))
+    """All tracks, drawn three pixels wide, a hundred on a raster."""
+    points = _scaled(spark, sf_dir).withColumn("raster", F.floor(F.col("line") / 100))
+    found = pl.track_raster(points, 128, 64, 3)
+    return found.select("raster", "y", "x", F.round(F.col("phase") + OFF, 7).alias("phase"), F.round("cover", 6).alias("cover"))
 
 
 def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +93,7 @@ def solid_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Upper faces of the solids, tiles 32 apart along x."""
-    faces = pl.grid_solids(fx.filled_dem(spark, sf_dir), BASE).where("tri % 16 < 2")
+    faces = pl.grid_solids(fx.filled_dem(spark, sf_dir), BASE, top_only=True)
     return faces.select((F.col("mesh") * (1 << 40) + F.col("tri")).alias("tri"), *[(F.col(f"{a}{i}") + (32.0 * F.col("mesh") if a == "x" else 0.0)).alias(f"{a}{i}") for i in (1, 2, 3) for a in "xyz"])
 
 
@@ -199,9 +201,11 @@ SELECT line, idx, round(km, 5) AS km, round(0.25::DOUBLE + 0.5::DOUBLE * CASE WH
 SELECT d.tile, r, c, round(CASE WHEN isnan(z) THEN coalesce(fill, z) ELSE z END, 6) AS z FROM dem d LEFT JOIN f ON f.tile = d.tile""",
     "line_raster": f"WITH {_SCALED} SELECT y, x, count(*) AS n FROM cells GROUP BY ALL",
     "track_raster": f"""
-WITH {_SCALED}, mask AS (SELECT y, x, max((idx + t) / 1024.0::DOUBLE) AS phase FROM cells WHERE line % 97 = 5 AND x BETWEEN 0 AND 127 AND y BETWEEN 0 AND 63 GROUP BY ALL),
-ax AS (SELECT y, x + d AS x, sum(v) AS v FROM mask CROSS JOIN {_TAPS} GROUP BY ALL), b AS (SELECT y + d AS y, x, sum(ax.v * k.v) AS cover FROM ax CROSS JOIN {_TAPS} GROUP BY ALL)
-SELECT b.y, b.x, round(phase, 7) AS phase, round(cover, 6) AS cover FROM b LEFT JOIN mask m ON m.y = b.y AND m.x = b.x WHERE b.x BETWEEN 0 AND 127 AND b.y BETWEEN 0 AND 63""",
+WITH {_SCALED}, centre AS (SELECT line // 100 AS raster, y, x, min((idx + t) / 1024.0::DOUBLE) AS late FROM cells GROUP BY ALL),
+mask AS (SELECT raster, y + i AS y, x + j AS x, min(late) AS late FROM centre CROSS JOIN range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(j) WHERE x + j BETWEEN 0 AND 127 AND y + i BETWEEN 0 AND 63 GROUP BY ALL),
+ax AS (SELECT raster, y, x + d AS x, sum(late * v) AS late, sum(v) AS cover FROM mask CROSS JOIN {_TAPS} WHERE x + d BETWEEN 0 AND 127 GROUP BY ALL),
+b AS (SELECT raster, y + d AS y, x, sum(late * k.v) AS late, sum(cover * k.v) AS cover FROM ax CROSS JOIN {_TAPS} WHERE y + d BETWEEN 0 AND 63 GROUP BY ALL)
+SELECT raster, y, x, round(CASE WHEN cover > 1e-6 THEN late / cover ELSE 0 END + {OFF}::DOUBLE, 7) AS phase, round(cover, 6) AS cover FROM b""",
     # lines are components of crossings; a closed one has no crossing with a single piece
     "contour_lines": f"""
 WITH RECURSIVE {fx.FILLED}, {_SQUARES},

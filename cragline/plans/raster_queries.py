@@ -12,9 +12,9 @@ from cragline.plans import fixtures as fx
 
 S = fx.SIDE
 SUN, RISE, OFFSET = (0.6, 0.48, 0.64), 25.0, 0.375
-#: The fixture's heights lie far above 0; the sea queries look at z - SEA.
-SEA = 9000.0
-#: Inside the fixture's heights (about -740 to 1,340), so that voids, sea, floor, land and both kinds of level occur.
+#: The fixture's heights run from about -740 to 1,340: the sea, what counts as void and how deep it is are among them.
+SEA, VOID, FLOOR, STEEP, INTERVAL = 120.0, -700.0, -350.0, 800.0, 250.0
+#: Another coast.
 COAST, COAST_VOID, COAST_FLOOR, COAST_STEEP = 300.0, -900.0, -200.0, 500.0
 
 
@@ -22,12 +22,12 @@ def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) + 0.0 for c in columns})
 
 
-def dem_clean_voids(spark: SparkSession, sf_dir: str, sea: float = SEA, void: float = -8000.0) -> DataFrame:
+def dem_clean_voids(spark: SparkSession, sf_dir: str, sea: float = SEA, void: float = VOID) -> DataFrame:
     cells = ra.clamp_negative(ra.clean_voids(fx.dem(spark, sf_dir).withColumn("z", F.col("z") - sea), void))
     return cells.select("tile", "r", "c", F.round(F.when(F.isnan("z"), None).otherwise(F.col("z")), 6).alias("z"))
 
 
-def dem_sea_level(spark: SparkSession, sf_dir: str, sea: float = SEA, floor: float = -2000.0) -> DataFrame:
+def dem_sea_level(spark: SparkSession, sf_dir: str, sea: float = SEA, floor: float = FLOOR) -> DataFrame:
     cells = fx.dem(spark, sf_dir).withColumn("z", F.col("z") - sea)
     done = ra.sea_level(cells, (F.col("r") * 7 + F.col("c") * 3) % 5 != 0, floor, 4)
     return done.select("tile", "r", "c", F.round(F.when(F.isnan("z"), None).otherwise(F.col("z")), 6).alias("z"))
@@ -77,13 +77,13 @@ def dem_height_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(curved.select("tile", "r", "c", "mm"), "mm")
 
 
-def contour_levels(spark: SparkSession, sf_dir: str, threshold: float = 5000.0) -> DataFrame:
+def contour_levels(spark: SparkSession, sf_dir: str, threshold: float = STEEP) -> DataFrame:
     ranges = fx.dem(spark, sf_dir).where(~F.isnan("z")).groupBy("tile").agg(F.min("z").alias("low"), F.max("z").alias("high"))
     return ra.contour_levels(ranges, threshold, 100.0, 500.0)
 
 
 def contour_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ra.contour_crossings(fx.filled_dem(spark, sf_dir), 2500.0), "r", "c")
+    return _rounded(ra.contour_crossings(fx.filled_dem(spark, sf_dir), INTERVAL), "r", "c")
 
 
 def horizon_cardinal(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ def layer_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     gx, gy = F.abs(diff(F.lead, row) - diff(F.lag, row)) / 2, F.abs(diff(F.lead, column) - diff(F.lag, column)) / 2
     light = (F.col("r") * 16 + F.col("c")).cast("double")
     base = 255 * (1 - F.lit(0.8)) + (50 + F.col("r") * 10) * 0.8
-    inked = ra.blended(base * light / 255, 120.0, ra.contour_alpha(F.col("z"), gx + gy, 2500.0, 1.5))
+    inked = ra.blended(base * light / 255, 120.0, ra.contour_alpha(F.col("z"), gx + gy, INTERVAL, 1.5))
     river = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.abs(F.col("r") - F.col("c")) / 2.0))
     return cells.select("tile", "r", "c", F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), ra.blended(inked, 30.0, river)))).cast("int").alias("value"))
 
@@ -165,14 +165,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
-    "dem_clean_voids": f"WITH {fx.DEM} SELECT tile, r, c, round(CASE WHEN isnan(z) OR z - {SEA} <= -8000 THEN NULL WHEN z < {SEA} THEN 0 ELSE z - {SEA} END, 6) AS z FROM dem",
+    "dem_clean_voids": f"WITH {fx.DEM} SELECT tile, r, c, round(CASE WHEN isnan(z) OR z - {SEA} <= {VOID} THEN NULL WHEN z < {SEA} THEN 0 ELSE z - {SEA} END, 6) AS z FROM dem",
     "dem_sea_level": f"""
 WITH RECURSIVE {fx.DEM}, below AS (SELECT tile, r, c FROM dem WHERE NOT isnan(z) AND z < {SEA} AND (r * 7 + c * 3) % 5 <> 0),
 reach(tile, r, c, r0, c0) AS (
   SELECT tile, r, c, r, c FROM below
   UNION SELECT b.tile, b.r, b.c, x.r0, x.c0 FROM reach x JOIN below b ON b.tile = x.tile AND abs(b.r - x.r) + abs(b.c - x.c) = 1
 ), sizes AS (SELECT tile, r0 AS r, c0 AS c, count(*) AS size FROM reach GROUP BY 1, 2, 3)
-SELECT d.tile, d.r, d.c, round(CASE WHEN isnan(z) THEN NULL WHEN z >= {SEA} THEN z - {SEA} WHEN size >= 4 THEN greatest(z - {SEA}, -2000) ELSE 0 END, 6) AS z
+SELECT d.tile, d.r, d.c, round(CASE WHEN isnan(z) THEN NULL WHEN z >= {SEA} THEN z - {SEA} WHEN size >= 4 THEN greatest(z - {SEA}, {FLOOR}) ELSE 0 END, 6) AS z
 FROM dem d LEFT JOIN sizes s ON s.tile = d.tile AND s.r = d.r AND s.c = d.c""",
     "dem_blocks": f"WITH {fx.DEM} SELECT tile, (r // 2)::INT AS r, (c // 2)::INT AS c, round(min(z), 6) AS low, round(max(z), 6) AS high, round(avg(z), 6) AS mean, round(quantile_cont(z, 0.5), 6) AS median, count(*) AS n FROM ({_VALID}) GROUP BY 1, 2, 3",
     "dem_box_mean": f"WITH {fx.FILLED}, {_box_sql(3)} SELECT tile, r, c, round(mean, 6) AS mean FROM box",
@@ -203,12 +203,12 @@ t AS (SELECT d.tile, r, c, CASE WHEN isnan(z) THEN 0 ELSE greatest(-1, least(1,
 SELECT tile, r, c, round(1.5 + sign(t) * pow(abs(t), 0.7::DOUBLE) * 30, 6) AS mm FROM t""",
     "contour_levels": f"""
 WITH {fx.DEM}, g AS (SELECT tile, min(z) AS lo, max(z) AS hi FROM ({_VALID}) GROUP BY tile),
-fine AS (SELECT tile, unnest(list_transform(range(floor(lo / 100)::BIGINT, ceil(least(hi, 5000) / 100)::BIGINT + 1), lambda i: i * 100.0::DOUBLE)) AS level FROM g WHERE lo <= 5000),
-coarse AS (SELECT tile, unnest(list_transform(range(greatest(11, floor(lo / 500)::BIGINT), ceil(hi / 500)::BIGINT + 1), lambda i: i * 500.0::DOUBLE)) AS level FROM g WHERE hi > 5000)
-SELECT tile, level FROM fine WHERE level <= 5000 UNION SELECT tile, level FROM coarse WHERE level > 5000""",
+fine AS (SELECT tile, unnest(list_transform(range(floor(lo / 100)::BIGINT, ceil(least(hi, {STEEP}) / 100)::BIGINT + 1), lambda i: i * 100.0::DOUBLE)) AS level FROM g WHERE lo <= {STEEP}),
+coarse AS (SELECT tile, unnest(list_transform(range(greatest(2, floor(lo / 500)::BIGINT), ceil(hi / 500)::BIGINT + 1), lambda i: i * 500.0::DOUBLE)) AS level FROM g WHERE hi > {STEEP})
+SELECT tile, level FROM fine WHERE level <= {STEEP} UNION SELECT tile, level FROM coarse WHERE level > {STEEP}""",
     "contour_crossings": f"""
 WITH {fx.FILLED}, p AS (SELECT tile, r, c, z, lead(z) OVER (PARTITION BY tile, r ORDER BY c) AS z2, 'h' AS kind FROM filled UNION ALL SELECT tile, r, c, z, lead(z) OVER (PARTITION BY tile, c ORDER BY r), 'v' FROM filled),
-k AS (SELECT *, unnest(range(floor(least(z, z2) / 2500)::BIGINT + 1, floor(greatest(z, z2) / 2500)::BIGINT + 1)) * 2500.0::DOUBLE AS level FROM p WHERE z2 <> z)
+k AS (SELECT *, unnest(range(floor(least(z, z2) / {INTERVAL})::BIGINT + 1, floor(greatest(z, z2) / {INTERVAL})::BIGINT + 1)) * {INTERVAL}::DOUBLE AS level FROM p WHERE z2 <> z)
 SELECT tile, level, round(CASE WHEN kind = 'v' THEN r + (level - z) / (z2 - z) ELSE r END, 6) AS r, round(CASE WHEN kind = 'h' THEN c + (level - z) / (z2 - z) ELSE c END, 6) AS c, kind FROM k""",
     "horizon_cardinal": f"WITH {fx.FILLED}, {_CARDINAL} SELECT tile, r, c, round(horizon, 6) AS horizon FROM h",
     "horizon_sheared": f"""
@@ -225,7 +225,7 @@ SELECT *, round_even((0.05::DOUBLE + 0.95::DOUBLE * pow(greatest(0, least(1, lig
 WITH {fx.FILLED}, g AS (SELECT *, abs(coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / 2 + abs(coalesce(lead(z) OVER y, z) - coalesce(lag(z) OVER y, z)) / 2 AS g FROM filled
   WINDOW x AS (PARTITION BY tile, r ORDER BY c), y AS (PARTITION BY tile, c ORDER BY r)),
 a AS (SELECT *, (255 * (1 - 0.8::DOUBLE) + (50 + r * 10) * 0.8::DOUBLE) * (r * 16 + c)::DOUBLE / 255 AS base,
-  CASE WHEN abs(z) > 0.05 THEN greatest(0, least(1, 1.25::DOUBLE - abs((z + 1250) - 2500 * floor((z + 1250) / 2500) - 1250) / greatest(g, 0.1))) ELSE 0 END AS a1, greatest(0, least(1, 1 - abs(r - c) / 2.0::DOUBLE)) AS a2 FROM g)
+  CASE WHEN abs(z) > 0.05 THEN greatest(0, least(1, 1.25::DOUBLE - abs((z + {INTERVAL / 2}) - {INTERVAL} * floor((z + {INTERVAL / 2}) / {INTERVAL}) - {INTERVAL / 2}) / greatest(g, 0.1))) ELSE 0 END AS a1, greatest(0, least(1, 1 - abs(r - c) / 2.0::DOUBLE)) AS a2 FROM g)
 SELECT tile, r, c, round_even(greatest(0, least(255, (base * (1 - a1) + 120 * a1) * (1 - a2) + 30 * a2)), 0)::INT AS value FROM a""",
     "dem_clean_voids_coast": f"WITH {fx.DEM} SELECT tile, r, c, round(CASE WHEN isnan(z) OR z - {COAST} <= {COAST_VOID} THEN NULL WHEN z < {COAST} THEN 0 ELSE z - {COAST} END, 6) AS z FROM dem",
     "dem_sea_level_coast": f"""
