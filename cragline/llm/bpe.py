@@ -122,6 +122,7 @@ class Tables:
         self.token = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.fits: dict[tuple[int, int], bool] = {}
+        self.chunks: dict[bytes, list[int]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._table("merges", {"pair": pairs, "rank": made})
         self.decimal = pa.array(map(str, range(max(ranks.values()) + 1)), pa.large_string())
@@ -168,27 +169,23 @@ class Tables:
         return Lists(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _mended(self, ids: dict[int, list[int]], seams: dict[int, list[int]]) -> dict[int, list[int]]:
-        """ids, right at the seams (places in ids) too. From SHIFTING tokens of reach on, a word's first wrong seam is mended alone,
-        for then its wrong seams have one cause: a run whose phase is another than where its chunks begin."""
-        reach, rounds = 2, 0
+        """ids, right at the seams (places in ids) too. What isn't after SHIFTING tokens of reach is a run whose phase is another than
+        where its chunks begin; it is contracted from left to right."""
+        reach = 2
         while seams:
             self._try([(ids[i][s - 1], ids[i][s]) for i in seams for s in seams[i]])
+            wrong = {i: own for i in seams if (own := [s for s in seams[i] if not self.fits[ids[i][s - 1], ids[i][s]]])}
+            if reach > SHIFTING:
+                return ids | {i: self._onward(ids[i], own) for i, own in wrong.items()}
             spans: dict[int, list[list[int]]] = {}
-            wait: dict[int, list[int]] = {}
-            for i in seams:
-                own: list[list[int]] = []
-                for s in seams[i]:
+            for i in wrong:
+                own = spans.setdefault(i, [])
+                for s in wrong[i]:
                     low, high = max(0, s - reach), min(len(ids[i]), s + reach)
-                    if self.fits[ids[i][s - 1], ids[i][s]]:
-                        continue
                     if own and low <= own[-1][1]:
                         own[-1][1] = high
-                    elif own and reach >= SHIFTING:
-                        wait.setdefault(i, []).append(s)
                     else:
                         own.append([low, high])
-                if own:
-                    spans[i] = own
             again = iter(self.contract([b"".join(self.token[t] for t in ids[i][low:high]) for i in spans for low, high in spans[i]]).split())
             seams = {}
             for i, own in spans.items():
@@ -201,11 +198,60 @@ class Tables:
                     at = high
                 ids[i] = new + old[at:]
                 if edges:
-                    seams[i] = edges + [s + len(ids[i]) - len(old) for s in wait.get(i, [])]
-            rounds += 1
-            reach += 2 if reach < SHIFTING else rounds % 16 == 0
+                    seams[i] = edges
+            reach += 2
         return ids
 
+    def _onward(self, old: list[int], wrong: list[int]) -> list[int]:
+        """A word's ids, old but for some wrong seams: from the first on, each chunk begins where the ids before it are settled, all
+        but the last of its own are taken, and old ids come back where they meet a border of the new ones. In a run all chunks are
+        alike, and are contracted once. Where a chunk doesn't fit to what is before it, it begins further back and is longer."""
+        ends = np.cumsum([len(self.token[t]) for t in old])
+        text = b"".join(self.token[t] for t in old)
+        border = {int(e): k for k, e in enumerate(ends.tolist(), 1)}  # where old ids end: how many there are before
+        left = sorted(wrong, reverse=True)
+        out = old[: left[-1] - 1]
+        at = int(ends[left[-1] - 2]) if left[-1] > 1 else 0
+        size, back, adopted = CHUNK_BYTES, 1, 0
+        while at < len(text):
+            own = self._chunk(text[at : at + size])
+            last = at + size >= len(text)
+            if len(own) == 1 and not last:
+                size *= 2
+                continue
+            if out and not self._fits(out[-1], own[0]):
+                for token in out[-back:]:
+                    at -= len(self.token[token])
+                    size += len(self.token[token])
+                del out[-back:]
+                back *= 2
+                continue
+            size, back = CHUNK_BYTES, 1
+            for token in own if last else own[:-1]:
+                out.append(token)
+                at += len(self.token[token])
+                k = border.get(at)
+                while left and k is not None and left[-1] < k:
+                    left.pop()
+                upto = left[-1] - 1 if left else len(old)  # old ids are right so far
+                if k is not None and k < upto and adopted < upto and self._fits(token, old[k]):
+                    out += old[k:upto]
+                    at, adopted = int(ends[upto - 1]), upto
+                    break
+        return out
+
+    def _chunk(self, part: bytes) -> list[int]:
+        if part not in self.chunks:
+            if len(self.chunks) > CACHE_PIECES // 64:
+                self.chunks = {}
+            self.chunks[part] = self.contract([part]).flat.tolist()
+        return self.chunks[part]
+
+    def _fits(self, a: int, b: int) -> bool:
+        if (a, b) not in self.fits:
+            self._try([(a, b)])
+        return self.fits[a, b]
+
     def _try(self, pairs: list[tuple[int, int]]) -> None:
         """Notes for each two ids whether their joint bytes contract to just these."""
         new = [p for p in dict.fromkeys(pairs) if p not in self.fits]

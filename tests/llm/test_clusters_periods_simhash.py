@@ -290,3 +290,28 @@ def test_near_duplicates_with_null_and_shared_ids_in_number(spark):
     sizes = lambda df: sorted(r["n"] for r in neardup.groups(df).groupBy("component").agg(F.count(F.lit(1)).alias("n")).collect())
     found = sizes(named)
     assert found == sizes(plain) == [2] * 3750
+
+
+# --- byte-level BPE of long words
+
+
+def test_shifted_runs_are_encoded_from_left_to_right():
+    """Words of runs whose phase isn't that of their chunks, and the time of a long one."""
+    import time
+
+    import public_tokenizers
+    import tiktoken
+
+    from cragline.llm import bpe
+
+    known = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    library = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known[0], special_tokens={})
+    tables = bpe.Tables(known)
+    rng = random.Random(5)
+    units = [b"o", b"ha", b"-", b"no", b"x", b"the", "é".encode()]
+    words = [b"".join(rng.choice(units) * rng.randint(1, 700) + bytes(rng.choices(b"abNx", k=rng.randint(0, 3))) for _ in range(rng.randint(1, 5))) for _ in range(80)]
+    for word, ids in zip(words, tables.encode(words).split(), strict=True):
+        assert ids.tolist() == library._core_bpe.encode_single_piece(word)
+    began = time.time()
+    long = b"N" + b"o" * 400_000
+    assert tables.encode([long]).flat.tolist() == library._core_bpe.encode_single_piece(long) and time.time() - began < 30
