@@ -15,21 +15,72 @@ from cragline.operators import near
 from cragline.operators import raster as ra
 
 
+#: Columns that a task measures at once.
+COLUMN_BLOCK = 64
+
+
+def nearest_by_column(reach: np.ndarray) -> np.ndarray:
+    """Of a column's rows, the row whose mark, so far away within that row (-1: none there), is nearest to each; of equals the first. -1 where
+    no row has a mark.
+
+    Squared distances to a row's mark are a parabola over the rows. From the top down the parabolas that are least somewhere are kept
+    with the last row at which each is; two of them cross once, so a new one takes whole stretches from the last.
+    """
+    rows = np.flatnonzero(reach >= 0).tolist()
+    if not rows:
+        return np.full(len(reach), -1)
+    lifts = (reach.astype(np.int64) ** 2).tolist()
+    kept, until = [], []  # rows, and the last place at which the one before still is the nearest
+    for q in rows:
+        while kept:
+            p = kept[-1]
+            meet = (q * q + lifts[q] - p * p - lifts[p]) // (2 * (q - p))
+            if meet > until[-1]:
+                break
+            kept.pop()
+            until.pop()
+        until.append(meet if kept else -1)
+        kept.append(q)
+    ends = np.minimum(np.array(until[1:] + [len(reach)]), len(reach) - 1)
+    return np.array(kept)[np.searchsorted(ends, np.arange(len(reach)))]
+
+
 def distance_field(cells: DataFrame, marked: Column) -> DataFrame:
-    """(tile, r, c, d): exact distance to the tile's nearest marked cell; null in a tile without one.
+    """(tile, r, c, d, mark_r, mark_c): exact distance to the tile's nearest marked cell, and which that is (of equals the least row, then
+    column); null in a tile without one.
 
-    Separable: the nearest mark within the row by two windows, then the least over the rows of a column by one join, which
-    costs the tile's side for each cell instead of its area.
+    Two windows find the nearest mark within each row; then a column's rows are measured in linear time. A task holds some columns of
+    a tile, not the tile.
     """
     w = ra.along_row()
     upto, after = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     at = F.when(marked, F.col("c"))
-    rows = cells.select("tile", "r", "c", F.last(at, True).over(upto).alias("_l"), F.first(at, True).over(after).alias("_n"))
-    rows = rows.select("tile", "r", "c", F.least(F.col("c") - F.col("_l"), F.col("_n") - F.col("c")).alias("dc"))
-    other = rows.where("dc IS NOT NULL").select("tile", "c", F.col("r").alias("r2"), "dc")
-    found = cells.select("tile", "r", "c").join(other, ["tile", "c"], "left")
-    d2 = F.pow(F.col("r") - F.col("r2"), 2) + F.pow(F.col("dc"), 2)
-    return found.groupBy("tile", "r", "c").agg(F.sqrt(F.min(d2)).alias("d"))
+    rows = cells.select("tile", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.last(at, True).over(upto).alias("low"), F.first(at, True).over(after).alias("high"))
+    left = F.col("high").isNull() | (F.col("c") - F.col("low") <= F.col("high") - F.col("c"))
+    rows = rows.select("tile", "r", "c", F.when(left, F.col("low")).otherwise(F.col("high")).cast("int").alias("mark"), F.floor(F.col("c") / COLUMN_BLOCK).cast("int").alias("block"))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for c, column in rows.groupby("c"):
+            r, mark = column["r"].to_numpy(), column["mark"].to_numpy(np.float64)
+            known = ~np.isnan(mark)
+            reach = np.full(int(r.max()) + 1, -1, np.int64)
+            reach[r[known]] = np.abs(mark[known] - c).astype(np.int64)
+            of_row = np.full(len(reach), np.nan)
+            of_row[r] = mark
+            near = nearest_by_column(reach)[r]
+            has = near >= 0
+            mark_c = np.where(has, of_row[near], np.nan)
+            d = np.sqrt((r - near) ** 2 + (mark_c - c) ** 2)
+            whole = lambda v, has=has: pd.array(np.where(has, v, 0).astype(np.int64), "Int64")
+            found = pd.DataFrame({"tile": column["tile"].to_numpy(), "r": r, "c": c, "d": d, "mark_r": whole(near), "mark_c": whole(mark_c)})
+            found.loc[~has, ["mark_r", "mark_c"]] = pd.NA
+            found["d"] = found["d"].astype(object).where(has, None)
+            out.append(found)
+        return pd.concat(out)
+
+    kind = cells.schema["tile"].dataType.simpleString()
+    return rows.groupBy("tile", "block").applyInPandas(run, f"tile {kind}, r int, c int, d double, mark_r int, mark_c int")
 
 
 def _grid(tile: pd.DataFrame, side: int) -> tuple[pd.DataFrame, np.ndarray]:

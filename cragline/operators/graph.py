@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from cragline.operators import near
 from cragline.session import discard, written
 
+#: Tables of nodes met that a search by rounds reads at most.
+MERGED = 8
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     cols = [c for c in edges.columns if c not in ("u", "v")]
@@ -50,36 +53,49 @@ def components(edges: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None) -> DataFrame:
     """(id, d, via): shortest distance from the nearest of sources (id), up to a cutoff, and the node before (least of equals).
 
-    Rounds relax the edges of the nodes that improved in the round before, until none does. A round writes these nodes alone.
+    Rounds relax the edges of the nodes that improved in the round before, until none does. A round writes these nodes alone; the tables
+    of every MERGED rounds become one.
     """
     ways = written(both_ways(edges.select("u", "v", "w")), "ways")
-    fronts = [written(sources.select("id", F.lit(0.0).alias("d")).distinct(), "front")]
-    while not fronts[-1].isEmpty():
-        tried = fronts[-1].join(ways, F.col("id") == F.col("u")).select(F.col("v").alias("id"), (F.col("d") + F.col("w")).alias("d"))
+    front = written(sources.select("id", F.lit(0.0).alias("d")).distinct(), "front")
+    known = [front]
+    least = lambda tables: reduce(DataFrame.unionByName, tables).groupBy("id").agg(F.min("d").alias("d"))
+    while True:
+        tried = front.join(ways, F.col("id") == F.col("u")).select(F.col("v").alias("id"), (F.col("d") + F.col("w")).alias("d"))
         tried = tried.where(F.col("d") <= cutoff) if cutoff is not None else tried
         tried = tried.groupBy("id").agg(F.min("d").alias("d"))
-        known = reduce(DataFrame.unionByName, fronts).withColumnRenamed("d", "had")
-        better = tried.join(known, "id", "left").groupBy("id").agg(F.first("d").alias("d"), F.min("had").alias("had"))
-        fronts.append(written(better.where("had IS NULL OR d < had").select("id", "d"), "front"))
-    best = written(reduce(DataFrame.unionByName, fronts).groupBy("id").agg(F.min("d").alias("d")), "best")
+        better = tried.join(least(known).withColumnRenamed("d", "had"), "id", "left").where("had IS NULL OR d < had").select("id", "d")
+        front = written(better, "front")
+        if front.isEmpty():
+            break
+        known.append(front)
+        if len(known) > MERGED:
+            known = [written(least(known), "known")]
+    best = written(least(known), "best")
     came = ways.select(F.col("v").alias("id"), F.col("u").alias("via"), "w").join(best.select(F.col("id").alias("via"), F.col("d").alias("dv")), "via")
     came = came.join(best, "id").where(F.abs(F.col("dv") + F.col("w") - F.col("d")) <= 1e-9 * (1 + F.col("d"))).where("d > 0")
     return best.join(came.groupBy("id").agg(F.min("via").alias("via")), "id", "left")
 
 
 def two_core(edges: DataFrame) -> DataFrame:
-    """Edges left after nodes of degree below two are taken away until none is."""
+    """Edges left after nodes of degree below two are taken away until none is.
+
+    Nodes of degree one and two make chains; a chain that has an end goes as a whole, found by components. So a path is one round, and a
+    tree as many as the logarithm of its nodes.
+    """
     left = written(edges.select("u", "v"), "core")
-    n = left.count()
-    while n:
-        weak = both_ways(left).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n < 2").select(F.col("u").alias("weak"))
-        kept = left.join(weak, left["u"] == weak["weak"], "left_anti").join(weak, left["v"] == weak["weak"], "left_anti")
+    while True:
+        degrees = written(both_ways(left).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n <= 2").select(F.col("u").alias("id"), (F.col("n") < 2).alias("end")), "degrees")
+        if degrees.where("end").isEmpty():
+            return left
+        low = degrees.select("id")
+        inside = left.join(low.withColumnRenamed("id", "u"), "u", "left_semi").join(low.withColumnRenamed("id", "v"), "v", "left_semi")
+        labels = written(components(inside), "chains")
+        named = degrees.join(labels, "id", "left").select("id", "end", F.coalesce("label", "id").alias("label"))
+        gone = named.join(named.where("end").select("label").distinct(), "label", "left_semi").select("id")
+        kept = left.join(gone, left["u"] == gone["id"], "left_anti").join(gone, left["v"] == gone["id"], "left_anti")
         old, left = left, written(kept, "core")
         discard(old)
-        n, before = left.count(), n
-        if n == before:
-            break
-    return left
 
 
 def spanning_forest(edges: DataFrame, joined: DataFrame | None = None) -> DataFrame:

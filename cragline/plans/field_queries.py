@@ -87,8 +87,9 @@ q AS (SELECT tile, r, c, k, f AS f0, lead(f, 1) OVER w AS f1, lead(f, 2) OVER w
 t AS (SELECT *, 2 * (f0 - 2 * f1 + f2) AS a, 4 * f1 - 3 * f0 - f2 AS b FROM q WHERE k % 2 = 0 AND f2 IS NOT NULL),
 hit AS (SELECT tile, r, c, bool_or(CASE WHEN a < 0 AND -b / (2 * a) > 0 AND -b / (2 * a) < 1 THEN f0 - b * b / (4 * a) ELSE greatest(f0, f2) END > 1e-3) AS h FROM t GROUP BY ALL)
 SELECT f.tile, f.r, f.c, coalesce(h, false) AS blocked FROM filled f LEFT JOIN hit h ON h.tile = f.tile AND h.r = f.r AND h.c = f.c""",
-    "distance_field": f"""WITH {fx.FILLED}, m AS (SELECT tile, r AS r2, c AS c2 FROM filled WHERE {MARKED})
-SELECT f.tile, r, c, round(sqrt(min(pow(r - r2, 2) + pow(c - c2, 2))), 6) AS d FROM filled f LEFT JOIN m ON m.tile = f.tile GROUP BY f.tile, r, c""",
+    "distance_field": f"""WITH {fx.FILLED}, m AS (SELECT tile, r AS r2, c AS c2 FROM filled WHERE {MARKED}),
+n AS (SELECT f.tile, r, c, min((pow(r - r2, 2) + pow(c - c2, 2), r2, c2)) FILTER (WHERE r2 IS NOT NULL) AS b FROM filled f LEFT JOIN m ON m.tile = f.tile GROUP BY f.tile, r, c)
+SELECT tile, r, c, round(sqrt(b[1]), 6) AS d, b[2] AS mark_r, b[3] AS mark_c FROM n""",
     "skyline_bake": f"""WITH {fx.FILLED} SELECT a.tile, a.r, a.c, round(greatest(0, degrees(coalesce(max(atan2(b.z - a.z - 1, (b.c - a.c) * 500.0::DOUBLE)), 0))), 6) AS elevation
 FROM filled a LEFT JOIN filled b ON b.tile = a.tile AND b.r = a.r AND b.c > a.c GROUP BY a.tile, a.r, a.c""",
     # along a row the bilinear surface is a line between cells, so the greatest excess is at a cell
