@@ -20,6 +20,13 @@ def line_alpha(distance: Column, width: Column, scale: Column) -> Column:
     return held(width / 2 + 0.5 - distance / F.greatest(scale, F.lit(0.05)))
 
 
+def soft_line_alpha(distance: Column, width: Column, rim: float = 0.65) -> Column:
+    """Coverage by a line whose edge fades over rim pixels to either side, flat at both ends of the fade."""
+    low = F.greatest(F.lit(0.0), width / 2 - rim)
+    t = held((distance - low) / (width / 2 + rim - low))
+    return 1 - t * t * (3 - 2 * t)
+
+
 def weighted_width(weight: Column, thickness: Column) -> Column:
     """A line's width by its weight: one pixel at weight 0, thickness at 1."""
     return 1 + (thickness - 1) * weight

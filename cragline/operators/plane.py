@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cragline.operators import graph
 from cragline.operators import raster as ra
+from cragline.session import written
 
 
 def sections_in_square(points: DataFrame, x0: Column, y0: Column, side: float) -> DataFrame:
@@ -105,19 +106,48 @@ def welded(triangles: DataFrame) -> DataFrame:
     return named.where("a <> b AND b <> c AND a <> c")
 
 
+#: Side of the squares in which mesh_parts labels triangles first.
+PART_SQUARE = 256.0
+
+
 def mesh_parts(triangles: DataFrame) -> DataFrame:
     """(mesh, part, faces, volume, open) of triangles (mesh, tri, x1..z3): connected parts by shared vertices, their signed volume and how
-    many edges have one triangle only (0: watertight)."""
-    corners = welded(triangles)
-    sides = corners.select(F.explode(F.array(*[F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("a", "c"))])).alias("e")).select("e.u", "e.v")
-    labels = graph.components(sides.distinct())
-    named = corners.join(labels, corners["a"] == labels["id"]).select("mesh", "tri", F.col("label").alias("part"))
+    many edges have one triangle only (0: watertight).
+
+    Triangles are labelled within squares of a mesh first; what is left for rounds over the whole are labels that share a vertex.
+    """
+    square = lambda a: F.floor(F.least(f"{a}1", f"{a}2", f"{a}3") / PART_SQUARE).cast("long")
     x, y, z = ([F.col(f"{a}{i}").cast("double") for i in (1, 2, 3)] for a in "xyz")
     six = x[0] * (y[1] * z[2] - y[2] * z[1]) - y[0] * (x[1] * z[2] - x[2] * z[1]) + z[0] * (x[1] * y[2] - x[2] * y[1])
-    volumes = triangles.select("mesh", "tri", (six / 6).alias("volume")).join(named, ["mesh", "tri"])
-    single = sides.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n = 1").join(labels, F.col("u") == F.col("id")).groupBy("label").agg(F.count(F.lit(1)).alias("open"))
-    parts = volumes.groupBy("mesh", "part").agg(F.count(F.lit(1)).alias("faces"), F.sum("volume").alias("volume"))
-    return parts.join(single, parts["part"] == single["label"], "left").select("mesh", "part", "faces", "volume", F.coalesce("open", F.lit(0)).alias("open"))
+    placed = triangles.select("mesh", "tri", square("x").alias("i"), square("y").alias("j"), (six / 6).alias("volume"))
+    corners = welded(triangles).join(placed, ["mesh", "tri"])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        ends = rows[["a", "b", "c"]].to_numpy()
+        names, at = np.unique(ends, return_inverse=True)
+        at = at.reshape(-1, 3)
+        label = np.arange(len(names))
+        while True:
+            low = label.copy()
+            for p, q in ((0, 1), (1, 0), (1, 2), (2, 1)):
+                np.minimum.at(low, at[:, p], label[at[:, q]])
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        return rows[["mesh", "a", "b", "c", "volume"]].assign(local=names[label[at[:, 0]]])
+
+    kind = triangles.schema["mesh"].dataType.simpleString()
+    local = written(corners.groupBy("mesh", "i", "j").applyInPandas(run, f"mesh {kind}, a long, b long, c long, volume double, local long"), "mesh-labels")
+    shared = local.select("local", F.explode(F.array("a", "b", "c")).alias("vertex")).groupBy("vertex").agg(F.collect_set("local").alias("locals")).where(F.size("locals") > 1)
+    labels = written(graph.components(shared.select(F.array_min("locals").alias("u"), F.explode("locals").alias("v"))), "mesh-parts")
+    part = F.coalesce("label", "local").alias("part")
+    faces = local.groupBy("mesh", "local").agg(F.count(F.lit(1)).alias("faces"), F.sum("volume").alias("volume"))
+    parts = faces.join(labels, F.col("local") == F.col("id"), "left").groupBy("mesh", part).agg(F.sum("faces").alias("faces"), F.sum("volume").alias("volume"))
+    sides = local.select("local", F.explode(F.array(*[F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("a", "c"))])).alias("e"))
+    single = sides.groupBy("e").agg(F.count(F.lit(1)).alias("n"), F.min("local").alias("local")).where("n = 1").groupBy("local").agg(F.count(F.lit(1)).alias("n"))
+    single = single.join(labels, F.col("local") == F.col("id"), "left").groupBy(part).agg(F.sum("n").alias("open"))
+    return parts.join(single, "part", "left").select("mesh", "part", "faces", "volume", F.coalesce("open", F.lit(0)).alias("open"))
 
 
 def holds_material(faces: Column, volume: Column, open_edges: Column, many: int = 1000, least: float = 0.2) -> Column:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cragline.functions import parse
+from cragline.operators import fields as fi
+from cragline.operators import graph as g
 from cragline.operators import layers as la
 from cragline.operators import raster as ra
 from cragline.plans import fixtures as fx
-from cragline.session import table
+from cragline.plans import raster_queries as rq
+from cragline.session import table, written
 
 S = fx.SIDE
 PROGRESS = 0.6
@@ -39,6 +42,29 @@ def layer_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("tile", "r", "c", la.composited(light, inks).alias("value"))
 
 
+def layer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers that are tables: light and shadow of the tiles' terrain, its contours, a river along the least cell of each row, as wide as the
+    supplier's reach weighs and shown as far as it has come, and the tile's peak."""
+    cells = fx.filled_dem(spark, sf_dir)
+    row, column = ra.along_row(), ra.along_column()
+    light = ra.shaded(ra.normals(ra.horizon_cardinal(cells, rq.RISE), 500.0, 500.0), rq.SUN, 0.2, 0.5).select("tile", "r", "c", "light")
+    diff = lambda f, w: F.coalesce(f("z").over(w), F.col("z"))
+    gradient = F.abs(diff(F.lead, row) - diff(F.lag, row)) / 2 + F.abs(diff(F.lead, column) - diff(F.lag, column)) / 2
+    least = F.row_number().over(Window.partitionBy("tile", "r").orderBy("z", "c")) == 1
+    highest = F.row_number().over(Window.partitionBy("tile").orderBy(F.desc("z"), "r", "c")) == 1
+    marked = written(cells.withColumns({"gradient": gradient, "river": least, "peak": highest}), "layers")
+    river = fi.distance_field(marked, F.col("river")).select("tile", "r", "c", F.col("d").alias("to_river"), "mark_r")
+    peak = fi.distance_field(marked, F.col("peak")).select("tile", "r", "c", F.col("d").alias("to_peak"))
+    weights = g.width_weights(fx.reaches(spark, sf_dir), "q").select(F.col("id").alias("tile"), "weight")
+    every = marked.join(light, ["tile", "r", "c"]).join(river, ["tile", "r", "c"]).join(peak, ["tile", "r", "c"]).join(weights, "tile", "left")
+    width = la.weighted_width(F.coalesce("weight", F.lit(0.0)), F.lit(4.0))
+    inks = [
+        (120.0, ra.contour_alpha(F.col("z"), F.col("gradient"), 250.0, 1.5)), (60.0, la.soft_line_alpha(F.col("to_river"), width) * la.revealed(F.col("mark_r") / (S - 1), F.lit(PROGRESS))),
+        (250.0, la.line_alpha(F.col("to_peak"), F.lit(3.0), F.lit(1.0))),
+    ]
+    return every.select("tile", "r", "c", la.composited(F.col("light").cast("double") + OFF, inks).alias("value"))
+
+
 def contour_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = fx.filled_dem(spark, sf_dir)
     ways = {fill: la.single_level_alpha(F.col("z"), 200.0, F.lit(60.0), 2.0, fill) for fill in ("line", "above", "below")}
@@ -67,7 +93,7 @@ def pace_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "layer_order": layer_order, "contour_fill": contour_fill, "screen_gather": screen_gather, "chroma_resample": chroma_resample, "pace_text": pace_text,
+    "layer_order": layer_order, "layer_tables": layer_tables, "contour_fill": contour_fill, "screen_gather": screen_gather, "chroma_resample": chroma_resample, "pace_text": pace_text,
 }
 
 _HELD = lambda v, high="1": f"greatest(0, least({high}, {v}))"
@@ -77,6 +103,8 @@ _LIGHT = "((229.5::DOUBLE * 0.2::DOUBLE + greatest(0, least(255, (40 + r * 12) *
 _STREET = f"{_LINE('abs(r + c - 14)', '1 + (c % 4) / 4.0::DOUBLE')} * 0.7::DOUBLE"
 _RIVER = f"{_LINE('abs(r - c) / 2.0::DOUBLE', '1 + 2 * ((c % 4) / 4.0::DOUBLE)')} * {_HELD(f'({PROGRESS}::DOUBLE * 1.005::DOUBLE - (r + c) / 30.0::DOUBLE) / 0.005::DOUBLE')}"
 
+_REACHES = "WITH " + fx.REACHES + " SELECT id, q FROM reaches"
+
 ORACLES: dict[str, str] = {
     "layer_order": f"""
 WITH {fx.FILLED}, g AS (SELECT *, abs(coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / 2 + abs(coalesce(lead(z) OVER y, z) - coalesce(lag(z) OVER y, z)) / 2 AS g FROM filled
@@ -85,6 +113,20 @@ l0 AS (SELECT *, {_LIGHT} AS v, CASE WHEN abs(z) > 0.05 THEN greatest(0, least(1
 l1 AS (SELECT *, {_OVER('v', 120, 'a')} AS v1 FROM l0), l2 AS (SELECT *, {_OVER('v1', 200, _STREET)} AS v2 FROM l1), l3 AS (SELECT *, {_OVER('v2', 60, _RIVER)} AS v3 FROM l2),
 l4 AS (SELECT *, {_OVER('v3', 250, _LINE('sqrt((r - 5) * (r - 5) + (c - 9) * (c - 9))', '3'))} AS v4 FROM l3)
 SELECT tile, r, c, round_even({_HELD(_OVER('v4', 10, _LINE('abs(r - 11)', '1') + ' * 0.5::DOUBLE'), '255')}, 0)::INT AS value FROM l4""",
+    "layer_tables": f"""
+WITH {fx.FILLED}, light AS (SELECT tile, r, c, light FROM ({rq.ORACLES['shade_cells']})), q AS (SELECT id, greatest(q, 0) AS q FROM ({_REACHES})),
+wt AS (SELECT id, greatest(0, least(1, ln(1 + q) / ln(1 + greatest((SELECT quantile_cont(q, 0.995) FROM q), 0.1)))) AS w FROM q),
+g AS (SELECT *, abs(coalesce(lead(z) OVER x, z) - coalesce(lag(z) OVER x, z)) / 2 + abs(coalesce(lead(z) OVER y, z) - coalesce(lag(z) OVER y, z)) / 2 AS g,
+  row_number() OVER (PARTITION BY tile, r ORDER BY z, c) = 1 AS river, row_number() OVER (PARTITION BY tile ORDER BY z DESC, r, c) = 1 AS peak FROM filled
+  WINDOW x AS (PARTITION BY tile, r ORDER BY c), y AS (PARTITION BY tile, c ORDER BY r)),
+rv AS (SELECT a.tile, a.r, a.c, min((pow(a.r - b.r, 2) + pow(a.c - b.c, 2), b.r)) AS m FROM g a JOIN g b ON b.tile = a.tile AND b.river GROUP BY a.tile, a.r, a.c),
+d AS (SELECT g.*, l.light + {OFF}::DOUBLE AS v, sqrt(m[1]) AS dr, m[2] AS mr, sqrt(pow(g.r - p.r, 2) + pow(g.c - p.c, 2)) AS dp, 1 + 3 * coalesce(wt.w, 0) AS width
+  FROM g JOIN light l ON l.tile = g.tile AND l.r = g.r AND l.c = g.c JOIN rv ON rv.tile = g.tile AND rv.r = g.r AND rv.c = g.c JOIN g p ON p.tile = g.tile AND p.peak LEFT JOIN wt ON wt.id = g.tile),
+t AS (SELECT *, greatest(0, least(1, (dr - greatest(0, width / 2 - 0.65::DOUBLE)) / (width / 2 + 0.65::DOUBLE - greatest(0, width / 2 - 0.65::DOUBLE)))) AS t,
+  CASE WHEN abs(z) > 0.05 THEN greatest(0, least(1, 1.25::DOUBLE - abs((z + 125) - 250 * floor((z + 125) / 250) - 125) / greatest(g, 0.1))) ELSE 0 END AS a FROM d),
+l1 AS (SELECT *, {_OVER('v', 120, 'a')} AS v1 FROM t),
+l2 AS (SELECT *, {_OVER('v1', 60, f"(1 - t * t * (3 - 2 * t)) * " + _HELD(f"({PROGRESS}::DOUBLE * 1.005::DOUBLE - mr / {S - 1}.0::DOUBLE) / 0.005::DOUBLE"))} AS v2 FROM l1)
+SELECT tile, r, c, round_even({_HELD(_OVER('v2', 250, _LINE('dp', '3')), '255')}, 0)::INT AS value FROM l2""",
     "contour_fill": f"""WITH {fx.FILLED} SELECT tile, r, c, round(CASE WHEN abs(z) > 0.05 THEN {_HELD('1.5::DOUBLE - abs(z - 200) / 60')} ELSE 0 END, 6) AS line, round({_HELD('(z - 200) / 60 + 0.5::DOUBLE')}, 6) AS above,
   round(1 - {_HELD('(z - 200) / 60 + 0.5::DOUBLE')}, 6) AS below FROM filled""",
     "screen_gather": f"""

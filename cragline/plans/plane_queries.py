@@ -85,9 +85,14 @@ def contour_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def solid_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Solids of tiles: connected parts, faces, volume, open edges (none), and whether they hold material."""
-    parts = pl.mesh_parts(pl.grid_solids(fx.filled_dem(spark, sf_dir), BASE))
-    kept = pl.holds_material(F.col("faces"), F.col("volume"), F.col("open"))
+    """Solids of tiles: connected parts, faces, volume, open edges, and whether they hold material. Every fifth tile lacks a face, and beside
+    every seventh floats a scrap."""
+    solids = pl.grid_solids(fx.filled_dem(spark, sf_dir), BASE).where("mesh % 5 <> 0 OR tri <> 0")
+    o, x, y, z = ((100.0, 0.0, 0.0), (100.125, 0.0, 0.0), (100.0, 0.125, 0.0), (100.0, 0.0, 0.125))
+    scrap = F.explode(F.array(*[F.struct(F.lit(-1 - k).cast("long").alias("tri"), *[F.lit(p[d]).alias(f"{a}{i}") for i, p in enumerate(f, 1) for d, a in enumerate("xyz")]) for k, f in enumerate(((o, y, x), (o, x, z), (o, z, y), (x, y, z)))])).alias("f")
+    scraps = fx.filled_dem(spark, sf_dir).where("tile % 7 = 0").select(F.col("tile").alias("mesh")).distinct().select("mesh", scrap).select("mesh", "f.*")
+    parts = pl.mesh_parts(solids.unionByName(scraps))
+    kept = pl.holds_material(F.col("faces"), F.col("volume"), F.col("open"), 2000)
     return parts.select(F.col("mesh").alias("tile"), "faces", F.round(F.col("volume") + OFF, 3).alias("volume"), "open", kept.alias("kept"))
 
 
@@ -218,7 +223,9 @@ SELECT tile, level, count(*) AS lines, count(*) FILTER (WHERE closed) AS closed,
     "solid_volumes": f"""
 WITH {fx.FILLED}, sq AS (SELECT tile, r, c, z AS a, lead(z) OVER (PARTITION BY tile, r ORDER BY c) AS b, lead(z) OVER (PARTITION BY tile, c ORDER BY r) AS d FROM filled),
 s AS (SELECT *, lead(d) OVER (PARTITION BY tile, r ORDER BY c) AS e FROM sq QUALIFY e IS NOT NULL)
-SELECT tile, {4 * (S - 1) ** 2 + 8 * (S - 1)}::BIGINT AS faces, round(sum((a + d + e) / 6 + (a + e + b) / 6 - {BASE}::DOUBLE) + {OFF}::DOUBLE, 3) AS volume, 0::BIGINT AS open, true AS kept FROM s GROUP BY tile""",
+SELECT tile, {4 * (S - 1) ** 2 + 8 * (S - 1)}::BIGINT - (tile % 5 = 0)::INT AS faces, round(sum((a + d + e) / 6 + (a + e + b) / 6 - {BASE}::DOUBLE - CASE WHEN tile % 5 = 0 AND r = 0 AND c = 0 THEN a / 6 ELSE 0 END) + {OFF}::DOUBLE, 3) AS volume,
+  CASE WHEN tile % 5 = 0 THEN 3 ELSE 0 END::BIGINT AS open, tile % 5 <> 0 AS kept FROM s GROUP BY tile
+UNION ALL SELECT DISTINCT tile, 4, round(0.125::DOUBLE * 0.125::DOUBLE * 0.125::DOUBLE / 6 + {OFF}::DOUBLE, 3), 0, false FROM s WHERE tile % 7 = 0""",
     "surface_hits": f"""
 WITH {fx.FILLED}, k AS (SELECT o_orderkey AS ray, o_custkey % (SELECT count(*) FROM supplier) AS tile, o_orderkey * 37 % 1487 / 100.0::DOUBLE + 0.063::DOUBLE AS x, o_orderkey * 91 % 1487 / 100.0::DOUBLE + 0.029::DOUBLE AS y FROM orders),
 q AS (SELECT ray, x - floor(x) AS u, y - floor(y) AS v, a.z AS nw, b.z AS ne, d.z AS sw, e.z AS se FROM k

@@ -55,3 +55,19 @@ def test_places_outside_a_map_are_null(spark):
     df = spark.createDataFrame([(5.0, 45.0), (6.0, 46.0), (7.1, 45.0)], "lon double, lat double")
     at = pl.map_xy(F.col("lon"), F.col("lat"), (5.0, 45.0, 7.0, 47.0), 100.0, 50.0)
     assert [tuple(r) for r in df.select(at["x"], at["y"]).collect()] == [(0.0, 0.0), (50.0, 25.0), (None, 0.0)] or [r[0] for r in df.select(at["x"]).collect()] == [0.0, 50.0, None]
+
+
+def test_parts_are_those_of_whole_meshes_however_small_the_squares(spark, monkeypatch):
+    """Two boxes in one mesh, far apart, and one over many squares; the parts don't depend on the squares."""
+    boxes = pl.grid_solids(grid(spark, [[2.0] * 9] * 5, "tile"), 0.0)
+    moved = boxes.select("mesh", (F.col("tri") + (1 << 40)).alias("tri"), *[(F.col(f"{a}{i}") + (40.0 if a == "x" else 0.0)).alias(f"{a}{i}") for i in (1, 2, 3) for a in "xyz"])
+    other = boxes.withColumn("mesh", F.lit(2).cast("long"))
+    mesh = boxes.unionByName(moved).unionByName(other).unionByName(moved.where("tri % 16 = 1").withColumn("mesh", F.lit(3).cast("long")))
+    found = {}
+    for square in (256.0, 1.5):
+        monkeypatch.setattr(pl, "PART_SQUARE", square)
+        found[square] = sorted((r["mesh"], r["faces"], round(r["volume"], 6), r["open"]) for r in pl.mesh_parts(mesh).collect())
+    assert found[256.0] == found[1.5]
+    assert [r for r in found[1.5] if r[0] < 3] == [(1, 176, 64.0, 0), (1, 176, 64.0, 0), (2, 176, 64.0, 0)]
+    assert all(r[3] >= 3 for r in found[1.5] if r[0] == 3)
+    assert pl.mesh_parts(mesh.limit(0)).count() == 0
