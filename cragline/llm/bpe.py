@@ -33,15 +33,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cragline.llm.text import give_back_memory
+
 #: Bytes of words in one recursive query, and of a chunk; bits of a position in a word; a reach in tokens.
-BATCH_BYTES = 300_000
+BATCH_BYTES = 150_000
 CHUNK_BYTES = 64
 POS_BITS = 22
 SHIFTING = 16
 #: Characters of texts in a slice, pieces that a task keeps, and tokens that are decoded at once.
-SLICE_CHARS = 2_000_000
-CACHE_PIECES = 400_000
-DECODE_TOKENS = 400_000
+SLICE_CHARS = 1_000_000
+CACHE_PIECES = 250_000
+DECODE_TOKENS = 200_000
 
 #: A space that lies between two pieces only seemingly: white space before it, and none but white space after it.
 _UNCUT = re.compile(r"\s \s|\s \Z")
@@ -123,7 +125,7 @@ class Tables:
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.fits: dict[tuple[int, int], bool] = {}
         self.chunks: dict[bytes, list[int]] = {}
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
         self._table("merges", {"pair": pairs, "rank": made})
         self.decimal = pa.array(map(str, range(max(ranks.values()) + 1)), pa.large_string())
         latin = pa.array([t.decode("latin-1") for t in ranks])
@@ -376,7 +378,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays(columns, names)
         if coder:
             coder.tables.db.close()
-        pa.default_memory_pool().release_unused()  # the worker process goes on to other work
+        give_back_memory()
 
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if keep else [])
     ddl = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded binary" if keep else "")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cragline.llm.text import text_or_empty
+from cragline.llm.text import give_back_memory, text_or_empty
 from cragline.operators import graph
 from cragline.session import written
 
@@ -125,7 +125,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
                         bands.append(band_keys(sketch(own)) if len(own) else [])
                     columns = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
                     yield pa.RecordBatch.from_arrays(columns, names)
-        pa.default_memory_pool().release_unused()  # the worker process goes on to other work
+        give_back_memory()
 
     return docs.mapInArrow(run, f"doc_id {kind}, own binary, n long, high long, low long, bands array<long>")
 
@@ -146,7 +146,7 @@ def _sets(rows: DataFrame) -> DataFrame:
                             counts.append(np.bincount((own % np.uint64(HISTOGRAM)).astype(np.int64), minlength=HISTOGRAM))
                     columns = [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32()))]
                     yield pa.RecordBatch.from_arrays(columns, ["node", "shingles", "histogram"])
-        pa.default_memory_pool().release_unused()
+        give_back_memory()
 
     return rows.select("node", "high", "low", "text").mapInArrow(run, "node long, shingles array<long>, histogram array<int>")
 

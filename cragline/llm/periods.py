@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cragline.llm.text import WORD, let, text_or_empty
+from cragline.llm.text import WORD, give_back_memory, let, text_or_empty
 
 #: A run has this many words at least, and this many periods.
 LEAST = 6
@@ -173,7 +173,7 @@ def find_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     texts.append(collapsed(words, own).decode())
                 columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(runs, pa.list_(run_type)), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "runs", "collapsed"])
-        pa.default_memory_pool().release_unused()
+        give_back_memory()
 
     kind = base.schema["doc_id"].dataType.simpleString()
     return base.mapInArrow(run, f"doc_id {kind}, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed string")

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cragline.llm.text import give_back_memory
 from cragline.operators import graph
 from cragline.session import written
 
@@ -74,7 +75,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 batch = whole.slice(start, 512)
                 found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "print"])
-        pa.default_memory_pool().release_unused()
+        give_back_memory()
 
     return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, print long")
 
