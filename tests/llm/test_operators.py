@@ -162,27 +162,29 @@ def test_thresholds_limit_false_rejection(spark):
     assert quality.op4(empty(spark), spark.createDataFrame([], "doc_id long, quality int")).count() == 0
 
 
-def test_certified_cutoffs_hold_their_risk(spark):
+def test_certified_cutoffs_hold_their_risk_in_each_stratum(spark):
     """60 strata whose good documents score evenly over 0..9999: the true risk of a cutoff c is (9999 - c) / 10000. With an error of
-    5 % over all strata, hardly any may lie above RISK; and thin strata are tested together."""
+    5 % over all strata, hardly any may lie above RISK. Thin strata, one with a distribution of its own that any shared cutoff would cut
+    to pieces, get none."""
     random.seed(10)
     rows = [(f"s{k}", random.randrange(10_000)) for k in range(60) for _ in range(random.choice([900, 1500]))]
-    rows += [(f"thin{k}", random.randrange(10_000)) for k in range(40) for _ in range(20)] + [(None, random.randrange(10_000)) for _ in range(15)]
+    rows += [(f"thin{k}", random.randrange(10_000)) for k in range(40) for _ in range(20)] + [("own", 9_999)] * 60 + [(None, random.randrange(10_000)) for _ in range(1500)]
     found = {r["stratum"]: r["cutoff"] for r in quality.certified(spark.createDataFrame(rows, "stratum string, score int")).collect()}
-    assert len(found) == 101
+    assert found.keys() == {f"s{k}" for k in range(60)} | {None}
     risks = [(9999 - c) / 10_000 for c in found.values()]
     assert sum(r > quality.RISK for r in risks) == 0 and max(risks) > quality.RISK / 4
-    assert len({found[f"thin{k}"] for k in range(40)} | {found[None]}) == 1
     few = spark.createDataFrame([("a", 5)] * 30, "stratum string, score int")
     assert quality.certified(few).count() == 0
 
 
 def test_rules_reject_beyond_the_base(spark, sf_dir):
-    docs, labels = (spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    judged = quality.op4(docs, labels).join(labels, "doc_id", "left").groupBy("quality").agg(
+    """On a table whose languages have holdouts large enough: most bad documents go, each language keeps its good ones."""
+    docs, labels = (spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.op4(docs, labels).join(docs.select("doc_id", "lang"), "doc_id").join(labels, "doc_id", "left").groupBy("quality", "lang").agg(
         F.count_if("kept").alias("kept"), F.count_if(~F.col("base_failed")).alias("passed")).collect()
-    n = {r["quality"]: (r["kept"], r["passed"]) for r in judged}
-    assert n[0][0] < 0.5 * n[0][1] and n[1][0] >= (1 - quality.RISK) * n[1][1] and n[None][0] < n[None][1]
+    total = lambda q: [sum(r[k] for r in judged if r["quality"] == q) for k in ("kept", "passed")]
+    assert total(0)[0] < 0.5 * total(0)[1] and total(None)[0] < total(None)[1]
+    assert all(r["kept"] >= (1 - quality.RISK) * r["passed"] - 3 for r in judged if r["quality"] == 1)
 
 
 def test_warc_round_trip_with_segments(spark, tmp_path):
