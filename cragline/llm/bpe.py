@@ -40,8 +40,9 @@ BATCH_BYTES = 150_000
 CHUNK_BYTES = 64
 POS_BITS = 22
 SHIFTING = 16
-#: Characters of texts in a slice, pieces that a task keeps, and tokens that are decoded at once.
-SLICE_CHARS = 1_000_000
+#: Characters of texts in a slice (fewer take less memory, more learn fewer words anew), pieces that a task keeps, and tokens that are
+#: decoded at once.
+SLICE_CHARS = 2_000_000
 CACHE_PIECES = 250_000
 DECODE_TOKENS = 200_000
 
@@ -345,18 +346,18 @@ class Coder:
         return ids, self.tables.written(ids), self.tables.decode(ids)
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Keys and texts of a batch, about SLICE_CHARS characters at a time."""
+def _slices(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[pa.Array, list[str]]]:
+    """Keys and texts of a batch, about so many characters at a time."""
     texts, begin, size = [], 0, 0
     for at, text in enumerate(batch.column(1), 1):
         texts.append(text.as_py() or "")
         size += len(texts[-1])
-        if size >= SLICE_CHARS or at == batch.num_rows:
+        if size >= chars or at == batch.num_rows:
             yield batch.column(0).slice(begin, at - begin), texts
             texts, begin, size = [], at, 0
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256), with keep also (ids, decoded), for every row of docs."""
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(ranks_path))
@@ -369,13 +370,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         coder = None
         for batch in batches:
             coder = coder or Coder(shared.value, pattern)
-            for keys, texts in _slices(batch):
+            for keys, texts in _slices(batch, slice_chars):
                 ids, written, decoded = coder.rows(texts)
                 columns = [keys, pa.array(ids.size, pa.int64()), digests([w.as_buffer() for w in written]), digests(decoded)]
                 if keep:
                     ends = np.concatenate([[0], np.cumsum(ids.size)]).astype(np.int32)
                     columns += [pa.ListArray.from_arrays(ends, pa.array(ids.flat, pa.int32())), pa.array(decoded, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names)
+                del ids, written, decoded, columns
+                give_back_memory()
         if coder:
             coder.tables.db.close()
         give_back_memory()

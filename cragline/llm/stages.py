@@ -13,6 +13,10 @@ from cragline.llm.text import text_or_empty, word_count
 from cragline.session import scratch_path
 
 
+#: Characters that the last stage encodes at once: its tasks share executors whose heaps the stages before have filled.
+SLICE_CHARS = 750_000
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to be new to docs, whatever the case."""
     taken = {c.lower() for c in docs.columns}
@@ -101,6 +105,6 @@ def encode(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=True)
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN, keep=True, slice_chars=SLICE_CHARS)
     written_ids = F.array_join(F.transform("ids", lambda i: i.cast("string")), " ")
     return encoded.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2(written_ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
