@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cragline.session import shuffled
+
 
 def near_pairs(points: DataFrame, radius: float, *by: str) -> DataFrame:
     """(u, v, d) of each unordered pair within the radius once, u < v. by: columns in which both must be equal; they are kept."""
@@ -23,7 +25,7 @@ def _reach(a: DataFrame, b: DataFrame, radius: float, *by: str) -> DataFrame:
     left = left.withColumn("_i", around).withColumn("_j", around).select(*by, "u", "ux", "uy", (F.col("cx") + F.col("_i")).alias("cx"), (F.col("cy") + F.col("_j")).alias("cy"))
     right = b.select(*by, F.col("id").alias("v"), F.col("x").alias("vx"), F.col("y").alias("vy"), cell("x").alias("cx"), cell("y").alias("cy"))
     d = F.sqrt(F.pow(F.col("ux") - F.col("vx"), 2) + F.pow(F.col("uy") - F.col("vy"), 2))
-    return left.join(right, [*by, "cx", "cy"]).select(*by, "u", "v", d.alias("d")).where(F.col("d") <= radius)
+    return left.join(shuffled(right), [*by, "cx", "cy"]).select(*by, "u", "v", d.alias("d")).where(F.col("d") <= radius)
 
 
 def nearest(points: DataFrame, radius: float, k: int) -> DataFrame:
@@ -35,6 +37,6 @@ def nearest(points: DataFrame, radius: float, k: int) -> DataFrame:
 def closest_between(points: DataFrame, labels: DataFrame, radius: float) -> DataFrame:
     """(a, b, u, v, d): for each two components (labels: id, label) with points in reach, the closest pair; a < b."""
     named = [labels.select(F.col("id").alias(p), F.col("label").alias(n)) for p, n in (("u", "a"), ("v", "b"))]
-    pairs = _reach(points, points, radius).join(named[0], "u").join(named[1], "v").where("a < b")
+    pairs = _reach(points, points, radius).join(shuffled(named[0]), "u").join(shuffled(named[1]), "v").where("a < b")
     best = pairs.groupBy("a", "b").agg(F.min(F.struct("d", "u", "v")).alias("x"))
     return best.select("a", "b", "x.u", "x.v", "x.d")
