@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragline.operators import near
-from cragline.session import discard, written
+from cragline.session import discard, joining, shuffled, written
 
 #: Tables of nodes met that a search by rounds reads at most.
 MERGED = 8
@@ -34,10 +34,11 @@ def components(edges: DataFrame) -> DataFrame:
         near_least = ways.groupBy("u").agg(F.min_by("v", priority("v")).alias("v")).select(
             F.col("u").alias("v"), F.when(priority("v") < priority("u"), F.col("v")).otherwise(F.col("u")).alias("to")
         )  # the least of a node and its neighbours
-        hook = ways.join(near_least, "v").groupBy(F.col("u").alias("id")).agg(F.min_by("to", priority("to")).alias("to"))
+        hook = ways.join(shuffled(near_least), "v").groupBy(F.col("u").alias("id")).agg(F.min_by("to", priority("to")).alias("to"))
         hook = written(hook, "hook")
         hooks.append(hook)
-        moved = links.join(hook.select(F.col("id").alias("u"), F.col("to").alias("a")), "u").join(hook.select(F.col("id").alias("v"), F.col("to").alias("b")), "v")
+        named = [joining(hook.select(F.col("id").alias(p), F.col("to").alias(n))) for p, n in (("u", "a"), ("v", "b"))]
+        moved = links.join(named[0], "u").join(named[1], "v")
         before, links = links, written(moved.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "links")
         if len(hooks) > 1:
             discard(before)
@@ -45,9 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
             break
     labels = hooks[0].withColumnRenamed("to", "label")
     for hook in hooks[1:]:
-        labels = labels.join(hook.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        labels = labels.join(joining(hook.select(F.col("id").alias("label"), "to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
     least = labels.groupBy("label").agg(F.min("id").alias("least"))
-    return labels.join(least, "label").select("id", F.col("least").alias("label"))
+    return labels.join(shuffled(least), "label").select("id", F.col("least").alias("label"))
 
 
 def distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None) -> DataFrame:
@@ -61,10 +62,10 @@ def distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None)
     known = [front]
     least = lambda tables: reduce(DataFrame.unionByName, tables).groupBy("id").agg(F.min("d").alias("d"))
     while True:
-        tried = front.join(ways, F.col("id") == F.col("u")).select(F.col("v").alias("id"), (F.col("d") + F.col("w")).alias("d"))
+        tried = joining(front).join(ways, F.col("id") == F.col("u")).select(F.col("v").alias("id"), (F.col("d") + F.col("w")).alias("d"))
         tried = tried.where(F.col("d") <= cutoff) if cutoff is not None else tried
         tried = tried.groupBy("id").agg(F.min("d").alias("d"))
-        better = tried.join(least(known).withColumnRenamed("d", "had"), "id", "left").where("had IS NULL OR d < had").select("id", "d")
+        better = tried.join(shuffled(least(known).withColumnRenamed("d", "had")), "id", "left").where("had IS NULL OR d < had").select("id", "d")
         front = written(better, "front")
         if front.isEmpty():
             break
@@ -72,9 +73,9 @@ def distances(edges: DataFrame, sources: DataFrame, cutoff: float | None = None)
         if len(known) > MERGED:
             known = [written(least(known), "known")]
     best = written(least(known), "best")
-    came = ways.select(F.col("v").alias("id"), F.col("u").alias("via"), "w").join(best.select(F.col("id").alias("via"), F.col("d").alias("dv")), "via")
-    came = came.join(best, "id").where(F.abs(F.col("dv") + F.col("w") - F.col("d")) <= 1e-9 * (1 + F.col("d"))).where("d > 0")
-    return best.join(came.groupBy("id").agg(F.min("via").alias("via")), "id", "left")
+    came = ways.select(F.col("v").alias("id"), F.col("u").alias("via"), "w").join(shuffled(best.select(F.col("id").alias("via"), F.col("d").alias("dv"))), "via")
+    came = came.join(shuffled(best), "id").where(F.abs(F.col("dv") + F.col("w") - F.col("d")) <= 1e-9 * (1 + F.col("d"))).where("d > 0")
+    return best.join(shuffled(came.groupBy("id").agg(F.min("via").alias("via"))), "id", "left")
 
 
 def two_core(edges: DataFrame) -> DataFrame:
@@ -89,10 +90,10 @@ def two_core(edges: DataFrame) -> DataFrame:
         if degrees.where("end").isEmpty():
             return left
         low = degrees.select("id")
-        inside = left.join(low.withColumnRenamed("id", "u"), "u", "left_semi").join(low.withColumnRenamed("id", "v"), "v", "left_semi")
+        inside = left.join(joining(low.withColumnRenamed("id", "u")), "u", "left_semi").join(joining(low.withColumnRenamed("id", "v")), "v", "left_semi")
         labels = written(components(inside), "chains")
-        named = degrees.join(labels, "id", "left").select("id", "end", F.coalesce("label", "id").alias("label"))
-        gone = named.join(named.where("end").select("label").distinct(), "label", "left_semi").select("id")
+        named = degrees.join(joining(labels), "id", "left").select("id", "end", F.coalesce("label", "id").alias("label"))
+        gone = shuffled(named.join(shuffled(named.where("end").select("label").distinct()), "label", "left_semi").select("id"))
         kept = left.join(gone, left["u"] == gone["id"], "left_anti").join(gone, left["v"] == gone["id"], "left_anti")
         old, left = left, written(kept, "core")
         discard(old)
@@ -104,7 +105,7 @@ def spanning_forest(edges: DataFrame, joined: DataFrame | None = None) -> DataFr
     left = edges.select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b"))
     for end in ("a", "b") if joined is not None else ():
         named = joined.select(F.col("id").alias(end), F.col("label").alias("_to"))
-        left = left.join(named, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        left = left.join(shuffled(named), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     left = written(left.where("a <> b"), "mst")
     chosen = None
     while not left.isEmpty():
@@ -112,11 +113,11 @@ def spanning_forest(edges: DataFrame, joined: DataFrame | None = None) -> DataFr
         ways = left.select("a", "w", "u", "v").union(left.select(F.col("b"), "w", "u", "v"))
         picked = written(ways.groupBy("a").agg(best).select("e.u", "e.v", "e.w").distinct(), "picked")
         chosen = picked if chosen is None else chosen.union(picked)
-        hooked = picked.join(left.select("u", "v", "w", "a", "b"), ["u", "v", "w"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        labels = components(hooked)
+        hooked = joining(picked).join(left.select("u", "v", "w", "a", "b"), ["u", "v", "w"]).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        labels = written(components(hooked), "tree-labels")
         moved = left
         for end in ("a", "b"):
-            moved = moved.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"_{end}")), end)
+            moved = moved.join(joining(labels.select(F.col("id").alias(end), F.col("label").alias(f"_{end}"))), end)
         left = written(moved.where("_a <> _b").select("u", "v", "w", F.col("_a").alias("a"), F.col("_b").alias("b")), "mst")
     return (chosen if chosen is not None else left.select("u", "v", "w")).distinct()
 

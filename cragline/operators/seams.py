@@ -109,9 +109,9 @@ def detours(points: DataFrame, edges: DataFrame, radius: float, alpha: float) ->
     square = lambda a, move=0.0: F.floor((F.col(a) + move) / side).cast("long")
     around = lambda a: F.explode(F.sequence(square(a, -reach), square(a, reach)))
     near_by = points.withColumn("i", around("x")).withColumn("j", around("y")).select("graph", "id", "i", "j")
-    kept = edges.where("u <> v").join(near_by.withColumnRenamed("id", "u"), ["graph", "u"]).join(near_by.withColumnRenamed("id", "v"), ["graph", "v", "i", "j"])
+    kept = edges.where("u <> v").join(shuffled(near_by.withColumnRenamed("id", "u")), ["graph", "u"]).join(shuffled(near_by.withColumnRenamed("id", "v")), ["graph", "v", "i", "j"])
     own = points.select("graph", F.col("id").alias("u"), square("x").alias("i"), square("y").alias("j"))
-    pairs = near.near_pairs(points, radius, "graph").where("d > 0").join(own, ["graph", "u"])
+    pairs = near.near_pairs(points, radius, "graph").where("d > 0").join(shuffled(own), ["graph", "u"])
     rows = pairs.select("graph", "i", "j", "u", "v", F.col("d").alias("w"), F.lit(True).alias("asked")).unionByName(kept.select("graph", "i", "j", "u", "v", "w", F.lit(False).alias("asked")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -189,7 +189,7 @@ def bridged(x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, block: i
 def seam_graph(cells: DataFrame, corridors: DataFrame, side: int, fine: float, coarse: float, threshold: float, turn: float, radius: float, alpha: float, spacing: tuple[float, float] = (1.0, 1.0)) -> tuple[DataFrame, DataFrame]:
     """Nodes (graph, id, r, c, x, y) and edges (graph, u, v, w) of corridors' contours with their shortcuts. Levels are multiples of fine up to the
     threshold, of coarse above it; a line that turns back by turn (rows) is cut; radius is a length."""
-    from cragline.session import written
+    from cragline.session import shuffled, written
 
     lines = contours.contour_lines(crops(cells, corridors), side, fine)
     lines = lines.where((F.col("level") <= threshold) | (F.pmod(F.col("level"), F.lit(coarse)) == 0))

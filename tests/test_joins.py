@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from cragline import session
 from cragline.operators import graph, near
 from cragline.operators import plane as pl
 
@@ -32,3 +33,14 @@ def test_neighbour_joins_broadcast_no_points(grid, query):
         "closest_between": lambda: near.closest_between(grid, _labels(grid), 6.0), "nearest_between": lambda: pl.nearest_between(grid, _labels(grid), 6.0, 2),
     }[query]()
     assert not re.search("Broadcast", _planned(found)) and found.count()
+
+
+def test_graph_joins_broadcast_few_rows_only(spark, monkeypatch):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21)], "u long, v long")
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 5)
+    few, many = (session.joining(session.written(spark.range(n), "rows")) for n in (5, 6))
+    assert "Broadcast" in _planned(spark.range(9).join(few, "id")) and "Broadcast" not in _planned(spark.range(9).join(many, "id"))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    found = graph.components(edges)
+    assert "Broadcast" not in _planned(found)
+    assert sorted(map(tuple, found.collect())) == [(k, 0) for k in range(10)] + [(20, 20), (21, 20)]
