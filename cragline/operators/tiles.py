@@ -23,12 +23,15 @@ def extents(cells: DataFrame, size: tuple[int, int] | None = None) -> DataFrame:
     return cells.groupBy("raster").agg((F.max("r") + 1).cast("int").alias("height"), (F.max("c") + 1).cast("int").alias("width"))
 
 
-def haloed(cells: DataFrame, side: int, before: int, after: int) -> DataFrame:
+def haloed(cells: DataFrame, side: int, before: int, after: int, spans: bool = False) -> DataFrame:
     """cells with the tile (ti, tj) of side cells that each goes to: its own, and those within before cells below or to the right of it and
-    after cells above or to the left. Tiles that own no cell of the raster may appear; they have nothing to tell."""
+    after cells above or to the left. Tiles that own no cell of the raster may appear, they have nothing to tell; where cells have the
+    raster's height and width (spans), there are none beyond these."""
 
     def tiles(axis: str) -> Column:
         first, last = F.floor((F.col(axis) - after) / side), F.floor((F.col(axis) + before) / side)
+        if spans:
+            last = F.least(last, F.floor((F.col("height" if axis == "r" else "width") - 1) / side))
         return F.sequence(F.greatest(first, F.lit(0)).cast("int"), last.cast("int"))
 
     if not before and not after:
@@ -82,10 +85,20 @@ def square_sums(values: np.ndarray, rows: np.ndarray, cols: np.ndarray, pad: int
     return sum(across[mirrored(rows + d, size[0]) - origin[0]] for d in near)
 
 
+def fours(values: np.ndarray) -> np.ndarray:
+    """values from an even row and column on as four arrays, a cell of each block of 2 x 2 in each; NaN beyond the ends."""
+    even = np.full([n + n % 2 for n in values.shape], np.nan)
+    even[: values.shape[0], : values.shape[1]] = values
+    return np.stack([even[i::2, j::2] for i in (0, 1) for j in (0, 1)])
+
+
 def _reliefs(cells: DataFrame, side: int, pad: int, size: tuple[int, int] | None) -> DataFrame:
     """(raster, r, c, lift, low, middle, high) of blocks of four cells that have a valid one: lift is by how much their surroundings' mean
     lies above them."""
-    known = cells.where(F.col("z").isNotNull() & ~F.isnan("z")).select("raster", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "z")
+    from cragline.session import written
+
+    cells = written(cells.select("raster", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "z"), "raster-cells")
+    known = cells.where(F.col("z").isNotNull() & ~F.isnan("z"))
     spans = extents(cells, size)
     voids = known.groupBy("raster").agg(F.count(F.lit(1)).alias("n")).join(spans, "raster").where(F.col("n") < F.col("height").cast("long") * F.col("width")).select("raster")
     medians = percentiles(known.join(voids, "raster", "left_semi").select("raster", F.col("z").alias("v")), 0.5)
@@ -110,13 +123,20 @@ def _reliefs(cells: DataFrame, side: int, pad: int, size: tuple[int, int] | None
             filled = np.where(valid[part], filled, np.where(count > 0, total / np.maximum(count, 1), median))
         inner = np.ix_(own[0] - wide[0][0], own[1] - wide[1][0])
         lift = square_sums(filled, *own, pad, (wide[0][0], wide[1][0]), (height, width)) / (2 * pad + 1) ** 2 - filled[inner]
-        flat = pd.DataFrame({"r": np.repeat(own[0] // 2, len(own[1])), "c": np.tile(own[1] // 2, len(own[0])), "lift": lift.ravel(), "z": z[np.ix_(own[0] - r0, own[1] - c0)].ravel()})
-        found = flat.groupby(["r", "c"], sort=False).agg(lift=("lift", "mean"), low=("z", "min"), middle=("z", "median"), high=("z", "max")).dropna().reset_index()
-        found.insert(0, "raster", rows["raster"].iloc[0])
-        return found
+        lifts, heights = (fours(a) for a in (lift, z[np.ix_(own[0] - r0, own[1] - c0)]))
+        n = (~np.isnan(heights)).sum(axis=0)
+        order = np.sort(heights, axis=0)  # NaN last
+        at = lambda k: np.take_along_axis(order, k[None], 0)[0]
+        middle = (at(np.maximum(n - 1, 0) // 2) + at(n // 2 % 4)) / 2
+        inside = (~np.isnan(lifts)).sum(axis=0)
+        found = {"lift": np.nansum(lifts, axis=0) / np.maximum(inside, 1), "low": order[0], "middle": middle, "high": at(np.maximum(n - 1, 0))}
+        r, c = (np.arange(b // 2, b // 2 + k) for b, k in zip(begins, middle.shape, strict=True))
+        kept = n > 0
+        where = {"raster": rows["raster"].iloc[0], "r": np.broadcast_to(r[:, None], kept.shape)[kept], "c": np.broadcast_to(c, kept.shape)[kept]}
+        return pd.DataFrame(where | {name: v[kept] for name, v in found.items()})
 
     kind = cells.schema["raster"].dataType.simpleString()
-    cut = haloed(known, side, 2 * pad, 2 * pad).join(around, "raster")
+    cut = haloed(known.join(around, "raster"), side, 2 * pad, 2 * pad, spans=True)
     return cut.groupBy("raster", "ti", "tj").applyInPandas(run, f"raster {kind}, r int, c int, lift double, low double, middle double, high double")
 
 

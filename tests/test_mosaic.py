@@ -113,3 +113,12 @@ def test_a_halo_reaches_neighbours_alone(spark):
     sent = tiles.haloed(df, 4, 1, 2)
     sizes = {(r["ti"], r["tj"]): r["n"] for r in sent.groupBy("ti", "tj").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert {k: sizes[k] for k in ((0, 0), (0, 1), (1, 0), (1, 1))} == {(0, 0): 36, (0, 1): 30, (1, 0): 30, (1, 1): 25}
+
+
+def test_halving_makes_no_tile_beyond_a_raster(spark):
+    """A raster of one tile is one group for all its cells, however wide the halo."""
+    spanned = cells(spark, np.ones((16, 16)), np.ones((15, 13))).withColumns({"height": F.when(F.col("raster") == 0, 16).otherwise(15), "width": F.when(F.col("raster") == 0, 16).otherwise(13)})
+    cut = tiles.haloed(spanned, 16, 24, 24, spans=True)
+    assert cut.count() == 256 + 195 and rows_of(cut.select("raster", "ti", "tj").distinct()) == [(0, 0, 0), (1, 0, 0)]
+    found = tiles.fours(np.array([[1.0, 2.0, 5.0], [3.0, np.nan, 6.0]]))
+    np.testing.assert_array_equal(found[:, 0], [[1, 5], [2, np.nan], [3, 6], [np.nan, np.nan]])
