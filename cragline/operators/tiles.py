@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,7 +138,13 @@ def _reliefs(cells: DataFrame, side: int, pad: int, size: tuple[int, int] | None
 
     kind = cells.schema["raster"].dataType.simpleString()
     cut = haloed(known.join(around, "raster"), side, 2 * pad, 2 * pad, spans=True)
-    return cut.groupBy("raster", "ti", "tj").applyInPandas(run, f"raster {kind}, r int, c int, lift double, low double, middle double, high double")
+
+    def tile(table: pa.Table) -> pa.Table:
+        fields = [table.schema.field("raster"), *[pa.field(n, pa.int32()) for n in ("r", "c")], *[pa.field(n, pa.float64()) for n in ("lift", "low", "middle", "high")]]
+        return pa.Table.from_pandas(run(table.to_pandas()), pa.schema(fields), preserve_index=False)
+
+    # Arrow: as pandas, a group's many short columns would take longer than its sums
+    return cut.groupBy("raster", "ti", "tj").applyInArrow(tile, f"raster {kind}, r int, c int, lift double, low double, middle double, high double")
 
 
 def half(cells: DataFrame, side: int, pad: int = 12, size: tuple[int, int] | None = None) -> DataFrame:
