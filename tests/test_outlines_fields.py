@@ -33,6 +33,25 @@ def test_points_in_outlines_and_their_distances(spark):
     assert {r["d"] for r in outlines.distances(df, none, 2.0).collect()} == {None} and not any(r["inside"] for r in outlines.inside(df, none, 2.0).collect())
 
 
+def test_far_points_ask_few_of_many_sides(spark):
+    rng = random.Random(8)
+    corners = [(rng.uniform(0, 300), rng.uniform(0, 300)) for _ in range(1500)]
+    rings = [(n, i, x + dx, y + dy) for n, (x, y) in enumerate(corners) for i, (dx, dy) in enumerate(((0.0, 0.0), (9.0, 0.5), (4.0, 7.0)))]
+    sides = outlines.sides_of(spark.createDataFrame(rings, "ring long, idx int, x double, y double"))
+    points = [(i, rng.uniform(2000, 9000), rng.uniform(-500, 700)) for i in range(400)] + [(1000 + i, rng.uniform(0, 300), rng.uniform(0, 300)) for i in range(50)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    placed = sides.select(*[F.floor((F.col(f"{a}1") + F.col(f"{a}2")) / 16).cast("long").alias(n) for n, a in (("i", "x"), ("j", "y"))], "x1", "y1", "x2", "y2")
+    asked = outlines.candidates(df, placed).join(placed, ["i", "j"]).where("id < 1000").count()
+    assert 400 <= asked < 400 * 100  # of 4,500 sides each
+    a, b, c, d = (np.array([r[n] for r in sides.collect()]) for n in ("x1", "y1", "x2", "y2"))
+    far, odd = ({r["id"]: r[1] for r in found.collect()} for found in (outlines.distances(df, sides, 8.0), outlines.inside(df, sides, 8.0)))
+    for i, x, y in points:
+        t = np.clip(((x - a) * (c - a) + (y - b) * (d - b)) / ((c - a) ** 2 + (d - b) ** 2), 0, 1)
+        assert far[i] == pytest.approx(np.hypot(x - a - t * (c - a), y - b - t * (d - b)).min())
+        with np.errstate(all="ignore"):
+            assert odd[i] == (np.sum(((b > y) != (d > y)) & (x < a + (y - b) / (d - b) * (c - a))) % 2 == 1)
+
+
 def test_columns_are_measured_like_all_pairs():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 60):
