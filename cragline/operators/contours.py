@@ -10,15 +10,18 @@ the two beside it, and repeats it at the end.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragline.operators import graph, tiles
+from cragline.operators.batches import by_groups
 from cragline.session import discard, written
 
 #: Columns a raster may have: a crossing's number is ((row * WIDE) + column) * 2, and one more for an edge that goes down.
 WIDE = 1 << 24
+#: Cells whose pieces a task chains at once.
+ROWS = 50_000
 
 
 def pieces(z: np.ndarray, r0: int, c0: int, interval: float) -> tuple[np.ndarray, ...]:
@@ -96,17 +99,34 @@ def chains(k: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, lis
 def fragments(cells: DataFrame, side: int, interval: float) -> DataFrame:
     """(raster, k, closed, ids, xs, ys): the lines that each tile's squares have, whole or as far as they go."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        z, r0, c0 = tiles.window_of(rows, side, 0, 1)
-        k, p, q, x1, y1, x2, y2 = pieces(z, r0, c0, interval)
-        first, found = chains(k, p, q)
-        names, xs, ys, levels = (np.concatenate(v)[first] for v in ((p, q), (x1, x2), (y1, y2), (k, k)))
-        out = [(rows["raster"].iloc[0], levels[i[0]], closed, names[i], xs[i], ys[i]) for i, closed in found]
-        return pd.DataFrame(out, columns=["raster", "k", "closed", "ids", "xs", "ys"])
-
-    cut = tiles.haloed(cells.where(F.col("z").isNotNull() & ~F.isnan("z")).select("raster", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "z"), side, 0, 1)
+    def run(rows: pa.Table) -> pa.Table:
+        code = rows.column("raster").combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        r, c, ti, tj, z = (rows.column(n).to_numpy() for n in ("r", "c", "ti", "tj", "z"))
+        begins = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])))
+        found = []
+        for n, (i, j) in enumerate(zip(begins.tolist(), [*begins[1:].tolist(), len(z)], strict=True)):
+            window = np.full((side + 1, side + 1), np.nan)
+            r0, c0 = int(ti[i]) * side, int(tj[i]) * side
+            window[r[i:j] - r0, c[i:j] - c0] = z[i:j]
+            part = pieces(window, r0, c0, interval)
+            found.append((np.full(len(part[0]), n), *part))
+        of, k, p, q, x1, y1, x2, y2 = (np.concatenate(v) for v in zip(*found, strict=True))
+        # lines of another level or tile have another key
+        names = np.lexsort((k, of))
+        key = np.empty(len(k), np.int64)
+        key[names] = np.cumsum(np.append(True, (k[names][1:] != k[names][:-1]) | (of[names][1:] != of[names][:-1]))[: len(k)])
+        first, chained = chains(key, p, q)
+        at = np.concatenate([i for i, _ in chained]) if chained else np.zeros(0, np.int64)
+        offsets = np.cumsum([0, *(len(i) for i, _ in chained)]).astype(np.int32)
+        ids, xs, ys = (np.concatenate(v)[first][at] for v in ((p, q), (x1, x2), (y1, y2)))
+        level, tile = (np.concatenate((v, v))[first][at[offsets[:-1]]] for v in (k, of))
+        lists = {n: pa.ListArray.from_arrays(offsets, v) for n, v in (("ids", ids), ("xs", xs), ("ys", ys))}
+        return pa.table({"raster": rows.column("raster").take(pa.array(begins[tile])), "k": level, "closed": pa.array([closed for _, closed in chained], pa.bool_()), **lists})
+
+    cut = tiles.haloed(cells.where(F.col("z").isNotNull() & ~F.isnan("z")).select("raster", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("z").cast("double").alias("z")), side, 0, 1)
+    cut = cut.select("raster", "r", "c", "z", F.col("ti").cast("long").alias("ti"), F.col("tj").cast("long").alias("tj"))
     kind = cells.schema["raster"].dataType.simpleString()
-    return cut.groupBy("raster", "ti", "tj").applyInPandas(run, f"raster {kind}, k long, closed boolean, ids array<long>, xs array<double>, ys array<double>")
+    return by_groups(cut, ["raster", "ti", "tj"], [], run, f"raster {kind}, k long, closed boolean, ids array<long>, xs array<double>, ys array<double>", ROWS)
 
 
 def _partners(open_ends: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from cragline.operators import contours
 from cragline.operators import fields as fi
 from cragline.operators.batches import by_groups
 
@@ -40,3 +41,13 @@ def test_many_columns_are_measured_like_all_pairs():
     reach = np.where(rng.random((40, 25)) < rng.random((40, 1)), rng.integers(0, 12, (40, 25)), -1)
     wanted = [[min(np.flatnonzero(a >= 0), key=lambda q, x=x, a=a: ((x - q) ** 2 + a[q] ** 2, q), default=-1) for x in range(25)] for a in reach]
     assert fi.nearest_by_columns(reach).tolist() == wanted
+
+
+def test_contours_of_many_rasters_are_chained_together(spark):
+    rng = random.Random(9)
+    rows = [(n, r, c, rng.uniform(0, 50)) for n in range(12) for r in range(9) for c in range(9)]
+    cells = spark.createDataFrame(rows, "raster long, r int, c int, z double")
+    every = contours.fragments(cells, 4, 10.0)
+    assert "MapInArrow" in every._jdf.queryExecution().toString()  # and no call for each tile
+    place = lambda df: sorted((r["raster"], r["k"], r["closed"], tuple(r["ids"]), tuple(r["xs"]), tuple(r["ys"])) for r in df.collect())
+    assert place(every.where("raster = 5")) == place(contours.fragments(cells.where("raster = 5"), 4, 10.0))
