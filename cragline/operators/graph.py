@@ -183,6 +183,14 @@ def shared_edges(rings: DataFrame) -> DataFrame:
     return keyed.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
+def shared_edges_of(rings: DataFrame) -> DataFrame:
+    """shared_edges() of rings that are a row each, ps their points in order: no ring is shuffled, only its edges."""
+    onward = F.concat(F.slice("ps", 2, F.size("ps")), F.slice("ps", 1, 1))
+    edges = F.array_distinct(F.zip_with("ps", onward, lambda p, q: F.when(p != q, F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")))))
+    keyed = rings.select(F.explode(F.array_compact(edges)).alias("e")).select("e.u", "e.v")
+    return keyed.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
 def boundary_edges(triangles: DataFrame) -> DataFrame:
     """(u, v) of triangles (a, b, c): edges that one triangle alone has; none on a watertight mesh."""
     sides = F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("c").alias("q")), F.struct(F.col("c").alias("p"), F.col("a").alias("q")))).alias("s")

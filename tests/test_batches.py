@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cragline.operators import contours
+from cragline.operators import contours, graph
 from cragline.operators import fields as fi
 from cragline.operators.batches import by_groups
 
@@ -51,3 +51,11 @@ def test_contours_of_many_rasters_are_chained_together(spark):
     assert "MapInArrow" in every._jdf.queryExecution().toString()  # and no call for each tile
     place = lambda df: sorted((r["raster"], r["k"], r["closed"], tuple(r["ids"]), tuple(r["xs"]), tuple(r["ys"])) for r in df.collect())
     assert place(every.where("raster = 5")) == place(contours.fragments(cells.where("raster = 5"), 4, 10.0))
+
+
+def test_edges_of_rings_in_rows_are_those_of_rings_by_points(spark):
+    rng = random.Random(10)
+    rings = [(n, [rng.randrange(12) for _ in range(rng.randint(0, 7))]) for n in range(60)]
+    one = graph.shared_edges_of(spark.createDataFrame(rings, "ring long, ps array<long>"))
+    other = graph.shared_edges(spark.createDataFrame([(n, i, p) for n, ps in rings for i, p in enumerate(ps)], "ring long, idx int, p long"))
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, other.collect()))
