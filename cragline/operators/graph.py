@@ -174,13 +174,23 @@ def width_weights(q: DataFrame, column: str) -> DataFrame:
     return clean.crossJoin(F.broadcast(top)).withColumn("weight", weight).drop("_q", "_top")
 
 
+#: Parts that sides() deals to, for each of spark.sql.shuffle.partitions: a side takes few bytes in a shuffle and ten times as many in a table of counts.
+SIDE_PARTS = 4
+
+
+def sides(keyed: DataFrame, *keys: str) -> DataFrame:
+    """keyed, shuffled by keys, to be counted by them. A task of the input holds few sides twice, so counts there would fill its memory for
+    nothing."""
+    return keyed.repartition(SIDE_PARTS * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_edges(rings: DataFrame) -> DataFrame:
     """(u, v, n) of rings (ring, idx, p), closed: edges that two rings or more have, whichever way they run."""
     w = Window.partitionBy("ring").orderBy("idx")
     first = F.first("p").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     edges = rings.select("ring", "p", F.coalesce(F.lead("p").over(w), first).alias("q")).where("p <> q")
     keyed = edges.select("ring", F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct()
-    return keyed.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return sides(keyed, "u", "v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 def shared_edges_of(rings: DataFrame) -> DataFrame:
@@ -188,11 +198,11 @@ def shared_edges_of(rings: DataFrame) -> DataFrame:
     onward = F.concat(F.slice("ps", 2, F.size("ps")), F.slice("ps", 1, 1))
     edges = F.array_distinct(F.zip_with("ps", onward, lambda p, q: F.when(p != q, F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")))))
     keyed = rings.select(F.explode(F.array_compact(edges)).alias("e")).select("e.u", "e.v")
-    return keyed.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    return sides(keyed, "u", "v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 def boundary_edges(triangles: DataFrame) -> DataFrame:
     """(u, v) of triangles (a, b, c): edges that one triangle alone has; none on a watertight mesh."""
-    sides = F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("c").alias("q")), F.struct(F.col("c").alias("p"), F.col("a").alias("q")))).alias("s")
-    keyed = triangles.select(sides).select(F.least("s.p", "s.q").alias("u"), F.greatest("s.p", "s.q").alias("v"))
-    return keyed.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("u", "v")
+    three = F.explode(F.array(F.struct(F.col("a").alias("p"), F.col("b").alias("q")), F.struct(F.col("b").alias("p"), F.col("c").alias("q")), F.struct(F.col("c").alias("p"), F.col("a").alias("q")))).alias("s")
+    keyed = triangles.select(three).select(F.least("s.p", "s.q").alias("u"), F.greatest("s.p", "s.q").alias("v"))
+    return sides(keyed, "u", "v").groupBy("u", "v").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("u", "v")
