@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cragline.operators import raster as ra
@@ -35,9 +35,21 @@ def inside_rings(cells: DataFrame, rings: DataFrame) -> DataFrame:
     return cells.join(per_row, ["tile", "r"], "left").select("tile", "r", "c", (right % 2 == 1).alias("inside"))
 
 
+def _rank(x: Column) -> Column:
+    """Whole numbers of 32 bits in the order of FLOAT values: the bits of the size, with its sign. NaN is above all numbers, null above NaN."""
+    size = F.abs(x.cast("double"))
+    exponent = F.greatest(F.lit(-126.0), F.floor(F.log2(size) + 1e-8))  # no FLOAT lies within 1e-8 below a power of two
+    bits = (exponent + 126) * 2**23 + size / F.pow(F.lit(2.0), exponent - 23)
+    bits = F.when(size == 0, 0.0).when(size == float("inf"), float(0x7F800000)).otherwise(bits)
+    return F.when(x.isNull(), 0x7F800002).when(F.isnan(x), 0x7F800001).otherwise((F.signum(x.cast("double")) * bits).cast("long"))
+
+
 def depth_raster(triangles: DataFrame, side: int) -> DataFrame:
     """(tile, r, c, depth, tri): the nearest triangle (tile, tri, x1, y1, z1 .. z3) over each cell centre, depths compared as FLOAT,
-    ties to the least id. Each triangle is spread over the cells of its box."""
+    ties to the least id, a long; one without depth (null) is behind all others. Each triangle is spread over the cells of its box.
+
+    A depth and half of an id are one long, so that tasks keep the least in a table of cells; for the least struct they would sort all rows.
+    """
     lo = lambda a: F.greatest(F.lit(0), F.ceil(F.least(f"{a}1", f"{a}2", f"{a}3")).cast("int"))
     hi = lambda a: F.least(F.lit(side - 1), F.floor(F.greatest(f"{a}1", f"{a}2", f"{a}3")).cast("int"))
     area = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y1")) - (F.col("x3") - F.col("x1")) * (F.col("y2") - F.col("y1"))
@@ -50,7 +62,12 @@ def depth_raster(triangles: DataFrame, side: int) -> DataFrame:
 
     weighed = spread.withColumns({"w1": edge(2, 3), "w2": edge(3, 1), "w3": edge(1, 2)}).where("w1 >= 0 AND w2 >= 0 AND w3 >= 0")
     depth = (F.col("w1") * F.col("z1") + F.col("w2") * F.col("z2") + F.col("w3") * F.col("z3")).cast("float")
-    best = weighed.groupBy("tile", "r", "c").agg(F.min(F.struct(depth.alias("depth"), "tri")).alias("b"))
+    ranked = weighed.select("tile", "r", "c", F.col("tri").cast("long").alias("tri"), depth.alias("depth")).withColumn("rank", _rank(F.col("depth")))
+    low = F.lit(0xFFFFFFFF)
+    packed = F.shiftleft("rank", 32).bitwiseOR(F.col("tri").bitwiseAND(low))
+    halves = ranked.groupBy("tile", "r", "c", F.shiftright("tri", 32).alias("high")).agg(F.min(packed).alias("least"), F.min("depth").alias("depth"))
+    tri = F.shiftleft("high", 32).bitwiseOR(F.col("least").bitwiseAND(low))
+    best = halves.groupBy("tile", "r", "c").agg(F.min(F.struct(F.shiftright("least", 32).alias("rank"), tri.alias("tri"), "depth")).alias("b"))
     return best.select("tile", "r", "c", "b.depth", "b.tri")
 
 
