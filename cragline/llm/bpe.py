@@ -7,6 +7,11 @@ DuckDB in recursive queries: their token-position rows join ``merges``, and each
 contracted, until no pair can be. Decoding joins the ids of whole documents to ``vocab`` and concatenates their bytes by an
 ordered aggregation.
 
+The query starts with bytes, or with two bytes as a token where the bytes around settle that they will be one: no token that ends with
+the byte before and the first, or begins with the second and the byte after, has a lesser or equal rank, and no longer token that begins
+or ends with the two has a lesser rank than theirs. Then nothing takes either byte before their own merge, and nothing takes their token
+before that merge's turn, so its being early changes no later one. Two such pairs never overlap.
+
 The query's rows grow with the square of a word's length, so words over CHUNK_BYTES are contracted in chunks. Where two
 chunks meet, the two ids there must be what their joint bytes contract to; if not, the ids around are contracted
 together, further out each time. Ids all of whose neighbours pass that test are those of the whole word: the first merge
@@ -49,7 +54,14 @@ DECODE_TOKENS = 200_000
 #: A space that lies between two pieces only seemingly: white space before it, and none but white space after it.
 _UNCUT = re.compile(r"\s \s|\s \Z")
 
+#: Pieces that are split together, a line each, ended by LINE: white space in them is a space in front and single line feeds between
+#: other characters. At LINE no word goes on, and LINE is a word.
+LINE = "\r"
+_DARK = r"[^\x00-\x20\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}]+"
+_PLAIN = rf"^ ?{_DARK}(\n{_DARK})*$"
+
 _POS = 2**POS_BITS - 1
+_NEVER = 2**62
 
 #: Rows (cell, id): cell is word << POS_BITS | position. A word's best pair is rank, position and the position that goes,
 #: packed in that order, so the least number is the leftmost pair of least rank. A word without a pair is done.
@@ -124,6 +136,15 @@ class Tables:
         ranks, pairs, made = known
         self.token = {rank: token for token, rank in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        several = [(t, r) for t, r in ranks.items() if len(t) > 1]
+        rank = np.fromiter((r for _, r in several), np.int64, len(several))
+        head, tail = (np.fromiter((int.from_bytes(t[at], "big") for t, _ in several), np.int64, len(several)) for at in (slice(2), slice(-2, None)))
+        two = np.fromiter((len(t) == 2 for t, _ in several), bool, len(several))
+        self.early, self.begins, self.ends, over = (np.full(2**16, _NEVER, np.int64) for _ in range(4))
+        np.minimum.at(self.begins, head, rank)
+        np.minimum.at(self.ends, tail, rank)
+        np.minimum.at(over, np.concatenate([head[~two], tail[~two]]), np.tile(rank[~two], 2))
+        self.early[head[two]] = np.where(over[head[two]] > rank[two], rank[two], _NEVER)
         self.fits: dict[tuple[int, int], bool] = {}
         self.chunks: dict[bytes, list[int]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "250MB", "temp_directory": ""})
@@ -137,38 +158,57 @@ class Tables:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def contract(self, words: list[bytes]) -> Lists:
+    def contract(self, words: list[bytes] | pa.Array) -> Lists:
         """The ids of each word (not empty), by the recursive query."""
-        out, sizes, held, total = [NONE], [NONE], [], 0
-        for i, word in enumerate(words, 1):
-            held.append(word)
-            total += len(word)
-            if total >= BATCH_BYTES or i == len(words):
-                size = np.fromiter(map(len, held), np.int64, len(held))
-                pos = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-                raw = np.frombuffer(b"".join(held), np.uint8)
-                self._table("start", {"cell": np.repeat(np.arange(len(held)), size) << POS_BITS | pos, "id": self.single[raw]})
-                found = self.db.sql(CONTRACT).to_arrow_table()
-                out.append(found.column("id").to_numpy())
-                sizes.append(np.bincount(found.column("word").to_numpy(), minlength=len(held)))
-                held, total = [], 0
-        return Lists(np.concatenate(out), np.concatenate(sizes))
-
-    def encode(self, words: list[bytes]) -> Lists:
+        words = pa.array(words, pa.large_binary()) if isinstance(words, list) else words
+        sizes = pc.binary_length(words).to_numpy()
+        ends = np.cumsum(sizes)
+        out, counts, at, before = [NONE], [NONE], 0, 0
+        while at < len(words):
+            upto = int(np.searchsorted(ends, min(before + BATCH_BYTES, ends[-1]))) + 1
+            size, total = sizes[at:upto], int(ends[upto - 1]) - before
+            pos = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, upto - at], pa.int32()), words[at:upto]), pa.scalar(b"", pa.large_binary()))
+            raw = np.frombuffer(joined[0].as_buffer(), np.uint8)
+            cell, ids = self._settled(np.repeat(np.arange(upto - at), size) << POS_BITS | pos, raw, pos > 0)
+            self._table("start", {"cell": cell, "id": ids})
+            found = self.db.sql(CONTRACT).to_arrow_table()
+            out.append(found.column("id").to_numpy())
+            counts.append(np.bincount(found.column("word").to_numpy(), minlength=upto - at))
+            at, before = upto, int(ends[upto - 1])
+        return Lists(np.concatenate(out), np.concatenate(counts))
+
+    def _settled(self, cell: np.ndarray, raw: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cells and ids with which the query starts: bytes, or two as a token where their neighbours settle it (see the module).
+        goes_on: this byte isn't a word's first."""
+        pair = raw[:-1].astype(np.int64) << 8 | raw[1:]
+        rank, left, right = (np.where(goes_on[1:], by[pair], _NEVER) for by in (self.early, self.ends, self.begins))
+        least = np.minimum(np.append(_NEVER, left)[:-1], np.append(right, _NEVER)[1:])
+        settled = np.flatnonzero(rank < least)
+        ids, stays = self.single[raw], np.ones(len(raw), bool)
+        ids[settled] = rank[settled]
+        stays[settled + 1] = False
+        return cell[stays], ids[stays]
+
+    def encode(self, words: list[bytes] | pa.Array) -> Lists:
         """The ids of each word (not empty): long ones in chunks, mended where chunks meet."""
+        words = pa.array(words, pa.large_binary()) if isinstance(words, list) else words
+        long = pc.greater(pc.binary_length(words), CHUNK_BYTES)
+        short, place = self.contract(words.filter(pc.invert(long))), np.argsort(np.argsort(long.to_numpy(zero_copy_only=False), kind="stable"))
+        if len(short.size) == len(words):
+            return short
+        return (short + self._chunked(words.filter(long).to_pylist())).joined(place, np.ones(len(place), np.int64))
+
+    def _chunked(self, words: list[bytes]) -> Lists:
         cut = [[w[a : a + CHUNK_BYTES] for a in range(0, len(w), CHUNK_BYTES)] for w in words]
         parts = dict.fromkeys(chain.from_iterable(cut))
         which = {part: i for i, part in enumerate(parts)}
         groups = np.fromiter(map(len, cut), np.int64, len(cut))
         found = self.contract(list(parts))
         whole = found.joined(np.fromiter((which[p] for p in chain.from_iterable(cut)), np.int64), groups)
-        long = np.flatnonzero(groups > 1).tolist()
-        if not long:
-            return whole
-        ids = whole.split()
-        seams = {i: np.cumsum([found.size[which[p]] for p in cut[i][:-1]]).tolist() for i in long}
-        mended = self._mended({i: ids[i].tolist() for i in long}, seams)
-        ids = [np.array(mended[i], np.int64) if i in mended else own for i, own in enumerate(ids)]
+        seams = {i: np.cumsum([found.size[which[p]] for p in own[:-1]]).tolist() for i, own in enumerate(cut)}
+        mended = self._mended({i: own.tolist() for i, own in enumerate(whole.split())}, seams)
+        ids = [np.array(mended[i], np.int64) for i in range(len(words))]
         return Lists(np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
 
     def _mended(self, ids: dict[int, list[int]], seams: dict[int, list[int]]) -> dict[int, list[int]]:
@@ -288,29 +328,55 @@ class Coder:
         import regex
 
         self.tables, self.split = Tables(known), regex.compile(pattern).findall
-        self.place: dict[str, int] = {}
-        self.ids = Lists(NONE, NONE)
+        self.names = pa.array([], pa.large_string())
+        self.ids = Lists(NONE.astype(np.int32), NONE)
+
+    def _places(self, names: pa.Array) -> np.ndarray:
+        """Where the ids of these pieces or words are; -1 if they weren't met."""
+        return pc.index_in(names, value_set=self.names).fill_null(-1).to_numpy().astype(np.int64)
 
-    def _keep(self, keys: list[str], ids: Lists) -> None:
-        self.place.update(zip(keys, range(len(self.ids.size), len(self.ids.size) + len(keys)), strict=True))
-        self.ids += ids
+    def _keep(self, names: pa.Array, ids: Lists) -> None:
+        self.names = pa.concat_arrays([self.names, names])
+        self.ids += Lists(ids.flat.astype(np.int32), ids.size)
 
     def _keep_latest(self, used: np.ndarray) -> None:
         """Forgets what isn't at one of these places."""
-        names = list(self.place)
-        self.place = {names[i]: k for k, i in enumerate(used.tolist())}
+        self.names = self.names.take(pa.array(used))
         self.ids = self.ids.joined(used, np.ones(len(used), np.int64))
 
-    def _learn(self, keys: set[str]) -> None:
-        """Finds the ids of new pieces: those of their words, end to end."""
-        new = list(keys)
-        parts = [self.split(piece) for piece in new]
-        words = list(set(chain.from_iterable(parts)) - self.place.keys())
-        self._keep(words, self.tables.encode([w.encode() for w in words]))
-        several = [i for i, own in enumerate(parts) if len(own) > 1]
-        groups = np.fromiter((len(parts[i]) for i in several), np.int64, len(several))
-        places = np.fromiter((self.place[w] for i in several for w in parts[i]), np.int64)
-        self._keep([new[i] for i in several], self.ids.joined(places, groups))
+    def _words(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of all pieces, end to end, and how many each piece has. Plain pieces are split together, a line each."""
+        plain = pc.match_substring_regex(pieces, _PLAIN)
+        odd = [self.split(piece) for piece in pieces.filter(pc.invert(plain)).to_pylist()]
+        found = pa.array(self.split(LINE.join(pieces.filter(plain).to_pylist())), pa.large_string())
+        ends = pc.equal(found, LINE)
+        at = np.flatnonzero(ends.to_numpy(zero_copy_only=False))
+        plain = plain.to_numpy(zero_copy_only=False)
+        counts = np.empty(len(pieces), np.int64)
+        counts[plain] = np.diff(np.concatenate([[-1], at, [len(found)]]))[: plain.sum()] - 1
+        counts[~plain] = [len(own) for own in odd]
+        words = pa.concat_arrays([found.filter(pc.invert(ends)), pa.array(chain.from_iterable(odd), pa.large_string())])
+        order = np.argsort(~plain, kind="stable")  # the order of words: plain pieces, then odd ones
+        lists = Lists(np.arange(len(words)), counts[order])
+        back = np.argsort(order, kind="stable")
+        return words.take(pa.array(lists.joined(back, np.ones(len(back), np.int64)).flat)), counts
+
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Finds the ids of new pieces, those of their words, end to end; where they are."""
+        words, counts = self._words(pieces)
+        coded = words.dictionary_encode()
+        places = self._places(coded.dictionary)
+        new = np.flatnonzero(places < 0)
+        places[new] = len(self.names) + np.arange(len(new))
+        words = coded.dictionary.take(pa.array(new))
+        self._keep(words, self.tables.encode(words.cast(pa.large_binary())))
+        places = places[coded.indices.to_numpy()]
+        several = counts > 1
+        at = np.empty(len(pieces), np.int64)
+        at[~several] = places[np.repeat(~several, counts)]
+        at[several] = len(self.names) + np.arange(several.sum())
+        self._keep(pieces.filter(pa.array(several)), self.ids.joined(places[np.repeat(several, counts)], counts[several]))
+        return at
 
     def ids_of(self, texts: list[str]) -> Lists:
         """The ids of each text. A text is cut before single spaces, where no token can lie across, unless white space runs around
@@ -322,21 +388,24 @@ class Coder:
         cut = pc.split_pattern(pa.array(given, pa.large_string()), " ")
         coded = cut.values.dictionary_encode()
         code, begin = coded.indices.to_numpy().astype(np.int64), cut.offsets.to_numpy()[:-1]
-        names = [" " + v for v in coded.dictionary.to_pylist()]
-        n = len(names)
-        firsts = [names[k][1:] for k in code[begin].tolist()]  # the first of a text has no space before it
+        firsts = coded.dictionary.take(pa.array(code[begin])).to_pylist()  # the first of a text has no space before it
         for i in whole:
             firsts[i] = texts[i]
+        n = len(coded.dictionary)
+        space, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+        names = pa.concat_arrays([pc.binary_join_element_wise(space, coded.dictionary, none), pa.array(firsts, pa.large_string())])
         code[begin] = np.arange(n, n + len(firsts))
-        names += firsts
         kept = np.ones(len(code), bool)
         kept[begin] = [text != "" for text in firsts]
-        found = [self.place.get(name, -1) for name in names]
-        if len(self.place) > CACHE_PIECES:
-            self._keep_latest(np.unique([at for at in found if at >= 0]))
-            found = [self.place.get(name, -1) for name in names]
-        self._learn({name for name, at in zip(names, found, strict=True) if at < 0 and name})
-        place = np.array([self.place.get(name, -1) if at < 0 else at for name, at in zip(names, found, strict=True)])
+        place = self._places(names)
+        if len(self.names) > CACHE_PIECES:
+            used, met = np.unique(place[place >= 0], return_inverse=True)
+            place[place >= 0] = met
+            self._keep_latest(used)
+        missing = (place < 0) & pc.not_equal(names, none).to_numpy(zero_copy_only=False)
+        new = names.filter(pa.array(missing)).dictionary_encode()
+        if len(new):
+            place[missing] = self._learn(new.dictionary)[new.indices.to_numpy()]
         counts = np.diff(np.append(begin, len(code))) - ~kept[begin]
         return self.ids.joined(place[code[kept]], counts)
 

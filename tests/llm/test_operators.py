@@ -402,6 +402,41 @@ def test_small_caches_and_slices_change_nothing(monkeypatch):
         assert decoded == [t.encode() for t in texts] and written.to_pylist() == [" ".join(map(str, own)) for own in ids.split()]
 
 
+def test_slices_are_split_at_once_and_settled_bytes_start_joined(monkeypatch):
+    """What op8's work grows with: one call of the split pattern for all plain pieces of a slice, and fewer rows than bytes in the query."""
+    public, library = tokenizer()
+    coder = bpe.Coder(bpe.vocabulary(public.path("byte_bpe_50k.tiktoken")), public.PATTERN)
+    random.seed(21)
+    syllables = "the an ion st ré 'll 12 tur, x\ny Über- 日本 qu".split(" ")
+    texts = [" ".join("".join(random.choices(syllables, k=random.randint(1, 6))) for _ in range(40)) for _ in range(50)]
+    calls, rows, table, split = [], [], coder.tables._table, coder.split
+    monkeypatch.setattr(coder, "split", lambda text: calls.append(text) or split(text))
+    monkeypatch.setattr(coder.tables, "_table", lambda name, columns: rows.extend(columns["id"] if name == "start" else []) or table(name, columns))
+    ids, _, decoded = coder.rows(texts)
+    assert [own.tolist() for own in ids.split()] == [library.encode_ordinary(t) for t in texts] and decoded == [t.encode() for t in texts]
+    words = {w for t in texts for w in split(t)}
+    assert len(calls) == 1 and len(rows) < 0.8 * sum(len(w.encode()) for w in words)
+
+
+def test_white_space_and_settled_bytes_equal_library():
+    """Every kind of white space, line ends and marks around words; random bytes, also of tokens that are parts of earlier ones."""
+    public, library = tokenizer()
+    known = bpe.vocabulary(public.path("byte_bpe_50k.tiktoken"))
+    coder = bpe.Coder(known, public.PATTERN)
+    random.seed(22)
+    spaces = [chr(c) for c in [*range(33), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]]
+    around = ["", " ", "\n", "\r", "\r\n"]
+    texts = [a + s + b for s in spaces for x in around for y in around for a, b in (("it's" + x, y + "x1"), (x, y), ("!" + x, y + "'ll"))]
+    texts += ["".join(random.choice(["\r", "\n", " ", "a", "'s", "é"]) for _ in range(12)) for _ in range(500)]
+    assert [own.tolist() for own in coder.ids_of(texts).split()] == [library.encode_ordinary(t) for t in texts]
+    ranks, tokens = known[0], list(known[0])
+    parts = [t for t in tokens if len(t) > 2 and any(ranks.get(p, -1) > ranks[t] for p in (t[1:], t[:-1], t[:2], t[-2:]))]
+    words = [b"".join(random.choices(random.choice([tokens, parts]), k=random.randint(1, 5))) for _ in range(20_000)]
+    words += [bytes(random.choices(b"aeinorst \xc3\xa9", k=random.randint(1, 30))) for _ in range(10_000)]
+    found = coder.tables.encode(words).split()
+    assert all(own.tolist() == library._core_bpe.encode_single_piece(w) for w, own in zip(words, found, strict=True))
+
+
 def test_mix_takes_what_the_targets_say(spark, odd_rows):
     rows = odd_rows + [(5000 + i, "w " * random.randint(1, 60), "en", f"s{i % 5}") for i in range(400)]
     found = mixing.op9(documents(spark, rows)).collect()
