@@ -187,6 +187,28 @@ def test_rules_reject_beyond_the_base(spark, sf_dir):
     assert all(r["kept"] >= (1 - quality.RISK) * r["passed"] - 3 for r in judged if r["quality"] == 1)
 
 
+def test_thin_strata_are_tested_together(spark):
+    """They share the cutoff of their mixture, the null stratum too; a stratum that can stand alone keeps its own, and too few in all get none."""
+    random.seed(12)
+    rows = [("wide", random.randrange(5_000)) for _ in range(1500)] + [(f"thin{k}", random.randrange(10_000)) for k in range(40) for _ in range(20)]
+    rows += [(None, random.randrange(10_000)) for _ in range(15)]
+    found = {r["stratum"]: (r["alone"], r["cutoff"]) for r in quality.cutoffs(spark.createDataFrame(rows, "stratum string, score int")).collect()}
+    assert found.keys() == {"wide", None} | {f"thin{k}" for k in range(40)}
+    shared = {found[s] for s in found if s != "wide"}
+    assert len(shared) == 1 and not min(shared)[0] and 9_800 <= min(shared)[1] < 9_999
+    assert found["wide"][0] and 4_900 <= found["wide"][1] < 5_000
+    few = spark.createDataFrame([(f"s{k}", 5) for k in range(10) for _ in range(10)], "stratum string, score int")
+    assert quality.cutoffs(few).count() == 0
+
+
+def test_rules_reject_beyond_the_base_where_languages_are_thin(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality.op4(docs, labels).join(labels, "doc_id", "left").groupBy("quality").agg(
+        F.count_if("kept").alias("kept"), F.count_if(~F.col("base_failed")).alias("passed")).collect()
+    n = {r["quality"]: (r["kept"], r["passed"]) for r in judged}
+    assert n[0][0] < 0.5 * n[0][1] and n[1][0] >= (1 - quality.RISK) * n[1][1] and n[None][0] < n[None][1]
+
+
 def test_warc_round_trip_with_segments(spark, tmp_path):
     random.seed(3)
     big = "".join(random.choice("ab\r\né🎉<p>") for _ in range(90_000))
