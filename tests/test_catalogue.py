@@ -34,3 +34,14 @@ def test_turned_triangles_are_dropped(spark, sf_dir):
     turned, low = (place(catalogue.QUERIES[name](spark, sf_dir)) for name in ("mesh_upward_turned", "mesh_upward"))
     assert turned < every and all((r * 5 + c * 3) % 4 == 0 for _, r, c in every - turned)
     assert low < every and len(low) > len(every) / 2
+
+
+def test_high_triangles_stay(spark, sf_dir, tmp_path):
+    """The surface is wound upwards at every height, so all of it is kept; prices of 600,000 lie above 9,000."""
+    every = {(r["path"], r["r"], r["c"]) for r in graph_queries._solids(spark, sf_dir, "false").collect()}
+    found = catalogue.QUERIES["mesh_upward"](spark, sf_dir).collect()
+    assert len(found) == len(every) and {(r["tile"], r["r"], r["c"]) for r in found} == every
+    assert sum(r["top"] > 400 for r in found) > len(every) / 4
+    rows = [(r, c, 1, 600_000.0) for r in range(3) for c in range(3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert sum(r["top"] == 11_240 for r in catalogue.QUERIES["mesh_upward"](spark, str(tmp_path)).collect()) == 9
